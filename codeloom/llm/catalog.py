@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, secrets, url_filter
+from . import bpe, decontaminate, quality, secrets, toxicity, url_filter
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_bpe": bpe.op6_bpe,
     "op7_secrets": secrets.op7_secrets,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLE_SQL = {
