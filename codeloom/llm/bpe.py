@@ -9,9 +9,11 @@ import pyarrow as pa
 
 from .common import table, tune
 
-#: Pieces kept ready-made, and transducer states kept; beyond, the tables are dropped and grow anew.
-CACHE_PIECES = 1 << 17
-CACHE_STATES = 1 << 16
+#: Pieces kept ready-made (twice as many: those of the last filling stay until the next), and transducer states kept; beyond, the tables are dropped and grow anew.
+CACHE_PIECES = 1 << 18
+CACHE_STATES = 1 << 17
+#: Bytes of a piece up to which an arc of the transducer is only compiled when it is met again.
+SHORT = 64
 
 
 def load_ranks(path):
@@ -32,21 +34,27 @@ class Transducer:
 
     def __init__(self, ranks):
         self.ranks = ranks
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
+        #: 1 for what a longer token begins with, 2 for tokens, 3 for both.
+        self.known = dict.fromkeys(ranks, 2)
+        for t in ranks:
+            for i in range(1, len(t)):
+                self.known[t[:i]] = self.known.get(t[:i], 0) | 1
         self.longest = max(map(len, ranks))
         self.pairs: dict = {}
-        self.stable: dict = {}
+        self.lives: dict = {}
         self.reset()
 
     def reset(self):
         self.states: dict = {(None, b""): 0}
-        self.keys = [(None, b"")]
-        self.tables: list[dict] = [{}]
+        #: Of each state: pending bytes, and for each end in them the last token, its start and the boundaries of its reading as bits.
+        self.views: list = [(b"", (None,), (0,), (1,))]
+        self.moves: dict = {}
+        self.once: set = set()
         self.final: list = [()]
 
     def merge(self, data):
-        """The encoding by its definition: merge the pair of lowest rank, leftmost first. Only for short strings."""
-        parts = [data[i : i + 1] for i in range(len(data))]
+        """The encoding by its definition, merging the pair of lowest rank, leftmost first; and (rank, first part, last part) after each merge. Only for short strings."""
+        parts, life = [data[i : i + 1] for i in range(len(data))], []
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -56,82 +64,107 @@ class Transducer:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def alone(self, token):
-        found = self.stable.get(token)
-        if found is None:
-            found = self.stable[token] = self.merge(token) == [token]
+            life.append((best, parts[0], parts[-1]))
+        return parts, life
+
+    def life(self, token):
+        """How a token is merged from bytes; None if its bytes encode to something else."""
+        found = self.lives.get(token, 0)
+        if found == 0:
+            parts, life = self.merge(token)
+            found = self.lives[token] = life if len(parts) == 1 else None
         return found
 
     def agree(self, left, right):
-        """Whether right can follow left."""
+        """Whether right can follow left: in merging both, no pair across their border is ever the next to merge."""
         if left is None:
             return True
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) > 1 << 20:
+            if len(self.pairs) > 1 << 19:
                 self.pairs.clear()
-            found = self.pairs[left, right] = self.merge(left + right) == [left, right]
+            found = self.pairs[left, right] = self.border_holds(left, right)
         return found
 
-    def lasts(self, before, pending):
-        """For each end within pending, its last token and that one's start; entry 0 is the token before.
-
-        The start is None where the last token begins before pending: no reading of the whole ends there.
-        """
-        last, start = [before], [0]
-        for end in range(1, len(pending) + 1):
-            for a in range(max(0, end - self.longest), end):
-                token = pending[a:end]
-                if start[a] is not None and token in self.ranks and self.alone(token) and self.agree(last[a], token):
-                    last.append(token)
-                    start.append(a)
-                    break
+    def border_holds(self, left, right):
+        a, b, ranks, never = self.life(left), self.life(right), self.ranks, 1 << 60
+        i = j = 0
+        u, v = left[-1:], right[:1]
+        while True:
+            next_a = a[i][0] if i < len(a) else never
+            next_b = b[j][0] if j < len(b) else never
+            across = ranks.get(u + v, never)
+            if across < next_a and across <= next_b:
+                return False
+            if next_a <= next_b:
+                if next_a == never:
+                    return True
+                u = a[i][2]
+                i += 1
             else:
-                last.append(None)
-                start.append(None)
-        if start[-1] is None:
-            raise ValueError("the vocabulary lacks a byte")
-        return last, start
-
-    def enter(self, key):
-        number = self.states.get(key)
-        if number is None:
-            number = self.states[key] = len(self.keys)
-            self.keys.append(key)
-            self.tables.append({})
-            self.final.append(None)
-        return number
+                v = b[j][1]
+                j += 1
 
     def step(self, state, byte):
-        """(next state, ids emitted) for a byte first met in a state."""
-        before, pending = self.keys[state]
+        """(next state, ids emitted) for a byte first met in a state.
+
+        An end whose last token begins before pending gets start None: no reading of the whole ends there.
+        """
+        pending, last, start, bits = self.views[state]
         pending += bytes([byte])
-        last, start = self.lasts(before, pending)
-        n = len(pending)
-        shared = None
-        for k in range(max(0, n - self.longest), n + 1):
-            if k == n or start[k] is not None and pending[k:] in self.prefixes:
-                chain, at = {k}, k
-                while at:
-                    at = start[at]
-                    chain.add(at)
-                shared = chain if shared is None else shared & chain
-        cut = max(shared)
+        n, known, own, shared = len(pending), self.known, None, -1
+        for k in range(max(0, n - self.longest), n):
+            if start[k] is not None and (kind := known.get(piece := pending[k:])):
+                if own is None and kind > 1 and self.life(piece) is not None and self.agree(last[k], piece):
+                    own, token = k, piece
+                if kind & 1:
+                    shared &= bits[k]
+        if own is None:
+            raise ValueError("the vocabulary lacks a byte")
+        last, start, bits = (*last, token), (*start, own), (*bits, bits[own] | 1 << n)
+        shared &= bits[n]
+        cut = shared.bit_length() - 1
         out, at = [], cut
         while at:
             out.append(self.ranks[last[at]])
             at = start[at]
-        move = self.enter((last[cut] if cut else before, pending[cut:])), tuple(reversed(out))
-        self.tables[state][byte] = move
+        key = last[cut], pending[cut:]
+        number = self.states.get(key)
+        if number is None:
+            number = self.states[key] = len(self.views)
+            if cut:
+                start = (0, *(x - cut if x is not None and x >= cut else None for x in start[cut + 1 :]))
+                last, bits = last[cut:], tuple(x >> cut for x in bits[cut:])
+            self.views.append((key[1], last, start, bits))
+            self.final.append(None)
+        move = self.moves[state << 8 | byte] = number, tuple(reversed(out))
         return move
 
+    def rest(self, state, data):
+        """What a short piece that goes on with data from state still emits, read without making states: an arc is compiled when met again."""
+        pending, last, start, _ = self.views[state]
+        done, pending, last, start = len(pending), pending + data, list(last), list(start)
+        ranks = self.ranks
+        for n in range(done + 1, len(pending) + 1):
+            for a in range(max(0, n - self.longest), n):
+                if start[a] is not None and (piece := pending[a:n]) in ranks and self.life(piece) is not None and self.agree(last[a], piece):
+                    last.append(piece)
+                    start.append(a)
+                    break
+            else:
+                last.append(None)
+                start.append(None)
+        out, at = [], len(pending)
+        while at:
+            out.append(ranks[last[at]])
+            at = start[at]
+        out.reverse()
+        return out
+
     def finish(self, state):
         out = self.final[state]
         if out is None:
-            before, pending = self.keys[state]
-            last, start = self.lasts(before, pending)
+            pending, last, start, _ = self.views[state]
             out, at = [], len(pending)
             while at:
                 out.append(self.ranks[last[at]])
@@ -144,11 +177,19 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.keys) > CACHE_STATES:
+        if len(self.views) > CACHE_STATES:
             self.reset()
-        out, state, tables = [], 0, self.tables
-        for byte in data:
-            move = tables[state].get(byte) or self.step(state, byte)
+        out, state, moves = [], 0, self.moves
+        for i, byte in enumerate(data):
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                arc = state << 8 | byte
+                if len(data) <= SHORT and arc not in self.once:
+                    if len(self.once) >= 4 * CACHE_STATES:
+                        self.once.clear()
+                    self.once.add(arc)
+                    return out + self.rest(state, data[i:])
+                move = self.step(state, byte)
             state = move[0]
             if move[1]:
                 out += move[1]
@@ -190,13 +231,17 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.machine = Transducer(load_ranks(path))
         self.token = {str(rank): token for token, rank in self.machine.ranks.items()}
-        machine = self.machine
+        machine, old = self.machine, {}
 
         class Pieces(dict):
             def __missing__(self, piece):
-                ids = " ".join(map(str, machine.encode(piece.encode())))
+                ids = old.pop(piece, None)
+                if ids is None:
+                    ids = " ".join(map(str, machine.encode(piece.encode())))
                 if len(piece) <= 64:
                     if len(self) >= CACHE_PIECES:
+                        old.clear()
+                        old.update(self)
                         self.clear()
                     self[piece] = ids
                 return ids
