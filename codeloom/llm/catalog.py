@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, secrets, toxicity, url_filter
+from . import ann, bpe, decontaminate, jaccard, quality, secrets, toxicity, url_filter
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
     "op2_quality": quality.op2_quality,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_bpe": bpe.op6_bpe,
     "op7_secrets": secrets.op7_secrets,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 
 ORACLE_SQL = {
     "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op5_url_filter": url_filter.ORACLE_SQL,
+    "op10_jaccard": jaccard.ORACLE_SQL,
 }
