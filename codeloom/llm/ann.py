@@ -11,9 +11,9 @@ from .common import table, tune
 
 K = 20
 #: Projections, collisions that make a candidate (a share of them), first window width and its growth.
-PROJECTIONS, THRESHOLD, WIDTH, GROWTH = 48, 0.6, 0.12, 1.3
+PROJECTIONS, THRESHOLD, WIDTH, GROWTH = 48, 0.6, 0.05, 1.2
 #: Candidates of a block that are verified at least: a share of its rows and a count.
-SHARE, LEAST = 0.08, 128
+SHARE, LEAST = 0.12, 128
 BLOCK_ROWS = 1 << 15
 
 
@@ -28,8 +28,13 @@ class Index:
         longer = np.concatenate([self.vectors, np.sqrt(np.maximum(self.norm**2 - square, 0))[:, None]], axis=1) / self.norm
         self.lines = np.random.default_rng(seed).standard_normal((dim + 1, PROJECTIONS))
         points = longer @ self.lines
-        self.order = np.argsort(points, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(points.T, self.order, axis=1)
+        #: All sorted arrays as one, each moved beyond the last by a step: one search finds a place in each.
+        self.step = 4 * np.abs(points).max() + 64
+        self.order = np.argsort(points, axis=0, kind="stable").T.ravel()
+        self.base = np.arange(PROJECTIONS) * self.step
+        self.sorted = (np.sort(points, axis=0).T + self.base[:, None]).ravel()
+        self.edge = np.arange(PROJECTIONS + 1) * n
+        self.start = WIDTH
 
     def search(self, query, own, k):
         """(ids, scores) of the k best verified candidates, best first, ties to the smaller id; own is no candidate.
@@ -42,22 +47,22 @@ class Index:
         q = query.astype(np.float64)
         centre = (q / np.sqrt((q * q).sum())) @ self.lines[:-1]
         need = int(np.ceil(THRESHOLD * PROJECTIONS))
-        counts = np.zeros(n, np.int32)
-        low = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre, strict=True)])
-        high = low.copy()
-        width = WIDTH
+        centre = centre + self.base
+        counts = np.zeros(n, np.int64)
+        low = high = np.searchsorted(self.sorted, centre)
+        width, grown = self.start, False
         while True:
-            fresh = []
-            for j in range(PROJECTIONS):
-                a = np.searchsorted(self.sorted[j], centre[j] - width, "left")
-                b = np.searchsorted(self.sorted[j], centre[j] + width, "right")
-                fresh += [self.order[j, a : low[j]], self.order[j, high[j] : b]]
-                low[j], high[j] = a, b
-            counts += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
+            a = np.maximum(np.searchsorted(self.sorted, centre - width, "left"), self.edge[:-1])
+            b = np.minimum(np.searchsorted(self.sorted, centre + width, "right"), self.edge[1:])
+            fresh = [self.order[x:y] for x, y in zip([*a, *high], [*low, *b], strict=True)]
+            counts += np.bincount(np.concatenate(fresh), minlength=n)
+            low, high = a, b
             found = np.flatnonzero(counts >= need)
             if len(found) >= wanted:
                 break
             width *= GROWTH
+            grown = True
+        self.start = width if grown else width / GROWTH  # the next query begins near where this one ended
         found = found[self.ids[found] != own]
         scores = self.vectors[found] @ q
         best = np.lexsort((self.ids[found], -scores))
