@@ -11,14 +11,20 @@ def fold(modulus):
 
 
 def sample(docs, labels, label, condition, rows_per_class, max_bytes):
-    """[(text, 0 or 1)]: of each class the rows_per_class rows first by hash of doc_id, of texts up to max_bytes, where condition holds.
+    """[(text, 0 or 1)]: of each class the rows_per_class labels first by hash of doc_id where condition holds, with texts up to max_bytes.
 
-    The only thing collected, and of fixed size; conflicting or repeated labels of one doc_id are all kept.
+    The only thing collected, and of fixed size. Labels are chosen before any text is read, and the few chosen
+    are broadcast, so no text is shuffled. Of repeated documents the least text counts; labels without a document, of null
+    or of other values are dropped; conflicting labels of one doc_id are all kept.
     """
-    rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & condition & (F.octet_length("text") <= max_bytes))
-    rows = rows.join(labels.where(f"{label} IN (0, 1)").select("doc_id", F.col(label).cast("int").alias("y")), "doc_id")
-    rows = rows.withColumn("h", F.xxhash64("doc_id"))
-    out = []
+    spark = docs.sparkSession
+    chosen = []
     for y in (0, 1):
-        out += [(r["text"], y) for r in rows.where(F.col("y") == y).orderBy("h", "doc_id").limit(rows_per_class).select("text").collect()]
-    return out
+        rows = labels.where(F.col("doc_id").isNotNull() & (F.col(label) == y) & condition).select("doc_id").distinct()
+        chosen += [(r[0], y) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class).collect()]
+    if not chosen:
+        return []
+    ids = spark.createDataFrame(chosen, "doc_id long, y int")
+    rows = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = {r[0]: r[1] for r in rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    return [(texts[i], y) for i, y in chosen if i in texts]
