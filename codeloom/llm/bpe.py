@@ -5,15 +5,18 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 
-from .common import table, tune
+from .common import pieces, table, tune
 
 #: Pieces kept ready-made (twice as many: those of the last filling stay until the next), and transducer states kept; beyond, the tables are dropped and grow anew.
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 1 << 19
 CACHE_STATES = 1 << 17
-#: Bytes of a piece up to which an arc of the transducer is only compiled when it is met again.
-SHORT = 64
+#: Pairs of tokens that are remembered; and what stands for no token.
+CACHE_PAIRS, NONE = 1 << 20, (1 << 31) - 1
+#: Bytes of a piece up to which an arc of the transducer is only compiled when it has been met some times.
+SHORT, FEW = 64, 6
 
 
 def load_ranks(path):
@@ -34,6 +37,7 @@ class Transducer:
 
     def __init__(self, ranks):
         self.ranks = ranks
+        self.names = {rank: token for token, rank in ranks.items()}
         #: 1 for what a longer token begins with, 2 for tokens, 3 for both.
         self.known = dict.fromkeys(ranks, 2)
         for t in ranks:
@@ -45,11 +49,11 @@ class Transducer:
         self.reset()
 
     def reset(self):
-        self.states: dict = {(None, b""): 0}
+        self.states: dict = {(NONE, b""): 0}
         #: Of each state: pending bytes, and for each end in them the last token, its start and the boundaries of its reading as bits.
-        self.views: list = [(b"", (None,), (0,), (1,))]
+        self.views: list = [(b"", (NONE,), (0,), (1,))]
         self.moves: dict = {}
-        self.once: set = set()
+        self.met: dict = {}
         self.final: list = [()]
 
     def merge(self, data):
@@ -76,14 +80,13 @@ class Transducer:
         return found
 
     def agree(self, left, right):
-        """Whether right can follow left: in merging both, no pair across their border is ever the next to merge."""
-        if left is None:
-            return True
-        found = self.pairs.get((left, right))
+        """Whether token right is stable and can follow token left: in merging both, no pair across their border is ever the next to merge."""
+        found = self.pairs.get(left << 32 | right)
         if found is None:
-            if len(self.pairs) > 1 << 19:
+            if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[left, right] = self.border_holds(left, right)
+            token = self.names[right]
+            found = self.pairs[left << 32 | right] = self.life(token) is not None and (left == NONE or self.border_holds(self.names[left], token))
         return found
 
     def border_holds(self, left, right):
@@ -115,8 +118,8 @@ class Transducer:
         n, known, own, shared = len(pending), self.known, None, -1
         for k in range(max(0, n - self.longest), n):
             if start[k] is not None and (kind := known.get(piece := pending[k:])):
-                if own is None and kind > 1 and self.life(piece) is not None and self.agree(last[k], piece):
-                    own, token = k, piece
+                if own is None and kind > 1 and self.agree(last[k], self.ranks[piece]):
+                    own, token = k, self.ranks[piece]
                 if kind & 1:
                     shared &= bits[k]
         if own is None:
@@ -126,7 +129,7 @@ class Transducer:
         cut = shared.bit_length() - 1
         out, at = [], cut
         while at:
-            out.append(self.ranks[last[at]])
+            out.append(last[at])
             at = start[at]
         key = last[cut], pending[cut:]
         number = self.states.get(key)
@@ -141,22 +144,24 @@ class Transducer:
         return move
 
     def rest(self, state, data):
-        """What a short piece that goes on with data from state still emits, read without making states: an arc is compiled when met again."""
+        """What a short piece that goes on with data from state still emits, read without making states: an arc is compiled when it has been met FEW times."""
         pending, last, start, _ = self.views[state]
         done, pending, last, start = len(pending), pending + data, list(last), list(start)
-        ranks = self.ranks
+        rank_of, known, longest = self.ranks.get, self.pairs.get, self.longest
         for n in range(done + 1, len(pending) + 1):
-            for a in range(max(0, n - self.longest), n):
-                if start[a] is not None and (piece := pending[a:n]) in ranks and self.life(piece) is not None and self.agree(last[a], piece):
-                    last.append(piece)
-                    start.append(a)
-                    break
+            for a in range(n - longest if n > longest else 0, n):
+                if start[a] is not None and (rank := rank_of(pending[a:n])) is not None:
+                    fits = known(last[a] << 32 | rank)
+                    if fits or fits is None and self.agree(last[a], rank):
+                        last.append(rank)
+                        start.append(a)
+                        break
             else:
-                last.append(None)
+                last.append(NONE)
                 start.append(None)
         out, at = [], len(pending)
         while at:
-            out.append(ranks[last[at]])
+            out.append(last[at])
             at = start[at]
         out.reverse()
         return out
@@ -167,7 +172,7 @@ class Transducer:
             pending, last, start, _ = self.views[state]
             out, at = [], len(pending)
             while at:
-                out.append(self.ranks[last[at]])
+                out.append(last[at])
                 at = start[at]
             out = self.final[state] = tuple(reversed(out))
         return out
@@ -184,10 +189,10 @@ class Transducer:
             move = moves.get(state << 8 | byte)
             if move is None:
                 arc = state << 8 | byte
-                if len(data) <= SHORT and arc not in self.once:
-                    if len(self.once) >= 4 * CACHE_STATES:
-                        self.once.clear()
-                    self.once.add(arc)
+                if len(data) <= SHORT and (met := self.met.get(arc, 0)) < FEW:
+                    if len(self.met) >= 4 * CACHE_STATES:
+                        self.met.clear()
+                    self.met[arc] = met + 1
                     return out + self.rest(state, data[i:])
                 move = self.step(state, byte)
             state = move[0]
@@ -338,5 +343,31 @@ def round_trip(docs, keep=("doc_id",), vocabulary=None):
     return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
 
 
+def tokenized(docs, keep=("doc_id",), vocabulary=None):
+    """docs with n_tokens, tokens array<int> and decoded_sha256: the digest of the text that the ids decode to in a stream."""
+    tune(docs.sparkSession)
+    path, pattern = vocabulary or default_vocabulary()
+    schema = ", ".join([f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens long, tokens array<int>, decoded_sha256 string"])
+
+    def run(batches):
+        own = codec(path, pattern)
+        for whole in batches:
+            for batch in pieces(whole, "__text"):
+                tokens, decoded = [], []
+                for text in batch.column(len(keep)).to_pylist():
+                    ids = own.encode_text(text or "")
+                    tokens.append(np.array(ids.split(), np.int32) if ids else np.zeros(0, np.int32))
+                    stream, back = Utf8Stream(), hashlib.sha256()
+                    for chunk in own.decode_bytes(ids):
+                        back.update(stream.feed(chunk).encode())
+                    back.update(stream.close().encode())
+                    decoded.append(back.hexdigest())
+                offsets = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *tokens])))
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(np.diff(offsets).astype(np.int64)), lists, pa.array(decoded, pa.string())], names=[*keep, "n_tokens", "tokens", "decoded_sha256"])
+
+    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
+
+
 def op6_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"))
