@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontaminate, jaccard, quality, secrets, toxicity, url_filter
+from . import ann, bpe, decontaminate, jaccard, licenses, quality, secrets, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
     "op2_quality": quality.op2_quality,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_bpe": bpe.op6_bpe,
     "op7_secrets": secrets.op7_secrets,
+    "op8_licenses": licenses.op8_licenses,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard": jaccard.op10_jaccard,
 }

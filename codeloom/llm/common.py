@@ -149,3 +149,15 @@ def window_hashes(words, k):
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(words * powers(WORD_BASE, n), out=sums[1:])
     return mix((sums[k:] - sums[:-k]) * powers(WORD_INVERSE, n + 1)[: n - k + 1] + np.uint64(k))
+
+
+def carried(docs):
+    """docs with every column under a name of ours beside its text, the names, and how to get the columns back.
+
+    So a filter can add columns whatever the table's own are called.
+    """
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*names)
+    at = docs.columns.index("text")
+    renamed = renamed.withColumn("text", renamed[names[at]])
+    return renamed, names, lambda df: df.select(*[df[n].alias(own) for n, own in zip(names, docs.columns, strict=True)])

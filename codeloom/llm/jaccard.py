@@ -23,6 +23,8 @@ NUMER, DENOM = 4, 5
 #: N-grams counted before a task hands on what it has; and frequent n-grams that are broadcast at most.
 FLUSH, HOT_KEYS, LEAST_HOT = 1 << 21, 1 << 20, 16
 BITMAP_BITS = 24
+#: Turns in which a class is compared with a few others, before all pairs that are left; and how many.
+TURNS, PIVOTS = 3, 4
 _WORD_BYTES = np.ones(256, bool)
 _WORD_BYTES[[32, 9, 10, 11, 12, 13]] = False
 
@@ -263,24 +265,48 @@ NEAR = f"{NUMER} * greatest(x.n, y.n) <= {DENOM} * least(x.n, y.n)"
 ENOUGH = f"c + greatest(nx - {_prefix('nx')}, ny - {_prefix('ny')}) >= {_bound('nx', 'ny')}"
 
 
-def _stars(entries):
-    """For each class the pair with the class it shares most prefix n-grams with, among the smallest class of each n-gram."""
-    pivots = entries.groupBy("h").agg(F.min(F.struct("sig", "n")).alias("p"), F.max("sig").alias("last")).where("p.sig <> last").select(F.col("h"), F.col("p.sig").alias("a"), F.col("p.n").alias("nx"))
-    pairs = entries.join(pivots, "h").where(f"sig <> a AND {NUMER} * greatest(n, nx) <= {DENOM} * least(n, nx)")
-    pairs = pairs.groupBy("a", F.col("sig").alias("b")).agg(F.count("*").alias("c"), F.first("nx").alias("nx"), F.first("n").alias("ny")).where(ENOUGH)
-    best = pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m"))
-    return best.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
+def _stars(named, pivots_each, turn):
+    """For each class up to pivots_each pairs (a, b, lower, upper): with the classes it shares most prefix n-grams with, among a few of each
+    n-gram's least component; lower and upper are the components of a and b. Turns take different ones."""
+    pick = [F.min(F.struct("root", F.xxhash64("sig", F.lit(turn * 16 + k)).alias("k"), "sig", "n")).alias(f"p{k}") for k in range(pivots_each)]
+    pivots = named.groupBy("h").agg(*pick, F.max("root").alias("last")).where("p0.root <> last").select("h", F.array_distinct(F.array(*[F.struct(F.col(f"p{k}.sig").alias("a"), F.col(f"p{k}.n").alias("nx"), F.col(f"p{k}.root").alias("lower")) for k in range(pivots_each)])).alias("p"))
+    pairs = named.join(pivots, "h").where("root <> p[0].lower").select("sig", "n", "root", F.explode("p").alias("p")).select("sig", "n", "root", "p.*")
+    pairs = pairs.where(f"{NUMER} * greatest(n, nx) <= {DENOM} * least(n, nx)")
+    pairs = pairs.groupBy("a", F.col("sig").alias("b")).agg(F.count("*").alias("c"), F.first("nx").alias("nx"), F.first("n").alias("ny"), F.first("lower").alias("lower"), F.first("root").alias("upper")).where(ENOUGH)
+    best = pairs.groupBy("b").agg(F.slice(F.sort_array(F.collect_set(F.struct("c", "a", "lower", "upper")), asc=False), 1, pivots_each).alias("m"))
+    return best.select("b", F.explode("m").alias("m")).select("m.a", "b", "m.lower", "m.upper")
 
 
-def _crossing(spark, entries, roots):
-    """Pairs of classes in different components that can still link: all prefix n-grams they share, counted."""
-    named = entries.join(roots, entries["sig"] == roots["node"], "left").select("h", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
+def _jumped(spark, parents):
+    """node, root from node, up with up < node: each node's last ancestor, in rounds that double the reach."""
+    now = scratch(spark, parents, "up")
+    while True:
+        p, q = now.alias("p"), now.alias("q")
+        after = scratch(spark, p.join(q, F.expr("p.up = q.node"), "left").select("p.node", F.coalesce("q.up", "p.up").alias("up"), F.col("q.up").isNotNull().alias("moved")), "up")
+        moved = after.where("moved").limit(1).count()
+        forget(spark, now)
+        now = after.select("node", "up")
+        if not moved:
+            return now.select("node", F.col("up").alias("root"))
+
+
+def _rooted(entries, roots):
+    """Prefix entries with the component of their class."""
+    return entries.join(roots, entries["sig"] == roots["node"], "left").select("h", "sig", "n", F.coalesce("root", "sig").alias("root"))
+
+
+def _mixed(spark, named):
+    """Entries of n-grams that different components share."""
     mixed = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    named = scratch(spark, named.join(mixed, "h", "left_semi"), "mixed")
+    return scratch(spark, named.join(mixed, "h", "left_semi"), "mixed")
+
+
+def _crossing(named):
+    """Pairs of classes in different components that can still link: all prefix n-grams they share, counted."""
     x, y = named.alias("x"), named.alias("y")
     pairs = x.join(y, F.expr(f"x.h = y.h AND x.sig < y.sig AND x.root <> y.root AND {NEAR}"))
-    pairs = pairs.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"))
-    return pairs.where(ENOUGH).select("a", "b"), named
+    pairs = pairs.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"), F.first("x.root").alias("lower"), F.first("y.root").alias("upper"))
+    return pairs.where(ENOUGH).select("a", "b", "lower", "upper")
 
 
 def _linked(docs, meta, pairs):
@@ -315,8 +341,8 @@ def _linked(docs, meta, pairs):
 
     def judge(batches):
         for batch in batches:
-            a, b, keep = batch.column(0), batch.column(1), []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            keep = []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint8).reshape(-1, 6) for v in (x, y))
                 both = np.zeros((len(x) + len(y), 8), np.uint8)
                 both[: len(x), :6], both[len(x) :, :6] = x, y
@@ -324,10 +350,10 @@ def _linked(docs, meta, pairs):
                 overlap = int((both[1:] == both[:-1]).sum())
                 keep.append(DENOM * overlap >= NUMER * (len(x) + len(y) - overlap))
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(4)], names=["a", "b", "lower", "upper"])
 
     one = pairs.join(sets.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a")
-    links = scratch(spark, one.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"), "links")
+    links = scratch(spark, one.select("a", "b", "lower", "upper", "x", "y").mapInArrow(judge, "a long, b long, lower long, upper long"), "links")
     forget(spark, pairs, sets)
     return links
 
@@ -340,9 +366,9 @@ def near_duplicates(docs):
     Equal sets are one class and link; repeated rows stay rows. A null doc_id gets the smallest doc_id of its component,
     or null. No documents give no rows; other columns are ignored. N-grams are compared by 64-bit hashes (48 in the last count).
 
-    No link is lost: first each class is compared with one other, by the n-gram count; then, of the n-grams still shared by different
-    components, every pair that the bounds leave is compared too. Members of one component aren't compared
-    again, so a group of copies costs its size and not its square.
+    No link is lost: in a few turns each class is compared with a few others, by how many n-grams they share; then, of the n-grams
+    still shared by different components, every pair that the bounds leave is compared. Members of one
+    component aren't compared again, so a group of near copies costs about its size and not its square.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -352,11 +378,19 @@ def near_duplicates(docs):
     total = meta.agg(F.sum("n")).first()[0] or 0
     key_bits = min(60, max(32, int(total).bit_length() + 4))
     entries = scratch(spark, _shared(docs, parts, _frequent(docs, parts, key_bits), key_bits).dropDuplicates(["h", "sig"]), "entries")
-    links = _linked(docs, meta, _stars(entries))
-    roots = scratch(spark, components(spark, links), "roots")
-    pairs, mixed = _crossing(spark, entries, roots)
-    more = _linked(docs, meta, pairs)
-    roots = components(spark, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    roots = spark.createDataFrame([], "node long, root long")
+    for turn in range(TURNS):
+        named = _mixed(spark, _rooted(entries, roots))
+        links = _linked(docs, meta, _stars(named, PIVOTS if turn else 1, turn))
+        up = _jumped(spark, links.groupBy(F.col("upper").alias("node")).agg(F.min("lower").alias("up")))
+        moved = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = scratch(spark, moved.unionByName(up.join(roots.select("node"), "node", "left_anti")), "roots")
+        forget(spark, named, links)
+    last = _mixed(spark, _rooted(entries, roots))
+    more = components(spark, _linked(docs, meta, _crossing(last)).select(F.col("lower").alias("a"), F.col("upper").alias("b")))
+    more = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(more, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    roots = moved.unionByName(more.join(roots, more["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root")))
     named = meta.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id")).join(roots, F.col("sig") == F.col("node"), "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
     named = scratch(spark, named, "classes")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -365,6 +399,21 @@ def near_duplicates(docs):
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs):
+    """docs without near duplicates: of each component the row with its smallest doc_id stays.
+
+    Rows without a doc_id come after all others, by a hash of their text. Of rows that repeat a doc_id and
+    text one stays. The large side of the join is shuffled once and never sorted.
+    """
+    last = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), last))
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("__n"))
+    once = keyed.join(kept.where("__n = 1").hint("shuffle_hash"), "__key", "left_semi")
+    more = keyed.join(kept.where("__n > 1").hint("shuffle_hash"), "__key", "left_semi").dropDuplicates(["__key", "text"])
+    return once.unionByName(more).select(*docs.columns)
+
+
 def op10_jaccard(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
