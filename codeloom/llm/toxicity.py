@@ -10,13 +10,15 @@ from .common import INVERSE, BASE, _BYTE_VALUES, lower_ascii, mix, pieces, power
 from .labels import fold, sample
 
 #: Rows of each class that are fitted at most, and bytes of the longest of them.
-ROWS_PER_CLASS = 1000
-TRAIN_BYTES = 40_000
+ROWS_PER_CLASS = 1500
+TRAIN_BYTES = 20_000
 WINDOW, STRIDE = 32, 24
 HIDDEN, DIM = 8, 8
 BUCKET_BITS = 16
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.7
+#: Steps of the fit at least, however few rows there are.
+LEAST_STEPS = 200
 #: Learning rate of embeddings against that of the other weights: they start from counts and only need shifting.
 EMBED_RATE = 0.1
 _WORD_BYTES = np.zeros(256, bool)
@@ -78,7 +80,7 @@ class Network:
     def __init__(self, seed=7):
         r = np.random.default_rng(seed)
         small = lambda *shape: (r.standard_normal(shape) * 0.3).astype(F32)
-        self.p = {"word": small(1 << BUCKET_BITS, DIM) * F32(0.1), "char": small(1 << BUCKET_BITS, DIM) * F32(0.1), "u": small(2 * HIDDEN), "w": small(2 * HIDDEN), "b": np.full(1, -1, F32)}
+        self.p = {"word": np.zeros((1 << BUCKET_BITS, DIM), F32), "char": np.zeros((1 << BUCKET_BITS, DIM), F32), "u": small(2 * HIDDEN), "w": small(2 * HIDDEN), "b": np.full(1, -1, F32)}
         for way in "fb":
             self.p |= {f"x{way}": small(2 * DIM, 3 * HIDDEN), f"h{way}": small(HIDDEN, 3 * HIDDEN), f"c{way}": np.zeros(3 * HIDDEN, F32)}
         self.scale, self.shift = 1.0, 0.0
@@ -88,8 +90,11 @@ class Network:
         chars = np.zeros((len(word_bucket), DIM), F32)
         if len(gram_word):
             first = np.flatnonzero(np.r_[True, gram_word[1:] != gram_word[:-1]])
-            sums = np.add.reduceat(self.p["char"][gram_bucket], first, axis=0)
-            chars[gram_word[first]] = sums / np.diff(np.r_[first, len(gram_word)])[:, None].astype(F32)
+            end = np.r_[first[1:], len(gram_word)]
+            for i in range(0, len(first), 1 << 14):
+                a, b = first[i : i + (1 << 14)], end[i : i + (1 << 14)]
+                sums = np.add.reduceat(self.p["char"][gram_bucket[a[0] : b[-1]]], a - a[0], axis=0)
+                chars[gram_word[a]] = sums / (b - a)[:, None].astype(F32)
         return np.concatenate([self.p["word"][word_bucket], chars * F32(4)], axis=1)
 
     def run(self, x, index, length, keep=False):
@@ -158,18 +163,41 @@ class Network:
         return g, dx
 
 
-def evidence(parts, ys):
-    """Log-odds of each bucket by presence in documents of either class, damped where few hold it."""
-    out = []
-    for kind in (0, 1):
-        seen = np.zeros((2, 1 << BUCKET_BITS))
-        for (word_bucket, index, doc, gram_word, gram_bucket), y in zip(parts, ys, strict=True):
-            buckets = np.unique(word_bucket if kind == 0 else gram_bucket)
-            seen[y, buckets] += 1
-        total = np.bincount(ys, minlength=2)
-        odds = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
-        out.append((np.clip(odds, -4, 4) * np.minimum(1, seen.sum(axis=0) / 10)).astype(F32))
-    return out
+class Words:
+    """The words of all training texts: few texts at a time are split, so that little is held besides the result."""
+
+    def __init__(self, texts, at_once=64):
+        buckets, gram_word, gram_bucket, self.docs = [], [], [], []
+        base = 0
+        for i in range(0, len(texts), at_once):
+            word_bucket, index, doc, words, grams = words_of(*utf8(pa.array(texts[i : i + at_once])))
+            buckets.append(word_bucket)
+            gram_word.append((words + base).astype(np.int32))
+            gram_bucket.append(grams.astype(np.int32))
+            edges = np.searchsorted(doc, np.arange(len(texts[i : i + at_once]) + 1))
+            self.docs += [(index[x:y] + base).astype(np.int32) for x, y in zip(edges, edges[1:], strict=False)]
+            base += len(word_bucket)
+        self.buckets = np.concatenate(buckets)
+        self.gram_word, self.gram_bucket = np.concatenate(gram_word), np.concatenate(gram_bucket)
+        self.begin = np.searchsorted(self.gram_word, np.arange(base + 1))
+
+    def grams(self, words):
+        """For some words: which of them, and the bucket, of each of their n-grams."""
+        sizes = self.begin[words + 1] - self.begin[words]
+        at = np.repeat(self.begin[words], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.repeat(np.arange(len(words)), sizes), self.gram_bucket[at], sizes
+
+
+def evidence(words, docs, ys):
+    """Log-odds of each word and n-gram bucket by presence in documents of either class, damped where few hold it."""
+    seen = np.zeros((2, 2, 1 << BUCKET_BITS), F32)
+    for d, y in zip(docs, ys, strict=True):
+        own = np.unique(words.docs[d])
+        seen[0, y, np.unique(words.buckets[own])] += 1
+        seen[1, y, np.unique(words.grams(own)[1])] += 1
+    total = np.bincount(ys, minlength=2)
+    odds = np.log((seen[:, 1] + 0.5) / (total[1] + 1)) - np.log((seen[:, 0] + 0.5) / (total[0] + 1))
+    return (np.clip(odds, -4, 4) * np.minimum(1, seen.sum(axis=1) / 10)).astype(F32)
 
 
 def fit(rows, epochs=12, seed=7):
@@ -182,39 +210,35 @@ def fit(rows, epochs=12, seed=7):
     if len(set(ys.tolist())) < 2:
         return float(ys[0]) if len(ys) else 0.5
     rng = np.random.default_rng(seed)
-    parts = [words_of(*utf8(pa.array([t]))) for t, _ in rows]
-    has = [i for i, x in enumerate(parts) if len(x[1])]
-    parts, ys = [parts[i] for i in has], ys[has]
-    held = np.arange(len(parts)) % 5 == 4
+    words = Words([t for t, _ in rows])
+    has = [i for i, d in enumerate(words.docs) if len(d)]
+    ys = ys[has]
+    docs = [words.docs[i] for i in has]
+    if len(set(ys.tolist())) < 2:
+        return float(ys[0]) if len(ys) else 0.5
+    held = np.arange(len(docs)) % 5 == 4
     net = Network(seed)
     p = net.p
-    odds = evidence([x for x, out in zip(parts, held, strict=True) if not out], ys[~held])
+    odds = evidence(words, [i for i, out in zip(has, held, strict=True) if not out], ys[~held])
     for name, o in zip(("word", "char"), odds, strict=True):
         p[name][:, 0] = o / 4
-    # all documents as one table of words
-    buckets = np.concatenate([x[0] for x in parts])
-    base = np.cumsum([0, *(len(x[0]) for x in parts)])
-    gram_word = np.concatenate([x[3] + b for x, b in zip(parts, base, strict=False)])
-    gram_bucket = np.concatenate([x[4] for x in parts])
-    gram_begin = np.searchsorted(gram_word, np.arange(len(buckets) + 1))
     index, length, own = [], [], []
-    for i, x in enumerate(parts):
-        start, n, _ = windows_of(np.zeros(len(x[1]), np.int64), 1)
-        at = np.minimum(start[:, None] + np.arange(WINDOW), len(x[1]) - 1)
-        index.append(x[1][at] + base[i])
+    for i, d in enumerate(docs):
+        start, n, _ = windows_of(np.zeros(len(d), np.int64), 1)
+        index.append(d[np.minimum(start[:, None] + np.arange(WINDOW), len(d) - 1)])
         length.append(n)
         own.append(np.full(len(n), i))
     index, length, own = np.concatenate(index), np.concatenate(length), np.concatenate(own)
-    begin = np.searchsorted(own, np.arange(len(parts)))
+    begin = np.searchsorted(own, np.arange(len(docs)))
 
     def score_all(x):
         return np.concatenate([net.run(x, index[i : i + 4096], length[i : i + 4096]) for i in range(0, len(index), 4096)])
 
     def top(values):
         order = np.lexsort((values, own))
-        return order[np.searchsorted(own, np.arange(len(parts)), "right") - 1]
+        return order[np.searchsorted(own, np.arange(len(docs)), "right") - 1]
 
-    x = net.inputs(buckets, gram_word, gram_bucket)
+    x = net.inputs(words.buckets, words.gram_word, words.gram_bucket)
     hint = (x[:, 0] + x[:, DIM])[index]
     hint[np.arange(WINDOW) >= length[:, None]] = -9
     best = top(hint.max(axis=1))
@@ -222,22 +246,20 @@ def fit(rows, epochs=12, seed=7):
     steps = 0
     train = np.flatnonzero(~held)
     balance = np.where(ys == 1, 0.5 / max(ys[train].mean(), 1e-3), 0.5 / max(1 - ys[train].mean(), 1e-3)).astype(F32)
+    epochs = max(epochs, -(-LEAST_STEPS * 128 // max(1, len(train))))
     for epoch in range(epochs):
         if epoch >= 4 and epoch % 3 == 1:
-            best = top(score_all(net.inputs(buckets, gram_word, gram_bucket)))
+            best = top(score_all(net.inputs(words.buckets, words.gram_word, words.gram_bucket)))
         extra = begin[train] + (rng.random(len(train)) * np.diff(np.r_[begin, len(own)])[train]).astype(np.int64)
         chosen = np.concatenate([best[train], extra[ys[train] == 0]])
         rng.shuffle(chosen)
         for i in range(0, len(chosen), 128):
             batch = chosen[i : i + 128]
             rows_in, inverse = np.unique(index[batch], return_inverse=True)
-            spans = [np.arange(gram_begin[k], gram_begin[k + 1]) for k in rows_in]
-            sizes = [len(s) for s in spans]
-            local_word = np.repeat(np.arange(len(rows_in)), sizes)
-            local_bucket = gram_bucket[np.concatenate(spans)]
-            x = net.inputs(buckets[rows_in], local_word, local_bucket)
+            local_word, local_bucket, sizes = words.grams(rows_in)
+            x = net.inputs(words.buckets[rows_in], local_word, local_bucket)
             g, dx = net.gradients(x, inverse.reshape(-1, WINDOW), length[batch], ys[own[batch]].astype(F32), balance[own[batch]])
-            g["word"], g["char"] = (buckets[rows_in], dx[:, :DIM]), (local_bucket, (dx[:, DIM:] * F32(4) / np.array(sizes, F32)[:, None])[local_word])
+            g["word"], g["char"] = (words.buckets[rows_in], dx[:, :DIM]), (local_bucket, (dx[:, DIM:] * F32(4) / np.maximum(sizes, 1).astype(F32)[:, None])[local_word])
             steps += 1
             rate = 0.01 if epoch < epochs * 2 // 3 else 0.003
             slow = rate * EMBED_RATE
@@ -254,7 +276,7 @@ def fit(rows, epochs=12, seed=7):
                     m[:] = 0.9 * m + 0.1 * grad
                     v[:] = 0.99 * v + 0.01 * grad * grad
                     p[k] -= (rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-6)).astype(F32)
-    values = score_all(net.inputs(buckets, gram_word, gram_bucket))
+    values = score_all(net.inputs(words.buckets, words.gram_word, words.gram_bucket))
     out = values[top(values)][held]
     net.scale, net.shift = calibrated(out, ys[held])
     return net
