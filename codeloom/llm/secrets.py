@@ -55,7 +55,7 @@ def entropy_windows(run, window, least):
     """Merged (start, end) of the windows with at least that Shannon entropy; counts are kept up as the window slides."""
     if len(run) < window:
         return []
-    part = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    part = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # one more, before the oldest leaves
     counts: dict[str, int] = {}
     total = 0.0
     spans: list[list[int]] = []
