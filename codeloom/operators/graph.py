@@ -107,7 +107,7 @@ def impact(edges, fqn, depth=3, per_level=25):
     its first per_level callers by name; the others count as met and aren't walked on either.
     """
     spark = edges.sparkSession
-    calls = edges.where(F.col("kind").isin(*CALL_KINDS) & (F.col("from_fqn") != "")).select("from_fqn", "to_fqn", "file", "line")
+    calls = edges.where(F.col("kind").isin(*CALL_KINDS) & (F.col("from_fqn") != "")).select("from_fqn", "to_fqn", "file", "line").persist()
     seen = frontier = checkpointed(spark.range(1).select(F.lit(fqn).alias("node")))
     levels, tests, cut = [], [], False
     for level in range(1, depth + 1):
@@ -124,6 +124,7 @@ def impact(edges, fqn, depth=3, per_level=25):
         frontier = checkpointed(kept)
         seen = seen.unionByName(new.select("node"))
         levels.append(frontier.select(F.lit(level).alias("depth"), F.col("node").alias("fqn"), F.col("at.file").alias("file"), F.col("at.line").alias("line")))
+    calls.unpersist()
     empty = spark.createDataFrame([], "depth int, fqn string, file string, line int")
     out = empty
     for part in levels:

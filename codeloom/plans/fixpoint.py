@@ -26,6 +26,7 @@ def closure(steps, start, cap=None, max_rounds=None):
     """
     seen = checkpointed(start.select("node", F.lit(None).cast("string").alias("kind"), F.lit(0).alias("depth")).distinct())
     frontier, depth, met = seen, 0, 0
+    steps = steps.persist()  # every round joins them; what a round finds is written down, so they can go in the end
     while (max_rounds is None or depth < max_rounds) and (cap is None or met < cap):
         depth += 1
         found = steps.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("kind").alias("kind"))
@@ -35,4 +36,5 @@ def closure(steps, start, cap=None, max_rounds=None):
             break
         met += n
         seen = seen.unionByName(frontier)
+    steps.unpersist()
     return seen.where("depth > 0")
