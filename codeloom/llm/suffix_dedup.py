@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import functions as F
 
 from .common import BASE, INVERSE, _BYTE_VALUES, mix, pieces, powers, table, tune, utf8
@@ -22,7 +23,7 @@ from .jaccard import _deal, _pack, _unpack
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM  # bytes before an anchor that its strings can hold
 #: Starts that are looked at together; anchors that a task holds before it hands on a run; bits of the filter.
-CHUNK, FLUSH, FILTER_BITS = 1 << 21, 1 << 18, 26
+CHUNK, FLUSH, FILTER_BITS = 1 << 20, 1 << 17, 28
 
 
 def anchors(data, first, last):
@@ -88,7 +89,7 @@ def _repeated(docs, parts):
             return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in dealt], pa.int32()), pa.array([_pack(keys[x:y]) for _, x, y in dealt], pa.binary())], names=["bucket", "keys"])
 
         for whole in batches:
-            for batch in pieces(whole, "__text"):
+            for batch in pieces(whole, "__text", CHUNK):
                 h = text_anchors(*utf8(batch.column(0)))[0]
                 held.append(h)
                 size += len(h)
@@ -246,7 +247,7 @@ def _runs(batches, parts, table_of_bits):
         return pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "run"])
 
     for whole in batches:
-        for batch in pieces(whole, "__text"):
+        for batch in pieces(whole, "__text", CHUNK):
             data, offsets = utf8(batch.column(2))
             h, place, low, high, own = text_anchors(data, offsets)
             bit = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
@@ -258,10 +259,11 @@ def _runs(batches, parts, table_of_bits):
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(_BYTE_VALUES[data] * powers(BASE, len(data)), out=sums[1:])
             context = mix((sums[high + LENGTH] - sums[low]) * powers(INVERSE, len(data) + 1)[low])
-            at = place[:, None] + np.arange(LENGTH)
-            right = np.where(at < offsets[own + 1][:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
-            at = place[:, None] - 1 - np.arange(SPAN)
-            left = np.where(at >= offsets[own][:, None], data[np.maximum(at, 0)], 0).astype(np.uint8)
+            padded = np.concatenate([np.zeros(SPAN, np.uint8), data, np.zeros(LENGTH, np.uint8)])
+            right = sliding_window_view(padded, LENGTH)[place + SPAN]
+            right[np.arange(LENGTH, dtype=np.int32) >= (offsets[own + 1] - place).clip(0, LENGTH).astype(np.int32)[:, None]] = 0
+            left = sliding_window_view(padded, SPAN)[place][:, ::-1].copy()
+            left[np.arange(SPAN, dtype=np.int32) >= (place - offsets[own]).clip(0, SPAN).astype(np.int32)[:, None]] = 0
             held.append((doc[own], th[own], h, place - offsets[own], place - high, place - low, context, left, right))
             size += len(h)
             if size >= FLUSH:
@@ -290,8 +292,8 @@ def _arrays(blob, *kinds):
     return out
 
 
-def _marks(batches):
-    """Merge the runs of a bucket; doc, th and byte spans of what starts earlier elsewhere."""
+def _marks(batches, parts):
+    """Merge the runs of a bucket; doc, th and byte spans of what starts earlier elsewhere, dealt by document."""
     runs, doc, th, rec, left, out = [], [], [], [], [], []
     base = docs = 0
     for batch in batches:
@@ -319,14 +321,22 @@ def _marks(batches):
         out.append(_judged(doc, th, rec, left, shared))
     if out:
         d, t, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        o = np.lexsort((a, t, d))
-        d, t, a, b = d[o], t[o], a[o], b[o]
+        bucket = _bucket(d, t, parts)
+        o = np.lexsort((a, t, d, bucket))
+        d, t, a, b, bucket = d[o], t[o], a[o], b[o], bucket[o]
         begin = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])]) if len(d) else np.zeros(0, np.int64)
-        end = np.r_[begin[1:], len(d)].astype(np.int64)
-        spans = [covered(a[x:y], b[x:y]) for x, y in zip(begin, end, strict=True)]
-        for i in range(0, len(begin), 4096):
-            k = slice(i, i + 4096)
-            yield pa.RecordBatch.from_arrays([pa.array(d[begin[k]]), pa.array(t[begin[k]]), pa.array([s[0].tobytes() for s in spans[k]], pa.binary()), pa.array([s[1].tobytes() for s in spans[k]], pa.binary())], names=["doc", "th", "a", "b"])
+        spans = [covered(a[x:y], b[x:y]) for x, y in zip(begin, np.r_[begin[1:], len(d)].astype(np.int64), strict=True)]
+        own = np.repeat(begin, [len(x) for x, _ in spans])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in spans)]) for k in (0, 1))
+        d, t, bucket = d[own], t[own], bucket[own]
+        dealt = _deal(bucket, parts)
+        blobs = [_blob(0, d[x:y], t[x:y], a[x:y], b[x:y]) for _, x, y in dealt]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in dealt], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "marks"])
+
+
+def _bucket(doc, th, parts):
+    """The bucket of a document."""
+    return (mix(mix(doc.view(np.uint64)) ^ th.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
 def covered(a, b):
@@ -367,11 +377,12 @@ def _judged(doc, th, rec, left, shared):
     return doc[i], th[i], low[i], high[i] + LENGTH
 
 
-def repeats(docs):
-    """doc, th and spans a, b (int64 bytes) of the bytes of each of docs(doc_id, text) that repeat an earlier 100-byte string.
+def removed(docs):
+    """doc_id, text and spans array<struct<start,end>> (maximal runs of bytes that repeat an earlier 100-byte string) of each row of docs(doc_id, text).
 
     Documents are ordered by doc_id, those without one last, those with equal ones by a hash of the text; rows that
-    repeat doc_id and text are one document. Matches never cross documents.
+    repeat doc_id and text are one document. Matches never cross documents. Null and empty texts, and texts under 100
+    bytes, lose nothing; an empty table stays empty; other columns are ignored.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -379,33 +390,40 @@ def repeats(docs):
     docs = _columns(docs)
     bits = spark.sparkContext.broadcast(_repeated(docs, parts))
     runs = docs.mapInArrow(lambda batches: _runs(batches, parts, bits), "bucket int, run binary")
-    marks = runs.repartitionById(parts, "bucket").mapInArrow(_marks, "doc long, th long, a binary, b binary")
-    return marks.groupBy("doc", "th").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    marks = runs.repartitionById(parts, "bucket").mapInArrow(lambda batches: _marks(batches, parts), "bucket int, marks binary")
 
+    def place(batches):
+        for batch in batches:
+            bucket = _bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy(), parts)
+            none = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), none, *(batch.column(i) for i in range(3))], names=["bucket", "marks", "doc", "th", "text"])
 
-def removed(docs):
-    """doc_id, text and spans array<struct<start,end>> (maximal runs of bytes to remove) of each row of docs(doc_id, text).
+    def cut(batches):
+        held, found = [], {}
+        for batch in batches:
+            marks = [_arrays(x, *[np.int64] * 4) for x in batch.column(1).to_pylist() if x is not None]
+            if marks:
+                held += marks
+            texts = batch.filter(batch.column(1).is_null())
+            if not texts.num_rows:
+                continue
+            if held:
+                d, t, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+                o = np.lexsort((a, t, d))
+                d, t, a, b = d[o], t[o], a[o], b[o]
+                begin = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
+                found = {(int(d[x]), int(t[x])): covered(a[x:y], b[x:y]) for x, y in zip(begin, np.r_[begin[1:], len(d)].astype(np.int64), strict=True)}
+            spans = [[{"start": int(x), "end": int(y)} for x, y in zip(*found.get(key, ((), ())), strict=True)] for key in zip(texts.column(2).to_pylist(), texts.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([texts.column(2), texts.column(4), pa.array(spans, kind)], names=["doc", "text", "spans"])
 
-    Null and empty texts, and texts under 100 bytes, lose nothing; an empty table stays empty; other columns are ignored.
-    """
-    marks = repeats(docs).withColumnsRenamed({"a": "__a", "b": "__b"})
-    rows = _columns(docs).withColumn("doc_id", F.when(F.col("doc") < (1 << 63) - 1, F.col("doc")))
-    rows = rows.join(marks.hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", "__text", "__a", "__b")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def run(batches):
-        for batch in batches:
-            spans = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if not a:
-                    spans.append([])
-                    continue
-                a, b = (np.frombuffer(b"".join(x), np.int64) for x in (a, b))
-                o = np.argsort(a, kind="stable")
-                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(*covered(a[o], b[o]), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], names=["doc_id", "text", "spans"])
-
-    return rows.mapInArrow(run, "doc_id long, text string, spans array<struct<start:long,end:long>>")
+    both = "bucket int, marks binary, doc long, th long, text string"
+    marks = marks.select("bucket", "marks", *[F.lit(None).cast(k).alias(n) for n, k in (("doc", "long"), ("th", "long"), ("text", "string"))])
+    rows = docs.mapInArrow(place, both).unionByName(marks).repartitionById(parts, "bucket")
+    rows = rows.sortWithinPartitions(F.col("marks").isNull())  # a bucket's marks come before its texts
+    out = rows.mapInArrow(cut, "doc long, text string, spans array<struct<start:long,end:long>>")
+    return out.select(F.when(F.col("doc") < (1 << 63) - 1, F.col("doc")).alias("doc_id"), "text", "spans")
 
 
 def op4_suffix_dedup(spark, sf_dir):
