@@ -7,8 +7,15 @@ import json
 from .extract.run import extract_file
 
 
+def _index(path, text):
+    index = extract_file(path, text)
+    if index is None:
+        raise ValueError(f"no parser for {path}")
+    return index
+
+
 def outline_json(path, text):
-    return json.dumps(extract_file(path, text), indent=2, ensure_ascii=False)
+    return json.dumps(_index(path, text), indent=2, ensure_ascii=False)
 
 
 def summary(doc):
@@ -22,7 +29,7 @@ def summary(doc):
 
 def outline_text(path, text):
     """Symbols with their hierarchy edges and the gist of their docs."""
-    index = extract_file(path, text)
+    index = _index(path, text)
     relations: dict = {}
     for e in index["edges"]:
         if e["kind"] in ("extends", "implements", "uses_trait"):

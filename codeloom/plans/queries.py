@@ -428,3 +428,78 @@ def k04(spark, d):
     edges = load(spark, d, "g_edges")
     fresh = edges.where("source = 'ast' AND kind = 'extends'").withColumn("source", F.lit("phpstan"))
     return lookup.source_counts(enrich.replace_source(edges.where("source <> 'ast'"), "phpstan", fresh))
+
+
+@query("m03_doc_summary_left", "SELECT doc_id, coalesce(list_filter(list_transform(string_split('/* ' || text || '*/', chr(10)), lambda l: trim(regexp_replace(trim(l, ' ' || chr(9) || chr(13)), '^[/*]+', ''), ' ' || chr(9) || chr(13))), lambda l: l <> '' AND NOT starts_with(l, '@'))[1], '') AS summary FROM documents")
+def m03(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", scalars.doc_summary(F.concat(F.lit("/* "), "text", F.lit("*/")), both_ends=False).alias("summary"))
+
+
+@query("m09_snippet", "SELECT doc_id, CASE WHEN len(t) > 200 THEN substr(t, 1, 200) || '…' ELSE t END AS snippet FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents)")
+def m09(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", scalars.snippet(F.col("text")).alias("snippet"))
+
+
+@query("m10_signature", "SELECT doc_id, CASE WHEN len(t) > 200 THEN substr(t, 1, 200) || '…' ELSE t END AS signature FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM documents)")
+def m10(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", scalars.signature(F.col("text")).alias("signature"))
+
+
+@query(
+    "l05_source_window",
+    """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x, CAST(len(string_split(text, chr(10))) AS INT) AS n FROM documents)
+    SELECT doc_id, CASE WHEN 3 <= n THEN array_to_string(list_slice(x, 3, least(n, 6)), chr(10)) || CASE WHEN n > 6 THEN chr(10) || '// … truncated at line 6 — call again with sourceOffset=5 …' ELSE '' END END AS source FROM l""",
+)
+def l05(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", scalars.source_window(F.col("text"), F.lit(2), F.size(F.split("text", "\n")), 1, 4).alias("source"))
+
+
+@query("a08_distinct_sources", with_views(" SELECT DISTINCT source FROM g_edges WHERE source <> 'ast'", "g_edges"))
+def a08(spark, d):
+    return load(spark, d, "g_edges").where("source <> 'ast'").select("source").distinct()
+
+
+@query("k05_meta_upsert", "SELECT 'k' || doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS value FROM documents")
+def k05(spark, d):
+    meta = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("k"), "doc_id").alias("key"), F.col("lang").alias("value"), "doc_id")
+    updates = meta.where("doc_id % 3 = 0").select("key", F.lit("new").alias("value"))
+    return incremental.upsert_meta(meta.select("key", "value"), updates)
+
+
+@query("g05_hierarchy_step", with_views(f" SELECT DISTINCT from_fqn AS src, to_fqn AS dst, kind FROM g_edges WHERE kind IN {_HIER}", "g_edges"))
+def g05(spark, d):
+    return graph.hierarchy_steps(load(spark, d, "g_edges"), True)
+
+
+@query("g12_resolve_name", "SELECT 'sup.Supplier_2' AS fqn")
+def g12(spark, d):
+    found = lookup.resolve(*load(spark, d, "g_symbols", "g_files"), "Supplier_2")
+    return spark.range(1).select(F.lit(found).alias("fqn"))
+
+
+@query("k03_delete_files", with_views(" SELECT row, fqn FROM g_symbols WHERE file_id NOT IN (SELECT file_id FROM g_files WHERE file_id % 10 = 9)", "g_symbols", "g_files"))
+def k03(spark, d):
+    symbols, files = load(spark, d, "g_symbols", "g_files")
+    return symbols.join(files.where("file_id % 10 = 9").select("file_id"), "file_id", "left_anti").select("row", "fqn")
+
+
+@query("f15_proper_edges", with_views(" SELECT source, count(*) AS n FROM g_edges WHERE to_fqn <> '' AND to_fqn <> from_fqn GROUP BY source", "g_edges"))
+def f15(spark, d):
+    edges = load(spark, d, "g_edges")
+    return edges.where(predicates.proper_edge(F.col("from_fqn"), F.col("to_fqn"))).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("a11_extraction_dedupe", with_views(" SELECT file, from_fqn, kind, to_fqn, resolved, min(line) AS line FROM g_edges WHERE source = 'ast' GROUP BY ALL", "g_edges"))
+def a11(spark, d):
+    edges = load(spark, d, "g_edges").where("source = 'ast'")
+    return edges.groupBy("file", "from_fqn", "kind", "to_fqn", "resolved").agg(F.min("line").alias("line"))
+
+
+@query("j10_outline_relations", with_views(f" SELECT s.fqn AS fqn, coalesce(string_agg(e.kind || ' ' || e.to_fqn, ', ' ORDER BY e.kind || ' ' || e.to_fqn), '') AS relations FROM g_symbols s LEFT JOIN (SELECT DISTINCT from_fqn, kind, to_fqn FROM g_edges WHERE kind IN {_HIER}) e ON e.from_fqn = s.fqn WHERE s.kind = 'class' GROUP BY s.fqn", "g_symbols", "g_edges"))
+def j10(spark, d):
+    symbols, edges = load(spark, d, "g_symbols", "g_edges")
+    relations = graph.hierarchy_steps(edges, True).groupBy("src").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "kind", "dst"))), ", ").alias("relations"))
+    classes = symbols.where("kind = 'class'").select("fqn").distinct()
+    return classes.join(relations, F.col("fqn") == F.col("src"), "left").select("fqn", F.coalesce("relations", F.lit("")).alias("relations"))

@@ -195,3 +195,17 @@ def test_in_spark(spark):
     assert symbols.where("name = 'Load'").first()["words"] == "load"
     assert {r["kind"] for r in own.join(index.where("vendor").selectExpr("xxhash64(path) AS file_id"), "file_id").collect()} == {"extends", "implements", "uses_trait"}
     assert imports.count() == 6
+
+
+def test_outline():
+    import json
+
+    import pytest
+
+    from codeloom.outline import outline_json, outline_text
+
+    text = outline_text("internal/svc/a.go", GO)
+    assert "class Store" in text and "extends internal/svc.Base" in text and "Store keeps rows." in text
+    assert json.loads(outline_json("a.php", PHP))["lang"] == "php"
+    with pytest.raises(ValueError):
+        outline_text("a.txt", "")
