@@ -248,7 +248,7 @@ def fit(rows, epochs=12, seed=7):
     balance = np.where(ys == 1, 0.5 / max(ys[train].mean(), 1e-3), 0.5 / max(1 - ys[train].mean(), 1e-3)).astype(F32)
     epochs = max(epochs, -(-LEAST_STEPS * 128 // max(1, len(train))))
     for epoch in range(epochs):
-        if epoch >= 4 and epoch % 3 == 1:
+        if epoch in {epochs * k // 5 for k in (2, 3, 4)}:
             best = top(score_all(net.inputs(words.buckets, words.gram_word, words.gram_bucket)))
         extra = begin[train] + (rng.random(len(train)) * np.diff(np.r_[begin, len(own)])[train]).astype(np.int64)
         chosen = np.concatenate([best[train], extra[ys[train] == 0]])
