@@ -13,7 +13,7 @@ K = 20
 #: Projections, collisions that make a candidate (a share of them), first window width and its growth.
 PROJECTIONS, THRESHOLD, WIDTH, GROWTH = 48, 0.6, 0.05, 1.2
 #: Candidates of a block that are verified at least: a share of its rows and a count.
-SHARE, LEAST = 0.12, 128
+SHARE, LEAST = 0.16, 128
 BLOCK_ROWS = 1 << 15
 
 
