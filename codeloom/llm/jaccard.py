@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import forget, lower_ascii, mix, pieces, scratch, table, tune, utf8, window_hashes, word_hashes, word_spans
@@ -22,6 +23,8 @@ SHINGLE = 5
 NUMER, DENOM = 4, 5
 #: N-grams counted before a task hands on what it has; and frequent n-grams that are broadcast at most.
 FLUSH, HOT_KEYS, LEAST_HOT = 1 << 21, 1 << 20, 16
+#: Prefix entries that a task packs at once.
+PACK = 1 << 19
 BITMAP_BITS = 24
 #: Turns in which a class is compared with a few others, before all pairs that are left; and how many.
 TURNS, PIVOTS = 3, 4
@@ -193,7 +196,7 @@ def _shared(docs, parts, hot, key_bits):
                 rows["doc"].append(doc.astype(np.uint32).tobytes())
                 rows["sig"].append(names.tobytes())
                 rows["n"].append(n[x:y][at].astype(np.uint32).tobytes())
-                rows["pos"].append(np.minimum(pos[x:y], 65535).astype(np.uint16).tobytes())
+                rows["pos"].append(pos[x:y].astype(np.uint32).tobytes())
                 rows["cold"].append(np.packbits(cold[x:y]).tobytes())
             return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32())] + [pa.array(rows[k], pa.binary()) for k in list(rows)[1:]], names=list(rows))
 
@@ -213,7 +216,7 @@ def _shared(docs, parts, hot, key_bits):
                 first = order(own, flag)[:p]
                 held.append((first, np.full(p, sig[i]), np.full(p, len(own)), np.arange(p), np.arange(p) < cold))
                 size += p
-            if size >= FLUSH:
+            if size >= PACK:
                 yield flush()
                 held, size = [], 0
         if size:
@@ -223,7 +226,7 @@ def _shared(docs, parts, hot, key_bits):
         held = []
         for batch in batches:
             for h, doc, sig, n, pos, cold in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
-                h, doc, pos = np.frombuffer(h, np.uint64), np.frombuffer(doc, np.uint32), np.frombuffer(pos, np.uint16)
+                h, doc, pos = np.frombuffer(h, np.uint64), np.frombuffer(doc, np.uint32), np.frombuffer(pos, np.uint32)
                 sig, n = np.frombuffer(sig, np.uint64)[doc], np.frombuffer(n, np.uint32)[doc]
                 cold = np.unpackbits(np.frombuffer(cold, np.uint8), count=len(h)).astype(bool)
                 if not cold.all():
@@ -264,6 +267,9 @@ NEAR = f"{NUMER} * greatest(x.n, y.n) <= {DENOM} * least(x.n, y.n)"
 #: Of a pair with c common prefix n-grams: enough of them for the rest to reach the bound.
 ENOUGH = f"c + greatest(nx - {_prefix('nx')}, ny - {_prefix('ny')}) >= {_bound('nx', 'ny')}"
 
+#: Prefix n-grams that a pair of these sizes has in common at least if it links: the rest of neither set can make up for fewer.
+LEAST_COMMON = f"greatest({_bound('x.n', 'y.n')} - greatest(x.n - {_prefix('x.n')}, y.n - {_prefix('y.n')}), 1)"
+
 
 def _stars(named, pivots_each, turn):
     """For each class up to pivots_each pairs (a, b, lower, upper): with the classes it shares most prefix n-grams with, among a few of each
@@ -292,7 +298,7 @@ def _jumped(spark, parents):
 
 def _rooted(entries, roots):
     """Prefix entries with the component of their class."""
-    return entries.join(roots, entries["sig"] == roots["node"], "left").select("h", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    return entries.join(roots, entries["sig"] == roots["node"], "left").select("h", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
 
 
 def _mixed(spark, named):
@@ -302,11 +308,16 @@ def _mixed(spark, named):
 
 
 def _crossing(named):
-    """Pairs of classes in different components that can still link: all prefix n-grams they share, counted."""
-    x, y = named.alias("x"), named.alias("y")
-    pairs = x.join(y, F.expr(f"x.h = y.h AND x.sig < y.sig AND x.root <> y.root AND {NEAR}"))
-    pairs = pairs.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"), F.first("x.root").alias("lower"), F.first("y.root").alias("upper"))
-    return pairs.where(ENOUGH).select("a", "b", "lower", "upper")
+    """Pairs of classes in different components that can still link, from the n-grams that different components share.
+
+    A pair needs at least LEAST_COMMON of them. So of x's m shared n-grams, in the one order, one of the first m - LEAST_COMMON + 1
+    is common, and of y's likewise: a pair is met at those few only, and not at each n-gram it shares.
+    """
+    own = Window.partitionBy("sig")
+    ranked = named.withColumns({"r": F.row_number().over(own.orderBy("pos", "h")), "m": F.count("*").over(own)})
+    x, y = ranked.alias("x"), ranked.alias("y")
+    meet = f"x.h = y.h AND x.sig < y.sig AND x.root <> y.root AND {NEAR} AND x.r <= x.m - {LEAST_COMMON} + 1 AND y.r <= y.m - {LEAST_COMMON} + 1"
+    return x.join(y, F.expr(meet)).groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.first("x.root").alias("lower"), F.first("y.root").alias("upper"))
 
 
 def _linked(docs, meta, pairs):
