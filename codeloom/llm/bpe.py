@@ -8,10 +8,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from .common import pieces, table, tune
+from .common import _kept, pieces, table, tune, turn_to
 
 #: Pieces kept ready-made (twice as many: those of the last filling stay until the next), and transducer states kept; beyond, the tables are dropped and grow anew.
-CACHE_PIECES = 1 << 19
+CACHE_PIECES = 1 << 18
 CACHE_STATES = 1 << 17
 #: Pairs of tokens that are remembered; and what stands for no token.
 CACHE_PAIRS, NONE = 1 << 20, (1 << 31) - 1
@@ -269,6 +269,7 @@ class Codec:
 
 
 _codecs: dict = {}
+_kept.append(_codecs)
 
 
 def codec(path, pattern):
@@ -293,6 +294,7 @@ def encode(docs, keep=("doc_id",), vocabulary=None, text="text"):
     schema = ", ".join([f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["ids array<int>"])
 
     def run(batches):
+        turn_to("bpe")
         own = codec(path, pattern)
         for batch in batches:
             ids = [[int(x) for x in own.encode_text(t).split()] if t else [] for t in batch.column(len(keep)).to_pylist()]
@@ -307,6 +309,7 @@ def decode(tokens, keep=("doc_id",), vocabulary=None):
     schema = ", ".join([f"`{tokens.schema[c].name}` {tokens.schema[c].dataType.simpleString()}" for c in keep] + ["text string"])
 
     def run(batches):
+        turn_to("bpe")
         own = codec(path, pattern)
         for batch in batches:
             texts = [own.decode_text(" ".join(map(str, x or ()))) for x in batch.column(len(keep)).to_pylist()]
@@ -325,6 +328,7 @@ def round_trip(docs, keep=("doc_id",), vocabulary=None):
     schema = ", ".join([f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [DIGEST])
 
     def run(batches):
+        turn_to("bpe")
         own = codec(path, pattern)
         for batch in batches:
             counts, ids_sha, decoded_sha = [], [], []
@@ -350,6 +354,7 @@ def tokenized(docs, keep=("doc_id",), vocabulary=None):
     schema = ", ".join([f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens long, tokens array<int>, decoded_sha256 string"])
 
     def run(batches):
+        turn_to("bpe")
         own = codec(path, pattern)
         for whole in batches:
             for batch in pieces(whole, "__text"):

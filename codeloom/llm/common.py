@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -51,9 +54,20 @@ def forget(spark, *paths):
             path.getFileSystem(conf).delete(path, True)
 
 
-def string_column(batch, name):
-    """A column as a list of str; nulls are None."""
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+#: What a Python worker keeps between tasks, to be cleared when it turns to another operator.
+_kept: list = []
+_owner = [""]
+
+
+def turn_to(operator):
+    """Called by each operator's tasks: a reused worker lets go of what it kept for another operator."""
+    if _owner[0] != operator:
+        _owner[0] = operator
+        for tables in _kept:
+            tables.clear()
+        gc.collect()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)  # freed memory goes back to the system
 
 
 def utf8(column):
@@ -92,6 +106,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 WORD_INVERSE = pow(WORD_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+_kept.append(_powers)
 
 
 def powers(base, n):

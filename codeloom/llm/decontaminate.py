@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, pieces, scratch, table, tune, utf8, window_hashes, word_hashes, word_spans
+from .common import lower_ascii, pieces, scratch, table, tune, turn_to, utf8, window_hashes, word_hashes, word_spans
 
 WINDOW = 13
 #: Benchmark text that one broadcast holds at most, in bytes of its longest reading (lower-cased words and 20 bytes a window).
@@ -135,6 +135,7 @@ def scan(docs, benchmark, keep=("doc_id",), window=WINDOW, slice_bytes=SLICE_BYT
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
         def run(batches, shared=shared, first=first, last=last):
+            turn_to("decontaminate")
             grams = shared.value
             mask = grams.mask()
             for whole in batches:

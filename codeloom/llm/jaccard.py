@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import forget, lower_ascii, mix, pieces, scratch, table, tune, utf8, window_hashes, word_hashes, word_spans
+from .common import forget, lower_ascii, mix, pieces, scratch, table, tune, turn_to, utf8, window_hashes, word_hashes, word_spans
 from .graph import components
 
 SHINGLE = 5
@@ -65,6 +65,7 @@ def prefix_size(n):
 
 
 def _text_batches(batches, at):
+    turn_to("jaccard")
     for whole in batches:
         yield from pieces(whole, whole.schema.names[at])
 
@@ -273,9 +274,14 @@ LEAST_COMMON = f"greatest({_bound('x.n', 'y.n')} - greatest(x.n - {_prefix('x.n'
 
 def _stars(named, pivots_each, turn):
     """For each class up to pivots_each pairs (a, b, lower, upper): with the classes it shares most prefix n-grams with, among a few of each
-    n-gram's least component; lower and upper are the components of a and b. Turns take different ones."""
-    pick = [F.min(F.struct("root", F.xxhash64("sig", F.lit(turn * 16 + k)).alias("k"), "sig", "n")).alias(f"p{k}") for k in range(pivots_each)]
-    pivots = named.groupBy("h").agg(*pick, F.max("root").alias("last")).where("p0.root <> last").select("h", F.array_distinct(F.array(*[F.struct(F.col(f"p{k}.sig").alias("a"), F.col(f"p{k}.n").alias("nx"), F.col(f"p{k}.root").alias("lower")) for k in range(pivots_each)])).alias("p"))
+    n-gram's least component; lower and upper are the components of a and b. Turns take different ones, of those that share the most:
+    what few edits set apart links to those that have none. In the first turn components are classes, in the order of what they share."""
+    shares = (-F.col("m")).alias("s")
+    if turn:
+        pick = [F.min(F.struct("root", shares, F.xxhash64("sig", F.lit(turn * 16 + k)).alias("k"), "sig", "n")).alias(f"p{k}") for k in range(pivots_each)]
+    else:
+        pick = [F.min(F.struct(shares, "sig", "n", "root")).alias("p0")]
+    pivots = named.groupBy("h").agg(*pick, F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("h", F.array_distinct(F.array(*[F.struct(F.col(f"p{k}.sig").alias("a"), F.col(f"p{k}.n").alias("nx"), F.col(f"p{k}.root").alias("lower")) for k in range(pivots_each)])).alias("p"))
     pairs = named.join(pivots, "h").where("root <> p[0].lower").select("sig", "n", "root", F.explode("p").alias("p")).select("sig", "n", "root", "p.*")
     pairs = pairs.where(f"{NUMER} * greatest(n, nx) <= {DENOM} * least(n, nx)")
     pairs = pairs.groupBy("a", F.col("sig").alias("b")).agg(F.count("*").alias("c"), F.first("nx").alias("nx"), F.first("n").alias("ny"), F.first("lower").alias("lower"), F.first("root").alias("upper")).where(ENOUGH)
@@ -298,7 +304,7 @@ def _jumped(spark, parents):
 
 def _rooted(entries, roots):
     """Prefix entries with the component of their class."""
-    return entries.join(roots, entries["sig"] == roots["node"], "left").select("h", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
+    return entries.join(roots, entries["sig"] == roots["node"], "left").select("h", "sig", "n", "pos", "m", F.coalesce("root", "sig").alias("root"))
 
 
 def _mixed(spark, named):
@@ -314,7 +320,7 @@ def _crossing(named):
     is common, and of y's likewise: a pair is met at those few only, and not at each n-gram it shares.
     """
     own = Window.partitionBy("sig")
-    ranked = named.withColumns({"r": F.row_number().over(own.orderBy("pos", "h")), "m": F.count("*").over(own)})
+    ranked = named.drop("m").withColumns({"r": F.row_number().over(own.orderBy("pos", "h")), "m": F.count("*").over(own)})
     x, y = ranked.alias("x"), ranked.alias("y")
     meet = f"x.h = y.h AND x.sig < y.sig AND x.root <> y.root AND {NEAR} AND x.r <= x.m - {LEAST_COMMON} + 1 AND y.r <= y.m - {LEAST_COMMON} + 1"
     return x.join(y, F.expr(meet)).groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.first("x.root").alias("lower"), F.first("y.root").alias("upper"))
@@ -388,7 +394,8 @@ def near_duplicates(docs):
     meta = scratch(spark, _meta(docs), "sets-meta")
     total = meta.agg(F.sum("n")).first()[0] or 0
     key_bits = min(60, max(32, int(total).bit_length() + 4))
-    entries = scratch(spark, _shared(docs, parts, _frequent(docs, parts, key_bits), key_bits).dropDuplicates(["h", "sig"]), "entries")
+    entries = _shared(docs, parts, _frequent(docs, parts, key_bits), key_bits).dropDuplicates(["h", "sig"])
+    entries = scratch(spark, entries.withColumn("m", F.count("*").over(Window.partitionBy("sig"))), "entries")
     roots = spark.createDataFrame([], "node long, root long")
     for turn in range(TURNS):
         named = _mixed(spark, _rooted(entries, roots))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import pieces, table, tune, utf8, word_hashes, word_spans
+from .common import pieces, table, tune, turn_to, utf8, word_hashes, word_spans
 from .labels import fold, sample
 
 #: Rows of each class that are fitted at most, and bytes of the longest of them.
@@ -251,6 +251,7 @@ def score(docs, model, keep=("doc_id",)):
     schema = ", ".join([f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
 
     def run(batches):
+        turn_to("quality")
         for whole in batches:
             for batch in pieces(whole, "__text"):
                 scores = shared.value.score(features(batch.column(len(keep))))
