@@ -59,15 +59,20 @@ _kept: list = []
 _owner = [""]
 
 
+def trim():
+    """Freed memory goes back to the system."""
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def turn_to(operator):
     """Called by each operator's tasks: a reused worker lets go of what it kept for another operator."""
     if _owner[0] != operator:
         _owner[0] = operator
         for tables in _kept:
             tables.clear()
-        gc.collect()
-        with contextlib.suppress(AttributeError, OSError):
-            ctypes.CDLL(None).malloc_trim(0)  # freed memory goes back to the system
+        trim()
 
 
 def utf8(column):

@@ -6,12 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import INVERSE, BASE, _BYTE_VALUES, lower_ascii, mix, pieces, powers, table, tune, turn_to, utf8, word_hashes, word_spans
+from .common import INVERSE, BASE, _BYTE_VALUES, lower_ascii, mix, pieces, powers, table, trim, tune, turn_to, utf8, word_hashes, word_spans
 from .labels import fold, sample
 
 #: Rows of each class that are fitted at most, and bytes of the longest of them.
-ROWS_PER_CLASS = 1500
-TRAIN_BYTES = 20_000
+ROWS_PER_CLASS = 1000
+TRAIN_BYTES = 12_000
 WINDOW, STRIDE = 32, 24
 HIDDEN, DIM = 8, 8
 BUCKET_BITS = 16
@@ -340,7 +340,9 @@ def score(docs, net, keep=("doc_id",)):
 
 
 def train(docs, labels, rows_per_class=ROWS_PER_CLASS):
-    return fit(sample(docs, labels, "toxic", fold(3) != 1, rows_per_class, TRAIN_BYTES))
+    net = fit(sample(docs, labels, "toxic", fold(3) != 1, rows_per_class, TRAIN_BYTES))
+    trim()
+    return net
 
 
 def op9_toxicity(spark, sf_dir):
