@@ -352,7 +352,7 @@ def _linked(docs, meta, pairs):
             raw = (h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
             yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([raw[o[i] : o[i + 1]].tobytes() for i in range(len(sig))], pa.binary())], names=["sig", "s"])
 
-    sets = docs.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).alias("bit"), F.col("text").alias("__text")).mapInArrow(read, "sig long, s binary")
+    sets = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).alias("bit"), F.col("text").alias("__text")).mapInArrow(read, "sig long, s binary")
     sets = sets.join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
     sets = scratch(spark, sets, "sets")
 

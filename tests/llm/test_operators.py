@@ -381,6 +381,8 @@ def test_jaccard_edges(spark):
     t = "a b c d e f g h i j k l"
     rows = jaccard.near_duplicates(frame(spark, [(4, t), (4, t), (None, t), (None, "x y z"), (9, None)])).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in rows) == [(-1, -1), (-1, 4), (4, 4), (4, 4), (9, 9)]
+    near = jaccard.near_duplicates(frame(spark, [(7, " ".join(f"w{i}" for i in range(80))), (None, " ".join(f"w{i}" for i in range(82)))])).collect()
+    assert {r["component_id"] for r in near} == {7}
     kept = jaccard.one_of_each(frame(spark, [(4, t), (4, t), (None, t), (None, "x y z"), (9, None)])).collect()
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept if r["text"]) == [(-1, "x y z"), (4, t)] and len(kept) == 3
 
