@@ -11,7 +11,7 @@ import pyarrow as pa
 from .common import _kept, pieces, table, tune, turn_to
 
 #: Pieces kept ready-made (twice as many: those of the last filling stay until the next), and transducer states kept; beyond, the tables are dropped and grow anew.
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 1 << 19
 CACHE_STATES = 1 << 17
 #: Pairs of tokens that are remembered; and what stands for no token.
 CACHE_PAIRS, NONE = 1 << 20, (1 << 31) - 1
@@ -230,7 +230,7 @@ class Utf8Stream:
 class Codec:
     """Whole texts to ids and back."""
 
-    def __init__(self, path, pattern):
+    def __init__(self, path, pattern, ready=CACHE_PIECES):
         import regex
 
         self.split = regex.compile(pattern).findall
@@ -244,7 +244,7 @@ class Codec:
                 if ids is None:
                     ids = " ".join(map(str, machine.encode(piece.encode())))
                 if len(piece) <= 64:
-                    if len(self) >= CACHE_PIECES:
+                    if len(self) >= ready:
                         old.clear()
                         old.update(self)
                         self.clear()
@@ -272,11 +272,12 @@ _codecs: dict = {}
 _kept.append(_codecs)
 
 
-def codec(path, pattern):
-    """One codec for each worker process and vocabulary."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+def codec(path, pattern, ready=CACHE_PIECES):
+    """One codec for each worker process and vocabulary, with so many pieces ready-made."""
+    if (path, pattern, ready) not in _codecs:
+        _codecs.clear()
+        _codecs[path, pattern, ready] = Codec(path, pattern, ready)
+    return _codecs[path, pattern, ready]
 
 
 def default_vocabulary():
@@ -347,15 +348,18 @@ def round_trip(docs, keep=("doc_id",), vocabulary=None):
     return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
 
 
-def tokenized(docs, keep=("doc_id",), vocabulary=None):
-    """docs with n_tokens, tokens array<int> and decoded_sha256: the digest of the text that the ids decode to in a stream."""
+def tokenized(docs, keep=("doc_id",), vocabulary=None, ready=1 << 17):
+    """docs with n_tokens, tokens array<int> and decoded_sha256: the digest of the text that the ids decode to in a stream.
+
+    Fewer pieces are kept ready-made than for round_trip(): after other stages an executor's heap has grown.
+    """
     tune(docs.sparkSession)
     path, pattern = vocabulary or default_vocabulary()
     schema = ", ".join([f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens long, tokens array<int>, decoded_sha256 string"])
 
     def run(batches):
         turn_to("bpe")
-        own = codec(path, pattern)
+        own = codec(path, pattern, ready)
         for whole in batches:
             for batch in pieces(whole, "__text"):
                 tokens, decoded = [], []
