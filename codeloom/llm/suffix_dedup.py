@@ -221,11 +221,12 @@ def _runs(batches, parts, table_of_bits):
         doc, th, h, place, near, far, context, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((place, th, doc))
         # strings around equal anchors that are equal as a whole: the first goes on, the others repeat it
-        _, first = np.unique(np.stack([context[order], near[order].astype(np.uint64) << np.uint64(8) | far[order].astype(np.uint64)]), axis=1, return_index=True) if len(order) else (None, order)
+        _, first, at = np.unique(np.stack([context[order], near[order].astype(np.uint64) << np.uint64(8) | far[order].astype(np.uint64)]), axis=1, return_index=True, return_inverse=True) if len(order) else (None, order, order)
         kept = np.zeros(len(order), bool)
         kept[first] = True
         out_bucket, blobs = [], []
-        again = order[~kept]
+        # a row that repeats doc_id and text brings the first's own place once more: that repeats nothing
+        again = order[~kept & ~_same(order, order[first][at.ravel()], doc, th, place)]
         if len(again):
             own = np.stack([doc[again], th[again]], axis=1)
             names, at = np.unique(own, axis=0, return_inverse=True)
@@ -348,6 +349,11 @@ def covered(a, b):
     return a[first], reach[np.r_[first[1:], len(a)] - 1]
 
 
+def _same(i, j, doc, th, place):
+    """Whether the records i and j are of the same place of the same document."""
+    return (doc[i] == doc[j]) & (th[i] == th[j]) & (place[i] == place[j])
+
+
 def _judged(doc, th, rec, left, shared):
     """Spans of starts whose string also starts earlier, for anchors in suffix order with the prefix each shares with the one before."""
     n = len(doc)
@@ -367,10 +373,8 @@ def _judged(doc, th, rec, left, shared):
         group = np.cumsum(shared < LENGTH - o).astype(np.uint64)
         i = by_rank[own[by_rank]]
         key = mix(group[i] * np.uint64(0x9E3779B97F4A7C15) ^ before[i])
-        _, first = np.unique(key, return_index=True)
-        again = np.ones(len(i), bool)
-        again[first] = False
-        i = i[again]
+        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        i = i[~_same(i, i[first][at.ravel()], doc, th, place)]
         low[i] = np.minimum(low[i], place[i] - o)
         high[i] = np.maximum(high[i], place[i] - o)
     i = np.flatnonzero(high >= 0)

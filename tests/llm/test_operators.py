@@ -193,6 +193,17 @@ def test_suffix_dedup(spark, tmp_path):
     assert {x["doc_id"]: [tuple(s) for s in x["spans"]] for x in twice} == {1: [(1, 150)], None: [(0, 150)]}
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_suffix_dedup_of_equal_rows(spark, parts):
+    r = random.Random(4)
+    once, twice = ("".join(r.choice("abcdefgh") for _ in range(n)) for n in (300, 150))
+    rows = [(1, once), (1, once), (2, twice + once[:120] + twice), (2, twice + once[:120] + twice), (None, "q" * 150), (None, "q" * 150), (None, once), (None, once)]
+    got = suffix_dedup.removed(frame(spark, rows, parts)).collect()
+    want = {(1, once): [], (2, rows[2][1]): [(150, 420)], (None, "q" * 150): [(1, 150)], (None, once): [(0, 300)]}
+    assert len(got) == len(rows)
+    assert all([tuple(s) for s in x["spans"]] == want[x["doc_id"], x["text"]] for x in got)
+
+
 def test_anchor_chunks(monkeypatch):
     r = random.Random(8)
     data = np.frombuffer("".join(r.choice("abcd") for _ in range(5000)).encode(), np.uint8)
