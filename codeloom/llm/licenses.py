@@ -1,4 +1,8 @@
-"""License scans: a sparse word n-gram logistic regression over paragraphs, run by DataFrame functions only."""
+"""License scans: a sparse word n-gram logistic regression over paragraphs, run by DataFrame functions only.
+
+A paragraph is a window of up to LINES lines that follow each other without a blank line between them, so a notice
+is met whole whether it is wrapped or not. Of windows that overlap, the one that shares most n-grams with a template stays.
+"""
 
 from __future__ import annotations
 
@@ -14,17 +18,17 @@ from .common import table
 
 #: Short texts by licence family, fixed values: notices that name a licence, and sentences of its text.
 TEMPLATES = {
-    "agpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "This work is licensed under the AGPL license version 3."),
-    "apache": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, without warranties or conditions of any kind", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License."),
-    "bsd": ("Released under the BSD License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    "agpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "This work is licensed under the AGPL license version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.", "You should have received a copy of the GNU Affero General Public License along with this program.", "Distributed under the AGPL."),
+    "apache": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, without warranties or conditions of any kind", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License.", "Distributed under Apache 2.0."),
+    "bsd": ("Released under the BSD License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD 3-Clause License.", "Distributed under the BSD terms."),
     "cc-by": ("This work is licensed under the Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "Licensed under CC BY 3.0."),
     "cc-by-nc": ("This work is licensed under the Creative Commons Attribution NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC 3.0."),
     "cc-by-sa": ("This work is licensed under the Creative Commons Attribution ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "Text is available under the Creative Commons Attribution-ShareAlike License"),
     "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0 Universal, no rights reserved, license of the public domain.", "SPDX-License-Identifier: CC0-1.0"),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "You should have received a copy of the GNU General Public License along with this program.", "SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under the GPL license, version 2."),
+    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "You should have received a copy of the GNU General Public License along with this program.", "SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under the GPL license, version 2.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", "Distributed under the GPL."),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"),
-    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1", "Licensed under the LGPL license version 3."),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT"),
+    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1", "Licensed under the LGPL license version 3.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.", "You should have received a copy of the GNU Lesser General Public License along with this library.", "Distributed under the LGPL."),
+    "mit": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT", "Distributed under the MIT terms."),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "proprietary": ("All rights reserved.", "Copyright, all rights reserved.", "This document is proprietary and confidential; no license is granted and unauthorized copying is prohibited, copyright of the owner."),
     "unlicense": ("This is free and unencumbered software released into the public domain.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"),
@@ -37,12 +41,15 @@ OTHER = (
     "The warranty covers parts for two years.", "They reserved all the seats.", "Permission to enter is given by the guard.", "The public library has a new general reading room.", "We redistribute food to the poor in the city.", "The rights of all are reserved in the old law of the land.",
     "It was released under the old name in the spring.", "He works under the terms of a new contract.", "A license is needed to sell this in the market.", "The apache helicopter landed.", "Students at mit read about the gnu in the wild.",
 )
-#: A paragraph without any of these words has no n-gram in the vocabulary: every entry holds one.
-CUES = ("licen", "copyright", "spdx", "warrant", "redistribut", "permission", "unencumbered", "unlicense", "reserved", "proprietary", "waived", "mozilla")
-CUE_PATTERN = "(?i)(" + "|".join(CUES) + ")"
+#: Words that tell nothing alone: n-grams of these only are not in the vocabulary.
+COMMON = set("a above all along an and any are as at author be being but by can copies copy except extent file following for forms free from general granted have in is it law may met must names no nor not obtaining of on or person program promote provided public purpose related retain right see shall should software source subject terms text that the their this to under use version will with without work you".split())
+#: Words of the templates that are frequent elsewhere: a paragraph is picked by them only if a template leaves no other choice.
+FREQUENT = COMMON | set("1.0 agreed associated available binary charge code conditions contributors distributed fee fitness into modification modify notice received released rights".split())
 WORD_PATTERN = r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 #: Longest n-gram; least calibrated probability; least share of a template's n-grams that confirms it.
 LONGEST, LEAST_PROBABILITY, LEAST_COVER = 4, 0.6, 0.6
+#: Most lines of a window; a line of more characters than WRAPPED is no part of a wrapped paragraph and stands alone.
+LINES, WRAPPED = 6, 160
 
 
 def ngrams(text):
@@ -50,8 +57,26 @@ def ngrams(text):
     return {" ".join(words[i : i + n]) for n in range(1, LONGEST + 1) for i in range(len(words) - n + 1)}
 
 
-def has_cue(gram):
-    return any(c in gram for c in CUES)
+def telling(gram):
+    return not all(w in COMMON for w in gram.split())
+
+
+@functools.cache
+def keys():
+    """Words of which each template needs one: without them less than LEAST_COVER of its n-grams are left, so no text lacking all is confirmed."""
+    found: set = set()
+    for texts in TEMPLATES.values():
+        for text in texts:
+            grams = {g for g in ngrams(text) if telling(g)}
+            while sum(not found & set(g.split()) for g in grams) >= LEAST_COVER * len(grams):
+                left = [g.split() for g in grams if not found & set(g.split())]
+                found.add(max(sorted({w for g in left for w in g}), key=lambda w: (w not in FREQUENT, sum(w in g for g in left))))
+    return sorted(found)
+
+
+@functools.cache
+def key_pattern():
+    return "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, keys())) + ")(?![a-z0-9])"
 
 
 @functools.cache
@@ -76,11 +101,11 @@ def model(seed=3, copies=30, steps=400):
         rng.shuffle(own)
         rows.append((" ".join(own), UNKNOWN))
     rng.shuffle(rows)
-    templates = [(name, {g for g in ngrams(t) if has_cue(g)}) for name in FAMILIES[:-1] for t in TEMPLATES[name]]
+    templates = [(name, {g for g in ngrams(t) if telling(g)}) for name in FAMILIES[:-1] for t in TEMPLATES[name]]
     seen: dict = {}
     for text, _ in rows:
         for g in ngrams(text):
-            if has_cue(g):
+            if telling(g):
                 seen[g] = seen.get(g, 0) + 1
     kept = {g for g, n in seen.items() if n >= 5} | {g for _, t in templates for g in t}
     vocabulary = {g: i for i, g in enumerate(sorted(kept))}
@@ -107,8 +132,8 @@ def model(seed=3, copies=30, steps=400):
     return vocabulary, w / heat, b / heat, templates
 
 
-def predict(text):
-    """(family, probability, cover) of one paragraph, or None, by plain Python; what scan() does."""
+def judge(text):
+    """(family, probability, cover, n-grams shared with the template) of one window, or None, by plain Python; what scan() does."""
     vocabulary, w, b, templates = model()
     own = {g for g in ngrams(text) if g in vocabulary}
     if not own:
@@ -116,9 +141,15 @@ def predict(text):
     z = b + sum(w[vocabulary[g]] for g in sorted(own)) / np.sqrt(len(own))
     e = np.exp(z - z.max())
     best = int(np.argmax(e))
-    cover = max((len(own & t) / len(t) for name, t in templates if name == FAMILIES[best] and t), default=0.0)
+    met = [(len(own & t), len(t)) for name, t in templates if name == FAMILIES[best] and len(own & t) >= LEAST_COVER * len(t)]
     p = e[best] / e.sum()
-    return (FAMILIES[best], float(p), cover) if FAMILIES[best] != UNKNOWN and p >= LEAST_PROBABILITY and cover >= LEAST_COVER else None
+    return (FAMILIES[best], float(p), max(n / m for n, m in met), max(n for n, _ in met)) if met and p >= LEAST_PROBABILITY else None
+
+
+def predict(text):
+    """(family, probability, cover) of one paragraph, or None."""
+    found = judge(text)
+    return found and found[:3]
 
 
 def _weights(spark):
@@ -128,41 +159,82 @@ def _weights(spark):
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<g:string,w:array<double>,t:array<int>>>")).alias("r")).select("r.*")
 
 
-def paragraphs(docs):
-    """Lines of docs(doc_id, text) with a cue word: rid (a number for each row of docs), doc_id, line (from 0), words."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").where(F.col("text").rlike(CUE_PATTERN))
-    lines = rows.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "p"))
-    return lines.select("rid", "doc_id", "line", F.when(F.col("p").rlike(CUE_PATTERN), F.regexp_extract_all(F.lower("p"), F.lit(f"({WORD_PATTERN})"), 1)).alias("words"))
+def grams(docs):
+    """N-grams near a key word of the rows of docs(doc_id, text) that hold one: rid (a number for each row), doc_id, and x of
+    g (n-gram), a, b (lines of its first and last word, from 0), back, ahead (lines that may be joined before a and after b).
+
+    Every row has one x without g, so none is lost.
+    """
+    word, key, blank = F.lit(f"({WORD_PATTERN})"), key_pattern(), "[A-Za-z0-9]"
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").where(F.col("text").rlike(key))
+    rows = rows.select("rid", "doc_id", F.split("text", "\n").alias("p"))
+    rows = rows.select("*", F.transform("p", lambda x: x.rlike(key)).alias("keyed"), F.transform("p", lambda x: (F.length(x) <= WRAPPED) & x.rlike(blank)).alias("joins"))
+    at = lambda flags, i: F.coalesce(F.get(flags, i), F.lit(False))
+
+    def run(i, step):
+        """How many lines from i on, up to LINES - 1, can be joined."""
+        n = F.lit(LINES - 1)
+        for d in range(LINES - 1, 0, -1):
+            n = F.when(~at("joins", i + step * d), d - 1).otherwise(n)
+        return n
+
+    def line(x, i):
+        own = at("joins", i)
+        near = functools.reduce(lambda u, v: u | v, [at("keyed", i + d) for d in range(1 - LINES, LINES)])
+        part = lambda w: F.struct(w.alias("w"), i.alias("i"))
+        stop = F.array(part(F.lit("")))  # no n-gram reaches over it
+        words = F.transform(F.regexp_extract_all(F.lower(x), word, 1), part)
+        return F.when(near & own, words).when(at("keyed", i), F.concat(stop, words, stop)).otherwise(stop)
+
+    ends = F.transform("p", lambda x, i: F.struct(F.when(at("joins", i), run(i, -1)).otherwise(0).alias("back"), F.when(at("joins", i), run(i, 1)).otherwise(0).alias("ahead")))
+    rows = rows.select("rid", "doc_id", F.flatten(F.transform("p", line)).alias("ws"), ends.alias("ends"))
+
+    def every(n):
+        words = lambda j: [F.get("ws", j + d) for d in range(n)]
+        whole = F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda j: gram(words(j)))
+        return F.when(F.size("ws") >= n, whole).otherwise(F.slice(none, 1, 0))
+
+    def gram(words):
+        a, b = words[0]["i"], words[-1]["i"]
+        return F.struct(F.concat_ws(" ", *[w["w"] for w in words]).alias("g"), a.alias("a"), b.alias("b"), F.get("ends", a)["back"].alias("back"), F.get("ends", b)["ahead"].alias("ahead"))
+
+    none = F.array(F.struct(F.lit(None).cast("string").alias("g"), *[F.lit(None).cast("int").alias(c) for c in ("a", "b", "back", "ahead")]))
+    return rows.select("rid", "doc_id", F.explode(F.concat(none, *[every(n) for n in range(1, LONGEST + 1)])).alias("x"))
 
 
 def scan(docs):
-    """One row of every row of docs(doc_id, text): doc_id, n_licenses, families (distinct, sorted, comma-joined), spans (line:family, in order).
+    """One row of every row of docs(doc_id, text): doc_id, n_licenses, families (distinct, sorted, comma-joined), spans (first line:family, in order).
 
-    A paragraph is a line. Null and empty texts, and texts without licence words, have no licences: 0, '' and ''.
+    A paragraph is a window of lines, see above. Null and empty texts, and texts without key words, have no licences: 0, '' and ''.
     Repeated rows are scanned each; an empty table stays empty; other columns are ignored. Only DataFrame functions run:
-    n-grams of the few lines with a licence word meet the weights, a broadcast of fixed size, and are summed by line.
+    n-grams of the few lines near a key word meet the weights, a broadcast of fixed size, and are summed by window.
     """
     spark = docs.sparkSession
     _, _, b, templates = model()
-    lines = paragraphs(docs)
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))).otherwise(F.array().cast("array<string>")))))
-    cued = lines.where("words IS NOT NULL").select("rid", "doc_id", "line", F.explode_outer(F.filter(grams, lambda g: g.rlike(CUE_PATTERN))).alias("g"))
-    met = cued.join(F.broadcast(_weights(spark)), "g", "left")
-    sums = met.groupBy("rid", "doc_id", "line").agg(F.count("w").alias("n"), *[F.sum(F.col("w")[k]).alias(f"w{k}") for k in range(len(FAMILIES))], F.flatten(F.collect_list("t")).alias("t"))
+    met = grams(docs).select("rid", "doc_id", "x.*").join(F.broadcast(_weights(spark)), "g", "left").where("w IS NOT NULL OR g IS NULL")
+    met = met.withColumn("s", F.explode_outer(F.when(F.col("b") - LINES + 1 <= F.col("a"), F.sequence(F.greatest(F.col("a") - F.col("back"), F.col("b") - LINES + 1), F.col("a")))))
+    met = met.withColumn("e", F.explode_outer(F.sequence("b", F.least(F.col("b") + F.col("ahead"), F.col("s") + LINES - 1))))
+    met = met.groupBy("rid", "doc_id", "s", "e", "g").agg(F.first("w").alias("w"), F.first("t").alias("t"))  # an n-gram counts once
+    sums = met.groupBy("rid", "doc_id", "s", "e").agg(F.count("w").alias("n"), *[F.sum(F.col("w")[k]).alias(f"w{k}") for k in range(len(FAMILIES))], F.flatten(F.collect_list("t")).alias("t"))
     # every row keeps its place, so the number rid is made once and never joined on
     z = F.array(*[F.struct((F.col(f"w{k}") / F.sqrt("n") + F.lit(float(b[k]))).alias("z"), F.lit(k).alias("k")) for k in range(len(FAMILIES))])
     sums = sums.withColumn("z", z).withColumn("best", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v["z"] - F.col("best")["z"]))
     sizes = F.array(*[F.lit(len(t)) for _, t in templates])
     owners = F.array(*[F.lit(FAMILIES.index(name)) for name, _ in templates])
-    cover = F.array_max(F.transform(F.array_distinct("t"), lambda t: F.when(F.get(owners, t) == F.col("best")["k"], F.size(F.filter("t", lambda u: u == t)) / F.get(sizes, t)).otherwise(0.0)))
-    known = (F.col("n") > 0) & (F.col("best")["k"] < len(FAMILIES) - 1) & (1 / total >= LEAST_PROBABILITY) & (cover >= LEAST_COVER)
-    named = sums.select("rid", "doc_id", F.when(known, F.struct("line", F.get(F.array(*[F.lit(f) for f in FAMILIES]), F.col("best")["k"]).alias("family"))).alias("s"))
-    found = named.groupBy("rid", "doc_id").agg(F.count("s").alias("n_licenses"), F.array_sort(F.collect_list("s")).alias("s"))
-    plain = docs.where(~F.coalesce(docs["text"].rlike(CUE_PATTERN), F.lit(False))).select("doc_id", F.lit(0).cast("long").alias("n_licenses"), F.lit("").alias("families"), F.lit("").alias("spans"))
+    shared = lambda t: F.size(F.filter("t", lambda u: u == t))
+    most = F.array_max(F.transform(F.array_distinct("t"), lambda t: F.when((F.get(owners, t) == F.col("best")["k"]) & (shared(t) >= LEAST_COVER * F.get(sizes, t)), shared(t))))
+    known = (F.col("n") > 0) & (F.col("best")["k"] < len(FAMILIES) - 1) & (1 / total >= LEAST_PROBABILITY)
+    sums = sums.select("rid", "doc_id", "s", "e", F.when(known, most).alias("most"), F.get(F.array(*[F.lit(f) for f in FAMILIES]), F.col("best")["k"]).alias("family"))
+    named = F.when(F.col("most").isNotNull(), F.struct((-F.col("most")).alias("most"), (F.col("e") - F.col("s")).alias("more"), "s", "e", "family"))
+    found = sums.groupBy("rid", "doc_id").agg(F.array_sort(F.collect_list(named)).alias("all"))
+    empty = F.slice(F.col("all"), 1, 0)
+    apart = F.aggregate("all", empty, lambda kept, v: F.when(F.exists(kept, lambda u: (u["s"] <= v["e"]) & (v["s"] <= u["e"])), kept).otherwise(F.concat(kept, F.array(v))))
+    found = found.select("doc_id", F.array_sort(F.transform(apart, lambda v: F.struct(v["s"].alias("line"), v["family"].alias("family")))).alias("s"))
+    plain = docs.where(~F.coalesce(docs["text"].rlike(key_pattern()), F.lit(False))).select("doc_id", F.lit(0).cast("long").alias("n_licenses"), F.lit("").alias("families"), F.lit("").alias("spans"))
     families = F.array_join(F.array_sort(F.array_distinct(F.col("s")["family"])), ",")
     spans = F.array_join(F.transform("s", lambda v: F.concat_ws(":", v["line"], v["family"])), ",")
-    return plain.unionByName(found.select("doc_id", "n_licenses", families.alias("families"), spans.alias("spans")))
+    return plain.unionByName(found.select("doc_id", F.size("s").cast("long").alias("n_licenses"), families.alias("families"), spans.alias("spans")))
 
 
 def op8_licenses(spark, sf_dir):
@@ -171,5 +243,18 @@ def op8_licenses(spark, sf_dir):
 
 def digest(text):
     """n_licenses, families, spans of a text by plain Python, for tests."""
-    spans = [(i, f[0]) for i, p in enumerate((text or "").split("\n")) if re.search(CUE_PATTERN, p) and (f := predict(p))]
+    lines = (text or "").split("\n")
+    joins = [len(p) <= WRAPPED and bool(re.search("[A-Za-z0-9]", p)) for p in lines]
+    found = []
+    for s in range(len(lines)):
+        for e in range(s, min(s + LINES, len(lines))):
+            if e > s and not all(joins[s : e + 1]):
+                break
+            if f := judge(" ".join(lines[s : e + 1])):
+                found.append((-f[3], e - s, s, e, f[0]))
+    kept: list = []
+    for v in sorted(found):
+        if all(u[3] < v[2] or v[3] < u[2] for u in kept):
+            kept.append(v)
+    spans = sorted((v[2], v[4]) for v in kept)
     return len(spans), ",".join(sorted({f for _, f in spans})), ",".join(f"{i}:{f}" for i, f in spans)

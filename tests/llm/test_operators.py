@@ -355,6 +355,26 @@ def test_licenses(spark):
     assert licenses.scan(docs.where("false")).count() == 0
 
 
+def test_licenses_over_lines(spark):
+    notice = (
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\n"
+        "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU Affero General Public License for more details.\n\n"
+        "You should have received a copy of the GNU Affero General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>."
+    )
+    lesser = notice.replace("Affero", "Lesser").replace("program", "library")
+    long = "word " * 60
+    r = random.Random(5)
+    parts = [*notice.split("\n"), *lesser.split("\n"), "", "  ", "#", long, long + "Licensed under the MIT license.", "Licensed under the MIT license.", "Licensed under CC BY 4.0."]
+    texts = {
+        1: notice, 2: lesser, 3: "# " + notice.replace("\n", "\n# "), 4: "Text available under CC BY-SA 4.0", 5: "Distributed under the terms of the GPL", 6: "Licensed under the MIT license.\nLicensed under the Apache License, Version 2.0.",
+        7: long + "\nReleased under the\n\nMIT License.", 8: "The copy distributed under the table\nis available to the public.", 9: "\n".join(["x"] * 9 + [notice]), 10: notice.replace(" ", "\n", 3), 11: "\n",
+    } | {20 + i: "\n".join(r.choice(parts) for _ in range(r.randint(1, 30))) for i in range(25)}
+    got = {x["doc_id"]: tuple(x)[1:] for x in licenses.scan(frame(spark, list(texts.items()))).collect()}
+    assert got == {i: licenses.digest(t) for i, t in texts.items()}
+    want = {1: "0:agpl,5:agpl,10:agpl", 2: "0:lgpl,5:lgpl,10:lgpl", 3: "0:agpl,5:agpl,10:agpl", 4: "0:cc-by-sa", 5: "0:gpl", 6: "0:mit,1:apache", 7: "", 8: "", 9: "9:agpl,14:agpl,19:agpl", 11: ""}
+    assert {i: got[i][2] for i in want} == want
+
+
 def brute_components(texts):
     import re
 
