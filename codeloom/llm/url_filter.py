@@ -45,14 +45,26 @@ def alias_key(host, path):
 
 
 def link_targets(html):
-    """Absolute targets of canonical links and of redirects by meta refresh."""
+    """Targets of canonical links and of redirects by meta refresh, as written."""
     links = F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*>)"), 1)
     links = F.filter(links, lambda x: x.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b"))
     links = F.transform(links, lambda x: F.regexp_extract(x, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     metas = F.regexp_extract_all(html, F.lit(r"(?i)(<meta\b[^>]*>)"), 1)
     metas = F.filter(metas, lambda x: x.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh\b"))
     metas = F.transform(metas, lambda x: F.regexp_extract(x, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
-    return F.filter(F.concat(links, metas), lambda x: F.instr(x, "://") > 0)
+    return F.filter(F.concat(links, metas), lambda x: x != "")
+
+
+def resolved(target, host, path):
+    """A target as a whole url, taken from a page of that host and path; null if it is of a scheme without a host."""
+    own = F.regexp_extract(target, r"^[^?#]*", 0)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    whole = F.when(own == "", path).when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
+    steps = F.split(F.regexp_replace(whole, r"(/\.\.?)$", "$1/"), "/")
+    up = lambda kept: F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda kept, x: F.when(x == ".", kept).when(x == "..", up(kept)).otherwise(F.concat(kept, F.array(x))))
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+    return F.when(target.rlike(scheme + "//"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target)).when(target.rlike(scheme), None).otherwise(F.concat(F.lit("http://"), host, F.array_join(kept, "/")))
 
 
 def judge(spark, pages, rules=RULES):
@@ -62,6 +74,7 @@ def judge(spark, pages, rules=RULES):
     without a rule is blocked if any alias of it is: aliases are the connected components over
     links from each page to its canonical or refresh target, urls that differ only in scheme,
     www./m. prefix, query, fragment or final slash being one node. Otherwise it is allowed.
+    Relative targets are resolved against the page's own url.
     A null url, or one without ://, has an empty host and path, fits no rule and is no one's alias.
     Repeated rows are judged each; no pages give no rows; other columns are ignored.
     """
@@ -69,7 +82,8 @@ def judge(spark, pages, rules=RULES):
     p = pages.select("page_id", "url", "html").withColumns({"host": host, "path": path})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     p = p.withColumns({"rule": rule, "own": verdict, "key": F.when(F.col("host") != "", alias_key(F.col("host"), F.col("path")))})
-    links = p.where("key IS NOT NULL").select(F.col("key").alias("a"), F.explode(link_targets(F.col("html"))).alias("target"))
+    links = p.where("key IS NOT NULL").select(F.col("key").alias("a"), "host", "path", F.explode(link_targets(F.col("html"))).alias("target"))
+    links = links.select("a", resolved(F.col("target"), F.col("host"), F.col("path")).alias("target"))
     host, path = host_of("target")
     links = links.withColumns({"h": host, "p": path}).where("h <> ''")
     _, verdict = rule_columns(F.col("h"), F.col("p"), rules)

@@ -256,6 +256,18 @@ def test_urls(spark):
     assert url_filter.judge(spark, pages.where("false")).count() == 0
 
 
+def test_relative_urls(spark):
+    link, refresh = '<link rel="canonical" href="{}">', "<meta http-equiv=refresh content='0; url={}'>"
+    rows = [
+        (1, "http://a.com/en/p", link.format("/de/y"), "block"), (2, "http://b.net/q/r", refresh.format("../s"), "block"), (3, "http://b.net/s", link.format("//a.com/de/z"), "block"), (4, "http://c.net/1", link.format("javascript:void(0)"), "allow"),
+        (5, "http://c.net/1/2", link.format("/r?u=http://a.com/de/"), "allow"), (6, "http://d.net/a/b", link.format("c?x#y"), "block"), (7, "http://d.net/a/c", link.format("https://a.com/de/x"), "block"), (8, "http://e.net", link.format("./de"), "allow"),
+        (9, "http://f.net", refresh.format("x/./y/../z"), "block"), (10, "http://f.net/x/z", link.format("HTTP://g.com/de/"), "block"), (11, "http://h.net/i/", link.format("#top") + refresh.format("?again"), "allow"), (12, "http://k.com/en/a", refresh.format("../../de/.."), "allow"),
+        (13, "http://k.com/fr/a", refresh.format("/de/x/.."), "allow"), (14, "http://l.com/a", refresh.format("/de/x/.."), "block"), (15, None, link.format("/de/y"), "allow"),
+    ]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(spark, pages).collect()} == {r[0]: r[3] for r in rows}
+
+
 @pytest.fixture(scope="module")
 def codec():
     return bpe.Codec(*bpe.default_vocabulary())
