@@ -69,11 +69,12 @@ def ranked(index, query, n_rows=None):
 
 
 def search(symbols, files, query, kind="", name="", limit=50, offset=0, index=None):
-    """(page of row, fqn, kind, path, score; total): project code first, then tests, then vendor; by rank within each."""
+    """(page of row, fqn, kind, path, score; total): project code first, then tests, then vendor; by rank within each. No limit: all from offset on."""
     found = symbols.join(ranked(index if index is not None else postings(symbols), query, symbols.count()), "row").join(files.select("file_id", "path", "vendor"), "file_id")
     if kind:
         found = found.where(F.col("kind") == kind)
     if name:
         found = found.where(F.col("name") == name)
-    page = found.orderBy("vendor", is_test_rank(F.col("path")), "score", "row").offset(offset).limit(limit)
+    page = found.orderBy("vendor", is_test_rank(F.col("path")), "score", "row").offset(offset)
+    page = page if limit is None else page.limit(limit)
     return page.select("row", "fqn", "kind", "path", "score"), found.count()

@@ -104,7 +104,7 @@ def impact(edges, fqn, depth=3, per_level=25):
     """(callers(depth, fqn, file, line), tests(file), whether a level was cut).
 
     Walks call edges backwards level by level. Callers in test files are listed by file and not walked on. A level keeps
-    its first per_level callers by name; the others count as met and aren't walked on either.
+    its first per_level callers by name; the others count as met and aren't walked on either. None keeps all.
     """
     spark = edges.sparkSession
     calls = edges.where(F.col("kind").isin(*CALL_KINDS) & (F.col("from_fqn") != "")).select("from_fqn", "to_fqn", "file", "line").persist()
@@ -116,11 +116,11 @@ def impact(edges, fqn, depth=3, per_level=25):
         tests.append(met.where("test").select("file"))
         new = met.where("NOT test").groupBy(F.col("from_fqn").alias("node")).agg(F.min(F.struct("file", "line")).alias("at")).join(seen, "node", "left_anti")
         new = checkpointed(new)
-        kept = new.orderBy("node").limit(per_level)
+        kept = new if per_level is None else new.orderBy("node").limit(per_level)
         n = new.count()
         if not n:
             break
-        cut |= n > per_level
+        cut |= per_level is not None and n > per_level
         frontier = checkpointed(kept)
         seen = seen.unionByName(new.select("node"))
         levels.append(frontier.select(F.lit(level).alias("depth"), F.col("node").alias("fqn"), F.col("at.file").alias("file"), F.col("at.line").alias("line")))

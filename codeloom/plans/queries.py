@@ -116,12 +116,12 @@ _WALK = f""", c AS MATERIALIZED (SELECT from_fqn, to_fqn, file, min(line) AS lin
 
 @query("g09_impact", with_views(_WALK + " SELECT m.depth AS depth, m.node AS fqn, min(struct_pack(file := c.file, line := c.line)).file AS file, min(struct_pack(file := c.file, line := c.line)).line AS line FROM m JOIN c ON c.from_fqn = m.node AND NOT test JOIN m p ON p.node = c.to_fqn AND p.depth = m.depth - 1 WHERE m.depth > 0 GROUP BY m.depth, m.node", "g_edges", recursive=True))
 def g09(spark, d):
-    return graph.impact(load(spark, d, "g_edges"), SUPPLY, 3, 100_000)[0]
+    return graph.impact(load(spark, d, "g_edges"), SUPPLY, 3, None)[0]
 
 
 @query("g09_impact_tests", with_views(_WALK + " SELECT DISTINCT file FROM c JOIN m ON to_fqn = node WHERE test AND depth < 3", "g_edges", recursive=True))
 def g09t(spark, d):
-    return graph.impact(load(spark, d, "g_edges"), SUPPLY, 3, 100_000)[1]
+    return graph.impact(load(spark, d, "g_edges"), SUPPLY, 3, None)[1]
 
 
 _T4 = "(file ILIKE 'tests/%' OR file ILIKE '%/tests/%' OR file ILIKE '%/Tests/%' OR file ILIKE '%/__tests__/%' OR file ILIKE '%_test.go' OR file ILIKE '%.test.%')"
@@ -364,7 +364,7 @@ def x05(spark, d):
 @query("l01_search_symbols", with_views(_POSTINGS + ", a AS (SELECT DISTINCT row FROM p WHERE starts_with(token, 'supplier')) SELECT row, fqn, kind FROM a JOIN g_symbols USING (row) WHERE kind = 'method'", "g_symbols"))
 def l01(spark, d):
     symbols, files = _indexed(spark, d)
-    return fts.search(symbols, files, "supplier", kind="method", limit=100_000)[0].select("row", "fqn", "kind")
+    return fts.search(symbols, files, "supplier", kind="method", limit=None)[0].select("row", "fqn", "kind")
 
 
 _STATUS = "CASE WHEN c.path IS NULL THEN 'removed' WHEN k.path IS NULL THEN 'new' WHEN c.size = k.size AND c.mtime_ns = k.mtime_ns THEN 'unchanged' WHEN c.hash = k.hash THEN 'touched' ELSE 'changed' END"
