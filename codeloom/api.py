@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions.scalars import method_split_of, source_window
+from .functions.scalars import source_window
 from .operators import fts, graph, lookup
 
 
@@ -109,11 +109,9 @@ class Graph:
         found, levels = rows(callers), {}
         for r in found:
             levels.setdefault(r["depth"], []).append({k: r[k] for k in ("fqn", "file", "line")})
-        files, note = [r["file"] for r in rows(tests)], ""
-        if not files:
-            split = method_split_of(own)
-            files = [r["file"] for r in rows(graph.tests_referencing(self.edges, [own, *([split[0]] if split else [])], 20))]
-            note = "no call comes from a test; these tests refer to the symbol or its class" if files else ""
+        tests, note = graph.affected_tests(self.edges, own, tests)
+        files = [r["file"] for r in rows(tests)]
+        note = note if files else ""
         return {"levels": [{"depth": d, "callers": c} for d, c in sorted(levels.items())], "tests": files, "truncated": cut, "note": note}
 
     def file_outline(self, path):

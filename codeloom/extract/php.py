@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .source import Rows, Source, scanner
+from .source import Rows, Source, Token, scanner
 
 #: Type words that are no classes; fixed values.
 TYPES = set("int float string bool array callable iterable object mixed void null never false true static self parent resource integer boolean double numeric".split()) - {"self", "static", "parent"}
@@ -11,12 +11,45 @@ CLASSES = {"class": "class", "interface": "interface", "trait": "trait", "enum":
 MODIFIERS = set("abstract final readonly public protected private static var const".split())
 WORDS = set("if else elseif while for foreach switch match return echo print new instanceof function fn use namespace class interface trait enum catch try throw isset unset empty list array exit die include include_once require require_once and or xor as do case default break continue global static yield clone const declare goto".split())
 
-scan = scanner(
-    r"""(?P<comment>/\*.*?\*/|//[^\n]*|\#(?!\[)[^\n]*)|(?P<str><<<\s*(?P<q>['"]?)(?P<tag>\w+)(?P=q)\n.*?\n\s*(?P=tag)\b|'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`[^`]*`|\?>.*?(?:<\?(?:php|=)|\Z)|\A.*?<\?(?:php|=))
+_scan = scanner(
+    r"""(?P<comment>/\*.*?\*/|//[^\n]*|\#(?!\[)[^\n]*)|(?P<str><<<\s*(?P<q>['"]?)(?P<tag>\w+)(?P=q)\n.*?\n\s*(?P=tag)\b|'(?:\\.|[^'\\])*'|"(?:\\.|\{\$[^{}]*\}|[^"\\])*"|`[^`]*`|\?>.*?(?:<\?(?:php|=)|\Z)|\A.*?<\?(?:php|=))
     |(?P<var>\$[^\W\d]\w*)|(?P<id>\\?[^\W\d]\w*(?:\\[^\W\d]\w*)*)|(?P<num>\d[\w.]*)|(?P<op>\?->|->|::|=>|\#\[|\.\.\.|\?\?=?|&&|\|\||[=!<>]=+|[{}()\[\];,:=?&|.<>!+*/%@^~-])"""
 )
 
 
+def scan(text):
+    for t in _scan(text):
+        quoted = t.text.startswith('"') or t.text.startswith("<<<") and "'" not in t.text.split("\n", 1)[0]
+        if t.kind == "str" and quoted and "{$" in t.text:
+            yield from interpolated(t)
+        else:
+            yield t
+
+
+def interpolated(t):
+    """A string with expressions in braces: pieces of string, with the tokens of each expression between brackets."""
+    start = at = 0
+    while (at := t.text.find("{$", at)) >= 0:
+        if t.text[at - 1] == "\\":
+            at += 1
+            continue
+        depth, end, inner = 0, None, []
+        for u in _scan(t.text[at + 1 :]):
+            if u.text == "}" and not depth:
+                end = at + 1 + u.a
+                break
+            depth += (u.text == "{") - (u.text == "}")
+            inner.append(u._replace(a=t.a + at + 1 + u.a, b=t.a + at + 1 + u.b))
+        if end is None:
+            break
+        yield t._replace(text=t.text[start:at], b=t.a + at, a=t.a + start)
+        yield Token("op", "(", t.a + at, t.a + at + 1)
+        yield from inner
+        yield Token("op", ")", t.a + end, t.a + end + 1)
+        start = at = end + 1
+    yield t._replace(text=t.text[start:], a=t.a + start)
+
+
 def _join(ns, name):
     return f"{ns}\\{name}" if ns else name
 

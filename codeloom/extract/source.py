@@ -139,8 +139,8 @@ def scanner(pattern):
     """A tokenizer from a regular expression with named groups; what none matches is skipped."""
     compiled = re.compile(pattern, re.S | re.X)
 
-    def scan(text):
-        for m in compiled.finditer(text):
+    def scan(text, at=0):
+        for m in compiled.finditer(text, at):
             if m.lastgroup:
                 yield Token(m.lastgroup, m[0], m.start(), m.end())
 

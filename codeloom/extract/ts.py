@@ -5,19 +5,53 @@ from __future__ import annotations
 import posixpath
 import re
 
-from .source import Rows, Source, scanner
+from .source import Rows, Source, Token, scanner
 
 KEPT = ("extends", "implements")
 MODIFIERS = set("public private protected readonly static abstract async override declare export default get set accessor".split())
 ACCESS = {"public", "private", "protected", "readonly"}
 WORDS = set("if for while switch catch function return typeof new await yield delete void in of instanceof case do else throw super import class extends this as satisfies const let var".split())
 
-scan = scanner(
-    r"""(?P<comment>/\*.*?\*/|//[^\n]*)|(?P<str>'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`(?:\\.|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\}|[^`\\$]|\$(?!\{))*`|(?<=[=(,:;!&|?{}\[\n])[ ]*/(?![/*>])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)
+_scan = scanner(
+    r"""(?P<comment>/\*.*?\*/|//[^\n]*)|(?P<str>'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`|(?<=[=(,:;!&|?{}\[\n])[ ]*/(?![/*>])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)
     |(?P<id>[#$]?[^\W\d][\w$]*|\$[\w$]*)|(?P<num>\d[\w.]*)|(?P<op>=>|\.\.\.|\?\.|\?\?=?|&&|\|\||[=!<>]=+|\+\+|--|[{}()\[\];,:=?&|.<>!+*/%@^~-])"""
 )
 
 
+def scan(text, at=0, inside=False):
+    """Tokens from a place on; inside a template's braces up to their end. Gives the place after the last token."""
+    depth = 0
+    while True:
+        for t in _scan(text, at):
+            at = t.b
+            if t.text == "`":
+                at = yield from template(text, t.a)
+                break
+            if inside and t.kind == "op" and t.text in "{}":
+                if t.text == "}" and not depth:
+                    return t.a
+                depth += 1 if t.text == "{" else -1
+            yield t
+        else:
+            return len(text)
+
+
+def template(text, first):
+    """A template literal from its first backtick: pieces of string, with the tokens of its expressions between brackets."""
+    start, at = first, first + 1
+    while at < len(text) and text[at] != "`":
+        if text.startswith("${", at):
+            yield Token("str", text[start:at], start, at)
+            yield Token("op", "(", at, at + 2)
+            at = yield from scan(text, at + 2, True)
+            yield Token("op", ")", at, at + 1)
+            start = at = at + 1
+        else:
+            at += 2 if text[at] == "\\" else 1
+    yield Token("str", text[start : at + 1], start, min(at + 1, len(text)))
+    return at + 1
+
+
 def module_path(path):
     return re.sub(r"/index$", "", re.sub(r"(\.d\.ts|\.ts|\.tsx|\.js|\.jsx|\.mjs|\.cjs)$", "", path))
 
@@ -116,7 +150,7 @@ class Parser:
             self.imported(i + 1, b)
         elif word in ("class", "interface", "enum", "type", "function", "namespace") or word == "const" and self.s.is_(i + 1, "enum"):
             at = i + 1 + self.s.is_(i + 1, "enum", "*")
-            if self.s.word(at):
+            if self.s.word(at) and not self.unnamed(at):
                 self.locals.add(self.t[at].text)
         elif word in ("const", "let", "var"):
             self.locals |= {self.t[x].text for x, _ in self.s.split(i + 1, b, ",") if self.s.word(x)}
@@ -199,8 +233,12 @@ class Parser:
                 return k
         return i
 
+    def unnamed(self, i):
+        """Whether a default export that has no name goes on at i."""
+        return self.s.is_(i, "extends", "implements", "{", "(", "<")
+
     def class_(self, first, i, b, a):
-        name, at = self.t[i + 1].text, i + 2
+        name, at = ("default", i + 1) if self.unnamed(i + 1) else (self.t[i + 1].text, i + 2)
         at = self.angle(at) + 1 if self.s.is_(at, "<") else at
         body = self.s.find(at, b, "{")
         cls = Class(self.qual(name))
@@ -357,9 +395,8 @@ class Parser:
 
     def function(self, first, i, b, a):
         at = i + 1 + self.s.is_(i + 1, "*")
-        if not self.s.word(at):
-            return
-        name, fqn = self.t[at].text, self.qual(self.t[at].text) + "()"
+        name = "default" if self.unnamed(at) else self.t[at].text
+        fqn = self.qual(name) + "()"
         params = self.s.find(at, b, "(")
         body = self.s.find(self.s.close(params) + 1, b, "{")
         self.rows.symbol("function", name, fqn, first, b - 1, signature=self.signature(first, body), doc=self.s.doc(a))

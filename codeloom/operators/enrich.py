@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -27,8 +26,7 @@ def import_edges(raw, indexed, root, source):
     raw = raw.fillna({"from": "", "kind": "", "to": "", "file": "", "line": 0}).where((F.col("from") != "") | (F.col("to") != ""))
     paths = normalize_paths(raw.select(F.col("file").alias("p")), indexed, root)
     named = raw.join(paths, raw["file"] == paths["p"])
-    w = Window.partitionBy("from", "kind", "to", "path").orderBy("n")
-    first = named.withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    first = named.groupBy("from", "kind", "to", "path").agg(F.min_by("line", "n").alias("line"))
     return first.select(F.lit(source).alias("source"), F.col("from").alias("from_fqn"), "kind", F.col("to").alias("to_fqn"), F.col("path").alias("file"), F.col("line").cast("int").alias("line"))
 
 

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_test_rank
+from ..plans.fixpoint import checkpointed
 
 COLUMNS = ("name", "fqn", "doc", "words")
 #: Latin letters and what they fold to; fixed values.
@@ -55,12 +56,13 @@ def ranked(index, query, n_rows=None):
     sizes = index.groupBy("row").agg(F.count("*").alias("d"))
     total = sizes.agg(F.count("*"), F.sum("d")).first()
     n, average = n_rows or total[0], (total[1] or 0) / max(1, n_rows or total[0])
-    out = None
+    out, counts = None, []
     for i, phrase in enumerate(phrases):
-        hits = phrase_hits(index, phrase).withColumnRenamed("f", f"f{i}") if phrase else index.where("false").select("row", F.lit(0).alias(f"f{i}"))
+        # each phrase's matches are written once: they are counted, and joined
+        hits = checkpointed(phrase_hits(index, phrase).withColumnRenamed("f", f"f{i}")) if phrase else index.where("false").select("row", F.lit(0).alias(f"f{i}"))
+        counts.append(hits.count() if phrase else 0)
         out = hits if out is None else out.join(hits, "row")
     out = out.join(sizes, "row")
-    counts = [phrase_hits(index, p).count() if p else 0 for p in phrases]
     score = F.lit(0.0)
     for i, c in enumerate(counts):
         idf = math.log((n - c + 0.5) / (c + 0.5))

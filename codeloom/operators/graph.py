@@ -112,16 +112,18 @@ def impact(edges, fqn, depth=3, per_level=25):
     levels, tests, cut = [], [], False
     for level in range(1, depth + 1):
         met = calls.join(frontier.select(F.col("node").alias("to_fqn")), "to_fqn", "left_semi").groupBy("from_fqn", "file").agg(F.min("line").alias("line"))
-        met = checkpointed(met.withColumn("test", is_test_impact(F.col("file"))))
-        tests.append(met.where("test").select("file"))
-        new = met.where("NOT test").groupBy(F.col("from_fqn").alias("node")).agg(F.min(F.struct("file", "line")).alias("at")).join(seen, "node", "left_anti")
-        new = checkpointed(new)
-        kept = new if per_level is None else new.orderBy("node").limit(per_level)
+        met = met.withColumn("test", is_test_impact(F.col("file")))
+        # one written table a level: a node's first place outside tests, and the test files that call into the level
+        at = F.min(F.when(~F.col("test"), F.struct("file", "line"))).alias("at")
+        met = met.groupBy(F.col("from_fqn").alias("node")).agg(at, F.collect_set(F.when(F.col("test"), F.col("file"))).alias("tests"))
+        met = checkpointed(met.join(seen.withColumn("old", F.lit(True)), "node", "left"))
+        tests.append(met.select(F.explode("tests").alias("file")))
+        new = met.where("at IS NOT NULL AND old IS NULL").select("node", "at")
         n = new.count()
         if not n:
             break
         cut |= per_level is not None and n > per_level
-        frontier = checkpointed(kept)
+        frontier = new if per_level is None else new.orderBy("node").limit(per_level)
         seen = seen.unionByName(new.select("node"))
         levels.append(frontier.select(F.lit(level).alias("depth"), F.col("node").alias("fqn"), F.col("at.file").alias("file"), F.col("at.line").alias("line")))
     calls.unpersist()
@@ -135,6 +137,15 @@ def impact(edges, fqn, depth=3, per_level=25):
     return out.orderBy("depth", "fqn"), files.distinct().orderBy("file"), cut
 
 
+def affected_tests(edges, fqn, called_from, limit=20):
+    """(file, note) for an impact answer: the test files that call into it, or else those that refer to the symbol or its class."""
+    if called_from.limit(1).count():
+        return called_from, ""
+    split = method_split_of(fqn)
+    found = tests_referencing(edges, [fqn, *([split[0]] if split else [])], limit)
+    return found, "no call comes from a test; these tests refer to the symbol or its class"
+
+
 def implementations(methods, interface_methods):
     """from_fqn, to_fqn of types that have every method of an interface: methods(owner, name, signature), interface_methods alike.
 

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import functions as F
 
 
 def checkpointed(df):
-    """df cut from its lineage, in the folder the cluster names in spark.checkpoint.dir."""
+    """df cut from its lineage, in the folder the cluster names in spark.checkpoint.dir; a local one only where the master is local."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "codeloom-checkpoints"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[[^]-]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(found or "file://" + os.path.join(tempfile.gettempdir(), "codeloom-checkpoints"))
     return df.checkpoint()
 
 

@@ -481,18 +481,6 @@ def g05(spark, d):
     return graph.hierarchy_steps(load(spark, d, "g_edges"), True)
 
 
-@query("g12_resolve_name", "SELECT 'sup.Supplier_2' AS fqn")
-def g12(spark, d):
-    found = lookup.resolve(*load(spark, d, "g_symbols", "g_files"), "Supplier_2")
-    return spark.range(1).select(F.lit(found).alias("fqn"))
-
-
-@query("k03_delete_files", with_views(" SELECT row, fqn FROM g_symbols WHERE file_id NOT IN (SELECT file_id FROM g_files WHERE file_id % 10 = 9)", "g_symbols", "g_files"))
-def k03(spark, d):
-    symbols, files = load(spark, d, "g_symbols", "g_files")
-    return symbols.join(files.where("file_id % 10 = 9").select("file_id"), "file_id", "left_anti").select("row", "fqn")
-
-
 @query("f15_proper_edges", with_views(" SELECT source, count(*) AS n FROM g_edges WHERE to_fqn <> '' AND to_fqn <> from_fqn GROUP BY source", "g_edges"))
 def f15(spark, d):
     edges = load(spark, d, "g_edges")

@@ -39,7 +39,26 @@ class Store:
                 df.write.partitionBy("source").parquet(f"{self.root}/{name}/{table}") if df.limit(1).count() else df.write.parquet(f"{self.root}/{name}/{table}")
             else:
                 df.write.parquet(f"{self.root}/{name}/{table}")
-        out = self.fs.create(self.fs_path(f"{self.root}/CURRENT"), True)
+        before = self.current()
+        self.point(name)
+        self.sweep({name, before})
+        return name
+
+    def point(self, name):
+        """Make a snapshot current: the name is written aside and moved over the old one, so readers see either."""
+        out = self.fs.create(self.fs_path(f"{self.root}/NEXT-{name}"), True)
         out.write(bytearray(name.encode()))
         out.close()
-        return name
+        jvm, sc = self.spark._jvm, self.spark.sparkContext
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = sc._gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), sc._jsc.hadoopConfiguration())
+        context.rename(self.fs_path(f"{self.root}/NEXT-{name}"), self.fs_path(f"{self.root}/CURRENT"), over)
+
+    def sweep(self, kept):
+        """Delete snapshots but for these: the current one, and the one before, which readers may still be at."""
+        for found in self.fs.listStatus(self.fs_path(self.root)):
+            own = found.getPath().getName()
+            if own.startswith("s-") and own not in kept:
+                self.fs.delete(found.getPath(), True)

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from codeloom.api import Graph
+from codeloom.api import Graph, clamp, reset
 from codeloom.plans import index
 from codeloom.sources import layers, tree
 from codeloom.sources.store import Store
@@ -22,17 +22,23 @@ def touch(root, path, when):
     os.utime(os.path.join(root, path), (when, when))
 
 
+#: Path and text of a small bookkeeping project: two classes, a test, a library, and a build folder that is ignored.
+PROJECT = {
+    "app/books/Ledger.php": "<?php\nclass Ledger {\n  public function post() { $this->check(); }\n  public function check() {}\n}\n",
+    "app/books/Audit.php": "<?php\nclass Audit extends Ledger { public function check() {} }\n",
+    "tests/LedgerTest.php": "<?php\nclass LedgerTest { public function posts() { $ledger = new Ledger(); } }\n",
+    "vendor/acme/Clock.php": "<?php\nclass Clock { function tick() { new Ledger(); } }\n",
+    "build/out/Stub.php": "<?php\nclass Stub {}\n",
+    ".gitignore": "# made by the build\nbuild/\n/vendor\n",
+}
+
+
 @pytest.fixture()
 def project(tmp_path):
     root = str(tmp_path / "p")
-    put(root, "src/Foo.php", "<?php class Foo { public function a() { $this->b(); } public function b() {} }")
-    put(root, "src/Bar.php", "<?php class Bar extends Foo { public function b() {} }")
-    put(root, "tests/FooTest.php", "<?php class FooTest { public function t() { $f = new Foo(); } }")
-    put(root, "vendor/lib/Dep.php", "<?php class Dep { function x() { new Foo(); } }")
-    put(root, "cache/Gen.php", "<?php class Gen {}")
-    put(root, ".gitignore", "/cache/\n/vendor/\n")
-    for p in ("src/Foo.php", "src/Bar.php", "tests/FooTest.php", "vendor/lib/Dep.php"):
-        touch(root, p, 1_700_000_000)
+    for path, text in PROJECT.items():
+        put(root, path, text)
+        touch(root, path, 1_650_000_000)
     return root
 
 
@@ -40,21 +46,21 @@ def test_runs(spark, project, tmp_path):
     store = Store(spark, "file:" + str(tmp_path / "store"))
     assert index.run(store, project) == {"new": 4}
     assert index.run(store, project) == {"unchanged": 4}
-    touch(project, "src/Foo.php", 1_700_000_100)
+    touch(project, "app/books/Ledger.php", 1_650_000_060)
     assert index.run(store, project) == {"unchanged": 3, "touched": 1}
     assert index.run(store, project) == {"unchanged": 4}
-    put(project, "src/Foo.php", "<?php class Foo2 {}")
-    os.remove(os.path.join(project, "src/Bar.php"))
+    put(project, "app/books/Ledger.php", "<?php class Journal {}")
+    os.remove(os.path.join(project, "app/books/Audit.php"))
     assert index.run(store, project) == {"unchanged": 2, "changed": 1, "removed": 1}
     names = {r["name"] for r in store.read("symbols").collect()}
-    assert "Foo2" in names and "Foo" not in names and "Bar" not in names
+    assert "Journal" in names and not names & {"Ledger", "Audit", "Stub"}
     assert store.read("files").where("vendor").count() == 1
 
 
 def test_vendor_skip_and_config(spark, project):
     files = tree.read(spark, project)
     rules = tree.ignore_rules(files)
-    assert {r["path"] for r in tree.sources(files, tree.config("vendor: skip"), rules).collect()} == {"src/Foo.php", "src/Bar.php", "tests/FooTest.php"}
+    assert {r["path"] for r in tree.sources(files, tree.config("vendor: skip"), rules).collect()} == {"app/books/Ledger.php", "app/books/Audit.php", "tests/LedgerTest.php"}
     assert tree.config()["vendor"] == "index"
     with pytest.raises(ValueError):
         tree.config("vendor: maybe")
@@ -81,34 +87,54 @@ def test_layers_and_questions(spark, project, tmp_path):
     store = Store(spark, "file:" + str(tmp_path / "store"))
     index.run(store, project)
     folder = str(tmp_path / "layers")
-    put(folder, "enrich.phpstan.jsonl", "\n".join(json.dumps(e) for e in [{"from": "Bar::b()", "kind": "calls", "to": "Foo::a()", "file": "/app/src/Bar.php", "line": 1}, {"from": "Bar::b()", "kind": "calls", "to": "Foo::a()", "file": project + "/src/Bar.php", "line": 2}, {"from": "", "kind": "calls", "to": ""}]) + "\n\n")
+    put(folder, "enrich.phpstan.jsonl", "\n".join(json.dumps(e) for e in [{"from": "Audit::check()", "kind": "calls", "to": "Ledger::post()", "file": "/srv/app/books/Audit.php", "line": 1}, {"from": "Audit::check()", "kind": "calls", "to": "Ledger::post()", "file": project + "/app/books/Audit.php", "line": 2}, {"from": "", "kind": "calls", "to": ""}]) + "\n\n")
     assert index.import_layers(store, project, "file:" + folder) == ["phpstan"]
     rows = store.read("ext_edges").collect()
-    assert [(r["from_fqn"], r["file"], r["line"]) for r in rows] == [("Bar::b()", "src/Bar.php", 1)]
+    assert [(r["from_fqn"], r["file"], r["line"]) for r in rows] == [("Audit::check()", "app/books/Audit.php", 1)]
 
     contents = tree.contents(tree.read(spark, project)).select("path", "content")
     g = Graph(store.tables(), contents.withColumn("content", contents["content"].cast("string")))
-    assert [e["from_fqn"] for e in g.get_callers("Foo::a()")["edges"]] == ["Bar::b()"]
-    assert {e["from_fqn"] for e in g.get_callers("Foo::b()")["edges"]} == {"Foo::a()"}
-    assert g.class_hierarchy("Foo")["descendants"] == [{"fqn": "Bar", "kind": "extends"}]
-    found = g.search_symbols("foo")
-    assert found["total"] >= 2 and found["results"][0]["path"].startswith("src/")
-    assert g.get_symbol("Foo", include_source=True)["declarations"][0]["source"].startswith("<?php class Foo")
-    assert g.search_code("NEW foo", limit=1)["matches"][0]["file"] == "tests/FooTest.php"
-    assert g.impact("Foo::b()")["levels"][0]["callers"][0]["fqn"] == "Foo::a()"
-    assert g.impact("Foo")["tests"] == ["tests/FooTest.php"]
-    assert g.file_outline("src/Foo.php")["symbols"][0]["fqn"] == "Foo"
-    assert g.explore("Foo", skip_source=True)["references"] == 2
+    assert [e["from_fqn"] for e in g.get_callers("Ledger::post()")["edges"]] == ["Audit::check()"]
+    assert {e["from_fqn"] for e in g.get_callers("Ledger::check()")["edges"]} == {"Ledger::post()"}
+    assert g.class_hierarchy("Ledger")["descendants"] == [{"fqn": "Audit", "kind": "extends"}]
+    found = g.search_symbols("ledger")
+    assert found["total"] >= 2 and found["results"][0]["path"].startswith("app/")
+    assert g.get_symbol("Ledger", include_source=True)["declarations"][0]["source"].startswith("class Ledger")
+    assert g.search_code("NEW ledger", limit=1)["matches"][0]["file"] == "tests/LedgerTest.php"
+    assert g.impact("Ledger::check()")["levels"][0]["callers"][0]["fqn"] == "Ledger::post()"
+    assert g.impact("Ledger")["tests"] == ["tests/LedgerTest.php"]
+    assert g.file_outline("app/books/Ledger.php")["symbols"][0]["fqn"] == "Ledger"
+    assert g.explore("Ledger", skip_source=True)["references"] == 2
     assert g.status()["warning"] == ""
-    assert {h["fqn"] for h in g.hints("why does Foo fail?")} == {"Foo"}
+    assert {h["fqn"] for h in g.hints("why does Ledger fail?")} == {"Ledger"}
     with pytest.raises(LookupError):
         g.file_outline("nope")
+    assert [e["to_fqn"] for e in g.get_callees("Ledger::post()")["edges"]] == ["Ledger::check()"]
+    assert len(g.find_references("Ledger", limit=1)["edges"]) == 1 and len(g.find_references("Ledger")["edges"]) == 2
     os.remove(os.path.join(folder, "enrich.phpstan.jsonl"))
     put(folder, "enrich.go-types.jsonl", "")
     index.import_layers(store, project, "file:" + folder)
     assert store.read("ext_edges").count() == 0
 
 
+def test_limits():
+    assert [clamp(n) for n in (None, 0, -3, 1, 500, 501)] == [50, 50, 50, 1, 500, 500]
+    assert [reset(n, 15, 100) for n in (None, 0, -1, 1, 100, 101)] == [15, 15, 15, 1, 100, 15]
+
+
+def test_forced_run_and_snapshots(spark, project, tmp_path):
+    """A forced run reads everything anew and gives the same rows; two snapshots are kept, and no half-written pointer."""
+    store = Store(spark, "file:" + str(tmp_path / "store"))
+    rows = lambda: sorted(map(tuple, store.read("symbols").drop("sym_id").collect()))
+    index.run(store, project)
+    first = rows()
+    assert index.run(store, project, force=True) == {"changed": 4}
+    assert rows() == first
+    index.run(store, project)
+    own = os.listdir(tmp_path / "store")
+    assert sum(n.startswith("s-") for n in own) == 2 and "CURRENT" in own and not any(n.startswith("NEXT") for n in own)
+
+
 def test_bad_layer_line(spark, tmp_path):
     put(str(tmp_path), "enrich.x.jsonl", '{"from": "a"}\nnot json\n')
     with pytest.raises(Exception):

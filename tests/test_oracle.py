@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from codeloom.plans import queries
+from codeloom.plans import extraction, queries, questions
 
 DATA = os.environ.get("CODELOOM_TEST_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,10 +24,14 @@ def table(df):
     return df[columns].astype(str).sort_values(columns).reset_index(drop=True)
 
 
+QUERIES = queries.QUERIES | questions.QUERIES | extraction.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | questions.ORACLE_SQL | extraction.ORACLE_SQL
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = table(queries.QUERIES[name](spark, DATA).toPandas())
-    want = table(duck.sql(queries.ORACLE_SQL[name]).df())
+    got = table(QUERIES[name](spark, DATA).toPandas())
+    want = table(duck.sql(ORACLE_SQL[name]).df())
     assert list(got.columns) == list(want.columns)
     assert got.equals(want)
