@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import os
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 
-#: Text bytes that a vectorised step handles at once; a longer document is a piece of its own.
-PIECE_BYTES = 2 << 20
+#: Text bytes that a vectorised step handles at once (some 60 bytes of arrays each); a longer document is a piece of its own.
+PIECE_BYTES = 1 << 19
 
 
 def table(spark, sf_dir, name):
@@ -28,10 +30,12 @@ def tune(spark):
 
 
 def shared_dir(spark):
-    """The cluster's shared folder; one is made only where none is configured."""
+    """The cluster's shared folder; a local one is made only where none is configured and the master is local."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]-]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'codeloom-checkpoints')}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
@@ -62,6 +66,7 @@ _owner = [""]
 def trim():
     """Freed memory goes back to the system."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -75,6 +80,23 @@ def turn_to(operator):
         trim()
 
 
+def worker(operator):
+    """A decorator for what mapInArrow runs: turns to the operator, and hands memory back when the task ends, so that an idle worker holds little."""
+
+    def around(run):
+        @functools.wraps(run)
+        def task(batches):
+            turn_to(operator)
+            try:
+                yield from run(batches)
+            finally:
+                trim()
+
+        return task
+
+    return around
+
+
 def utf8(column):
     """(bytes as uint8 array, offsets of n + 1) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -180,4 +202,5 @@ def carried(docs):
     renamed = docs.toDF(*names)
     at = docs.columns.index("text")
     renamed = renamed.withColumn("text", renamed[names[at]])
-    return renamed, names, lambda df: df.select(*[df[n].alias(own) for n, own in zip(names, docs.columns, strict=True)])
+    own = docs.columns
+    return renamed, names, lambda df: df.select(*[df[n].alias(c) for n, c in zip(names, own, strict=True)])

@@ -17,13 +17,17 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import functions as F
 
-from .common import BASE, INVERSE, _BYTE_VALUES, mix, pieces, powers, table, tune, utf8
+from .common import BASE, INVERSE, _BYTE_VALUES, mix, pieces, powers, table, tune, utf8, worker
 from .jaccard import _deal, _pack, _unpack
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM  # bytes before an anchor that its strings can hold
 #: Starts that are looked at together; anchors that a task holds before it hands on a run; bits of the filter.
-CHUNK, FLUSH, FILTER_BITS = 1 << 20, 1 << 17, 28
+CHUNK, FLUSH, FILTER_BITS = 1 << 19, 1 << 17, 28
+#: Grams that a run or a bucket names as its most frequent, occurrences from which one is split, and the offsets by which it is.
+NAMED, HOT, RANGES = 64, 256, ((0, 17), (18, 34), (35, 51), (52, SPAN))
+#: Bytes of documents a bucket, unless that makes fewer than the shuffle partitions or more than the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 1 << 16
 
 
 def anchors(data, first, last):
@@ -76,8 +80,11 @@ def _columns(docs):
 
 
 def _repeated(docs, parts):
-    """A bit table of fixed size of the anchor grams that occur twice: no such gram is missed."""
+    """A bit table of fixed size of the anchor grams that occur twice: no such gram is missed. And some of the most frequent grams,
+    of bounded number (NAMED a bucket): which ones are named changes how work is dealt, never what is found.
+    """
 
+    @worker("suffixes")
     def count(batches):
         held, size = [], 0
 
@@ -86,7 +93,11 @@ def _repeated(docs, parts):
             keys = (h >> np.uint64(8)) << np.uint64(1) | (n > 1).astype(np.uint64)
             bucket = (h.astype(np.float64) * (parts / 2.0**64)).astype(np.int64).clip(0, parts - 1)
             dealt = _deal(bucket, parts)
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in dealt], pa.int32()), pa.array([_pack(keys[x:y]) for _, x, y in dealt], pa.binary())], names=["bucket", "keys"])
+            top = np.zeros(len(h), bool)
+            top[np.argsort(-n, kind="stable")[:NAMED]] = True
+            top &= n > 1
+            hot = [np.stack([h[x:y][top[x:y]], n[x:y][top[x:y]].astype(np.uint64)]).tobytes() for _, x, y in dealt]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in dealt], pa.int32()), pa.array([_pack(keys[x:y]) for _, x, y in dealt], pa.binary()), pa.array(hot, pa.binary())], names=["bucket", "keys", "hot"])
 
         for whole in batches:
             for batch in pieces(whole, "__text", CHUNK):
@@ -99,11 +110,15 @@ def _repeated(docs, parts):
         if size:
             yield flush()
 
+    @worker("suffixes")
     def gather(batches):
-        held = []
+        held, hot = [], []
         for batch in batches:
             held += map(_unpack, batch.column(1).to_pylist())
+            hot += [np.frombuffer(x, np.uint64).reshape(2, -1) for x in batch.column(2).to_pylist()]
         if held:
+            named, n = _summed(np.concatenate(hot, axis=1))
+            named = named[np.argsort(-n, kind="stable")[:NAMED]][np.sort(-n, kind="stable")[:NAMED] <= -HOT]
             keys = np.sort(np.concatenate(held))
             gram, many = keys >> np.uint64(1), (keys & np.uint64(1)).astype(bool)
             same = np.r_[False, gram[1:] == gram[:-1]]
@@ -112,14 +127,21 @@ def _repeated(docs, parts):
             first = int(bits[0]) >> 3 if len(bits) else 0
             flags = np.zeros(((int(bits[-1]) >> 3) - first + 1) * 8 if len(bits) else 0, np.uint8)
             flags[bits - first * 8] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([zlib.compress(np.packbits(flags).tobytes(), 1)], pa.binary())], names=["first", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([zlib.compress(np.packbits(flags).tobytes(), 1)], pa.binary()), pa.array([named.tobytes()], pa.binary())], names=["first", "bits", "hot"])
 
-    blobs = docs.select("__text").mapInArrow(count, "bucket int, keys binary").repartitionById(parts, "bucket")
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for first, blob in blobs.mapInArrow(gather, "first int, bits binary").toLocalIterator():
+    blobs = docs.select("__text").mapInArrow(count, "bucket int, keys binary, hot binary").repartitionById(parts, "bucket")
+    out, hot = np.zeros(1 << (FILTER_BITS - 3), np.uint8), [np.zeros(0, np.uint64)]
+    for first, blob, named in blobs.mapInArrow(gather, "first int, bits binary, hot binary").toLocalIterator():
         own = np.frombuffer(zlib.decompress(blob), np.uint8)
         out[first : first + len(own)] |= own
-    return out
+        hot.append(np.frombuffer(named, np.uint64))
+    return out, np.sort(np.concatenate(hot))
+
+
+def _summed(counted):
+    """Distinct keys and the sums of their counts."""
+    keys, at = np.unique(counted[0], return_inverse=True)
+    return keys, np.bincount(at, counted[1].astype(float), len(keys)).astype(np.int64)
 
 
 def common_prefix(a, b, known):
@@ -213,9 +235,12 @@ _RECORD = np.dtype([("doc", "<i4"), ("place", "<i8"), ("near", "u1"), ("far", "u
 
 
 def _runs(batches, parts, table_of_bits):
-    """Runs of anchors whose gram repeats, by bucket; and, as a run of their own, starts known at once to repeat in this task."""
+    """Runs of anchors whose gram repeats, by bucket; and starts known at once to repeat in this task, by the bucket of their document.
+
+    A frequent gram is split: the strings of a range of offsets that are equal share the bytes that all of the range have, and are dealt by these.
+    """
     held, size = [], 0
-    bits = table_of_bits.value
+    bits, hot = table_of_bits.value
 
     def flush():
         doc, th, h, place, near, far, context, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -228,21 +253,37 @@ def _runs(batches, parts, table_of_bits):
         # a row that repeats doc_id and text brings the first's own place once more: that repeats nothing
         again = order[~kept & ~_same(order, order[first][at.ravel()], doc, th, place)]
         if len(again):
-            own = np.stack([doc[again], th[again]], axis=1)
-            names, at = np.unique(own, axis=0, return_inverse=True)
-            blobs.append(_blob(1, names, at.ravel().astype(np.int32), place[again] - far[again], place[again] - near[again] + LENGTH))
-            out_bucket.append(int(mix(h[again][:1])[0] % np.uint64(parts)))
+            d, t, a, b = merged(doc[again], th[again], place[again] - far[again], place[again] - near[again] + LENGTH)
+            own = _bucket(d, t, parts)
+            o = np.argsort(own, kind="stable")
+            for k, x, y in _deal(own[o], parts):
+                out_bucket.append(k)
+                blobs.append(_blob(1, d[o[x:y]], t[o[x:y]], a[o[x:y]], b[o[x:y]]))
         order = order[kept]
+        low, high = near[order], far[order]
         bucket = (mix(h[order]) % np.uint64(parts)).astype(np.int64)
+        frequent = np.zeros(len(order), bool)
+        if len(hot):
+            frequent = hot[np.minimum(np.searchsorted(hot, h[order]), len(hot) - 1)] == h[order]
+        if frequent.any():
+            i = order[frequent]
+            order, low, high, bucket = [order[~frequent]], [low[~frequent]], [high[~frequent]], [bucket[~frequent]]
+            for a, b in RANGES:
+                own = i[(near[i] <= b) & (far[i] >= a)]
+                order.append(own)
+                low.append(np.maximum(near[own], a))
+                high.append(np.minimum(far[own], b))
+                bucket.append((mix(h[own] ^ mix(_row_hash(left[own, :a]) + _row_hash(right[own, : LENGTH - b]) * np.uint64(3) + np.uint64(a))) % np.uint64(parts)).astype(np.int64))
+            order, low, high, bucket = (np.concatenate(x) for x in (order, low, high, bucket))
         o = np.argsort(bucket, kind="stable")
-        order, bucket = order[o], bucket[o]
+        order, low, high, bucket = order[o], low[o], high[o], bucket[o]
         for b, x, y in _deal(bucket, parts):
-            i = order[x:y]
-            i = i[sorted(range(len(i)), key=[r.tobytes() for r in right[i]].__getitem__)]
+            by = sorted(range(y - x), key=[r.tobytes() for r in right[order[x:y]]].__getitem__)
+            i = order[x:y][by]
             shared, rest = _front_coded(right[i])
             names, at = np.unique(np.stack([doc[i], th[i]], axis=1), axis=0, return_inverse=True)
             record = np.zeros(len(i), _RECORD)
-            record["doc"], record["place"], record["near"], record["far"] = at.ravel(), place[i], near[i], far[i]
+            record["doc"], record["place"], record["near"], record["far"] = at.ravel(), place[i], low[x:y][by], high[x:y][by]
             out_bucket.append(b)
             blobs.append(_blob(0, names, record, shared, rest, left[i]))
         return pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "run"])
@@ -293,21 +334,29 @@ def _arrays(blob, *kinds):
     return out
 
 
+def _cursor(shared, full, base):
+    """A run for the loser tree, read from its arrays as it goes."""
+    for i, n in enumerate(shared.tolist()):
+        yield n, full[i * LENGTH : (i + 1) * LENGTH], base + i
+
+
+def _row_hash(rows):
+    """A hash of the bytes of each row."""
+    return mix((_BYTE_VALUES[rows] * powers(BASE, LENGTH)[: rows.shape[1]]).sum(axis=1, dtype=np.uint64))
+
+
 def _marks(batches, parts):
     """Merge the runs of a bucket; doc, th and byte spans of what starts earlier elsewhere, dealt by document."""
     runs, doc, th, rec, left, out = [], [], [], [], [], []
-    base = docs = 0
+    base = 0
     for batch in batches:
         for blob in batch.column(1).to_pylist():
             if blob[0] == 1:
-                names, at, a, b = _arrays(blob, np.int64, np.int32, np.int64, np.int64)
-                names = names.reshape(-1, 2)
-                out.append((names[at, 0], names[at, 1], a, b))
+                out.append(_arrays(blob, *[np.int64] * 4))
                 continue
             names, record, shared, rest, before = _arrays(blob, np.int64, _RECORD, np.uint8, np.uint8, np.uint8)
             names = names.reshape(-1, 2)
-            full = _full(shared, rest).tobytes()
-            runs.append([(int(s), full[i * LENGTH : (i + 1) * LENGTH], base + i) for i, s in enumerate(shared)])
+            runs.append(_cursor(shared, _full(shared, rest).tobytes(), base))
             doc.append(names[record["doc"], 0])
             th.append(names[record["doc"], 1])
             rec.append(record)
@@ -320,21 +369,30 @@ def _marks(batches, parts):
         runs.clear()
         doc, th, rec, left = (np.concatenate(x)[order] for x in (doc, th, rec, left))
         out.append(_judged(doc, th, rec, left, shared))
+        del doc, th, rec, left, order, shared
     if out:
-        d, t, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        d, t, a, b = merged(*(np.concatenate(x) for x in zip(*out, strict=True)))
         bucket = _bucket(d, t, parts)
-        o = np.lexsort((a, t, d, bucket))
-        d, t, a, b, bucket = d[o], t[o], a[o], b[o], bucket[o]
-        begin = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])]) if len(d) else np.zeros(0, np.int64)
-        spans = [covered(a[x:y], b[x:y]) for x, y in zip(begin, np.r_[begin[1:], len(d)].astype(np.int64), strict=True)]
-        own = np.repeat(begin, [len(x) for x, _ in spans])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in spans)]) for k in (0, 1))
-        d, t, bucket = d[own], t[own], bucket[own]
-        dealt = _deal(bucket, parts)
+        o = np.argsort(bucket, kind="stable")
+        d, t, a, b = d[o], t[o], a[o], b[o]
+        dealt = _deal(bucket[o], parts)
         blobs = [_blob(0, d[x:y], t[x:y], a[x:y], b[x:y]) for _, x, y in dealt]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in dealt], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "marks"])
 
 
+def merged(doc, th, a, b):
+    """The union of the spans [a, b) of each document: maximal runs, by document and in order."""
+    o = np.lexsort((a, th, doc))
+    doc, th, a, b = doc[o], th[o], a[o], b[o]
+    new = np.ones(len(o), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])
+    apart = np.cumsum(new) << 40  # no span of one document reaches the next one's
+    a, b = covered(a + apart, b + apart)
+    own = (a >> 40) - 1
+    first = np.flatnonzero(new)[own]
+    return doc[first], th[first], a - ((own + 1) << 40), b - ((own + 1) << 40)
+
+
 def _bucket(doc, th, parts):
     """The bucket of a document."""
     return (mix(mix(doc.view(np.uint64)) ^ th.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
@@ -390,18 +448,21 @@ def removed(docs):
     """
     spark = docs.sparkSession
     tune(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = _columns(docs)
+    size = docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES, MOST_BUCKETS))
     bits = spark.sparkContext.broadcast(_repeated(docs, parts))
-    runs = docs.mapInArrow(lambda batches: _runs(batches, parts, bits), "bucket int, run binary")
-    marks = runs.repartitionById(parts, "bucket").mapInArrow(lambda batches: _marks(batches, parts), "bucket int, marks binary")
+    runs = docs.mapInArrow(worker("suffixes")(lambda batches: _runs(batches, parts, bits)), "bucket int, run binary")
+    marks = runs.repartitionById(parts, "bucket").mapInArrow(worker("suffixes")(lambda batches: _marks(batches, parts)), "bucket int, marks binary")
 
+    @worker("suffixes")
     def place(batches):
         for batch in batches:
             bucket = _bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy(), parts)
             none = pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(bucket), none, *(batch.column(i) for i in range(3))], names=["bucket", "marks", "doc", "th", "text"])
 
+    @worker("suffixes")
     def cut(batches):
         held, found = [], {}
         for batch in batches:
@@ -412,12 +473,10 @@ def removed(docs):
             if not texts.num_rows:
                 continue
             if held:
-                d, t, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+                d, t, a, b = merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held = []
-                o = np.lexsort((a, t, d))
-                d, t, a, b = d[o], t[o], a[o], b[o]
                 begin = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
-                found = {(int(d[x]), int(t[x])): covered(a[x:y], b[x:y]) for x, y in zip(begin, np.r_[begin[1:], len(d)].astype(np.int64), strict=True)}
+                found = {(int(d[x]), int(t[x])): (a[x:y], b[x:y]) for x, y in zip(begin, np.r_[begin[1:], len(d)].astype(np.int64), strict=True)}
             spans = [[{"start": int(x), "end": int(y)} for x, y in zip(*found.get(key, ((), ())), strict=True)] for key in zip(texts.column(2).to_pylist(), texts.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([texts.column(2), texts.column(4), pa.array(spans, kind)], names=["doc", "text", "spans"])
 
@@ -434,6 +493,7 @@ def op4_suffix_dedup(spark, sf_dir):
     """The contract's digest of removed()."""
     found = removed(table(spark, sf_dir, "documents"))
 
+    @worker("suffixes")
     def run(batches):
         for batch in batches:
             out: list = [[], [], [], []]
