@@ -29,16 +29,15 @@ class Graph:
         self.files, self.symbols = tables["files"], tables["symbols"]
         self.edges = graph.all_edges(tables["edges"], tables["files"], tables["ext_edges"])
         self.ext_edges, self.contents = tables["ext_edges"], contents
-        self._index = None
+        self.postings = tables.get("postings")
 
     def name(self, fqn):
         return lookup.resolve(self.symbols, self.files, fqn)
 
     def index(self):
-        if self._index is None:
-            keyed = self.symbols.withColumn("row", F.xxhash64("file_id", "sym_id", "start_line", "start_col"))
-            self._index = keyed, fts.postings(keyed).cache()
-        return self._index
+        """Symbols by key, and their postings: the stored ones, or made here if the tables have none."""
+        keyed = fts.keyed(self.symbols)
+        return keyed, self.postings if self.postings is not None else fts.postings(keyed)
 
     def search_symbols(self, query, kind="", name="", limit=0, offset=0):
         keyed, postings = self.index()

@@ -25,11 +25,21 @@ def tokens(text):
     return F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def postings(symbols):
-    """row, col, token, pos: one row for each token; row is the symbol's key."""
+def keyed(symbols):
+    """Symbols with a column row: the key that postings name them by."""
+    return symbols.withColumn("row", F.xxhash64("file_id", "sym_id", "start_line", "start_col"))
+
+
+def postings(symbols, keep=("row",)):
+    """row, col, token, pos: one row for each token; row is the symbol's key. keep names other columns to go along."""
     parts = F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("t")) for c in COLUMNS])
-    cols = symbols.select("row", F.explode(parts).alias("p")).select("row", "p.col", F.posexplode("p.t").alias("pos", "token"))
-    return cols.select("row", "col", "token", "pos")
+    cols = symbols.select(*keep, F.explode(parts).alias("p")).select(*keep, "p.col", F.posexplode("p.t").alias("pos", "token"))
+    return cols.select(*keep, "col", "token", "pos")
+
+
+def stored(symbols):
+    """The postings that a store keeps, with the file each is of, so that a run replaces those of changed files only."""
+    return postings(keyed(symbols), ("file_id", "row"))
 
 
 def terms(query: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..extract.run import extract, tables
-from ..operators import enrich, incremental
+from ..operators import enrich, fts, incremental
 from ..schema import TABLES
 from ..sources import layers, tree
 
@@ -34,11 +34,12 @@ def run(store, root, settings=None, force=False):
     rows = fresh_files.join(index.select("path", "lang", "has_errors"), "path").select(
         incremental.file_id(F.col("path")).alias("file_id"), "path", "lang", "hash", "size", "mtime_ns", "vendor", "has_errors", F.unix_timestamp(F.current_timestamp()).alias("indexed_at")
     )
-    fresh = {"files": rows, "symbols": symbols, "imports": imports, "edges": edges}
+    fresh = {"files": rows, "symbols": symbols, "imports": imports, "edges": edges, "postings": fts.stored(symbols)}
     fresh = {k: v.select(*[f.name for f in known[k].schema]) for k, v in fresh.items()}
     after = incremental.next_snapshot(known, statuses, current, fresh)
     out = {r["status"]: r["n"] for r in incremental.run_statistics(statuses).collect()}
-    store.write({t: after.get(t, known[t]) for t in TABLES})
+    if set(out) - {"unchanged"}:
+        store.write({t: after.get(t, known[t]) for t in TABLES})
     index.unpersist()
     statuses.unpersist()
     return out

@@ -86,8 +86,8 @@ def k03(spark, d):
     symbols, files = load(spark, d, "g_symbols", "g_files")
     known = files.select("file_id", "path", "size", F.lit(1).cast("long").alias("mtime_ns"), F.lit("").alias("hash"))
     here = known.where("file_id % 10 <> 9").drop("file_id")
-    empty = spark.createDataFrame([], "file_id long")
-    after = incremental.next_snapshot({"files": known, "symbols": symbols, "imports": empty, "edges": empty}, incremental.diff(known, here), here, {"files": known.limit(0), "symbols": symbols.limit(0), "imports": empty, "edges": empty})
+    others = dict.fromkeys(incremental.OWNED, spark.createDataFrame([], "file_id long"))
+    after = incremental.next_snapshot(others | {"files": known, "symbols": symbols}, incremental.diff(known, here), here, others | {"files": known.limit(0), "symbols": symbols.limit(0)})
     return after["symbols"].select("row", "fqn")
 
 

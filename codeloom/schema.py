@@ -18,7 +18,8 @@ IMPORTS = "file_id BIGINT, alias STRING, fqn STRING, kind STRING"
 EDGES = "file_id BIGINT, from_fqn STRING, kind STRING, to_fqn STRING, resolved BOOLEAN, line INT"
 EXT_EDGES = "source STRING, from_fqn STRING, kind STRING, to_fqn STRING, file STRING, line INT"
 META = "key STRING, value STRING"
-TABLES = {"files": FILES, "symbols": SYMBOLS, "imports": IMPORTS, "edges": EDGES, "ext_edges": EXT_EDGES, "meta": META}
+POSTINGS = "file_id BIGINT, row BIGINT, col STRING, token STRING, pos INT"
+TABLES = {"files": FILES, "symbols": SYMBOLS, "postings": POSTINGS, "imports": IMPORTS, "edges": EDGES, "ext_edges": EXT_EDGES, "meta": META}
 
 #: One extracted file.
 FILE_INDEX = (

@@ -29,9 +29,9 @@ class Store:
         return {name: self.read(name) for name in TABLES}
 
     def write(self, tables):
-        """A new snapshot. Edges are kept in the order of their targets, symbols in that of their names, so that readers skip row groups."""
+        """A new snapshot. Edges are kept in the order of their targets, symbols in that of their names and postings in that of their tokens, so that readers skip row groups."""
         name = f"s-{uuid.uuid4().hex}"
-        order = {"edges": "to_fqn", "ext_edges": "to_fqn", "symbols": "name"}
+        order = {"edges": "to_fqn", "ext_edges": "to_fqn", "symbols": "name", "postings": "token"}
         for table in TABLES:
             df = tables[table].select(*[f.name for f in self.spark.createDataFrame([], TABLES[table]).schema])
             df = df.sortWithinPartitions(order[table]) if table in order else df
@@ -44,6 +44,10 @@ class Store:
         self.sweep({name, before})
         return name
 
+    def drop(self):
+        """Delete the store with all its snapshots."""
+        self.fs.delete(self.fs_path(self.root), True)
+
     def point(self, name):
         """Make a snapshot current: the name is written aside and moved over the old one, so readers see either."""
         out = self.fs.create(self.fs_path(f"{self.root}/NEXT-{name}"), True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..extract.run import extract, tables
-from ..operators import incremental
+from ..operators import fts, incremental
 
 
 def refresh(stream, store, checkpoint, modules=None, once=False):
@@ -25,7 +25,7 @@ def refresh(stream, store, checkpoint, modules=None, once=False):
         files = own.join(index.select("path", "lang", "has_errors"), "path").select(
             incremental.file_id(F.col("path")).alias("file_id"), "path", "lang", F.sha2("content", 256).alias("hash"), "size", "mtime_ns", "vendor", "has_errors", F.lit(0).cast("long").alias("indexed_at")
         )
-        fresh = {"files": files, "symbols": symbols, "imports": imports, "edges": edges}
+        fresh = {"files": files, "symbols": symbols, "imports": imports, "edges": edges, "postings": fts.stored(symbols)}
         fresh = {k: v.select(*[f.name for f in known[k].schema]) for k, v in fresh.items()}
         store.write(known | incremental.next_snapshot(known, statuses, latest, fresh))
 

@@ -6,6 +6,7 @@ import os
 import pytest
 
 from codeloom.api import Graph, clamp, reset
+from codeloom.operators import fts
 from codeloom.plans import index
 from codeloom.sources import layers, tree
 from codeloom.sources.store import Store
@@ -130,7 +131,15 @@ def test_forced_run_and_snapshots(spark, project, tmp_path):
     first = rows()
     assert index.run(store, project, force=True) == {"changed": 4}
     assert rows() == first
+    at = store.current()
     index.run(store, project)
+    assert store.current() == at
+    words = sorted(map(tuple, fts.stored(store.read("symbols")).collect()))
+    assert sorted(map(tuple, store.read("postings").collect())) == words
+    put(project, "app/books/Audit.php", "<?php class Auditor {}")
+    index.run(store, project)
+    assert {r["token"] for r in store.read("postings").where("col = 'name'").collect()} >= {"auditor", "ledger"}
+    assert not store.read("postings").where("token = 'audit'").count()
     own = os.listdir(tmp_path / "store")
     assert sum(n.startswith("s-") for n in own) == 2 and "CURRENT" in own and not any(n.startswith("NEXT") for n in own)
 
@@ -151,3 +160,27 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(source)
         refresh(spark.readStream.schema(schema).json(source), store, str(tmp_path / "ck"), once=True).awaitTermination()
     assert [r["name"] for r in store.read("symbols").collect()] == ["H"]
+
+
+def test_commands(spark, project, tmp_path, monkeypatch, capsys):
+    import io
+
+    from codeloom import __main__ as command
+
+    monkeypatch.setattr(command, "session", lambda: spark)
+    monkeypatch.setenv("XDG_CACHE_HOME", str(tmp_path / "cache"))
+
+    def ask(text):
+        monkeypatch.setattr("sys.stdin", io.StringIO(text))
+        command.main(["prompt", "--root", project])
+        return capsys.readouterr().out
+
+    assert ask('{"prompt": "what calls Ledger?"}') == "" and not os.path.exists(command.default_store(project))
+    command.main(["index", project, "--quiet"])
+    assert capsys.readouterr().out == ""
+    command.main(["index", project])
+    assert json.loads(capsys.readouterr().out) == {"unchanged": 4}
+    command.main(["index", project, "--rebuild"])
+    assert json.loads(capsys.readouterr().out) == {"new": 4}
+    assert "Ledger (class, app/books/Ledger.php:2)" in ask('{"prompt": "what calls Ledger?"}')
+    assert ask('{"prompt": "nothing here"}') == ask("no json") == ask('{"prompt": 3}') == ask("[]") == ""
