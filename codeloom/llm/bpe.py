@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 
-from .common import _kept, pieces, table, tune, turn_to
+from .common import PIECE_BYTES, _kept, pieces, table, tune, worker
 
 #: Pieces kept ready-made (twice as many: those of the last filling stay until the next), and transducer states kept; beyond, the tables are dropped and grow anew.
-CACHE_PIECES = 1 << 19
-CACHE_STATES = 1 << 17
+CACHE_PIECES = 1 << 16
+CACHE_STATES = 1 << 18
 #: Pairs of tokens that are remembered; and what stands for no token.
 CACHE_PAIRS, NONE = 1 << 20, (1 << 31) - 1
-#: Bytes of a piece up to which an arc of the transducer is only compiled when it has been met some times.
-SHORT, FEW = 64, 6
+#: Bytes of the pieces that go through the transducer side by side, bytes that such a state may leave undecided, and pieces of text split at once.
+SHORT, PENDING, SPLIT = 64, 20, 1 << 16
 
 
 def load_ranks(path):
@@ -53,7 +54,6 @@ class Transducer:
         #: Of each state: pending bytes, and for each end in them the last token, its start and the boundaries of its reading as bits.
         self.views: list = [(b"", (NONE,), (0,), (1,))]
         self.moves: dict = {}
-        self.met: dict = {}
         self.final: list = [()]
 
     def merge(self, data):
@@ -143,29 +143,6 @@ class Transducer:
         move = self.moves[state << 8 | byte] = number, tuple(reversed(out))
         return move
 
-    def rest(self, state, data):
-        """What a short piece that goes on with data from state still emits, read without making states: an arc is compiled when it has been met FEW times."""
-        pending, last, start, _ = self.views[state]
-        done, pending, last, start = len(pending), pending + data, list(last), list(start)
-        rank_of, known, longest = self.ranks.get, self.pairs.get, self.longest
-        for n in range(done + 1, len(pending) + 1):
-            for a in range(n - longest if n > longest else 0, n):
-                if start[a] is not None and (rank := rank_of(pending[a:n])) is not None:
-                    fits = known(last[a] << 32 | rank)
-                    if fits or fits is None and self.agree(last[a], rank):
-                        last.append(rank)
-                        start.append(a)
-                        break
-            else:
-                last.append(NONE)
-                start.append(None)
-        out, at = [], len(pending)
-        while at:
-            out.append(last[at])
-            at = start[at]
-        out.reverse()
-        return out
-
     def finish(self, state):
         out = self.final[state]
         if out is None:
@@ -185,15 +162,9 @@ class Transducer:
         if len(self.views) > CACHE_STATES:
             self.reset()
         out, state, moves = [], 0, self.moves
-        for i, byte in enumerate(data):
+        for byte in data:
             move = moves.get(state << 8 | byte)
             if move is None:
-                arc = state << 8 | byte
-                if len(data) <= SHORT and (met := self.met.get(arc, 0)) < FEW:
-                    if len(self.met) >= 4 * CACHE_STATES:
-                        self.met.clear()
-                    self.met[arc] = met + 1
-                    return out + self.rest(state, data[i:])
                 move = self.step(state, byte)
             state = move[0]
             if move[1]:
@@ -201,6 +172,231 @@ class Transducer:
         return [*out, *self.finish(state)]
 
 
+class Table:
+    """A hash table from 64-bit integers to 32-bit ones that answers for whole arrays; made once."""
+
+    def __init__(self, keys, values):
+        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        slot, left = self.slots(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot[left]] < 0
+            _, first = np.unique(slot[left], return_index=True)
+            put = np.zeros(len(left), bool)
+            put[first] = True
+            put &= free
+            self.keys[slot[left[put]]], self.values[slot[left[put]]] = keys[left[put]], values[left[put]]
+            left = left[~put]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def slots(self, keys):
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __getitem__(self, keys):
+        slot = self.slots(keys)
+        met = self.keys[slot]
+        out = np.where(met == keys, self.values[slot], np.int32(-1))
+        left = np.flatnonzero((met != keys) & (met >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            met = self.keys[slot[left]]
+            hit = met == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (met >= 0)]
+        return out
+
+
+class Lanes:
+    """The transducer for many short pieces side by side: all take their next byte at once.
+
+    States and arcs are those of Transducer, made on first use, but as rows of arrays, and all arcs that the pieces
+    of a step lack are made together. Of a state's pending bytes every end has its last token, that token's
+    start, the boundaries of its reading as bits, and where the bytes from there on stand in the tree of tokens.
+    A piece that leaves more than PENDING bytes undecided is encoded by itself.
+    """
+
+    def __init__(self, machine):
+        self.machine = machine
+        number = {b"": 0} | {t: i + 1 for i, t in enumerate(sorted(machine.known, key=len))}
+        edges = [(number[t[:-1]] << 8 | t[-1], i) for t, i in number.items() if t]
+        self.edges = Table(np.array([k for k, _ in edges], np.int64), np.array([v for _, v in edges], np.int32))
+        #: Of each place in the tree the token it is and whether longer ones begin so; the last entry stands for no place.
+        self.rank, self.inner = np.full(len(number) + 1, -1, np.int32), np.zeros(len(number) + 1, bool)
+        for t, i in number.items():
+            if t:
+                kind = machine.known[t]
+                self.inner[i] = kind & 1
+                if kind > 1:
+                    self.rank[i] = machine.ranks[t]
+        self.reset()
+
+    def reset(self):
+        self.number, self.arcs, self.size = {}, {}, 0
+        rows = 1 << 12
+        self.length = np.zeros(rows, np.int64)
+        self.bytes = np.zeros((rows, PENDING), np.uint8)
+        self.last, self.start, self.bits = np.full((rows, PENDING + 1), NONE, np.int32), np.full((rows, PENDING + 1), -1, np.int8), np.zeros((rows, PENDING + 1), np.int32)
+        self.node = np.full((rows, PENDING + 1), -1, np.int32)
+        #: Of each arc: the next state, or -1 if it leaves too much undecided; where its tokens begin in self.out, and how many they are.
+        self.next, self.at, self.count = (np.zeros(rows, np.int64) for _ in range(3))
+        self.out, self.out_size = np.zeros(rows, np.int32), 0
+        self.add(np.zeros(1, np.int64), np.zeros((1, PENDING), np.uint8), np.full((1, PENDING + 1), NONE, np.int32), np.array([[0] + [-1] * PENDING], np.int8), np.array([[1] + [0] * PENDING], np.int32), np.full((1, PENDING + 1), -1, np.int32))
+
+    def grown(self, name, size):
+        """The array of that name, with room for size rows."""
+        old = getattr(self, name)
+        if size > len(old):
+            new = np.empty((max(size, 2 * len(old)), *old.shape[1:]), old.dtype)
+            new[: len(old)] = old
+            setattr(self, name, new)
+        return getattr(self, name)
+
+    def add(self, length, data, last, start, bits, node):
+        """Numbers of states, which are made where they are new. The rows may be narrower than the tables."""
+        names = np.zeros((len(length), 5 + PENDING), np.uint8)
+        names[:, :4], names[:, 4], names[:, 5 : 5 + data.shape[1]] = last[:, :1].copy().view(np.uint8), length, data
+        known, out, fresh, size = self.number, [], [], self.size
+        for i, name in enumerate(names.view(f"V{names.shape[1]}").ravel().tolist()):
+            k = known.setdefault(name, size)
+            if k == size:
+                fresh.append(i)
+                size += 1
+            out.append(k)
+        for name, rows, rest in (("length", length, 0), ("bytes", data, 0), ("last", last, NONE), ("start", start, -1), ("bits", bits, 0), ("node", node, -1)):
+            table = self.grown(name, size)
+            if rows.ndim > 1:
+                table[self.size : size, : rows.shape[1]] = rows[fresh]
+                table[self.size : size, rows.shape[1] :] = rest
+            else:
+                table[self.size : size] = rows[fresh]
+        self.size = size
+        return np.array(out, np.int64)
+
+    def agree(self, left, right):
+        """Transducer.agree() for arrays."""
+        pairs, inverse = np.unique(left.astype(np.int64) << 32 | right, return_inverse=True)
+        known, agree = self.machine.pairs, self.machine.agree
+        found = [known.get(p) for p in pairs.tolist()]
+        for i, f in enumerate(found):
+            if f is None:
+                found[i] = agree(int(pairs[i]) >> 32, int(pairs[i]) & 0xFFFFFFFF)
+        return np.array(found, bool)[inverse]
+
+    def back(self, last, start, end):
+        """Tokens on the way back from position end of each row to its begin, last first: (rows, tokens) of each step."""
+        rows, out = np.arange(len(end)), []
+        at = end.astype(np.int64)
+        rows, at = rows[at > 0], at[at > 0]
+        while len(rows):
+            out.append((rows, last[rows, at]))
+            at = start[rows, at].astype(np.int64)
+            rows, at = rows[at > 0], at[at > 0]
+        return out
+
+    @staticmethod
+    def flat(steps, n):
+        """The tokens of back() row by row in reading order, and how many each of n rows has."""
+        rows = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in steps)])
+        tokens = np.concatenate([np.zeros(0, np.int32), *(t for _, t in steps)])
+        order = np.argsort(rows[::-1], kind="stable")
+        return tokens[::-1][order], np.bincount(rows, minlength=n)
+
+    def compile(self, keys):
+        """New arcs (state << 8 | byte)."""
+        state, byte = keys >> 8, keys & 255
+        m, n = len(keys), self.length[state] + 1
+        over = n > PENDING
+        n[over] = 1  # such rows are worked out to no purpose
+        width = int(n.max()) + 1
+        row, wide = np.arange(m), np.arange(width)
+        last, start, bits, node, data = (t[state, :width] for t in (self.last, self.start, self.bits, self.node, self.bytes))
+        last[over], start[over], bits[over], node[over] = NONE, -1, 1, -1
+        start[over, 0] = 0
+        data[row, n - 1] = byte
+        node[row, n - 1] = 0
+        child = np.full(node.shape, -1, np.int32)
+        live = np.flatnonzero(node >= 0)
+        child.ravel()[live] = self.edges[node.ravel()[live].astype(np.int64) << 8 | byte[live // width]]
+        rank = self.rank[child]
+        shared = np.bitwise_and.reduce(np.where(self.inner[child], bits, -1), axis=1)
+        own, left, may = np.empty(m, np.int64), row, rank >= 0
+        while len(left):
+            k = may[left].argmax(axis=1)
+            if not may[left, k].all():
+                raise ValueError("the vocabulary lacks a byte")
+            fits = self.agree(last[left, k], rank[left, k])
+            own[left[fits]] = k[fits]
+            left, k = left[~fits], k[~fits]
+            may[left, k] = False
+        last[row, n], start[row, n], bits[row, n], child[row, n] = rank[row, own], own, bits[row, own] | (1 << n).astype(np.int32), -1
+        shared &= bits[row, n]
+        cut = np.frexp(shared.astype(np.float64))[1].astype(np.int64) - 1
+        tokens, count = self.flat(self.back(last, start, cut), m)
+        moved = np.flatnonzero(cut)  # their pending bytes begin later now
+        if len(moved):
+            c, r = cut[moved, None], moved[:, None]
+            at = c + wide
+            inside = at <= n[moved, None]
+            at = np.minimum(at, width - 1)
+            to = np.where(inside, start[r, at] - c, -1)
+            to[:, 0] = 0
+            ends = to >= 0
+            start[moved] = np.where(ends, to, -1)
+            last[moved] = np.where(ends, last[r, at], NONE)
+            bits[moved] = np.where(ends, bits[r, at] >> c, 0)
+            child[moved] = np.where(ends, child[r, at], -1)
+            data[moved] = np.where(at < n[moved, None], data[r, np.minimum(at, data.shape[1] - 1)], 0)[:, : data.shape[1]] * inside[:, : data.shape[1]]
+        to = self.add(n - cut, data, last, start, bits, child)
+        first, end = len(self.arcs), len(self.arcs) + m
+        self.grown("next", end)[first:end] = np.where(over, -1, to)
+        self.grown("at", end)[first:end] = self.out_size + np.cumsum(count) - count
+        self.grown("count", end)[first:end] = np.where(over, 0, count)
+        self.grown("out", self.out_size + len(tokens))[self.out_size : self.out_size + len(tokens)] = tokens
+        self.out_size += len(tokens)
+        self.arcs.update(zip(keys.tolist(), range(first, end), strict=True))
+
+    def encode(self, pieces):
+        """Token ids of each of some pieces of 1 to SHORT bytes."""
+        if self.size > CACHE_STATES:
+            self.reset()
+        sizes = np.array([len(p) for p in pieces])
+        order = np.argsort(-sizes, kind="stable")
+        data = np.zeros((len(pieces), int(sizes.max(initial=0))), np.uint8)
+        data[np.arange(data.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+        data, alone = data[order], np.zeros(len(pieces), bool)
+        state, said, find = np.zeros(len(pieces), np.int64), [], self.arcs.get
+        for step in range(data.shape[1]):
+            n = int(np.searchsorted(-sizes[order], -step, "left"))
+            keys, inverse = np.unique(state[:n] << 8 | data[:n, step], return_inverse=True)
+            arc = np.array([find(k, -1) for k in keys.tolist()], np.int64)
+            missing = np.flatnonzero(arc < 0)
+            if len(missing):
+                arc[missing] = len(self.arcs) + np.arange(len(missing))
+                self.compile(keys[missing])
+            arc = arc[inverse]
+            state[:n] = self.next[arc]
+            lost = state[:n] < 0
+            if lost.any():
+                alone[:n] |= lost
+                state[:n][lost] = 0
+            speaks = np.flatnonzero(self.count[arc])
+            said.append((speaks, self.at[arc[speaks]], self.count[arc[speaks]]))
+        ends, inverse = np.unique(state, return_inverse=True)
+        tokens, count = self.flat(self.back(self.last[ends], self.start[ends], self.length[ends]), len(ends))
+        first = np.cumsum(count) - count
+        source = np.concatenate([self.out[: self.out_size], tokens])
+        said.append((np.arange(len(pieces)), self.out_size + first[inverse], count[inverse]))
+        row, at, count = (np.concatenate([x[i] for x in said]) for i in range(3))
+        by = np.argsort(row, kind="stable")
+        row, at, count = row[by], at[by], count[by]
+        flat = source[np.repeat(at, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)].tolist()
+        edge = np.concatenate([[0], np.cumsum(np.bincount(row, count, len(pieces)).astype(np.int64))]).tolist()
+        out: list = [None] * len(pieces)
+        for i, own in enumerate(order.tolist()):
+            out[own] = self.machine.encode(pieces[own]) if alone[i] else flat[edge[i] : edge[i + 1]]
+        return out
+
+
 class Utf8Stream:
     """Incremental UTF-8 decoding: feed bytes in any cuts, get the text that is complete; errors are replaced."""
 
@@ -233,29 +429,63 @@ class Codec:
     def __init__(self, path, pattern, ready=CACHE_PIECES):
         import regex
 
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.machine = Transducer(load_ranks(path))
-        self.token = {str(rank): token for token, rank in self.machine.ranks.items()}
-        machine, old = self.machine, {}
-
-        class Pieces(dict):
-            def __missing__(self, piece):
-                ids = old.pop(piece, None)
-                if ids is None:
-                    ids = " ".join(map(str, machine.encode(piece.encode())))
-                if len(piece) <= 64:
-                    if len(self) >= ready:
-                        old.clear()
-                        old.update(self)
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.pieces = Pieces()
+        self.lanes = Lanes(self.machine)
+        self.written = {rank: str(rank) for rank in self.machine.names}
+        self.token = {self.written[rank]: token for token, rank in self.machine.ranks.items()}
+        self.ready, self.now, self.old = ready, {}, {}
+
+    def learn(self, pieces):
+        """Ids of each of some distinct pieces by piece; those not ready-made are encoded together."""
+        now, old, ranks = self.now, self.old, self.machine.ranks
+        if len(now) > self.ready:
+            self.now, self.old = now, old = {}, now
+        long, short = {}, {}
+        for p in pieces:
+            if p in now:
+                continue
+            ids = old.get(p)
+            if ids is not None:
+                now[p] = ids
+                continue
+            data = p.encode()
+            whole = ranks.get(data)
+            if whole is not None:
+                now[p] = str(whole)
+            elif len(data) > SHORT:
+                long[p] = " ".join(map(self.written.__getitem__, self.machine.encode(data)))
+            else:
+                short[p] = data
+        if short:
+            written = self.written.__getitem__
+            now.update(zip(short, [" ".join(map(written, ids)) for ids in self.lanes.encode(list(short.values()))], strict=True))
+        return now if not long else now | long
+
+    def encode_texts(self, texts):
+        """Ids in decimal, joined by one space, of each text; a bounded number of pieces at a time."""
+        out: list = [[] for _ in texts]
+        held, size = [], 0
+
+        def flush():
+            ready = self.learn({p for _, own in held for p in own})
+            for i, own in held:
+                out[i].append(" ".join(map(ready.__getitem__, own)))
+
+        for i, text in enumerate(texts):
+            text = text or ""
+            found = iter(self.pattern.findall(text)) if len(text) <= PIECE_BYTES else (m[0] for m in self.pattern.finditer(text))
+            while own := list(itertools.islice(found, SPLIT - size)):
+                held.append((i, own))
+                size += len(own)
+                if size >= SPLIT:
+                    flush()
+                    held, size = [], 0
+        flush()
+        return [" ".join(parts) for parts in out]
 
     def encode_text(self, text):
-        """Ids in decimal, joined by one space."""
-        return " ".join(map(self.pieces.__getitem__, self.split(text)))
+        return self.encode_texts([text])[0]
 
     def decode_bytes(self, ids, at_once=8192):
         """Bytes of ids in decimal, in chunks."""
@@ -267,17 +497,25 @@ class Codec:
         stream = Utf8Stream()
         return "".join([stream.feed(x) for x in self.decode_bytes(ids)]) + stream.close()
 
+    def decoded_sha256(self, ids):
+        """The digest of the text that the ids decode to in a stream."""
+        stream, back = Utf8Stream(), hashlib.sha256()
+        for chunk in self.decode_bytes(ids):
+            back.update(stream.feed(chunk).encode())
+        back.update(stream.close().encode())
+        return back.hexdigest()
+
 
 _codecs: dict = {}
 _kept.append(_codecs)
 
 
-def codec(path, pattern, ready=CACHE_PIECES):
-    """One codec for each worker process and vocabulary, with so many pieces ready-made."""
-    if (path, pattern, ready) not in _codecs:
+def codec(path, pattern):
+    """One codec for each worker process and vocabulary."""
+    if (path, pattern) not in _codecs:
         _codecs.clear()
-        _codecs[path, pattern, ready] = Codec(path, pattern, ready)
-    return _codecs[path, pattern, ready]
+        _codecs[path, pattern] = Codec(path, pattern)
+    return _codecs[path, pattern]
 
 
 def default_vocabulary():
@@ -294,12 +532,13 @@ def encode(docs, keep=("doc_id",), vocabulary=None, text="text"):
     path, pattern = vocabulary or default_vocabulary()
     schema = ", ".join([f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["ids array<int>"])
 
+    @worker("bpe")
     def run(batches):
-        turn_to("bpe")
         own = codec(path, pattern)
-        for batch in batches:
-            ids = [[int(x) for x in own.encode_text(t).split()] if t else [] for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
+        for whole in batches:
+            for batch in pieces(whole, "__text"):
+                ids = [np.array(t.split(), np.int32) for t in own.encode_texts(batch.column(len(keep)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
 
@@ -309,8 +548,8 @@ def decode(tokens, keep=("doc_id",), vocabulary=None):
     path, pattern = vocabulary or default_vocabulary()
     schema = ", ".join([f"`{tokens.schema[c].name}` {tokens.schema[c].dataType.simpleString()}" for c in keep] + ["text string"])
 
+    @worker("bpe")
     def run(batches):
-        turn_to("bpe")
         own = codec(path, pattern)
         for batch in batches:
             texts = [own.decode_text(" ".join(map(str, x or ()))) for x in batch.column(len(keep)).to_pylist()]
@@ -328,49 +567,36 @@ def round_trip(docs, keep=("doc_id",), vocabulary=None):
     path, pattern = vocabulary or default_vocabulary()
     schema = ", ".join([f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [DIGEST])
 
+    @worker("bpe")
     def run(batches):
-        turn_to("bpe")
         own = codec(path, pattern)
-        for batch in batches:
-            counts, ids_sha, decoded_sha = [], [], []
-            for text in batch.column(len(keep)).to_pylist():
-                ids = own.encode_text(text or "")
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                back = hashlib.sha256()
-                stream = Utf8Stream()
-                for chunk in own.decode_bytes(ids):
-                    back.update(stream.feed(chunk).encode())
-                back.update(stream.close().encode())
-                decoded_sha.append(back.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+        for whole in batches:
+            for batch in pieces(whole, "__text"):
+                counts, ids_sha, decoded_sha = [], [], []
+                for ids in own.encode_texts(batch.column(len(keep)).to_pylist()):
+                    counts.append(ids.count(" ") + 1 if ids else 0)
+                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                    decoded_sha.append(own.decoded_sha256(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
 
 
-def tokenized(docs, keep=("doc_id",), vocabulary=None, ready=1 << 17):
-    """docs with n_tokens, tokens array<int> and decoded_sha256: the digest of the text that the ids decode to in a stream.
-
-    Fewer pieces are kept ready-made than for round_trip(): after other stages an executor's heap has grown.
-    """
+def tokenized(docs, keep=("doc_id",), vocabulary=None):
+    """docs with n_tokens, tokens array<int> and decoded_sha256: the digest of the text that the ids decode to in a stream."""
     tune(docs.sparkSession)
     path, pattern = vocabulary or default_vocabulary()
     schema = ", ".join([f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens long, tokens array<int>, decoded_sha256 string"])
 
+    @worker("bpe")
     def run(batches):
-        turn_to("bpe")
-        own = codec(path, pattern, ready)
+        own = codec(path, pattern)
         for whole in batches:
             for batch in pieces(whole, "__text"):
                 tokens, decoded = [], []
-                for text in batch.column(len(keep)).to_pylist():
-                    ids = own.encode_text(text or "")
-                    tokens.append(np.array(ids.split(), np.int32) if ids else np.zeros(0, np.int32))
-                    stream, back = Utf8Stream(), hashlib.sha256()
-                    for chunk in own.decode_bytes(ids):
-                        back.update(stream.feed(chunk).encode())
-                    back.update(stream.close().encode())
-                    decoded.append(back.hexdigest())
+                for ids in own.encode_texts(batch.column(len(keep)).to_pylist()):
+                    tokens.append(np.array(ids.split(), np.int32))
+                    decoded.append(own.decoded_sha256(ids))
                 offsets = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *tokens])))
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(np.diff(offsets).astype(np.int64)), lists, pa.array(decoded, pa.string())], names=[*keep, "n_tokens", "tokens", "decoded_sha256"])
