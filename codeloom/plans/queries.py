@@ -142,14 +142,6 @@ def g13(spark, d):
     return load(spark, d, "g_edges").groupBy("to_fqn").agg(F.count("*").alias("n"))
 
 
-@query("g14_implements_division", "WITH h AS (SELECT DISTINCT 'T' || o_custkey AS owner, 'm' || (l_partkey % 5) AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey), i AS (SELECT DISTINCT 'I' || (p_partkey % 40) AS owner, 'm' || (p_size % 5) AS name FROM part WHERE p_partkey < 90), s AS (SELECT owner, count(*) AS n FROM i GROUP BY owner) SELECT h.owner AS from_fqn, i.owner AS to_fqn FROM h JOIN i USING (name) JOIN s ON s.owner = i.owner GROUP BY h.owner, i.owner, s.n HAVING count(*) = s.n")
-def g14(spark, d):
-    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
-    types = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("T"), "o_custkey").alias("owner"), F.concat(F.lit("m"), F.col("l_partkey") % 5).alias("name"), F.lit("()").alias("signature"))
-    faces = read("part").where("p_partkey < 90").select(F.concat(F.lit("I"), F.col("p_partkey") % 40).alias("owner"), F.concat(F.lit("m"), F.col("p_size") % 5).alias("name"), F.lit("()").alias("signature"))
-    return graph.implementations(types, faces)
-
-
 @query("g14_implements_division_whole", "WITH h AS (SELECT DISTINCT 'T' || o_custkey AS owner, 'm' || l_partkey AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey), i AS (SELECT DISTINCT 'I' || (p_partkey - p_partkey % (1 + p_size % 3)) AS owner, 'm' || p_partkey AS name FROM part), s AS (SELECT owner, count(*) AS n FROM i GROUP BY owner) SELECT h.owner AS from_fqn, i.owner AS to_fqn FROM h JOIN i USING (name) JOIN s ON s.owner = i.owner GROUP BY h.owner, i.owner, s.n HAVING count(*) = s.n")
 def g14_whole(spark, d):
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
