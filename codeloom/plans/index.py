@@ -8,6 +8,7 @@ from ..extract.run import extract, tables
 from ..operators import enrich, fts, incremental
 from ..schema import TABLES
 from ..sources import layers, tree
+from ..sources.store import bucket_of
 
 
 def run(store, root, settings=None, force=False):
@@ -20,31 +21,39 @@ def run(store, root, settings=None, force=False):
     settings = settings or tree.config()
     files = tree.read(spark, root, settings["include"])
     found = tree.sources(files, settings, tree.ignore_rules(files))
-    known = store.tables()
-    before = known["files"]
+    before = store.read("files")
     stat = found.select("path", "size", "mtime_ns")
     same = before.select("path", "size", "mtime_ns", F.col("hash").alias("known_hash"))
     unread = stat.join(same, ["path", "size", "mtime_ns"]) if not force else stat.limit(0).withColumn("known_hash", F.lit(""))
     read = tree.hashed(found.join(unread, "path", "left_anti"))
     current = unread.select("path", "size", "mtime_ns", F.col("known_hash").alias("hash")).unionByName(read.select("path", "size", "mtime_ns", "hash"))
     statuses = incremental.diff(before, current, force).cache()
-    fresh_files = read.join(statuses.where("status IN ('new', 'changed')"), "path", "left_semi")
-    index = extract(fresh_files, tree.modules(files)).cache()
-    symbols, imports, edges = tables(index)
-    rows = fresh_files.join(index.select("path", "lang", "has_errors"), "path").select(
-        incremental.file_id(F.col("path")).alias("file_id"), "path", "lang", "hash", "size", "mtime_ns", "vendor", "has_errors", F.unix_timestamp(F.current_timestamp()).alias("indexed_at")
-    )
-    fresh = {"files": rows, "symbols": symbols, "imports": imports, "edges": edges, "postings": fts.stored(symbols)}
-    fresh = {k: v.select(*[f.name for f in known[k].schema]) for k, v in fresh.items()}
-    after = incremental.next_snapshot(known, statuses, current, fresh)
     out = {r["status"]: r["n"] for r in incremental.run_statistics(statuses).collect()}
     if set(out) - {"unchanged"}:
-        store.write({t: after.get(t, known[t]) for t in TABLES})
-    index.unpersist()
+        fold(store, statuses, current, read.join(statuses.where("status IN ('new', 'changed')"), "path", "left_semi"), tree.modules(files))
     statuses.unpersist()
     return out
 
 
+def fold(store, statuses, current, fresh, modules=None):
+    """Fold what differs into a store: statuses(path, status), current(path, size, mtime_ns), and the new and changed files as fresh(path, content, hash, ...).
+
+    Only the buckets of files that differ are read and written; the others go over to the new snapshot as they are.
+    """
+    ids = statuses.where("status <> 'unchanged'").select(bucket_of(incremental.file_id(F.col("path"))).alias("b")).distinct()
+    buckets = {r["b"] for r in ids.collect()}
+    known = store.tables(buckets)
+    index = extract(fresh, modules).cache()
+    symbols, imports, edges = tables(index)
+    files = fresh.join(index.select("path", "lang", "has_errors"), "path").select(
+        incremental.file_id(F.col("path")).alias("file_id"), "path", "lang", "hash", "size", "mtime_ns", "vendor", "has_errors", F.unix_timestamp(F.current_timestamp()).alias("indexed_at")
+    )
+    rows = {"files": files, "symbols": symbols, "imports": imports, "edges": edges, "postings": fts.stored(symbols)}
+    rows = {k: v.select(*[f.name for f in known[k].schema]) for k, v in rows.items()}
+    store.write(incremental.next_snapshot(known, statuses, current, rows), buckets)
+    index.unpersist()
+
+
 def import_layers(store, root, folder):
     """Re-import the enrichment layers of a folder: a layer whose file is gone goes, the others are replaced. Layers imported into an empty index aren't noted, so they are tried again."""
     spark = store.spark
@@ -64,5 +73,5 @@ def import_layers(store, root, folder):
             updates.append((f"enrich_mtime:{r['source']}", stamp))
     if updates:
         meta = incremental.upsert_meta(meta, spark.createDataFrame(updates, TABLES["meta"]))
-    store.write(known | {"ext_edges": ext, "meta": meta})
+    store.write({"ext_edges": ext, "meta": meta})
     return [r["source"] for r in found]

@@ -1,14 +1,30 @@
-"""Snapshots of the graph's tables as Parquet: written whole to a new folder, then made current."""
+"""Snapshots of the graph's tables as Parquet, in buckets of files: a run writes the buckets it touches and names the others anew."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from pyspark.sql import functions as F
+
 from ..schema import TABLES
 
+#: Buckets of the tables that hang on a file, by its id.
+BUCKETS = 64
+#: What a bucket's rows are sorted by, so that readers skip row groups.
+ORDER = {"edges": "to_fqn", "ext_edges": "to_fqn", "symbols": "name", "postings": "token", "files": "path", "imports": "alias", "meta": "key"}
+
+
+def bucket_of(file_id):
+    return F.pmod(file_id, F.lit(BUCKETS)).cast("int")
+
 
 class Store:
-    """A folder of snapshots; CURRENT names the one that readers see. A failed write leaves the last one current."""
+    """A folder of snapshots; CURRENT names the one that readers see. A failed write leaves the last one current.
+
+    A snapshot's manifest says for each table in which folder each bucket lies, so unchanged buckets are shared by
+    snapshots. Tables without a file (layers, meta) are one bucket.
+    """
 
     def __init__(self, spark, root):
         self.spark, self.root = spark, root.rstrip("/")
@@ -21,38 +37,52 @@ class Store:
             return None
         return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
 
-    def read(self, name):
-        at = self.current()
-        return self.spark.createDataFrame([], TABLES[name]) if at is None else self.spark.read.parquet(f"{self.root}/{at}/{name}")
-
-    def tables(self):
-        return {name: self.read(name) for name in TABLES}
-
-    def write(self, tables):
-        """A new snapshot. Edges are kept in the order of their targets, symbols in that of their names and postings in that of their tokens, so that readers skip row groups."""
-        name = f"s-{uuid.uuid4().hex}"
-        order = {"edges": "to_fqn", "ext_edges": "to_fqn", "symbols": "name", "postings": "token"}
-        for table in TABLES:
-            df = tables[table].select(*[f.name for f in self.spark.createDataFrame([], TABLES[table]).schema])
-            df = df.sortWithinPartitions(order[table]) if table in order else df
-            if table == "ext_edges":
-                df.write.partitionBy("source").parquet(f"{self.root}/{name}/{table}") if df.limit(1).count() else df.write.parquet(f"{self.root}/{name}/{table}")
-            else:
-                df.write.parquet(f"{self.root}/{name}/{table}")
+    def manifest(self, name):
+        """{table: {bucket: folder}} of a snapshot; nothing of none."""
+        return {t: {} for t in TABLES} if name is None else json.loads(self.spark.read.text(f"{self.root}/{name}/MANIFEST").first()[0])
+
+    def read(self, name, buckets=None):
+        """A table of the current snapshot, all of it or some buckets."""
+        found = self.manifest(self.current())[name]
+        paths = [f"{self.root}/{at}" for b, at in sorted(found.items()) if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+
+    def tables(self, buckets=None):
+        """All tables; those that hang on a file of some buckets only, if these are named."""
+        return {name: self.read(name, buckets if "file_id" in TABLES[name] else None) for name in TABLES}
+
+    def write(self, tables, buckets=None):
+        """A new snapshot from tables by name; those left out stay as they are. If buckets are named, the rows given are those of these buckets, and the others stay."""
         before = self.current()
+        manifest, name = self.manifest(before), f"s-{uuid.uuid4().hex}"
+        for table, df in tables.items():
+            owned = "file_id" in TABLES[table]
+            df = df.select(*[f.name for f in self.spark.createDataFrame([], TABLES[table]).schema])
+            at = f"{name}/{table}"
+            df = df.withColumn("bucket", bucket_of(F.col("file_id")) if owned else F.lit(0))
+            if owned:
+                df = df.repartition(BUCKETS if buckets is None else max(1, len(buckets)), "bucket")
+            df.sortWithinPartitions("bucket", ORDER[table]).write.partitionBy("bucket").parquet(f"{self.root}/{at}")
+            kept = {b: p for b, p in manifest[table].items() if owned and buckets is not None and int(b) not in buckets}
+            new = [f.getPath().getName() for f in self.fs.listStatus(self.fs_path(f"{self.root}/{at}"))]
+            manifest[table] = kept | {n.removeprefix("bucket="): f"{at}/{n}" for n in new if n.startswith("bucket=")}
+        self.put(f"{name}/MANIFEST", json.dumps(manifest))
         self.point(name)
         self.sweep({name, before})
         return name
 
+    def put(self, path, text):
+        out = self.fs.create(self.fs_path(f"{self.root}/{path}"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def drop(self):
         """Delete the store with all its snapshots."""
         self.fs.delete(self.fs_path(self.root), True)
 
     def point(self, name):
         """Make a snapshot current: the name is written aside and moved over the old one, so readers see either."""
-        out = self.fs.create(self.fs_path(f"{self.root}/NEXT-{name}"), True)
-        out.write(bytearray(name.encode()))
-        out.close()
+        self.put(f"NEXT-{name}", name)
         jvm, sc = self.spark._jvm, self.spark.sparkContext
         kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
         over = sc._gateway.new_array(kind, 1)
@@ -61,8 +91,11 @@ class Store:
         context.rename(self.fs_path(f"{self.root}/NEXT-{name}"), self.fs_path(f"{self.root}/CURRENT"), over)
 
     def sweep(self, kept):
-        """Delete snapshots but for these: the current one, and the one before, which readers may still be at."""
+        """Delete folders that neither the current snapshot nor the one before uses, which readers may still be at."""
+        used = {name for name in kept if name}
+        for name in list(used):
+            used |= {at.split("/")[0] for found in self.manifest(name).values() for at in found.values()}
         for found in self.fs.listStatus(self.fs_path(self.root)):
             own = found.getPath().getName()
-            if own.startswith("s-") and own not in kept:
+            if own.startswith("s-") and own not in used:
                 self.fs.delete(found.getPath(), True)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..extract.run import extract, tables
-from ..operators import fts, incremental
+from ..plans.index import fold
 
 
 def refresh(stream, store, checkpoint, modules=None, once=False):
@@ -15,19 +14,10 @@ def refresh(stream, store, checkpoint, modules=None, once=False):
     tried again after a failure replaces the same rows, so it changes nothing twice.
     """
 
-    def fold(batch, _):
-        known = store.tables()
+    def take(batch, _):
         latest = batch.groupBy("path").agg(F.max_by(F.struct("content", "vendor", "size", "mtime_ns"), "mtime_ns").alias("r")).select("path", "r.*")
         statuses = latest.select("path", F.when(F.col("content").isNull(), "removed").otherwise("changed").alias("status"))
-        own = latest.where("content IS NOT NULL")
-        index = extract(own, modules)
-        symbols, imports, edges = tables(index)
-        files = own.join(index.select("path", "lang", "has_errors"), "path").select(
-            incremental.file_id(F.col("path")).alias("file_id"), "path", "lang", F.sha2("content", 256).alias("hash"), "size", "mtime_ns", "vendor", "has_errors", F.lit(0).cast("long").alias("indexed_at")
-        )
-        fresh = {"files": files, "symbols": symbols, "imports": imports, "edges": edges, "postings": fts.stored(symbols)}
-        fresh = {k: v.select(*[f.name for f in known[k].schema]) for k, v in fresh.items()}
-        store.write(known | incremental.next_snapshot(known, statuses, latest, fresh))
-
-    writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+        fold(store, statuses, latest, latest.where("content IS NOT NULL").withColumn("hash", F.sha2("content", 256)), modules)
+
+    writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

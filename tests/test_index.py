@@ -141,7 +141,11 @@ def test_forced_run_and_snapshots(spark, project, tmp_path):
     assert {r["token"] for r in store.read("postings").where("col = 'name'").collect()} >= {"auditor", "ledger"}
     assert not store.read("postings").where("token = 'audit'").count()
     own = os.listdir(tmp_path / "store")
-    assert sum(n.startswith("s-") for n in own) == 2 and "CURRENT" in own and not any(n.startswith("NEXT") for n in own)
+    own, after = os.listdir(tmp_path / "store"), store.manifest(store.current())["symbols"]
+    assert "CURRENT" in own and not any(n.startswith("NEXT") for n in own)
+    shared = {b for b, p in store.manifest(at)["symbols"].items() if after.get(b) == p}
+    assert shared and len(after) - len(shared) == 1  # the changed file's bucket alone was written
+    assert {p.split("/")[0] for p in after.values()} <= set(own)
 
 
 def test_bad_layer_line(spark, tmp_path):
