@@ -154,6 +154,18 @@ def test_bad_layer_line(spark, tmp_path):
         layers.read_layer(spark, str(tmp_path / "enrich.x.jsonl")).collect()
 
 
+def test_layer_files(spark, tmp_path):
+    rows = [("a", "calls", "b", "f.php", 1), ("c", "extends", "d", "g.php", 2)]
+    edges = spark.createDataFrame(rows, "from_fqn string, kind string, to_fqn string, file string, line int")
+    path = str(tmp_path / "enrich.own.jsonl")
+    for table in (edges, edges, edges.where("false")):
+        layers.write_layer(table, "file:" + path)
+        assert os.path.isfile(path) and sorted(tuple(r)[1:] for r in layers.read_layer(spark, path).collect()) == (rows if table is edges else [])
+    put(str(tmp_path), "enrich.long.jsonl", json.dumps({"from": "x" * (1 << 20), "kind": "calls", "to": "y"}))
+    with pytest.raises(Exception, match="more than"):
+        layers.read_layer(spark, str(tmp_path / "enrich.long.jsonl")).collect()
+
+
 def test_stream(spark, tmp_path):
     from codeloom.streaming.refresh import refresh
 
