@@ -1,4 +1,4 @@
-"""Commands: index, import, outline, ask, prompt."""
+"""Commands: index, import, outline, ask, serve, prompt."""
 
 from __future__ import annotations
 
@@ -58,6 +58,11 @@ def main(argv=None):
     a.add_argument("arguments", nargs="?", default="{}")
     a.add_argument("--store")
     a.add_argument("--root")
+    a = sub.add_parser("serve", help="answer questions given as JSON lines, at once from the store, while a run brings it up to date")
+    a.add_argument("root", nargs="?", default=".")
+    a.add_argument("--store")
+    a.add_argument("--layers", help="folder of enrich.*.jsonl layers")
+    a.add_argument("--no-index", action="store_true", help="answer from the store as it is")
     a = sub.add_parser("prompt", help='read {"prompt": ...} from the standard input and name its symbols; silent if there are none')
     a.add_argument("--root", default=".")
     a.add_argument("--store")
@@ -70,6 +75,7 @@ def main(argv=None):
         return
     from .api import Graph
     from .plans import index
+    from .serve import QUESTIONS, Server
     from .sources import tree
     from .sources.store import Store
 
@@ -97,6 +103,8 @@ def main(argv=None):
         found = index.run(store, args.root, settings, args.force)
         if not args.quiet:
             print(json.dumps(found))
+    elif args.command == "serve":
+        Server(store, args.root, layers=args.layers).serve(sys.stdin, sys.stdout, not args.no_index)
     elif args.command == "import":
         print(json.dumps(index.import_layers(store, args.root, args.folder)))
     else:
@@ -105,9 +113,8 @@ def main(argv=None):
             from pyspark.sql import functions as F
 
             contents = tree.contents(tree.read(spark, args.root)).select("path", F.col("content").cast("string").alias("content"))
-        questions = ("search_symbols", "get_symbol", "find_references", "get_callers", "get_callees", "class_hierarchy", "explore", "search_code", "impact", "file_outline", "status", "hints")
-        if args.question not in questions:
-            p.error(f"questions: {', '.join(questions)}")
+        if args.question not in QUESTIONS:
+            p.error(f"questions: {', '.join(QUESTIONS)}")
         print(json.dumps(getattr(Graph(store.tables(), contents), args.question)(**json.loads(args.arguments)), ensure_ascii=False))
 
 

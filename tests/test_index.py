@@ -200,3 +200,22 @@ def test_commands(spark, project, tmp_path, monkeypatch, capsys):
     assert json.loads(capsys.readouterr().out) == {"new": 4}
     assert "Ledger (class, app/books/Ledger.php:2)" in ask('{"prompt": "what calls Ledger?"}')
     assert ask('{"prompt": "nothing here"}') == ask("no json") == ask('{"prompt": 3}') == ask("[]") == ""
+
+
+def test_serving(spark, project, tmp_path):
+    import io
+
+    from codeloom.serve import Server
+
+    store = Store(spark, "file:" + str(tmp_path / "store"))
+    index.run(store, project)
+    put(project, "app/books/Ledger.php", "<?php class Journal {}")
+    server, out = Server(store, project), io.StringIO()
+    ask = lambda name: json.dumps({"id": name, "question": "get_symbol", "arguments": {"fqn": name}})
+    server.serve([ask("Ledger"), "\n", "no json", json.dumps({"id": 3, "question": "drop"})], out)
+    first, bad, unknown = map(json.loads, out.getvalue().splitlines())
+    assert first["id"] == "Ledger" and "result" in first and "error" in bad and unknown["id"] == 3 and "questions" in unknown["error"]
+    server.refresh().join()
+    assert server.error == ""
+    assert [d["fqn"] for d in json.loads(server.answer(ask("Journal")))["result"]["declarations"]] == ["Journal"]
+    assert json.loads(server.answer(ask("Ledger")))["result"]["declarations"] == []
