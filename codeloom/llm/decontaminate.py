@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, pieces, scratch, table, tune, turn_to, utf8, window_hashes, word_hashes, word_spans
+from .common import carried, lower_ascii, pieces, scratch, table, tune, utf8, window_hashes, word_hashes, word_spans, worker
 
 WINDOW = 13
 #: Benchmark text that one broadcast holds at most, in bytes of its longest reading (lower-cased words and 20 bytes a window).
@@ -91,8 +92,13 @@ def scan_piece(column, grams, mask):
                 items[doc[i]] |= hit
                 edge[i] += 1
                 edge[i + k] -= 1
+    return n_words, *covered(starts, ends, doc, offsets, edge), items
+
+
+def covered(starts, ends, doc, offsets, edge):
+    """For each text: words hit, and byte spans of runs of them; edge has +1 at a hit window's first word and -1 after its last."""
+    n_docs = len(offsets) - 1
     inside = np.cumsum(edge[:-1]) > 0
-    n_hit = np.bincount(doc[inside], minlength=n_docs)
     spans: list[list] = [[] for _ in range(n_docs)]
     for i in np.flatnonzero(inside):
         a, b, own = int(starts[i] - offsets[doc[i]]), int(ends[i] - offsets[doc[i]]), spans[doc[i]]
@@ -100,84 +106,161 @@ def scan_piece(column, grams, mask):
             own[-1]["end"] = b
         else:
             own.append({"start": a, "end": b})
-    return n_words, n_hit, spans, items
-
-
-def _slices(benchmark, limit):
-    """How many slices keep each one's text under limit; from a sum over all items."""
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return max(1, -(-int(total) // limit))
+    return np.bincount(doc[inside], minlength=n_docs), spans
 
 
 def scan(docs, benchmark, keep=("doc_id",), window=WINDOW, slice_bytes=SLICE_BYTES):
     """docs(text, ...) with n_words, n_hit, spans (bytes of hit runs) and items (ids of items that occur), by row.
 
-    The benchmark's windows are broadcast as sorted hashes with their words; its size is summed first,
-    and beyond slice_bytes it is dealt into as many slices, scanned one after another with a written
-    table between them, so no broadcast grows with it. (One item longer than a slice makes a larger
-    one; an item is a test question.) A hash hit counts only if the words are equal.
+    The benchmark's windows are broadcast as sorted hashes with their words; its size is summed first. Beyond slice_bytes
+    only a bit table of fixed size is broadcast: windows that it lets through meet the benchmark's by a join on their
+    words, and texts that may have any are shuffled once. A hash hit counts only if the words are equal.
     Null texts have no words; repeated rows are scanned each; repeated items count by id; items
     without an id or words are dropped; an empty benchmark hits nothing.
     """
     spark = docs.sparkSession
     tune(spark)
-    shards = _slices(benchmark, slice_bytes)
+    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     key = "long" if dict(items.dtypes)["item_id"] in ("tinyint", "smallint", "int", "bigint") else "string"
     items = items.withColumn("item_id", F.col("item_id").cast(key))
-    item_type = pa.int64() if key == "long" else pa.string()
     df = docs.select(*keep, docs["text"].alias("__text"))
-    fields = [df.schema[c] for c in keep]
-    for s in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s)
-        shared = spark.sparkContext.broadcast(GramSet([tuple(r) for r in part.collect()], window))
-        first, last = s == 0, s == shards - 1
-        span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-        def run(batches, shared=shared, first=first, last=last):
-            turn_to("decontaminate")
-            grams = shared.value
-            mask = grams.mask()
-            for whole in batches:
-                for batch in pieces(whole, "__text"):
-                    n_words, n_hit, spans, items = scan_piece(batch.column(len(keep)), grams, mask)
-                    ids = [sorted(grams.ids[i] for i in x) for x in items]
-                    if not first:
-                        spans = [merged(a + b) for a, b in zip(batch.column("spans").to_pylist(), spans, strict=True)]
-                        ids = [sorted({*a, *b}) for a, b in zip(batch.column("items").to_pylist(), ids, strict=True)]
-                        n_hit = [words_in(t, s) if s else 0 for t, s in zip(batch.column("__text").to_pylist(), spans, strict=True)]
-                    columns = [batch.column(i) for i in range(len(keep))] + ([] if last else [batch.column(len(keep))])
-                    columns += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, span_type), pa.array(ids, pa.list_(item_type))]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*keep, *([] if last else ["__text"]), "n_words", "n_hit", "spans", "items"])
-
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ([] if last else ["`__text` string"]) + ["n_words long, n_hit long, spans array<struct<start:long,end:long>>", f"items array<{key}>"])
-        df = df.mapInArrow(run, schema)
-        if not last:
-            df = scratch(spark, df, "grams")
-    return df
-
-
-def merged(spans):
-    out: list[dict] = []
-    for x in sorted(spans, key=lambda x: (x["start"], x["end"])):
-        if out and x["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], x["end"])
-        else:
-            out.append(dict(x))
-    return out
-
-
-def words_in(text, spans):
-    """Words of text inside spans of bytes."""
-    data, offsets = utf8(pa.array([text]))
-    starts, _, _ = word_spans(lower_ascii(data), offsets, _WORD_BYTES)
-    return int(sum(np.searchsorted(starts, x["end"]) - np.searchsorted(starts, x["start"]) for x in spans))
+    schema = ", ".join([f"`{df.schema[c].name}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["n_words long, n_hit long, spans array<struct<start:long,end:long>>", f"items array<{key}>"])
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64() if key == "long" else pa.string()))
+
+    def rows(batch, *found):
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(x, t) for x, t in zip(found, kinds, strict=True))], names=[*keep, "n_words", "n_hit", "spans", "items"])
+
+    if total > slice_bytes:
+        return _scan_joined(df, items, key, window, schema, rows)
+    shared = spark.sparkContext.broadcast(GramSet([tuple(r) for r in items.collect()], window))
+
+    @worker("decontaminate")
+    def run(batches):
+        grams = shared.value
+        mask = grams.mask()
+        for whole in batches:
+            for batch in pieces(whole, "__text"):
+                n_words, n_hit, spans, found = scan_piece(batch.column(len(keep)), grams, mask)
+                yield rows(batch, n_words, n_hit, spans, [sorted(grams.ids[i] for i in x) for x in found])
+
+    return df.mapInArrow(run, schema)
+
+
+#: Bits of the tables that are broadcast where the benchmark is too large to be: of window hashes, and of texts that may be hit.
+BITMAP_BITS = 24
+
+
+def _bits(spark, rows):
+    """A broadcast bit table of fixed size from rows(bit)."""
+    words = rows.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("v"))
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    for w, v in words.toLocalIterator():
+        out[w] = v
+    return spark.sparkContext.broadcast(out)
+
+
+def _has(table, bit):
+    return (table[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
+def _scan_joined(df, items, key, window, schema, rows):
+    """scan() for a benchmark of any size."""
+    spark = df.sparkSession
+    keep = df.columns[:-1]
+
+    @worker("decontaminate")
+    def windows(batches):
+        for batch in batches:
+            grams = GramSet(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), window)
+            words = [grams.text[a:b] for a, b in zip(grams.a, grams.b, strict=True)]
+            own = pa.array([grams.ids[i] for i in grams.item], batch.schema.field(0).type)
+            yield pa.RecordBatch.from_arrays([pa.array((grams.hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)), pa.array(grams.k.astype(np.int32)), pa.array(words, pa.binary()), own], names=["bit", "k", "words", "item"])
+
+    known = items.mapInArrow(windows, f"bit long, k int, words binary, item {key}").groupBy("bit", "k", "words").agg(F.collect_set("item").alias("__own"))
+    known = scratch(spark, known, "windows")
+    lengths = sorted(r[0] for r in known.select("k").distinct().collect())
+    bits = _bits(spark, known.select("bit").distinct())
+
+    @worker("decontaminate")
+    def find(batches):
+        for whole in batches:
+            for batch in pieces(whole, "__text"):
+                data, offsets = utf8(batch.column(2))
+                data = lower_ascii(data)
+                starts, ends, doc = word_spans(data, offsets, _WORD_BYTES)
+                words = word_hashes(data, starts, ends)
+                first = np.searchsorted(doc, np.arange(len(offsets) - 1))
+                for k in lengths:
+                    at = np.flatnonzero(_has(bits.value, (window_hashes(words, k) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)))
+                    at = at[doc[at] == doc[at + k - 1]]
+                    text = [b" ".join([data[a:b].tobytes() for a, b in zip(starts[i : i + k], ends[i : i + k], strict=True)]) for i in at]
+                    own = pa.array(doc[at])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(at - first[doc[at]]), pa.array(np.full(len(at), k, np.int32)), pa.array(text, pa.binary())], names=["__t1", "__t2", "i", "k", "words"])
+
+    # a text is named by two hashes, so what is found holds for all rows that repeat it
+    named = df.select("*", F.xxhash64("__text").alias("__t1"), F.xxhash64(F.lit(1), "__text").alias("__t2"))
+    hits = named.select("__t1", "__t2", "__text").mapInArrow(find, "__t1 long, __t2 long, i long, k int, words binary").distinct()
+    hits = hits.join(known.drop("bit"), ["k", "words"]).groupBy("__t1", "__t2").agg(F.collect_list(F.struct("i", "k")).alias("__at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("__own")))).alias("__own"))
+    hits = scratch(spark, hits, "hits")
+    bit = F.pmod("__t1", F.lit(1 << BITMAP_BITS))
+    marked = _bits(spark, hits.select(bit.alias("bit")).distinct())
+    may = F.pandas_udf(lambda b: pd.Series(_has(marked.value, b.to_numpy())), "boolean")(bit)
+
+    @worker("decontaminate")
+    def judge(batches):
+        for whole in batches:
+            for batch in pieces(whole, "__text"):
+                data, offsets = utf8(batch.column(len(keep)))
+                starts, ends, doc = word_spans(lower_ascii(data), offsets, _WORD_BYTES)
+                first, edge = np.searchsorted(doc, np.arange(len(offsets) - 1)), np.zeros(len(starts) + 1, np.int64)
+                for d, found in enumerate(batch.column(len(keep) + 1).to_pylist()):
+                    for w in found or ():
+                        edge[first[d] + w["i"]] += 1
+                        edge[first[d] + w["i"] + w["k"]] -= 1
+                yield rows(batch, np.bincount(doc, minlength=len(offsets) - 1), *covered(starts, ends, doc, offsets, edge), [x or [] for x in batch.column(len(keep) + 2).to_pylist()])
+
+    none = [F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in ("__at", "__own")]
+    with_bit = named.withColumn("__may", F.coalesce(may, F.lit(False)))
+    met = with_bit.where("__may").join(hits.hint("shuffle_hash"), ["__t1", "__t2"], "left").select(*keep, "__text", "__at", "__own")
+    return with_bit.where("NOT __may").select(*keep, "__text", *none).unionByName(met).mapInArrow(judge, schema)
 
 
 def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def clean(docs, benchmark, documents=True, **bounds):
+    """docs without what the benchmark holds: without contaminated documents, or with hit spans cut from their texts.
+
+    Every column stays under its name, whatever that is. Null and wordless texts stay as they are, as does all of docs if the
+    benchmark is empty; repeated rows are judged each; no documents give none. A cut leaves what stands between the spans, blanks included.
+    """
+    renamed, names, back = carried(docs)
+    if documents:
+        return back(scan(renamed, benchmark, keep=names, **bounds).where(~contaminated()))
+    found = scan(renamed, benchmark, keep=names, **bounds)
+    at = names[docs.columns.index("text")]
+    schema = found.schema
+
+    @worker("decontaminate")
+    def run(batches):
+        for batch in batches:
+            i, j = batch.schema.get_field_index(at), batch.schema.get_field_index("spans")
+            texts = [cut(t, s) for t, s in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist(), strict=True)]
+            yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
+
+    return back(found.mapInArrow(run, schema))
+
+
+def cut(text, spans):
+    """text without some spans of its bytes."""
+    if not spans:
+        return text
+    data, edge = text.encode(), [0, *(x for s in spans for x in (s["start"], s["end"]))]
+    return b"".join(data[a:b] for a, b in zip(edge[::2], [*edge[1::2], len(data)], strict=True)).decode()
+
+
 def op3_decontaminate(spark, sf_dir):
     """The contract's digest of scan()."""
     found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

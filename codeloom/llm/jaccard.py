@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import forget, lower_ascii, mix, pieces, scratch, table, tune, turn_to, utf8, window_hashes, word_hashes, word_spans
+from .common import carried, forget, lower_ascii, mix, pieces, scratch, table, tune, utf8, window_hashes, word_hashes, word_spans, worker
 from .graph import components
 
 SHINGLE = 5
@@ -65,7 +65,6 @@ def prefix_size(n):
 
 
 def _text_batches(batches, at):
-    turn_to("jaccard")
     for whole in batches:
         yield from pieces(whole, whole.schema.names[at])
 
@@ -74,6 +73,7 @@ def _meta(docs):
     """row columns, n and sig of each document."""
     fields = docs.select("doc_id").schema.fields[0].dataType.simpleString()
 
+    @worker("jaccard")
     def run(batches):
         for batch in _text_batches(batches, 1):
             h, o = sets_of(batch.column(1))
@@ -122,6 +122,7 @@ def _frequent(docs, parts, key_bits):
     """
     shift = np.uint64(64 - key_bits)
 
+    @worker("jaccard")
     def count(batches):
         seen: set = set()
         held, size = [], 0
@@ -145,6 +146,7 @@ def _frequent(docs, parts, key_bits):
         if size:
             yield flush()
 
+    @worker("jaccard")
     def gather(batches):
         held = []
         for batch in batches:
@@ -177,6 +179,7 @@ def _shared(docs, parts, hot, key_bits):
     def order(h, frequent):
         return np.concatenate([h[~frequent], h[frequent]])
 
+    @worker("jaccard")
     def deal(batches):
         hot = table_of_hot.value
         quick = np.zeros(1 << 22, bool)
@@ -223,6 +226,7 @@ def _shared(docs, parts, hot, key_bits):
         if size:
             yield flush()
 
+    @worker("jaccard")
     def gather(batches):
         held = []
         for batch in batches:
@@ -340,6 +344,7 @@ def _linked(docs, meta, pairs):
         bitmap[w] = v
     shared = spark.sparkContext.broadcast(bitmap)
 
+    @worker("jaccard")
     def read(batches):
         for batch in _text_batches(batches, 1):
             bit = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -349,21 +354,19 @@ def _linked(docs, meta, pairs):
             batch = batch.filter(pa.array(hit))
             h, o = sets_of(batch.column(1))
             sig = signatures(h, o).view(np.int64)
-            raw = (h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([raw[o[i] : o[i + 1]].tobytes() for i in range(len(sig))], pa.binary())], names=["sig", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([h[o[i] : o[i + 1]].tobytes() for i in range(len(sig))], pa.binary())], names=["sig", "s"])
 
     sets = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).alias("bit"), F.col("text").alias("__text")).mapInArrow(read, "sig long, s binary")
     sets = sets.join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
     sets = scratch(spark, sets, "sets")
 
+    @worker("jaccard")
     def judge(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(4), batch.column(5), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint8).reshape(-1, 6) for v in (x, y))
-                both = np.zeros((len(x) + len(y), 8), np.uint8)
-                both[: len(x), :6], both[len(x) :, :6] = x, y
-                both = np.sort(both.view(np.uint64).ravel())
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = np.sort(np.concatenate([x, y]))  # neither has a hash twice
                 overlap = int((both[1:] == both[:-1]).sum())
                 keep.append(DENOM * overlap >= NUMER * (len(x) + len(y) - overlap))
             keep = pa.array(keep, pa.bool_())
@@ -381,7 +384,7 @@ def near_duplicates(docs):
     Words are runs of anything but ASCII white space, A-Z lowered; a text of fewer than five words is
     one n-gram. Null, empty and wordless texts have no n-grams, link with nothing and are their own component.
     Equal sets are one class and link; repeated rows stay rows. A null doc_id gets the smallest doc_id of its component,
-    or null. No documents give no rows; other columns are ignored. N-grams are compared by 64-bit hashes (48 in the last count).
+    or null. No documents give no rows; other columns are ignored. N-grams are compared by 64-bit hashes.
 
     No link is lost: in a few turns each class is compared with a few others, by how many n-grams they share; then, of the n-grams
     still shared by different components, every pair that the bounds leave is compared. Members of one
@@ -420,16 +423,19 @@ def near_duplicates(docs):
 def one_of_each(docs):
     """docs without near duplicates: of each component the row with its smallest doc_id stays.
 
-    Rows without a doc_id come after all others, by a hash of their text. Of rows that repeat a doc_id and
-    text one stays. The large side of the join is shuffled once and never sorted.
+    Rows without a doc_id come after all others, by a hash of their text (their keys are drawn from 2^61 numbers above 2^62). Of
+    rows that repeat a doc_id and text one stays. Columns may have any names. The large side of the join is shuffled once
+    and never sorted.
     """
+    renamed, names, back = carried(docs)
+    own = names[docs.columns.index("doc_id")]
     last = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), last))
-    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"))
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("__n"))
-    once = keyed.join(kept.where("__n = 1").hint("shuffle_hash"), "__key", "left_semi")
-    more = keyed.join(kept.where("__n > 1").hint("shuffle_hash"), "__key", "left_semi").dropDuplicates(["__key", "text"])
-    return once.unionByName(more).select(*docs.columns)
+    keyed = renamed.withColumn("key", F.coalesce(F.col(own).cast("long"), last))
+    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"))
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("n"))
+    once = keyed.join(kept.where("n = 1").select("key").hint("shuffle_hash"), "key", "left_semi")
+    more = keyed.join(kept.where("n > 1").select("key").hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key", "text"])
+    return back(once.unionByName(more))
 
 
 def op10_jaccard(spark, sf_dir):

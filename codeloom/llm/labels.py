@@ -10,21 +10,18 @@ def fold(modulus):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
-def sample(docs, labels, label, condition, rows_per_class, max_bytes):
-    """[(text, 0 or 1)]: of each class the rows_per_class labels first by hash of doc_id where condition holds, with texts up to max_bytes.
+def sample(docs, labels, label, condition, rows_per_class):
+    """([(doc_id, 0 or 1)], docs(doc_id, text) of these): of each class the rows_per_class labels first by hash of doc_id where condition holds.
 
-    The only thing collected, and of fixed size. Labels are chosen before any text is read, and the few chosen
-    are broadcast, so no text is shuffled. Of repeated documents the least text counts; labels without a document, of null
-    or of other values are dropped; conflicting labels of one doc_id are all kept.
+    The number of rows is bounded, and nothing else: texts of any length belong to it, whole. Labels are chosen before any text
+    is read, and the few chosen are broadcast, so no other text is shuffled. Of repeated documents the least text counts; labels
+    without a document, of null or of other values are dropped; conflicting labels of one doc_id are all kept.
     """
     spark = docs.sparkSession
     chosen = []
     for y in (0, 1):
         rows = labels.where(F.col("doc_id").isNotNull() & (F.col(label) == y) & condition).select("doc_id").distinct()
         chosen += [(r[0], y) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class).collect()]
-    if not chosen:
-        return []
-    ids = spark.createDataFrame(chosen, "doc_id long, y int")
-    rows = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    texts = {r[0]: r[1] for r in rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
-    return [(texts[i], y) for i, y in chosen if i in texts]
+    ids = spark.createDataFrame(sorted({(i,) for i, _ in chosen}), "doc_id long")
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    return chosen, rows.groupBy("doc_id").agg(F.min("text").alias("text"))

@@ -6,12 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import pieces, table, tune, turn_to, utf8, word_hashes, word_spans
+from .common import pieces, table, tune, utf8, word_hashes, word_spans, worker
 from .labels import fold, sample
 
-#: Rows of each class that are fitted at most, and bytes of the longest of them.
+#: Rows of each class that are fitted at most.
 ROWS_PER_CLASS = 2000
-TRAIN_BYTES = 60_000
 THRESHOLD = 0.3
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
 ROUNDS, RATE = 300, 0.08
@@ -74,6 +73,7 @@ def features(column):
     signs = _SIGN[data]
     run = np.zeros(len(data), bool)
     run[1:] = signs[1:] & signs[:-1]
+    run[offsets[:-1][size > 0]] = False  # no run begins in another text
     count = lambda d, flag: np.bincount(d[flag], minlength=n).astype(float)
     ended = np.zeros(len(l_ends), bool)
     if len(l_ends):
@@ -232,9 +232,20 @@ def fit(x, y):
 
 
 def train(docs, labels, rows_per_class=ROWS_PER_CLASS):
-    rows = sample(docs, labels, "quality", fold(5) != 0, rows_per_class, TRAIN_BYTES)
-    x = np.concatenate([features(pa.array([t for t, _ in rows[i : i + 200]])) for i in range(0, len(rows), 200)]) if rows else np.zeros((0, len(FEATURES)))
-    y = np.array([y for _, y in rows], np.int64)
+    """A Model of the labels; the chosen texts' features are computed where the texts are, and only these are collected."""
+    tune(docs.sparkSession)
+    chosen, rows = sample(docs, labels, "quality", fold(5) != 0, rows_per_class)
+
+    @worker("quality")
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features(batch.column(1)).tolist(), pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    found = {r[0]: r[1] for r in rows.mapInArrow(run, "doc_id long, x array<double>").collect()} if chosen else {}
+    used = [(i, y) for i, y in chosen if i in found]
+    x = np.array([found[i] for i, _ in used]).reshape(-1, len(FEATURES))
+    y = np.array([y for _, y in used], np.int64)
     order = np.random.default_rng(5).permutation(len(y))
     return fit(x[order], y[order])
 
@@ -250,8 +261,8 @@ def score(docs, model, keep=("doc_id",)):
     shared = spark.sparkContext.broadcast(model)
     schema = ", ".join([f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
 
+    @worker("quality")
     def run(batches):
-        turn_to("quality")
         for whole in batches:
             for batch in pieces(whole, "__text"):
                 scores = shared.value.score(features(batch.column(len(keep))))

@@ -11,7 +11,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 
-from .common import lower_ascii, pieces, table, tune, turn_to, utf8, word_spans
+from .common import lower_ascii, pieces, table, tune, utf8, word_spans, worker
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -134,8 +134,8 @@ def scan(docs, keep=("doc_id",)):
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [SCHEMA])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    @worker("secrets")
     def run(batches):
-        turn_to("secrets")
         for whole in batches:
             for batch in pieces(whole, "__text"):
                 column = batch.column(batch.schema.get_field_index("__text"))
@@ -152,8 +152,8 @@ def redact(docs, mark="[SECRET]"):
     names = docs.columns
     schema = docs.schema
 
+    @worker("secrets")
     def run(batches):
-        turn_to("secrets")
         for whole in batches:
             for batch in pieces(whole, "text"):
                 at = batch.schema.get_field_index("text")

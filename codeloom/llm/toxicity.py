@@ -6,12 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import INVERSE, BASE, _BYTE_VALUES, lower_ascii, mix, pieces, powers, table, trim, tune, turn_to, utf8, word_hashes, word_spans
+from .common import INVERSE, BASE, _BYTE_VALUES, lower_ascii, mix, pieces, powers, table, trim, tune, utf8, word_hashes, word_spans, worker
 from .labels import fold, sample
 
-#: Rows of each class that are fitted at most, and bytes of the longest of them.
-ROWS_PER_CLASS = 1000
-TRAIN_BYTES = 12_000
+#: Rows of each class that are fitted at most; bytes of training text that are split into words at once.
+ROWS_PER_CLASS = 1500
+AT_ONCE = 1 << 18
 WINDOW, STRIDE = 32, 24
 HIDDEN, DIM = 8, 8
 BUCKET_BITS = 16
@@ -28,7 +28,7 @@ F32 = np.float32
 
 
 def words_of(data, offsets):
-    """Distinct words of a piece: index of each word into them, document of each word, and their characters' n-gram buckets."""
+    """Distinct words of a piece by hash: index of each word into them, document of each word, and their characters' n-gram buckets."""
     data = lower_ascii(data)
     starts, ends, doc = word_spans(data, offsets, _WORD_BYTES)
     hashes = word_hashes(data, starts, ends)
@@ -56,7 +56,11 @@ def words_of(data, offsets):
     word = np.concatenate(word) if word else np.zeros(0, np.int64)
     bucket = np.concatenate(bucket) if bucket else np.zeros(0, np.int64)
     order = np.argsort(word, kind="stable")
-    return (distinct >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), index.astype(np.int64), doc, word[order], bucket[order]
+    return distinct, index.astype(np.int64), doc, word[order], bucket[order]
+
+
+def bucket_of(hashes):
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def windows_of(doc, n_docs):
@@ -140,8 +144,11 @@ class Network:
         g["u"] = np.einsum("tn,tnk->k", de, states)
         ds = e[:, :, None] * dpool + de[:, :, None] * p["u"]
         dx = np.zeros_like(x)
+        words = index.T.ravel()
+        order = np.argsort(words, kind="stable")
+        first = np.flatnonzero(np.r_[True, words[order][1:] != words[order][:-1]])
         for d, way in enumerate("fb"):
-            dxs = np.zeros((len(x), 3 * HIDDEN), F32)
+            das = np.empty((WINDOW, n, 3 * HIDDEN), F32)
             duh = np.zeros_like(p[f"h{way}"])
             dh = np.zeros((n, HIDDEN), F32)
             for t in range(WINDOW - 1, -1, -1) if way == "f" else range(WINDOW):
@@ -156,30 +163,80 @@ class Network:
                 db = np.concatenate([dz, dr, dc * r], axis=1)
                 dh = dn * z + db @ p[f"h{way}"].T
                 duh += h.T @ db
-                np.add.at(dxs, index[:, t], da)
+                das[t] = da
+            dxs = np.zeros((len(x), 3 * HIDDEN), F32)
+            dxs[words[order][first]] = np.add.reduceat(das.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
             g[f"h{way}"], g[f"c{way}"] = duh, dxs.sum(axis=0)
             g[f"x{way}"] = x.T @ dxs
             dx += dxs @ p[f"x{way}"].T
         return g, dx
 
 
+def segments(texts):
+    """(number, bytes) of the texts, long ones cut between words into parts of about AT_ONCE bytes."""
+    for i, text in enumerate(texts):
+        data, at = text.encode(), 0
+        while len(data) - at > AT_ONCE:
+            member = _WORD_BYTES[lower_ascii(np.frombuffer(data, np.uint8, AT_ONCE, at))]
+            gap = np.flatnonzero(~member)
+            cut = at + int(gap[-1]) + 1 if len(gap) else at + AT_ONCE
+            while not len(gap) and cut < len(data) and _WORD_BYTES[data[cut] | 32 if 65 <= data[cut] <= 90 else data[cut]]:
+                cut += 1  # one word of that length: it stays whole
+            yield i, data[at:cut]
+            at = cut
+        yield i, data[at:]
+
+
 class Words:
-    """The words of all training texts: few texts at a time are split, so that little is held besides the result."""
-
-    def __init__(self, texts, at_once=64):
-        buckets, gram_word, gram_bucket, self.docs = [], [], [], []
-        base = 0
-        for i in range(0, len(texts), at_once):
-            word_bucket, index, doc, words, grams = words_of(*utf8(pa.array(texts[i : i + at_once])))
-            buckets.append(word_bucket)
-            gram_word.append((words + base).astype(np.int32))
-            gram_bucket.append(grams.astype(np.int32))
-            edges = np.searchsorted(doc, np.arange(len(texts[i : i + at_once]) + 1))
-            self.docs += [(index[x:y] + base).astype(np.int32) for x, y in zip(edges, edges[1:], strict=False)]
-            base += len(word_bucket)
-        self.buckets = np.concatenate(buckets)
-        self.gram_word, self.gram_bucket = np.concatenate(gram_word), np.concatenate(gram_bucket)
-        self.begin = np.searchsorted(self.gram_word, np.arange(base + 1))
+    """The words of all training texts. A bounded piece of text is split at a time, and each distinct word is held once."""
+
+    def __init__(self, texts):
+        self.hashes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.buckets, sizes, grams = [], [], []
+        parts: list = [[] for _ in texts]
+        for own, data, offsets in self.batched(texts):
+            distinct, index, doc, gram_word, gram_bucket = words_of(data, offsets)
+            ids, new = self.number(distinct)
+            count = np.bincount(gram_word, minlength=len(distinct))
+            self.buckets.append(bucket_of(distinct[new]).astype(np.int32))
+            sizes.append(count[new])
+            grams.append(gram_bucket[new[gram_word]].astype(np.int32))
+            edges = np.searchsorted(doc, np.arange(len(own) + 1))
+            for i, x, y in zip(own, edges, edges[1:], strict=False):
+                parts[i].append(ids[index[x:y]])
+        self.docs = [np.concatenate([np.zeros(0, np.int32), *p]) for p in parts]
+        joined = lambda arrays: np.concatenate([np.zeros(0, np.int32), *arrays])
+        self.buckets, self.gram_bucket, sizes = joined(self.buckets), joined(grams), joined(sizes)
+        self.begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.gram_word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        del self.hashes, self.ids
+
+    @staticmethod
+    def batched(texts):
+        """(numbers, bytes, offsets) of segments together."""
+        own, held, size = [], [], 0
+        for i, data in segments(texts):
+            if own and size + len(data) > AT_ONCE:
+                yield own, np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)])
+                own, held, size = [], [], 0
+            own.append(i)
+            held.append(data)
+            size += len(data)
+        if own:
+            yield own, np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)])
+
+    def number(self, distinct):
+        """The numbers of sorted word hashes, and which are new; these are numbered on in their order."""
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), bool)
+        if len(self.hashes):
+            new = self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct
+        ids = np.empty(len(distinct), np.int32)
+        ids[~new] = self.ids[at[~new]]
+        ids[new] = len(self.ids) + np.arange(int(new.sum()), dtype=np.int32)
+        self.ids = np.insert(self.ids, at[new], ids[new])
+        self.hashes = np.insert(self.hashes, at[new], distinct[new])
+        return ids, new
 
     def grams(self, words):
         """For some words: which of them, and the bucket, of each of their n-grams."""
@@ -248,7 +305,7 @@ def fit(rows, epochs=12, seed=7):
     balance = np.where(ys == 1, 0.5 / max(ys[train].mean(), 1e-3), 0.5 / max(1 - ys[train].mean(), 1e-3)).astype(F32)
     epochs = max(epochs, -(-LEAST_STEPS * 128 // max(1, len(train))))
     for epoch in range(epochs):
-        if epoch in {epochs * k // 5 for k in (2, 3, 4)}:
+        if epoch in {epochs * k // 5 for k in (2, 4)}:
             best = top(score_all(net.inputs(words.buckets, words.gram_word, words.gram_bucket)))
         extra = begin[train] + (rng.random(len(train)) * np.diff(np.r_[begin, len(own)])[train]).astype(np.int64)
         chosen = np.concatenate([best[train], extra[ys[train] == 0]])
@@ -307,10 +364,10 @@ def score_piece(net, column):
     n_docs = len(offsets) - 1
     if isinstance(net, float):
         return np.full(n_docs, net)
-    word_bucket, index, doc, gram_word, gram_bucket = words_of(data, offsets)
+    distinct, index, doc, gram_word, gram_bucket = words_of(data, offsets)
     best = np.full(n_docs, -np.inf)
     if len(index):
-        x = net.inputs(word_bucket, gram_word, gram_bucket)
+        x = net.inputs(bucket_of(distinct), gram_word, gram_bucket)
         start, length, own = windows_of(doc, n_docs)
         for i in range(0, len(start), 4096):
             at = np.minimum(start[i : i + 4096, None] + np.arange(WINDOW), len(index) - 1)
@@ -329,8 +386,8 @@ def score(docs, net, keep=("doc_id",)):
     shared = spark.sparkContext.broadcast(net)
     schema = ", ".join([f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
 
+    @worker("toxicity")
     def run(batches):
-        turn_to("toxicity")
         for whole in batches:
             for batch in pieces(whole, "__text"):
                 scores = score_piece(shared.value, batch.column(len(keep)))
@@ -340,7 +397,11 @@ def score(docs, net, keep=("doc_id",)):
 
 
 def train(docs, labels, rows_per_class=ROWS_PER_CLASS):
-    net = fit(sample(docs, labels, "toxic", fold(3) != 1, rows_per_class, TRAIN_BYTES))
+    """A Network of the labels, fitted on the driver on the whole texts of the bounded sample."""
+    chosen, rows = sample(docs, labels, "toxic", fold(3) != 1, rows_per_class)
+    texts = {r[0]: r[1] for r in rows.collect()} if chosen else {}
+    net = fit([(texts[i], y) for i, y in chosen if i in texts])
+    del texts
     trim()
     return net
 

@@ -40,19 +40,22 @@ def rule_columns(host, path, rules):
 
 
 def alias_key(host, path):
-    """What stays of a url when a server redirects it to its plain form: no www. or m., no final slash."""
-    return F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"/+$", ""))
+    """What stays of a url when a server redirects it to its plain form: no www. or m. before a host that still has a dot, no final slash.
+
+    The query is no part of it, as it is none of a rule's: a block holds for a page under any query.
+    """
+    return F.concat(F.regexp_replace(host, r"^(www|m)\.(.*\..*)$", "$2"), F.regexp_replace(path, r"/+$", ""))
 
 
 def link_targets(html):
     """Targets of canonical links and of redirects by meta refresh, as written."""
     links = F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*>)"), 1)
-    links = F.filter(links, lambda x: x.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b"))
+    links = F.filter(links, lambda x: x.rlike(r"(?i)\brel\s*=\s*([\"'][^\"'>]*\bcanonical\b|canonical\b)"))
     links = F.transform(links, lambda x: F.regexp_extract(x, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     metas = F.regexp_extract_all(html, F.lit(r"(?i)(<meta\b[^>]*>)"), 1)
     metas = F.filter(metas, lambda x: x.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh\b"))
     metas = F.transform(metas, lambda x: F.regexp_extract(x, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
-    return F.filter(F.concat(links, metas), lambda x: x != "")
+    return F.transform(F.filter(F.concat(links, metas), lambda x: x != ""), lambda x: F.regexp_replace(x, "&amp;", "&"))
 
 
 def resolved(target, host, path):
@@ -113,19 +116,31 @@ WITH RECURSIVE rest AS (
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM rest
 ), p AS (
   SELECT page_id, html, host, path, {_sql_case(lambda r: r[1] + r[2])} AS rule, {_sql_case(lambda r: r[0])} AS own,
-    CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') END AS k FROM split
+    CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\\.(.*\\..*)$', '\\2') || regexp_replace(path, '/+$', '') END AS k FROM split
 ), tags AS (
-  SELECT k, unnest(regexp_extract_all(html, '(?i)<(link|meta)\\b[^>]*>')) AS tag FROM p WHERE k IS NOT NULL
-), targets AS (
-  SELECT k, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?canonical\\b')
+  SELECT k, host, path, unnest(regexp_extract_all(html, '(?i)<(link|meta)\\b[^>]*>')) AS tag FROM p WHERE k IS NOT NULL
+), written AS (
+  SELECT k, host, path, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)\\brel\\s*=\\s*(["''][^"''>]*\\bcanonical\\b|canonical\\b)')
       THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?i)http-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1) END AS t FROM tags
+    WHEN regexp_matches(tag, '(?i)^<meta') AND regexp_matches(tag, '(?i)http-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1) END AS t FROM tags
 ), parts AS (
-  SELECT k, translate(regexp_extract(substr(t, strpos(t, '://') + 3), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
-    regexp_extract(substr(t, strpos(t, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path FROM targets WHERE strpos(t, '://') > 0
+  SELECT k, host, path, replace(t, '&amp;', '&') AS t, regexp_extract(replace(t, '&amp;', '&'), '^[^?#]*') AS own FROM written WHERE t <> ''
+), whole AS (
+  SELECT k, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(t, strpos(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3) END AS rest,
+    host, CASE WHEN own = '' THEN path WHEN starts_with(own, '/') THEN own ELSE CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || own END AS path, t FROM parts
+), steps AS (
+  SELECT k, host, regexp_replace(regexp_replace(path, '(/\\.\\.?)$', '\\1/'), '/(\\./)+', '/', 'g') AS path FROM whole
+  WHERE rest IS NULL AND NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:')
+  UNION ALL
+  SELECT k, host, CASE WHEN starts_with(path, '/../') THEN substr(path, 4) ELSE regexp_replace(path, '/[^/]*/\\.\\./', '/') END FROM steps WHERE contains(path, '/../')
+), targets AS (
+  SELECT k, host, path FROM steps WHERE NOT contains(path, '/../')
+  UNION ALL
+  SELECT k, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) FROM whole WHERE rest IS NOT NULL
 ), links AS (
-  SELECT k AS a, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') AS b, {_sql_case(lambda r: r[0])} AS own FROM parts WHERE host <> ''
-), sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+  SELECT k AS a, regexp_replace(host, '^(www|m)\\.(.*\\..*)$', '\\2') || regexp_replace(path, '/+$', '') AS b, {_sql_case(lambda r: r[0])} AS own FROM targets WHERE host <> ''
+),
+sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 bad AS (
   SELECT k FROM p WHERE own = 'block' AND k IS NOT NULL
   UNION SELECT b FROM links WHERE own = 'block'

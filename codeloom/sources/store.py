@@ -61,7 +61,7 @@ class Store:
             at = f"{name}/{table}"
             df = df.withColumn("bucket", bucket_of(F.col("file_id")) if owned else F.lit(0))
             if owned:
-                df = df.repartition(BUCKETS if buckets is None else max(1, len(buckets)), "bucket")
+                df = df.repartition("bucket")  # without a number, so small buckets are gathered in few tasks
             df.sortWithinPartitions("bucket", ORDER[table]).write.partitionBy("bucket").parquet(f"{self.root}/{at}")
             kept = {b: p for b, p in manifest[table].items() if owned and buckets is not None and int(b) not in buckets}
             new = [f.getPath().getName() for f in self.fs.listStatus(self.fs_path(f"{self.root}/{at}"))]

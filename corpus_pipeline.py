@@ -13,30 +13,47 @@ from codeloom.llm.common import carried, scratch, table
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Documents scored below the threshold by a network fitted on labelled documents; null and empty texts stay."""
+    """Documents scored below the threshold by a network fitted on labelled documents.
+
+    Null, empty and wordless texts score 0 and stay; repeated rows are judged alike; labels of one class, or none,
+    give a constant score; an empty table stays empty; other columns go along whatever their names.
+    """
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
     renamed, names, back = carried(docs)
     return back(toxicity.score(renamed, net, keep=names).where(F.col("score") < toxicity.THRESHOLD))
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Null, empty and wordless texts are near nothing and stay, but for rows that repeat both doc_id and text, of which one stays.
+    Rows without a doc_id come after all others. An empty table stays empty; other columns go along whatever their names.
+    """
     return jaccard.one_of_each(docs)
 
 
 def drop_contaminated(spark, docs, sf_dir):
-    """Documents of which less than a twentieth of the words lies in benchmark windows, or none."""
-    renamed, names, back = carried(docs)
-    return back(decontaminate.scan(renamed, table(spark, sf_dir, "benchmark"), keep=names).where(~decontaminate.contaminated()))
+    """Documents of which less than a twentieth of the words lies in benchmark windows, or none.
+
+    Null and wordless texts stay; repeated rows are judged each; benchmark items without an id or words count for
+    nothing, and an empty benchmark keeps all; an empty table stays empty; other columns go along whatever their names.
+    """
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark, docs, sf_dir):
-    """All documents, secrets replaced in text, n_chars counted anew where one was."""
+    """All documents, secrets replaced in text, n_chars counted anew where one was.
+
+    Null and empty texts stay as they are, repeated rows are redacted each, an empty table stays empty, and other columns go along.
+    """
     return secrets.redact(docs)
 
 
 def encode(spark, docs, sf_dir):
-    """doc_id, n_tokens, tokens and the digest of the text decoded from them."""
+    """doc_id, n_tokens, tokens and the digest of the text decoded from them, a row for each document.
+
+    Null counts as empty, which has no tokens; repeated rows are encoded each; an empty table stays empty; other columns are ignored.
+    """
     return bpe.tokenized(docs)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -263,9 +264,15 @@ def test_relative_urls(spark):
         (5, "http://c.net/1/2", link.format("/r?u=http://a.com/de/"), "allow"), (6, "http://d.net/a/b", link.format("c?x#y"), "block"), (7, "http://d.net/a/c", link.format("https://a.com/de/x"), "block"), (8, "http://e.net", link.format("./de"), "allow"),
         (9, "http://f.net", refresh.format("x/./y/../z"), "block"), (10, "http://f.net/x/z", link.format("HTTP://g.com/de/"), "block"), (11, "http://h.net/i/", link.format("#top") + refresh.format("?again"), "allow"), (12, "http://k.com/en/a", refresh.format("../../de/.."), "allow"),
         (13, "http://k.com/fr/a", refresh.format("/de/x/.."), "allow"), (14, "http://l.com/a", refresh.format("/de/x/.."), "block"), (15, None, link.format("/de/y"), "allow"),
+        (16, "http://www.com/z", link.format("http://www.com/y"), "allow"), (17, "http://m.com/z", link.format("/de/q"), "block"), (18, "http://m.n.net/z", "", "block"), (19, "http://n.net/z/", '<LINK rel="alternate canonical" href=/a/b//../../../../w&amp;x>', "block"),
+        (20, "http://www.n.net/w&x", link.format("https://a.com/de/x?a=1&amp;b=2"), "block"), (21, "http://o.net/1", "<link rel=canonicals href=http://a.com/de/x>", "allow"), (22, "http://o.net/2", "<link rel='canonical'>", "allow"),
     ]
     pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
-    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(spark, pages).collect()} == {r[0]: r[3] for r in rows}
+    got = {tuple(r) for r in url_filter.judge(spark, pages).collect()}
+    assert {r[0]: r[4] for r in got} == {r[0]: r[3] for r in rows}
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert set(con.sql(url_filter.ORACLE_SQL).fetchall()) == got
 
 
 @pytest.fixture(scope="module")
