@@ -330,13 +330,13 @@ def _crossing(named):
     return x.join(y, F.expr(meet)).groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.first("x.root").alias("lower"), F.first("y.root").alias("upper"))
 
 
-def _linked(docs, meta, pairs):
-    """The pairs (a, b) that reach the threshold, by their whole sets; each class' set is read from one document."""
+def _linked(docs, classes, pairs):
+    """The pairs (a, b) that reach the threshold, by their whole sets; each class' set is read from one document, that of classes(sig, id)."""
     spark = docs.sparkSession
     pairs = scratch(spark, pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    readers = meta.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    bits = readers.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).alias("bit"), F.col("doc_id"))
+    readers = classes.join(wanted, "sig", "left_semi")
+    bits = readers.select(F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS)).alias("bit"))
     # the readers' bits in words of 64: of one size, however many there are
     words = bits.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("v")).collect()
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
@@ -395,6 +395,8 @@ def near_duplicates(docs):
     docs = docs.select("doc_id", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     meta = scratch(spark, _meta(docs), "sets-meta")
+    # a row for each class, counted before it is shuffled: copies of one text never meet in a join
+    classes = scratch(spark, meta.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id")), "classes")
     total = meta.agg(F.sum("n")).first()[0] or 0
     key_bits = min(60, max(32, int(total).bit_length() + 4))
     entries = _shared(docs, parts, _frequent(docs, parts, key_bits), key_bits).dropDuplicates(["h", "sig"])
@@ -402,18 +404,19 @@ def near_duplicates(docs):
     roots = spark.createDataFrame([], "node long, root long")
     for turn in range(TURNS):
         named = _mixed(spark, _rooted(entries, roots))
-        links = _linked(docs, meta, _stars(named, PIVOTS if turn else 1, turn))
+        links = _linked(docs, classes, _stars(named, PIVOTS if turn else 1, turn))
         up = _jumped(spark, links.groupBy(F.col("upper").alias("node")).agg(F.min("lower").alias("up")))
         moved = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        roots = scratch(spark, moved.unionByName(up.join(roots.select("node"), "node", "left_anti")), "roots")
-        forget(spark, named, links)
-    last = _mixed(spark, _rooted(entries, roots))
-    more = components(spark, _linked(docs, meta, _crossing(last)).select(F.col("lower").alias("a"), F.col("upper").alias("b")))
+        before, roots = roots, scratch(spark, moved.unionByName(up.join(roots.select("node"), "node", "left_anti")), "roots")
+        forget(spark, named, links, up, before)
+    before, last = roots, _mixed(spark, _rooted(entries, roots))
+    more = components(spark, _linked(docs, classes, _crossing(last)).select(F.col("lower").alias("a"), F.col("upper").alias("b")))
     more = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = roots.join(more, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     roots = moved.unionByName(more.join(roots, more["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root")))
-    named = meta.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id")).join(roots, F.col("sig") == F.col("node"), "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
-    named = scratch(spark, named, "classes")
+    named = classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
+    named = scratch(spark, named, "named")
+    forget(spark, classes, entries, last, before)
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     named = named.join(least, "root").select("sig", "component_id")
     out = meta.join(named, "sig", "left")
