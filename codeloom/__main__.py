@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import glob
 import hashlib
 import json
 import os
@@ -83,7 +84,7 @@ def main(argv=None):
     if args.command == "prompt":
         try:
             text = prompt_text(sys.stdin.read())
-            if text and (":/" in at or os.path.exists(os.path.join(at, "CURRENT"))):  # a prompt never makes an index
+            if text and (":/" in at or glob.glob(os.path.join(glob.escape(at), "AT-*"))):  # a prompt never makes an index
                 spark = session()
                 found = note(Graph(Store(spark, at if ":/" in at else "file:" + os.path.abspath(at)).tables()).hints(text))
                 if found:
@@ -110,9 +111,7 @@ def main(argv=None):
     else:
         contents = None
         if args.root:
-            from pyspark.sql import functions as F
-
-            contents = tree.contents(tree.read(spark, args.root)).select("path", F.col("content").cast("string").alias("content"))
+            contents = tree.texts(args.root)
         if args.question not in QUESTIONS:
             p.error(f"questions: {', '.join(QUESTIONS)}")
         print(json.dumps(getattr(Graph(store.tables(), contents), args.question)(**json.loads(args.arguments)), ensure_ascii=False))

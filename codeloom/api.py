@@ -23,13 +23,13 @@ def rows(df):
 
 
 class Graph:
-    """Questions to one snapshot: files, symbols, edges, ext_edges, and contents(path, content) for what reads source."""
+    """Questions to one snapshot: files, symbols, edges, ext_edges, and for what reads source contents(path, content) or a function that gives it for files(path)."""
 
     def __init__(self, tables, contents=None):
         self.files, self.symbols = tables["files"], tables["symbols"]
         self.edges = graph.all_edges(tables["edges"], tables["files"], tables["ext_edges"])
         self.ext_edges, self.contents = tables["ext_edges"], contents
-        self.postings = tables.get("postings")
+        self.postings, self.trigrams = tables.get("postings"), tables.get("trigrams")
 
     def name(self, fqn):
         return lookup.resolve(self.symbols, self.files, fqn)
@@ -53,7 +53,9 @@ class Graph:
     def _source(self, hit, offset, most):
         if self.contents is None:
             return None
-        text = self.contents.where(F.col("path") == hit["path"]).select(source_window(F.col("content").cast("string"), F.lit(hit["start_line"]), F.lit(hit["end_line"]), offset, most).alias("s")).first()
+        own = self.files.where(F.col("path") == hit["path"]).select("path")
+        text = self.contents(own) if callable(self.contents) else self.contents.where(F.col("path") == hit["path"])
+        text = text.where("content IS NOT NULL").select(source_window(F.col("content").cast("string"), F.lit(hit["start_line"]), F.lit(hit["end_line"]), offset, most).alias("s")).first()
         if text is None:
             raise LookupError(f"stale index: {hit['path']} is gone")
         if text["s"] is None:
@@ -99,7 +101,7 @@ class Graph:
 
     def search_code(self, query, regex=False, path_prefix="", limit=0):
         n = reset(limit, 50, 200)
-        found = rows(lookup.search_code(self.files, self.contents, query, regex, path_prefix, n))
+        found = rows(lookup.search_code(self.files, self.contents, query, regex, path_prefix, n, self.trigrams))
         return {"matches": found[:n], "truncated": len(found) > n}
 
     def impact(self, fqn, depth=0, per_level=0):

@@ -50,8 +50,12 @@ def edge_filter(edges, path_prefix: str = "", exclude_tests: bool = False):
     return edges.where(~is_test_excluded(F.col("file"))) if exclude_tests else edges
 
 
+#: Folders of other people's code.
+VENDOR_FOLDERS = frozenset(("vendor", "node_modules"))
+
+
 def in_vendor(path: Column) -> Column:
-    return F.arrays_overlap(F.split(path, "/"), F.array(F.lit("vendor"), F.lit("node_modules")))
+    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, sorted(VENDOR_FOLDERS))))
 
 
 def proper_edge(source: Column, target: Column) -> Column:

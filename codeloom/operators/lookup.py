@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import has_prefix, is_test_rank, line_matches
 from ..functions.scalars import doc_summary, short_name_of, snippet
 from ..schema import CLASS_KINDS, SYMBOL_COLUMNS
+from .trigrams import candidates, required
 
 
 def placed(symbols, files):
@@ -59,12 +60,23 @@ def by_names(symbols, files, names, limit=50):
     return hits(found.orderBy(F.desc(F.col("kind").isin(*CLASS_KINDS)), "fqn", "path", "start_line").limit(limit))
 
 
-def search_code(files, contents, pattern, regex=False, path_prefix="", limit=50):
-    """file, line, text of matching lines of project files: contents(path, content). One row beyond limit tells that there are more."""
-    own = files.where(~F.col("vendor")).select("path")
+def search_code(files, contents, pattern, regex=False, path_prefix="", limit=50, index=None):
+    """file, line, text of matching lines of project files. One row beyond limit tells that there are more.
+
+    contents is path, content, or a function that gives it for files(path). With trigram postings index(path or file_id, gram) only the
+    texts that hold what the pattern requires are read and split into lines.
+    """
+    own = files.where(~F.col("vendor"))
     if path_prefix:
         own = own.where(has_prefix(F.col("path"), path_prefix))
-    lines = contents.join(own, "path", "left_semi").select("path", F.posexplode(F.split("content", "\n")).alias("at", "raw"))
+    if index is not None:
+        key = "file_id" if "file_id" in index.columns else "path"
+        found = candidates(index, required(pattern, regex), key)
+        if found is not None:
+            own = own.join(found, key, "left_semi")
+    own = own.select("path")
+    texts = contents(own) if callable(contents) else contents.join(own, "path", "left_semi")
+    lines = texts.select("path", F.posexplode(F.split("content", "\n")).alias("at", "raw"))
     found = lines.where(line_matches(F.col("raw"), pattern, regex)).select(F.col("path").alias("file"), (F.col("at") + 1).alias("line"), snippet(F.col("raw")).alias("text"))
     return found.orderBy("file", "line").limit(limit + 1)
 

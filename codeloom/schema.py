@@ -19,7 +19,8 @@ EDGES = "file_id BIGINT, from_fqn STRING, kind STRING, to_fqn STRING, resolved B
 EXT_EDGES = "source STRING, from_fqn STRING, kind STRING, to_fqn STRING, file STRING, line INT"
 META = "key STRING, value STRING"
 POSTINGS = "file_id BIGINT, row BIGINT, col STRING, token STRING, pos INT"
-TABLES = {"files": FILES, "symbols": SYMBOLS, "postings": POSTINGS, "imports": IMPORTS, "edges": EDGES, "ext_edges": EXT_EDGES, "meta": META}
+TRIGRAMS = "file_id BIGINT, gram STRING"
+TABLES = {"files": FILES, "symbols": SYMBOLS, "postings": POSTINGS, "trigrams": TRIGRAMS, "imports": IMPORTS, "edges": EDGES, "ext_edges": EXT_EDGES, "meta": META}
 
 #: One extracted file.
 FILE_INDEX = (

@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 import threading
 
-from pyspark.sql import functions as F
-
 from .api import Graph
 from .plans import index
 from .sources import tree
@@ -23,8 +21,7 @@ class Server:
         self.graph = self.open()
 
     def open(self):
-        files = tree.contents(tree.read(self.store.spark, self.root))
-        return Graph(self.store.tables(), files.select("path", F.col("content").cast("string").alias("content")))
+        return Graph(self.store.tables(), tree.texts(self.root))
 
     def refresh(self):
         """Start a run in the background, unless one is going on; the thread."""

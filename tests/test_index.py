@@ -9,7 +9,7 @@ from codeloom.api import Graph, clamp, reset
 from codeloom.operators import fts
 from codeloom.plans import index
 from codeloom.sources import layers, tree
-from codeloom.sources.store import Store
+from codeloom.sources.store import Store, Superseded
 
 
 def put(root, path, text):
@@ -59,14 +59,70 @@ def test_runs(spark, project, tmp_path):
 
 
 def test_vendor_skip_and_config(spark, project):
-    files = tree.read(spark, project)
-    rules = tree.ignore_rules(files)
-    assert {r["path"] for r in tree.sources(files, tree.config("vendor: skip"), rules).collect()} == {"app/books/Ledger.php", "app/books/Audit.php", "tests/LedgerTest.php"}
+    assert {r["path"] for r in tree.walk(spark, project, tree.config("vendor: skip")).collect()} == {"app/books/Ledger.php", "app/books/Audit.php", "tests/LedgerTest.php"}
     assert tree.config()["vendor"] == "index"
     with pytest.raises(ValueError):
         tree.config("vendor: maybe")
 
 
+def plain_walk(root, vendor="index"):
+    """What a tree's walk gives, by the rules as they are told: whole folders go, the last rule that fits counts, vendor folders know no rules."""
+    out, rules = {}, []
+
+    def below(folder, rules):
+        here = os.path.join(root, folder)
+        own = [*rules]
+        in_vendor = bool({"vendor", "node_modules"} & set(folder.split("/")))
+        if not in_vendor and os.path.isfile(os.path.join(here, ".gitignore")):
+            with open(os.path.join(here, ".gitignore")) as f:
+                own += [(folder, line.rstrip("\n")) for line in f]
+
+        def gone(path):
+            state = False
+            for at, line in own:
+                found = tree.ignore_regex(line, at)
+                if found and __import__("re").match(found[0], path):
+                    state = not found[1]
+            return state
+
+        for name in os.listdir(here):
+            path = f"{folder}/{name}" if folder else name
+            full = os.path.join(root, path)
+            if os.path.isdir(full) and not os.path.islink(full):
+                if name == ".git" or (not in_vendor and name not in ("vendor", "node_modules") and gone(path + "/")) or (vendor == "skip" and name in ("vendor", "node_modules")):
+                    continue
+                below(path, own)
+            elif os.path.isfile(full) and name.lower().endswith((".php", ".go", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")) and (in_vendor or not gone(path)):
+                out[path] = (os.stat(full).st_size, os.stat(full).st_mtime_ns, in_vendor)
+
+    below("", rules)
+    return out
+
+
+@pytest.mark.parametrize("entries", [1, 3, 20_000])
+def test_walk_by_levels(spark, tmp_path, monkeypatch, entries):
+    """Whatever a task may meet before it hands back, the same files are found, each once."""
+    import random
+
+    r, root = random.Random(7), str(tmp_path / "t")
+    names = ["a", "b", "_c", ".d", "gen", "vendor", "node_modules", ".git"]
+    for _ in range(120):
+        folder = "/".join(r.choice(names) for _ in range(r.randint(0, 5)))
+        put(root, f"{folder}/{r.choice('xyz')}{r.choice(['.php', '.go', '.TS', '.txt', '.log.js'])}".lstrip("/"), "z" * r.randint(0, 9))
+    for folder, lines in (("", "gen/\n*.log.js\n!keep.log.js\n"), ("a", "/b\n!b/\nx.*\n"), ("b", "*\n!*/\n!y.go\n"), ("a/vendor", "*\n"), ("_c", "# none\n\n")):
+        put(root, f"{folder}/.gitignore".lstrip("/"), lines)
+    put(root, "a/keep.log.js", "k")
+    os.symlink(root, os.path.join(root, "a", "loop"))
+    os.symlink(os.path.join(root, "nowhere.php"), os.path.join(root, "a", "dead.php"))
+    monkeypatch.setattr(tree, "ENTRIES", entries)
+    for vendor in ("index", "skip"):
+        found = tree.walk(spark, root, tree.config(f"vendor: {vendor}")).collect()
+        assert len(found) == len({r["path"] for r in found})
+        assert {r["path"]: (r["size"], r["mtime_ns"], r["vendor"]) for r in found} == plain_walk(root, vendor)
+    some = tree.walk(spark, root, tree.config("include: [a/vendor, a, a/b/]")).collect()
+    assert {r["path"] for r in some} == {p for p in plain_walk(root) if p.startswith("a/")}
+
+
 @pytest.mark.parametrize(
     "line, folder, path, hit",
     [("*.log", "", "a/b.log", True), ("/a", "", "b/a/x", False), ("/a", "", "a/x", True), ("a/", "", "a", False), ("a/", "", "x/a/b", True), ("a/**/b", "", "a/x/y/b", True), ("x?.go", "s", "s/d/xy.go", True), ("x?.go", "s", "t/xy.go", False), ("[!a]b", "", "cb", True)],
@@ -81,7 +137,8 @@ def test_modules(spark, tmp_path):
     put(str(tmp_path), "go.mod", "module example.com/m\n")
     put(str(tmp_path), "web/package.json", '{"name": "@a/web"}')
     put(str(tmp_path), "bad/package.json", "no")
-    assert tree.modules(tree.read(spark, str(tmp_path))) == {"go": {".": "example.com/m"}, "js": {"@a/web": "web"}}
+    put(str(tmp_path), "vendor/go.mod", "module example.com/other\n")
+    assert tree.modules(tree.walk(spark, str(tmp_path))) == {"go": {".": "example.com/m"}, "js": {"@a/web": "web"}}
 
 
 def test_layers_and_questions(spark, project, tmp_path):
@@ -93,8 +150,7 @@ def test_layers_and_questions(spark, project, tmp_path):
     rows = store.read("ext_edges").collect()
     assert [(r["from_fqn"], r["file"], r["line"]) for r in rows] == [("Audit::check()", "app/books/Audit.php", 1)]
 
-    contents = tree.contents(tree.read(spark, project)).select("path", "content")
-    g = Graph(store.tables(), contents.withColumn("content", contents["content"].cast("string")))
+    g = Graph(store.tables(), tree.texts(project))
     assert [e["from_fqn"] for e in g.get_callers("Ledger::post()")["edges"]] == ["Audit::check()"]
     assert {e["from_fqn"] for e in g.get_callers("Ledger::check()")["edges"]} == {"Ledger::post()"}
     assert g.class_hierarchy("Ledger")["descendants"] == [{"fqn": "Audit", "kind": "extends"}]
@@ -142,12 +198,62 @@ def test_forced_run_and_snapshots(spark, project, tmp_path):
     assert not store.read("postings").where("token = 'audit'").count()
     own = os.listdir(tmp_path / "store")
     own, after = os.listdir(tmp_path / "store"), store.manifest(store.current())["symbols"]
-    assert "CURRENT" in own and not any(n.startswith("NEXT") for n in own)
+    assert not any(n.startswith("NEXT") for n in own) and {n for n in own if n.startswith("AT-")} == {"AT-2", "AT-3"}
     shared = {b for b, p in store.manifest(at)["symbols"].items() if after.get(b) == p}
     assert shared and len(after) - len(shared) == 1  # the changed file's bucket alone was written
     assert {p.split("/")[0] for p in after.values()} <= set(own)
 
 
+def test_two_writers(spark, project, tmp_path, monkeypatch):
+    """Of two runs over one snapshot the second loses nothing of the first: it is told and compares anew. Its folder goes, another's that is being filled stays."""
+    store = Store(spark, "file:" + str(tmp_path / "store"))
+    index.run(store, project)
+    since = store.pointers()[-1]
+    store.write({"meta": spark.createDataFrame([("k", "first")], "key string, value string")}, since=since)
+    with pytest.raises(Superseded):
+        store.write({"meta": spark.createDataFrame([("k", "second")], "key string, value string")}, since=since)
+    assert [r["value"] for r in store.read("meta").collect()] == ["first"] and store.read("files").count() == 4
+    own = os.listdir(tmp_path / "store")
+    assert not any(n.startswith("NEXT") for n in own) and sum(n.startswith("s-") for n in own) == 2
+    os.makedirs(tmp_path / "store" / "s-beingfilled")
+    os.makedirs(tmp_path / "store" / "s-leftover")
+    os.utime(tmp_path / "store" / "s-leftover", (1, 1))
+    put(project, "app/books/Ledger.php", "<?php class Journal {}")
+    other, fold = Store(spark, "file:" + str(tmp_path / "store")), index.fold
+
+    def late(*args):
+        monkeypatch.setattr(index, "fold", fold)
+        other.write({"meta": spark.createDataFrame([("k", "other")], "key string, value string")})
+        fold(*args)
+
+    monkeypatch.setattr(index, "fold", late)
+    assert index.run(store, project) == {"unchanged": 3, "changed": 1}
+    assert [r["value"] for r in store.read("meta").collect()] == ["other"]
+    assert "Journal" in {r["name"] for r in store.read("symbols").collect()}
+    own = os.listdir(tmp_path / "store")
+    assert "s-beingfilled" in own and "s-leftover" not in own
+
+
+def test_code_search_reads_candidates_only(spark, project, tmp_path):
+    store = Store(spark, "file:" + str(tmp_path / "store"))
+    index.run(store, project)
+    read = []
+
+    def texts(files):
+        read.append({r["path"] for r in files.collect()})
+        return tree.texts(project)(files)
+
+    g = Graph(store.tables(), texts)
+    assert [m["file"] for m in g.search_code("NEW ledger")["matches"]] == ["tests/LedgerTest.php"] and read.pop() == {"tests/LedgerTest.php"}
+    assert [m["line"] for m in g.search_code("function (post|check)\\(", regex=True, path_prefix="app/books/L")["matches"]] == [3, 4] and read.pop() == {"app/books/Ledger.php"}
+    assert g.search_code("nothing like it")["matches"] == [] and read.pop() == set()
+    assert len(g.search_code("s+", regex=True)["matches"]) == 4 and len(read.pop()) == 3  # requires nothing, so all are read
+    os.remove(os.path.join(project, "tests/LedgerTest.php"))
+    assert g.search_code("NEW ledger")["matches"] == []
+    with pytest.raises(LookupError):
+        g.get_symbol("LedgerTest", include_source=True)
+
+
 def test_bad_layer_line(spark, tmp_path):
     put(str(tmp_path), "enrich.x.jsonl", '{"from": "a"}\nnot json\n')
     with pytest.raises(Exception):
