@@ -29,7 +29,7 @@ class Graph:
         self.files, self.symbols = tables["files"], tables["symbols"]
         self.edges = graph.all_edges(tables["edges"], tables["files"], tables["ext_edges"])
         self.ext_edges, self.contents = tables["ext_edges"], contents
-        self.postings, self.trigrams = tables.get("postings"), tables.get("trigrams")
+        self.postings, self.lengths, self.trigrams = tables.get("postings"), tables.get("lengths"), tables.get("trigrams")
 
     def name(self, fqn):
         return lookup.resolve(self.symbols, self.files, fqn)
@@ -37,11 +37,11 @@ class Graph:
     def index(self):
         """Symbols by key, and their postings: the stored ones, or made here if the tables have none."""
         keyed = fts.keyed(self.symbols)
-        return keyed, self.postings if self.postings is not None else fts.postings(keyed)
+        return keyed, self.postings if self.postings is not None else fts.postings(keyed, sized=True)
 
     def search_symbols(self, query, kind="", name="", limit=0, offset=0):
         keyed, postings = self.index()
-        page, total = fts.search(keyed, self.files, query, kind, name, clamp(limit), max(offset, 0), postings)
+        page, total = fts.search(keyed, self.files, query, kind, name, clamp(limit), max(offset, 0), postings, self.lengths)
         found = rows(page)
         return {"results": found, "total": total, "truncated": offset > 0 or total > len(found)}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 #: Tables that hang on a file.
-OWNED = ("symbols", "imports", "edges", "postings", "trigrams")
+OWNED = ("symbols", "imports", "edges", "postings", "lengths", "trigrams")
 
 
 def diff(known, current, force=False):

@@ -73,7 +73,7 @@ def fold(store, statuses, current, fresh, modules=None, since=None):
         incremental.file_id(F.col("path")).alias("file_id"), "path", "lang", "hash", "size", "mtime_ns", "vendor", "has_errors", F.unix_timestamp(F.current_timestamp()).alias("indexed_at")
     )
     own = fresh.where("NOT vendor").select(incremental.file_id(F.col("path")).alias("file_id"), F.col("content").cast("string").alias("content"))
-    rows = {"files": files, "symbols": symbols, "imports": imports, "edges": edges, "postings": fts.stored(symbols), "trigrams": trigrams.postings(own, ("file_id",))}
+    rows = {"files": files, "symbols": symbols, "imports": imports, "edges": edges, "postings": fts.stored(symbols), "lengths": fts.lengths(symbols), "trigrams": trigrams.postings(own, ("file_id",))}
     rows = {k: v.select(*[f.name for f in known[k].schema]) for k, v in rows.items()}
     store.write(incremental.next_snapshot(known, statuses, current, rows), buckets, since)
     index.unpersist()

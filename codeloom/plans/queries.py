@@ -337,8 +337,8 @@ _MATCH = ", a AS (SELECT row, count(*) AS f FROM p WHERE starts_with(token, 'bl'
 
 @query("x04_fts_match", with_views(_POSTINGS + _MATCH + " SELECT a.row FROM a JOIN b USING (row)", "g_symbols"))
 def x04(spark, d):
-    index = fts.postings(_indexed(spark, d)[0])
-    return fts.ranked(index, "bl part_1").select("row")
+    symbols, _ = _indexed(spark, d)
+    return fts.ranked(fts.postings(symbols, sized=True), "bl part_1", fts.lengths(symbols)).select("row")
 
 
 _SCORE = """, z AS (SELECT row, count(*) AS d FROM p GROUP BY row), st AS (SELECT (SELECT count(*) FROM g_symbols) AS n, (SELECT count(*) FROM p) / (SELECT count(*) FROM g_symbols) AS av),
@@ -350,7 +350,7 @@ _SCORE = """, z AS (SELECT row, count(*) AS d FROM p GROUP BY row), st AS (SELEC
 @query("x05_bm25", with_views(_POSTINGS + _MATCH + _SCORE, "g_symbols"))
 def x05(spark, d):
     symbols, _ = _indexed(spark, d)
-    return fts.ranked(fts.postings(symbols), "bl part_1", symbols.count()).select("row", F.round("score", 9).alias("score"))
+    return fts.ranked(fts.postings(symbols, sized=True), "bl part_1", fts.lengths(symbols)).select("row", F.round("score", 9).alias("score"))
 
 
 @query("l01_search_symbols", with_views(_POSTINGS + ", a AS (SELECT DISTINCT row FROM p WHERE starts_with(token, 'supplier')) SELECT row, fqn, kind FROM a JOIN g_symbols USING (row) WHERE kind = 'method'", "g_symbols"))

@@ -18,9 +18,10 @@ IMPORTS = "file_id BIGINT, alias STRING, fqn STRING, kind STRING"
 EDGES = "file_id BIGINT, from_fqn STRING, kind STRING, to_fqn STRING, resolved BOOLEAN, line INT"
 EXT_EDGES = "source STRING, from_fqn STRING, kind STRING, to_fqn STRING, file STRING, line INT"
 META = "key STRING, value STRING"
-POSTINGS = "file_id BIGINT, row BIGINT, col STRING, token STRING, pos INT"
+POSTINGS = "file_id BIGINT, row BIGINT, col STRING, token STRING, pos INT, d INT"
+LENGTHS = "file_id BIGINT, rows BIGINT, tokens BIGINT"
 TRIGRAMS = "file_id BIGINT, gram STRING"
-TABLES = {"files": FILES, "symbols": SYMBOLS, "postings": POSTINGS, "trigrams": TRIGRAMS, "imports": IMPORTS, "edges": EDGES, "ext_edges": EXT_EDGES, "meta": META}
+TABLES = {"files": FILES, "symbols": SYMBOLS, "postings": POSTINGS, "lengths": LENGTHS, "trigrams": TRIGRAMS, "imports": IMPORTS, "edges": EDGES, "ext_edges": EXT_EDGES, "meta": META}
 
 #: One extracted file.
 FILE_INDEX = (

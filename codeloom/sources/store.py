@@ -16,7 +16,7 @@ BUCKETS = 64
 #: Seconds after which a folder that no kept snapshot uses is taken for left over; younger ones may be another writer's.
 LEFT_OVER = 3600
 #: What a bucket's rows are sorted by, so that readers skip row groups.
-ORDER = {"edges": "to_fqn", "ext_edges": "to_fqn", "symbols": "name", "postings": "token", "trigrams": "gram", "files": "path", "imports": "alias", "meta": "key"}
+ORDER = {"edges": "to_fqn", "ext_edges": "to_fqn", "symbols": "name", "postings": "token", "lengths": "file_id", "trigrams": "gram", "files": "path", "imports": "alias", "meta": "key"}
 
 
 def bucket_of(file_id):
