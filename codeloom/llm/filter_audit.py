@@ -59,10 +59,13 @@ class Trie:
     A state is the DataFrame of rows that none of its filters removed, persisted while its own continuations run. walk() goes depth
     first: on the first visit of a state one job counts, by part, its rows and what each filter not yet applied removes of them, which are
     its outgoing edges; a prefix that reaches the state again finds it counted. At most one state for each depth is held.
+    Each part has a row that no filter removes and that counts for nothing, so a part of which nothing is left is counted too.
     """
 
     def __init__(self, rows, names):
-        self.rows, self.names = rows, list(names)
+        self.names = list(names)
+        none = {c: F.lit(False) for c in rows.columns if c != "part"}
+        self.rows = rows.withColumn("counts", F.lit(True)).unionByName(rows.select("part").distinct().withColumns(none | {"counts": F.lit(False)}))
         self.counted: set = set()
         self.root = f"{shared_dir(rows.sparkSession)}/audit-states-{uuid.uuid4().hex}"
 
@@ -85,7 +88,7 @@ class Trie:
             rows.unpersist()
 
     def _count(self, state, rows):
-        found = [F.count("*").alias("n")]
+        found = [F.count_if("counts").alias("n")]
         for name in self.names:
             for what, also in (("removed", F.lit(True)), ("good", F.col("good")), ("toxic", F.col("toxic"))):
                 found.append(F.count_if(F.col(f"fails_{name}") & also).alias(f"{what}_{name}"))
