@@ -94,6 +94,11 @@ def reference_count(edges, fqn):
     return edges.where(F.col("to_fqn") == fqn).agg(F.count("*").alias("n"))
 
 
+def reference_counts(edges):
+    """to_fqn, n: how often each symbol is referred to."""
+    return edges.groupBy("to_fqn").agg(F.count("*").alias("n"))
+
+
 def tests_referencing(edges, fqns, limit=20):
     """file: test files with any edge into one of the symbols."""
     found = edges.where(F.col("to_fqn").isin(*fqns) & is_test_referencing(F.col("file")))
@@ -144,14 +149,3 @@ def affected_tests(edges, fqn, called_from, limit=20):
     split = method_split_of(fqn)
     found = tests_referencing(edges, [fqn, *([split[0]] if split else [])], limit)
     return found, "no call comes from a test; these tests refer to the symbol or its class"
-
-
-def implementations(methods, interface_methods):
-    """from_fqn, to_fqn of types that have every method of an interface: methods(owner, name, signature), interface_methods alike.
-
-    Relational division: matches are counted against the size of the interface. Interfaces without methods match nothing.
-    """
-    sizes = interface_methods.groupBy(F.col("owner").alias("to_fqn")).agg(F.count_distinct("name", "signature").alias("size"))
-    met = interface_methods.select(F.col("owner").alias("to_fqn"), "name", "signature").distinct().join(methods.select(F.col("owner").alias("from_fqn"), "name", "signature").distinct(), ["name", "signature"])
-    met = met.where("from_fqn <> to_fqn").groupBy("from_fqn", "to_fqn").agg(F.count("*").alias("n"))
-    return met.join(sizes, "to_fqn").where("n = size").select("from_fqn", "to_fqn")

@@ -54,3 +54,12 @@ def file_id(path):
 def upsert_meta(meta, updates):
     """Key-value rows, the updates winning."""
     return meta.join(updates, "key", "left_anti").unionByName(updates)
+
+
+def folded(counts, gone, fresh, *keys):
+    """Stored counts(*keys, n) after a run: rows that went count down and those that came count up; what is left with none goes.
+
+    Rows gone and fresh are those of the run's files only, so no other row is counted anew.
+    """
+    signed = gone.select(*keys, F.lit(-1).cast("long").alias("n")).unionAll(fresh.select(*keys, F.lit(1).cast("long").alias("n")))
+    return counts.select(*keys, "n").unionAll(signed).groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")

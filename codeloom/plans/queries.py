@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import predicates, scalars
-from ..operators import enrich, fts, graph, incremental, lookup
+from ..operators import enrich, fts, graph, incremental, lookup, methods
 from .fixpoint import closure
 from .projection import CURRENT, EDGES, FILES, PREVIOUS, SYMBOLS, CYCLIC, load
 
@@ -139,7 +139,7 @@ def g11(spark, d):
 
 @query("g13_all_reference_counts", with_views(" SELECT to_fqn, count(*) AS n FROM g_edges GROUP BY to_fqn", "g_edges"))
 def g13(spark, d):
-    return load(spark, d, "g_edges").groupBy("to_fqn").agg(F.count("*").alias("n"))
+    return graph.reference_counts(load(spark, d, "g_edges"))
 
 
 @query("g14_implements_division_whole", "WITH h AS (SELECT DISTINCT 'T' || o_custkey AS owner, 'm' || l_partkey AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey), i AS (SELECT DISTINCT 'I' || (p_partkey - p_partkey % (1 + p_size % 3)) AS owner, 'm' || p_partkey AS name FROM part), s AS (SELECT owner, count(*) AS n FROM i GROUP BY owner) SELECT h.owner AS from_fqn, i.owner AS to_fqn FROM h JOIN i USING (name) JOIN s ON s.owner = i.owner GROUP BY h.owner, i.owner, s.n HAVING count(*) = s.n")
@@ -147,7 +147,7 @@ def g14_whole(spark, d):
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
     types = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("T"), "o_custkey").alias("owner"), F.concat(F.lit("m"), "l_partkey").alias("name"), F.lit("()").alias("signature"))
     faces = read("part").select(F.concat(F.lit("I"), F.col("p_partkey") - F.col("p_partkey") % (1 + F.col("p_size") % 3)).alias("owner"), F.concat(F.lit("m"), "p_partkey").alias("name"), F.lit("()").alias("signature"))
-    return graph.implementations(types, faces)
+    return methods.implementations(types, faces)
 
 
 @query("g_cyclic_reach", with_views(", r AS (SELECT CAST('evt.click' AS VARCHAR) AS node UNION SELECT dst FROM r JOIN g_cyclic ON src = node) SELECT node FROM r WHERE node <> 'evt.click'", "g_cyclic", recursive=True))

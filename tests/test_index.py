@@ -272,18 +272,42 @@ def test_layer_files(spark, tmp_path):
         layers.read_layer(spark, str(tmp_path / "enrich.long.jsonl")).collect()
 
 
-def test_stream(spark, tmp_path):
+STREAM = "path string, content string, vendor boolean, size long, mtime_ns long"
+
+
+def streamed(spark, folder, batches):
+    """The store after these batches of rows, and how many snapshots it took."""
     from codeloom.streaming.refresh import refresh
 
-    schema = "path string, content string, vendor boolean, size long, mtime_ns long"
+    source, store = str(folder / "in"), Store(spark, "file:" + str(folder / "store"))
+    for batch in batches:
+        spark.createDataFrame(batch, STREAM).coalesce(1).write.mode("append").json(source)
+        refresh(spark.readStream.schema(STREAM).json(source), store, str(folder / "ck"), once=True).awaitTermination()
+    return store
+
+
+def test_stream(spark, tmp_path):
     rows = [("a.go", "package a\nfunc F() {}\n", False, 1, 1), ("b.go", "package a\nfunc G() { F() }\n", False, 1, 1)]
-    source, store = str(tmp_path / "in"), Store(spark, "file:" + str(tmp_path / "store"))
-    for batch in (rows, [("a.go", "package a\nfunc H() {}\n", False, 1, 2), ("b.go", None, False, 1, 2)]):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(source)
-        refresh(spark.readStream.schema(schema).json(source), store, str(tmp_path / "ck"), once=True).awaitTermination()
+    store = streamed(spark, tmp_path, [rows, [("a.go", "package a\nfunc H() {}\n", False, 1, 2), ("b.go", None, False, 1, 2)]])
     assert [r["name"] for r in store.read("symbols").collect()] == ["H"]
 
 
+def test_stream_in_any_order(spark, tmp_path):
+    """Late rows change nothing, whatever batches they come in: the same rows end in one store."""
+    go = lambda name: f"package a\nfunc {name}() {{}}\n"
+    rows = [("a.go", go("One"), False, 1, 10), ("a.go", go("Two"), False, 2, 20), ("a.go", go("Two"), False, 2, 25), ("b.go", go("Bee"), False, 1, 5), ("b.go", None, False, 1, 7), ("c.go", go("See"), False, 1, 3), ("c.go", None, False, 1, 3), ("d.go", None, False, 1, 1)]
+    orders = [[rows], [rows[:3], rows[3:]], [rows[4:], rows[2:4], rows[:2]], [[rows[2]], [rows[0], rows[4], rows[6]], [rows[1], rows[3], rows[5], rows[7]]]]
+    found = []
+    for i, batches in enumerate(orders):
+        store = streamed(spark, tmp_path / str(i), batches)
+        found.append((sorted((r["path"], r["hash"], r["mtime_ns"]) for r in store.read("files").collect()), sorted(r["name"] for r in store.read("symbols").collect())))
+    assert found == [found[0]] * len(orders)
+    assert [(p, m) for p, _, m in found[0][0]] == [("a.go", 25), ("c.go", 3)] and found[0][1] == ["See", "Two"]  # of equal times a removal comes first
+    before = store.current()
+    again = streamed(spark, tmp_path / "3", [[rows[0], ("a.go", go("Two"), False, 2, 25)]])
+    assert again.current() == before  # nothing new, so nothing is written
+
+
 def test_commands(spark, project, tmp_path, monkeypatch, capsys):
     import io
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from codeloom.plans import extraction, queries, questions
+from codeloom.plans import extraction, queries, questions, structure
 
 DATA = os.environ.get("CODELOOM_TEST_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,8 +24,8 @@ def table(df):
     return df[columns].astype(str).sort_values(columns).reset_index(drop=True)
 
 
-QUERIES = queries.QUERIES | questions.QUERIES | extraction.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | questions.ORACLE_SQL | extraction.ORACLE_SQL
+QUERIES = queries.QUERIES | questions.QUERIES | structure.QUERIES | extraction.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | questions.ORACLE_SQL | structure.ORACLE_SQL | extraction.ORACLE_SQL
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
