@@ -29,6 +29,7 @@ class Graph:
         self.files, self.symbols = tables["files"], tables["symbols"]
         self.edges = graph.all_edges(tables["edges"], tables["files"], tables["ext_edges"])
         self.ext_edges, self.contents = tables["ext_edges"], contents
+        self.labels = tables.get("ancestors")
         self.postings, self.lengths, self.trigrams = tables.get("postings"), tables.get("lengths"), tables.get("trigrams")
 
     def name(self, fqn):
@@ -79,14 +80,14 @@ class Graph:
 
     def get_callers(self, fqn, limit=0, path_prefix="", exclude_tests=False):
         n = clamp(limit)
-        return self._edges(graph.callers(self.edges, self.name(fqn), n, path_prefix, exclude_tests), n)
+        return self._edges(graph.callers(self.edges, self.name(fqn), n, path_prefix, exclude_tests, self.labels), n)
 
     def get_callees(self, fqn, limit=0):
         n = clamp(limit)
         return self._edges(graph.callees(self.edges, self.name(fqn), n), n)
 
     def class_hierarchy(self, fqn):
-        found = rows(graph.hierarchy(self.edges, self.name(fqn)))
+        found = rows(graph.hierarchy(self.edges, self.name(fqn), self.labels))
         pick = lambda d: [{"fqn": r["fqn"], "kind": r["kind"]} for r in found if r["direction"] == d]
         return {"ancestors": pick("ancestor"), "descendants": pick("descendant")}
 

@@ -9,6 +9,7 @@ from ..functions.predicates import edge_filter, is_test_impact, is_test_referenc
 from ..functions.scalars import member_separator, method_split_of
 from ..plans.fixpoint import checkpointed, closure
 from ..schema import CALL_KINDS, EDGE_COLUMNS, HIERARCHY_KINDS
+from .labels import relatives as labelled
 
 EDGE_KEY = ("from_fqn", "kind", "to_fqn", "file", "line")
 ANCESTOR_CAP, DESCENDANT_CAP = 200, 2000
@@ -57,33 +58,36 @@ def hierarchy_steps(edges, up):
     return edges.where(F.col("kind").isin(*HIERARCHY_KINDS)).select(F.col(src).alias("src"), F.col(dst).alias("dst"), "kind").distinct()
 
 
-def relatives(edges, fqn, up, cap=None):
-    """node, kind, depth of ancestors or descendants; kind is the linking one."""
+def relatives(edges, fqn, up, cap=None, labels=None):
+    """node, kind, depth of ancestors or descendants; kind is the linking one. With labels, the table of all ancestors, that is a filter; else a walk."""
+    cap = cap or (ANCESTOR_CAP if up else DESCENDANT_CAP)
+    if labels is not None:
+        return labelled(labels, fqn, up, cap)
     start = edges.sparkSession.range(1).select(F.lit(fqn).alias("node"))
-    return closure(hierarchy_steps(edges, up), start, cap or (ANCESTOR_CAP if up else DESCENDANT_CAP))
+    return closure(hierarchy_steps(edges, up), start, cap)
 
 
-def family(edges, fqn):
+def family(edges, fqn, labels=None):
     """node: the class, its ancestors and its descendants; no siblings."""
     own = edges.sparkSession.range(1).select(F.lit(fqn).alias("node"))
-    return own.unionByName(relatives(edges, fqn, True).select("node")).unionByName(relatives(edges, fqn, False).select("node")).distinct()
+    return own.unionByName(relatives(edges, fqn, True, labels=labels).select("node")).unionByName(relatives(edges, fqn, False, labels=labels).select("node")).distinct()
 
 
-def hierarchy(edges, fqn):
+def hierarchy(edges, fqn, labels=None):
     """direction, fqn, kind of ancestors and descendants, in order."""
-    up = relatives(edges, fqn, True).select(F.lit("ancestor").alias("direction"), F.col("node").alias("fqn"), "kind")
-    down = relatives(edges, fqn, False).select(F.lit("descendant").alias("direction"), F.col("node").alias("fqn"), "kind")
+    up = relatives(edges, fqn, True, labels=labels).select(F.lit("ancestor").alias("direction"), F.col("node").alias("fqn"), "kind")
+    down = relatives(edges, fqn, False, labels=labels).select(F.lit("descendant").alias("direction"), F.col("node").alias("fqn"), "kind")
     return up.unionByName(down).orderBy("direction", "fqn")
 
 
-def callers(edges, fqn, limit=50, path_prefix="", exclude_tests=False):
+def callers(edges, fqn, limit=50, path_prefix="", exclude_tests=False, labels=None):
     """Calls into a callable. For a member also calls recorded on relatives of its class, marked unresolved."""
     split = method_split_of(fqn)
     if split is None:
         found = edges.where((F.col("to_fqn") == fqn) & F.col("kind").isin(*CALL_KINDS))
         return _page(edge_filter(found, path_prefix, exclude_tests), by_place(), limit)
     owner, member = split
-    targets = family(edges, owner).select(F.concat("node", F.lit(member_separator(fqn) + member)).alias("to_fqn"))
+    targets = family(edges, owner, labels).select(F.concat("node", F.lit(member_separator(fqn) + member)).alias("to_fqn"))
     found = edge_filter(edges.where(F.col("kind") == "calls"), path_prefix, exclude_tests).join(targets, "to_fqn", "left_semi")
     found = found.withColumn("resolved", F.col("resolved") & (F.col("to_fqn") == fqn))
     order = [F.desc(F.col("to_fqn") == fqn), *by_place()]

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import checkpointed
 
+#: depth is the least number of steps up; of the ways that long, first is the least kind of the first step and last that of the last.
+LABEL = ("node", "ancestor", "depth", "first", "last")
+
+
+def _steps(steps):
+    return steps.select("src", "dst", "kind").distinct()
+
+
+def _grown(frontier, steps):
+    """One step on from frontier(node, at, first): node, ancestor, first, last."""
+    met = frontier.select("node", F.col("at").alias("src"), "first").join(steps, "src")
+    return met.groupBy("node", F.col("dst").alias("ancestor")).agg(F.min(F.coalesce("first", "kind")).alias("first"), F.min("kind").alias("last"))
+
 
 def ancestors(steps, of=None):
-    """node, ancestor, depth: every class with every ancestor, at the least number of steps(src, dst) up; of(node) names some classes only.
+    """LABEL: every class with every ancestor over steps(src, dst, kind); of(node) names some classes only.
 
     Each round adds the parents of the ancestors found last. Pairs that are known end there, so cycles do; a class is not its own ancestor
     but through a cycle.
     """
-    steps = steps.select("src", "dst").distinct().persist()
+    steps = _steps(steps).persist()
     first = steps if of is None else steps.join(of.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
-    frontier = seen = checkpointed(first.select(F.col("src").alias("node"), F.col("dst").alias("ancestor"), F.lit(1).alias("depth")))
+    first = first.groupBy(F.col("src").alias("node"), F.col("dst").alias("ancestor")).agg(F.min("kind").alias("first"), F.min("kind").alias("last"))
+    frontier = seen = checkpointed(first.withColumn("depth", F.lit(1)).select(*LABEL))
     depth = 1
     while True:
         depth += 1
-        found = frontier.select("node", F.col("ancestor").alias("src")).join(steps, "src").select("node", F.col("dst").alias("ancestor")).distinct()
-        frontier = checkpointed(found.join(seen, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        found = _grown(frontier.select("node", F.col("ancestor").alias("at"), "first"), steps)
+        frontier = checkpointed(found.join(seen, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).select(*LABEL))
         if frontier.isEmpty():
             steps.unpersist()
             return seen
@@ -33,32 +48,50 @@ def changed(labels, before, after):
     Only classes that have a changed step, or an ancestor with one, then or now, can have other labels. Theirs are made anew, up to the
     first ancestor that no change reaches: what lies above that is read from its labels. The others' stay as they are.
     """
-    before, after = before.select("src", "dst").distinct(), after.select("src", "dst").distinct()
-    touched = before.exceptAll(after).unionAll(after.exceptAll(before)).select(F.col("src").alias("node")).distinct()
+    before, after = _steps(before), _steps(after)
+    touched = checkpointed(before.exceptAll(after).unionAll(after.exceptAll(before)).select(F.col("src").alias("node")).distinct())
+    if touched.isEmpty():
+        return labels, touched
     below = labels.join(touched.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi").select("node")
     dirty = checkpointed(touched.unionAll(below).distinct())
     clean = labels.join(dirty, "node", "left_anti")
     mark = dirty.select(F.col("node").alias("ancestor"), F.lit(True).alias("dirty"))
-    #: Walks from dirty classes over dirty ones; a step to a clean one ends a walk with that one's labels.
-    frontier = checkpointed(dirty.select("node", F.col("node").alias("at"), F.lit(0).alias("depth")))
-    walked = frontier.select("node", F.col("at").alias("ancestor"), "depth").where("false")
+    # walks from dirty classes over dirty ones; a step to a clean one ends a walk with that one's labels
+    frontier = dirty.select("node", F.col("node").alias("at"), F.lit(None).cast("string").alias("first"))
+    walked = clean.where("false")
     own = after.join(dirty.withColumnRenamed("node", "src"), "src", "left_semi").persist()
     depth = 0
     while True:
         depth += 1
-        found = frontier.select("node", F.col("at").alias("src")).join(own, "src").select("node", F.col("dst").alias("ancestor")).distinct()
-        met = checkpointed(found.join(walked, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        met = checkpointed(_grown(frontier, own).join(walked, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).select(*LABEL))
         if met.isEmpty():
             break
         walked = walked.unionByName(met)
-        frontier = met.join(mark, "ancestor").select("node", F.col("ancestor").alias("at"), "depth")
+        frontier = met.join(mark, "ancestor").select("node", F.col("ancestor").alias("at"), "first")
     own.unpersist()
-    ends = walked.join(mark, "ancestor", "left_anti").select("node", F.col("ancestor").alias("at"), F.col("depth").alias("so_far"))
-    above = ends.join(clean.select(F.col("node").alias("at"), "ancestor", "depth"), "at").select("node", "ancestor", (F.col("so_far") + F.col("depth")).alias("depth"))
-    fresh = walked.unionByName(above).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+    ends = walked.join(mark, "ancestor", "left_anti").select("node", F.col("ancestor").alias("at"), F.col("depth").alias("so_far"), "first")
+    above = ends.join(clean.select(F.col("node").alias("at"), "ancestor", "depth", "last"), "at").select("node", "ancestor", (F.col("so_far") + F.col("depth")).alias("depth"), "first", "last")
+    both = walked.unionByName(above).groupBy("node", "ancestor").agg(F.min(F.struct("depth", "first")).alias("f"), F.min(F.struct("depth", "last")).alias("l"))
+    fresh = both.select("node", "ancestor", "f.depth", "f.first", "l.last")
     return checkpointed(clean.unionByName(fresh)), dirty
 
 
+def relatives(labels, fqn, up, cap=None):
+    """node, kind, depth of a class's ancestors or descendants by one filter of the labels; kind is the linking one, the least of several.
+
+    Depths are taken whole, until cap are met.
+    """
+    if up:
+        found = labels.where((F.col("node") == fqn) & (F.col("ancestor") != fqn)).select(F.col("ancestor").alias("node"), F.col("last").alias("kind"), "depth")
+    else:
+        found = labels.where((F.col("ancestor") == fqn) & (F.col("node") != fqn)).select("node", F.col("first").alias("kind"), "depth")
+    if cap is None:
+        return found
+    nearer = found.groupBy("depth").agg(F.count("*").alias("n"))
+    nearer = nearer.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each depth
+    return found.join(nearer.where(F.col("before") < cap).select("depth"), "depth", "left_semi").select("node", "kind", "depth")
+
+
 def families(labels):
     """node, relative: every class that has relatives, with itself, its ancestors and its descendants."""
     pairs = labels.select("node", F.col("ancestor").alias("relative"))

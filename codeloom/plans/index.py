@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..extract.run import extract, tables
-from ..operators import enrich, fts, incremental, trigrams
+from ..operators import enrich, fts, graph, incremental, labels, trigrams
 from ..schema import TABLES
 from ..sources import layers, tree
 from ..sources.store import Superseded, bucket_of
@@ -75,10 +75,18 @@ def fold(store, statuses, current, fresh, modules=None, since=None):
     own = fresh.where("NOT vendor").select(incremental.file_id(F.col("path")).alias("file_id"), F.col("content").cast("string").alias("content"))
     rows = {"files": files, "symbols": symbols, "imports": imports, "edges": edges, "postings": fts.stored(symbols), "lengths": fts.lengths(symbols), "trigrams": trigrams.postings(own, ("file_id",))}
     rows = {k: v.select(*[f.name for f in known[k].schema]) for k, v in rows.items()}
-    store.write(incremental.next_snapshot(known, statuses, current, rows), buckets, since)
+    after = incremental.next_snapshot(known, statuses, current, rows)
+    others = store.read("edges").where(~bucket_of(F.col("file_id")).isin(*buckets))
+    store.write(after | {"ancestors": _labels(store, others.unionByName(after["edges"]), known["ext_edges"])}, buckets, since)
     index.unpersist()
 
 
+def _labels(store, edges, ext_edges):
+    """The table of ancestors for these edges and layers: the stored one, changed where they differ from the stored edges."""
+    both = lambda own, layers: graph.hierarchy_steps(own.select("from_fqn", "kind", "to_fqn").unionAll(layers.select("from_fqn", "kind", "to_fqn")), True)
+    return labels.changed(store.read("ancestors"), both(store.read("edges"), store.read("ext_edges")), both(edges, ext_edges))[0]
+
+
 def import_layers(store, root, folder):
     """Re-import the enrichment layers of a folder: a layer whose file is gone goes, the others are replaced. Layers imported into an empty index aren't noted, so they are tried again."""
     spark = store.spark
@@ -98,5 +106,5 @@ def import_layers(store, root, folder):
             updates.append((f"enrich_mtime:{r['source']}", stamp))
     if updates:
         meta = incremental.upsert_meta(meta, spark.createDataFrame(updates, TABLES["meta"]))
-    store.write({"ext_edges": ext, "meta": meta})
+    store.write({"ext_edges": ext, "meta": meta, "ancestors": _labels(store, known["edges"], ext)})
     return [r["source"] for r in found]

@@ -8,7 +8,7 @@ from ..functions import paths
 from ..functions.scalars import member_separator
 from ..operators import graph, incremental, labels, lookup, methods, trigrams
 from .projection import load
-from .queries import _HIER, _code_sql, _contents, with_views
+from .queries import _HIER, SUPPLIER, _code_sql, _contents, _levels, with_views
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -68,7 +68,7 @@ def _walk(steps):
 
 @query("g06_all_ancestors", with_views(f", {_STEPS}, {_walk('s')}, {_ANCESTORS} SELECT node, ancestor, depth FROM l", "g_edges", recursive=True))
 def g06_all(spark, d):
-    return labels.ancestors(graph.hierarchy_steps(load(spark, d, "g_edges"), True))
+    return labels.ancestors(graph.hierarchy_steps(load(spark, d, "g_edges"), True)).select("node", "ancestor", "depth")
 
 
 @query("g07_all_families", with_views(f", {_STEPS}, {_walk('s')}, p AS (SELECT DISTINCT node, ancestor FROM r) SELECT node, ancestor AS relative FROM p UNION SELECT ancestor, node FROM p UNION SELECT node, node FROM p UNION SELECT ancestor, ancestor FROM p", "g_edges", recursive=True))
@@ -84,16 +84,16 @@ def _later(steps):
     """The steps after an edit: some suppliers and a nation lose theirs, some customers and a nation get one more, and a region gets a parent."""
     number = F.regexp_extract("src", "([0-9]+)$", 1).try_cast("long")
     kept = steps.where(~F.coalesce(F.col("src").startswith("sup.") & (number % 5 == 0), F.lit(False)) & (F.col("src") != "geo.FRANCE"))
-    more = steps.where(F.col("src").startswith("crm.") & (number % 7 == 0)).select("src", F.lit("geo.FRANCE").alias("dst"))
-    own = steps.sparkSession.createDataFrame([("geo.FRANCE", "geo.GERMANY"), ("geo.AFRICA", "geo.ASIA")], "src string, dst string")
+    more = steps.where(F.col("src").startswith("crm.") & (number % 7 == 0)).select("src", F.lit("geo.FRANCE").alias("dst"), F.lit("extends").alias("kind"))
+    own = steps.sparkSession.createDataFrame([("geo.FRANCE", "geo.GERMANY", "extends"), ("geo.AFRICA", "geo.ASIA", "extends")], "src string, dst string, kind string")
     return kept.unionByName(more).unionByName(own).distinct()
 
 
 @query("g08_labels_after_edit", with_views(f", {_STEPS}, {_LATER}, {_walk('n')}, {_ANCESTORS} SELECT node, ancestor, depth FROM l".replace("hash_of(src)", "TRY_CAST(regexp_extract(src, '([0-9]+)$', 1) AS BIGINT)"), "g_edges", recursive=True))
 def g08_edit(spark, d):
     """Labels kept up by what an edit changes equal those made anew."""
-    steps = graph.hierarchy_steps(load(spark, d, "g_edges"), True).select("src", "dst").distinct()
-    return labels.changed(labels.ancestors(steps), steps, _later(steps))[0]
+    steps = graph.hierarchy_steps(load(spark, d, "g_edges"), True)
+    return labels.changed(labels.ancestors(steps), steps, _later(steps))[0].select("node", "ancestor", "depth")
 
 
 _DECLARED = """d AS MATERIALIZED (SELECT 'sup.Supplier_' || s_suppkey AS owner FROM supplier WHERE s_suppkey % 2 = 1 UNION SELECT 'geo.' || n_name FROM nation WHERE n_nationkey % 3 = 0 UNION SELECT 'geo.' || r_name FROM region WHERE r_regionkey % 2 = 0)"""
@@ -197,6 +197,11 @@ def j09_many(spark, d):
     return paths.package_paths(read("orders").select(path.alias("path")), inner.union(outer))
 
 
+for _name, _fqn, _up in (("g06_labelled_ancestors", SUPPLIER, True), ("g06_labelled_descendants", "geo.ASIA", False)):
+    QUERIES[_name] = lambda spark, d, f=_fqn, up=_up: graph.relatives(e := load(spark, d, "g_edges"), f, up, labels=labels.ancestors(graph.hierarchy_steps(e, True)))
+    ORACLE_SQL[_name] = with_views(_levels(_fqn, *(("from_fqn", "to_fqn", "up") if _up else ("to_fqn", "from_fqn", "down"))), "g_edges", recursive=True)
+
+
 # Stored counts
 
 _AFTER = "SELECT to_fqn, kind, source FROM g_edges WHERE file <> 'src/o5.php' UNION ALL SELECT 'cat.Part_' || p_partkey, 'references', 'ast' FROM part WHERE p_partkey % 10 = 0"

@@ -21,7 +21,8 @@ META = "key STRING, value STRING"
 POSTINGS = "file_id BIGINT, row BIGINT, col STRING, token STRING, pos INT, d INT"
 LENGTHS = "file_id BIGINT, rows BIGINT, tokens BIGINT"
 TRIGRAMS = "file_id BIGINT, gram STRING"
-TABLES = {"files": FILES, "symbols": SYMBOLS, "postings": POSTINGS, "lengths": LENGTHS, "trigrams": TRIGRAMS, "imports": IMPORTS, "edges": EDGES, "ext_edges": EXT_EDGES, "meta": META}
+ANCESTORS = "node STRING, ancestor STRING, depth INT, first STRING, last STRING"
+TABLES = {"files": FILES, "symbols": SYMBOLS, "postings": POSTINGS, "lengths": LENGTHS, "trigrams": TRIGRAMS, "imports": IMPORTS, "edges": EDGES, "ext_edges": EXT_EDGES, "ancestors": ANCESTORS, "meta": META}
 
 #: One extracted file.
 FILE_INDEX = (

@@ -5,18 +5,22 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from ..schema import TABLES
 
+COLUMNS = {name: [c.split()[0] for c in columns.split(",")] for name, columns in TABLES.items()}
+
 #: Buckets of the tables that hang on a file, by its id.
 BUCKETS = 64
 #: Seconds after which a folder that no kept snapshot uses is taken for left over; younger ones may be another writer's.
 LEFT_OVER = 3600
 #: What a bucket's rows are sorted by, so that readers skip row groups.
-ORDER = {"edges": "to_fqn", "ext_edges": "to_fqn", "symbols": "name", "postings": "token", "lengths": "file_id", "trigrams": "gram", "files": "path", "imports": "alias", "meta": "key"}
+ORDER = {"edges": "to_fqn", "ext_edges": "to_fqn", "symbols": "name", "postings": "token", "lengths": "file_id", "ancestors": "ancestor", "trigrams": "gram", "files": "path", "imports": "alias", "meta": "key"}
 
 
 def bucket_of(file_id):
@@ -84,17 +88,20 @@ class Store:
         last = (self.pointers() or [0])[-1] if since is None else since
         before = self.text(f"AT-{last}") if last else None
         manifest, name = self.manifest(before), f"s-{uuid.uuid4().hex}"
-        for table, df in tables.items():
-            owned = "file_id" in TABLES[table]
-            df = df.select(*[f.name for f in self.spark.createDataFrame([], TABLES[table]).schema])
-            at = f"{name}/{table}"
-            df = df.withColumn("bucket", bucket_of(F.col("file_id")) if owned else F.lit(0))
+
+        def put(table):
+            """Write one table; the folders of its buckets."""
+            df, owned, at = tables[table], "file_id" in TABLES[table], f"{name}/{table}"
+            df = df.select(*COLUMNS[table]).withColumn("bucket", bucket_of(F.col("file_id")) if owned else F.lit(0))
             if owned:
                 df = df.repartition("bucket")  # without a number, so small buckets are gathered in few tasks
             df.sortWithinPartitions("bucket", ORDER[table]).write.partitionBy("bucket").parquet(f"{self.root}/{at}")
             kept = {b: p for b, p in manifest[table].items() if owned and buckets is not None and int(b) not in buckets}
             new = [f.getPath().getName() for f in self.fs.listStatus(self.fs_path(f"{self.root}/{at}"))]
-            manifest[table] = kept | {n.removeprefix("bucket="): f"{at}/{n}" for n in new if n.startswith("bucket=")}
+            return kept | {n.removeprefix("bucket="): f"{at}/{n}" for n in new if n.startswith("bucket=")}
+
+        with ThreadPoolExecutor(len(tables)) as pool:  # tables don't wait for one another
+            manifest |= dict(zip(tables, pool.map(inheritable_thread_target(self.spark)(put), tables), strict=True))
         self.put(f"{name}/MANIFEST", json.dumps(manifest))
         self.point(name, last + 1)
         self.sweep({name, before}, last)

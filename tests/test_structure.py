@@ -7,46 +7,53 @@ from codeloom.operators import incremental, labels, methods
 
 
 def plain_ancestors(steps):
+    """node, ancestor, depth, and the least kinds of the first and last step of the ways of that length."""
     up = {}
-    for a, b in steps:
-        up.setdefault(a, set()).add(b)
+    for a, b, k in steps:
+        up.setdefault(a, []).append((b, k))
     out = set()
     for start in up:
-        level, seen, depth = up[start], set(), 1
-        while level - seen:
-            level = level - seen
-            out |= {(start, x, depth) for x in level}
-            seen |= level
-            level = set().union(*[up.get(x, set()) for x in level])
+        level, seen, depth = {start: ""}, set(), 0
+        while level:
             depth += 1
+            following, last = {}, {}
+            for x, first in level.items():
+                for y, k in up.get(x, []):
+                    if y not in seen:
+                        following[y] = min(following.get(y, "z"), first or k)
+                        last[y] = min(last.get(y, "z"), k)
+            seen |= set(following)
+            out |= {(start, y, depth, f, last[y]) for y, f in following.items()}
+            level = following
     return out
 
 
 def random_steps(r, n, m):
-    return {(f"c{r.randrange(n)}", f"c{r.randrange(n)}") for _ in range(m)}
+    return {(f"c{r.randrange(n)}", f"c{r.randrange(n)}", r.choice(["extends", "implements", "uses_trait"])) for _ in range(m)}
 
 
 def test_labels_and_their_upkeep(spark):
     r = random.Random(6)
-    frame = lambda steps: spark.createDataFrame(sorted(steps), "src string, dst string")
+    frame = lambda steps: spark.createDataFrame(sorted(steps), "src string, dst string, kind string")
     for n, m, drop, add in ((12, 14, 3, 3), (30, 30, 5, 2), (8, 20, 4, 4), (10, 9, 9, 0)):
         steps = random_steps(r, n, m)
         found = labels.ancestors(frame(steps))
         assert set(map(tuple, found.collect())) == plain_ancestors(steps)
         later = (steps - set(r.sample(sorted(steps), min(drop, len(steps))))) | random_steps(r, n + 2, add)
-        if later == steps:
-            continue
         after, dirty = labels.changed(found, frame(steps), frame(later) if later else frame(steps).where("false"))
         assert sorted(map(tuple, after.collect())) == sorted(plain_ancestors(later))
-        touched = {a for a, _ in steps ^ later}
-        assert {x[0] for x in dirty.collect()} == touched | {a for a, b, _ in plain_ancestors(steps) if b in touched}
-    chain = {(f"c{i}", f"c{i + 1}") for i in range(5)}
-    assert set(map(tuple, labels.families(labels.ancestors(frame(chain))).collect())) == {(f"c{i}", f"c{j}") for i in range(6) for j in range(6)}
+        touched = {a for a, _, _ in steps ^ later}
+        assert {x[0] for x in dirty.collect()} == touched | {a for a, b, *_ in plain_ancestors(steps) if b in touched}
+    chain = {(f"c{i}", f"c{i + 1}", "extends") for i in range(5)}
+    known = labels.ancestors(frame(chain))
+    assert set(map(tuple, labels.families(known).collect())) == {(f"c{i}", f"c{j}") for i in range(6) for j in range(6)}
     assert labels.ancestors(frame(chain), spark.createDataFrame([("c3",), ("zz",), ("c3",)], "node string")).count() == 2
+    assert labels.changed(known, frame(chain), frame(chain))[0] is known
+    assert {r["node"] for r in labels.relatives(known, "c0", True, 2).collect()} == {"c1", "c2"} and labels.relatives(known, "c5", False, 3).count() == 3
 
 
 def test_calls_meet_the_nearest_declaration(spark):
-    steps = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "A")], "src string, dst string")
+    steps = spark.createDataFrame([(*x, "extends") for x in ("AB", "AC", "BD", "CD", "DA")], "src string, dst string, kind string")
     declared = spark.createDataFrame([("D", "m"), ("C", "m"), ("B", "m"), ("D", "k"), ("A", "own"), ("A", "own")], "owner string, member string")
     calls = [("A", "m"), ("A", "k"), ("A", "own"), ("A", "none"), ("D", "m"), ("D", "own"), ("X", "m"), ("A", "m")]
     frame = spark.createDataFrame([(i, o, m, "::") for i, (o, m) in enumerate(calls)], "i int, owner string, member string, separator string")
