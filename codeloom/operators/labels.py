@@ -9,44 +9,54 @@ from ..plans.fixpoint import checkpointed
 
 #: depth is the least number of steps up; of the ways that long, first is the least kind of the first step and last that of the last.
 LABEL = ("node", "ancestor", "depth", "first", "last")
+#: Steps up that the table holds, a power of two. What lies beyond is met by as many hops of that many steps as it takes, so the table grows with
+#: the number of classes and not with the square of a long chain.
+REACH = 32
 
 
 def _steps(steps):
     return steps.select("src", "dst", "kind").distinct()
 
 
-def _grown(frontier, steps):
-    """One step on from frontier(node, at, first): node, ancestor, first, last."""
-    met = frontier.select("node", F.col("at").alias("src"), "first").join(steps, "src")
-    return met.groupBy("node", F.col("dst").alias("ancestor")).agg(F.min(F.coalesce("first", "kind")).alias("first"), F.min("kind").alias("last"))
+def _least(rows):
+    """Of rows of LABEL one for each pair: its least depth, and the least kinds at that depth."""
+    both = rows.groupBy("node", "ancestor").agg(F.min(F.struct("depth", "first")).alias("f"), F.min(F.struct("depth", "last")).alias("l"))
+    return both.select("node", "ancestor", "f.depth", "f.first", "l.last")
 
 
-def ancestors(steps, of=None):
-    """LABEL: every class with every ancestor over steps(src, dst, kind); of(node) names some classes only.
+def _joined(lower, upper):
+    """Ways that go on from the ends of lower by those of upper."""
+    above = upper.select(F.col("node").alias("at"), F.col("ancestor").alias("top"), F.col("depth").alias("more"), F.col("last").alias("end"))
+    found = lower.select("node", F.col("ancestor").alias("at"), "depth", "first").join(above, "at")
+    return _least(found.select("node", F.col("top").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"), "first", F.col("end").alias("last")))
 
-    Each round adds the parents of the ancestors found last. Pairs that are known end there, so cycles do; a class is not its own ancestor
-    but through a cycle.
-    """
-    steps = _steps(steps).persist()
-    first = steps if of is None else steps.join(of.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
-    first = first.groupBy(F.col("src").alias("node"), F.col("dst").alias("ancestor")).agg(F.min("kind").alias("first"), F.min("kind").alias("last"))
-    frontier = seen = checkpointed(first.withColumn("depth", F.lit(1)).select(*LABEL))
+
+def _doubled(steps, clean=None):
+    """LABEL of the classes that steps start from. Each round doubles the depth up to which all is known; clean has the labels of other classes."""
+    known = checkpointed(_least(steps.select(F.col("src").alias("node"), F.col("dst").alias("ancestor"), F.lit(1).alias("depth"), F.col("kind").alias("first"), F.col("kind").alias("last"))))
     depth = 1
-    while True:
-        depth += 1
-        found = _grown(frontier.select("node", F.col("ancestor").alias("at"), "first"), steps)
-        frontier = checkpointed(found.join(seen, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).select(*LABEL))
-        if frontier.isEmpty():
-            steps.unpersist()
-            return seen
-        seen = seen.unionByName(frontier)
+    while depth < REACH:
+        upper = known if clean is None else known.unionByName(clean.where(F.col("depth") <= depth))
+        found = checkpointed(_joined(known.where(F.col("depth") == depth), upper).join(known, ["node", "ancestor"], "left_anti").select(*LABEL))
+        if found.isEmpty():
+            break
+        known, depth = known.unionByName(found), 2 * depth
+    return known
+
+
+def ancestors(steps):
+    """LABEL: every class with every ancestor up to REACH steps over steps(src, dst, kind).
+
+    Pairs that are known end the search, so cycles do; a class is not its own ancestor but through a cycle.
+    """
+    return _doubled(_steps(steps))
 
 
 def changed(labels, before, after):
     """(the labels after the steps change from before to after, the classes that were labelled anew).
 
-    Only classes that have a changed step, or an ancestor with one, then or now, can have other labels. Theirs are made anew, up to the
-    first ancestor that no change reaches: what lies above that is read from its labels. The others' stay as they are.
+    Only classes that have a changed step, or such an ancestor, can have other labels. Theirs are made anew, and what lies above a
+    class that no change reaches is read from its labels. The others' stay as they are.
     """
     before, after = _steps(before), _steps(after)
     touched = checkpointed(before.exceptAll(after).unionAll(after.exceptAll(before)).select(F.col("src").alias("node")).distinct())
@@ -54,37 +64,41 @@ def changed(labels, before, after):
         return labels, touched
     below = labels.join(touched.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi").select("node")
     dirty = checkpointed(touched.unionAll(below).distinct())
-    clean = labels.join(dirty, "node", "left_anti")
-    mark = dirty.select(F.col("node").alias("ancestor"), F.lit(True).alias("dirty"))
-    # walks from dirty classes over dirty ones; a step to a clean one ends a walk with that one's labels
-    frontier = dirty.select("node", F.col("node").alias("at"), F.lit(None).cast("string").alias("first"))
-    walked = clean.where("false")
-    own = after.join(dirty.withColumnRenamed("node", "src"), "src", "left_semi").persist()
-    depth = 0
-    while True:
-        depth += 1
-        met = checkpointed(_grown(frontier, own).join(walked, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).select(*LABEL))
-        if met.isEmpty():
-            break
-        walked = walked.unionByName(met)
-        frontier = met.join(mark, "ancestor").select("node", F.col("ancestor").alias("at"), "first")
-    own.unpersist()
-    ends = walked.join(mark, "ancestor", "left_anti").select("node", F.col("ancestor").alias("at"), F.col("depth").alias("so_far"), "first")
-    above = ends.join(clean.select(F.col("node").alias("at"), "ancestor", "depth", "last"), "at").select("node", "ancestor", (F.col("so_far") + F.col("depth")).alias("depth"), "first", "last")
-    both = walked.unionByName(above).groupBy("node", "ancestor").agg(F.min(F.struct("depth", "first")).alias("f"), F.min(F.struct("depth", "last")).alias("l"))
-    fresh = both.select("node", "ancestor", "f.depth", "f.first", "l.last")
+    clean = labels.join(dirty, "node", "left_anti").select(*LABEL)
+    fresh = _doubled(after.join(dirty.withColumnRenamed("node", "src"), "src", "left_semi"), clean)
     return checkpointed(clean.unionByName(fresh)), dirty
 
 
+def complete(labels, of=None):
+    """LABEL with all ancestors, however far, of all classes or of those of(node) names: hops of REACH steps until one finds nothing."""
+    seen = labels if of is None else labels.join(of.select("node").distinct(), "node", "left_semi")
+    seen = frontier = seen.select(*LABEL)
+    far = REACH
+    while True:
+        frontier = frontier.where(F.col("depth") == far)
+        if frontier.isEmpty():
+            return seen
+        frontier = checkpointed(_joined(frontier, labels).join(seen, ["node", "ancestor"], "left_anti").select(*LABEL))
+        seen, far = seen.unionByName(frontier), far + REACH
+
+
 def relatives(labels, fqn, up, cap=None):
-    """node, kind, depth of a class's ancestors or descendants by one filter of the labels; kind is the linking one, the least of several.
+    """node, kind, depth of a class's ancestors or descendants by a filter of the labels; kind is the linking one, the least of several.
 
     Depths are taken whole, until cap are met.
     """
-    if up:
-        found = labels.where((F.col("node") == fqn) & (F.col("ancestor") != fqn)).select(F.col("ancestor").alias("node"), F.col("last").alias("kind"), "depth")
-    else:
-        found = labels.where((F.col("ancestor") == fqn) & (F.col("node") != fqn)).select("node", F.col("first").alias("kind"), "depth")
+    own, other, kind = ("node", "ancestor", "last") if up else ("ancestor", "node", "first")
+    turned = labels.select(F.col(own).alias("start"), F.col(other).alias("node"), F.col(kind).alias("kind"), "depth")
+    seen = frontier = turned.where(F.col("start") == fqn).select("node", "kind", "depth")
+    far = REACH
+    while True:
+        frontier = frontier.where(F.col("depth") == far)
+        if frontier.isEmpty() or (cap is not None and seen.where(F.col("node") != fqn).limit(cap).count() >= cap):
+            break
+        found = turned.join(frontier.select(F.col("node").alias("start")), "start").groupBy("node").agg(F.min(F.struct((F.col("depth") + far).alias("depth"), "kind")).alias("s"))
+        frontier = checkpointed(found.join(seen, "node", "left_anti").select("node", "s.kind", "s.depth"))
+        seen, far = seen.unionByName(frontier), far + REACH
+    found = seen.where(F.col("node") != fqn)
     if cap is None:
         return found
     nearer = found.groupBy("depth").agg(F.count("*").alias("n"))
@@ -94,6 +108,7 @@ def relatives(labels, fqn, up, cap=None):
 
 def families(labels):
     """node, relative: every class that has relatives, with itself, its ancestors and its descendants."""
+    labels = complete(labels)
     pairs = labels.select("node", F.col("ancestor").alias("relative"))
     back = labels.select(F.col("ancestor").alias("node"), F.col("node").alias("relative"))
     both = pairs.unionAll(back)
@@ -108,7 +123,7 @@ def resolved_calls(calls, labels, declared):
     """
     asked = calls.select("owner", "member").distinct()
     own = asked.select("owner", "member", F.col("owner").alias("at"), F.lit(0).alias("depth"))
-    above = asked.join(labels.select(F.col("node").alias("owner"), F.col("ancestor").alias("at"), "depth"), "owner").select("owner", "member", "at", "depth")
+    above = asked.join(complete(labels, asked.select(F.col("owner").alias("node"))).select(F.col("node").alias("owner"), F.col("ancestor").alias("at"), "depth"), "owner").select("owner", "member", "at", "depth")
     known = declared.select(F.col("owner").alias("at"), "member").distinct()
     nearest = own.unionByName(above).join(known, ["at", "member"]).groupBy("owner", "member").agg(F.min(F.struct("depth", "at")).alias("n"))
     found = calls.join(nearest, ["owner", "member"], "left")

@@ -77,14 +77,18 @@ def fold(store, statuses, current, fresh, modules=None, since=None):
     rows = {k: v.select(*[f.name for f in known[k].schema]) for k, v in rows.items()}
     after = incremental.next_snapshot(known, statuses, current, rows)
     others = store.read("edges").where(~bucket_of(F.col("file_id")).isin(*buckets))
-    store.write(after | {"ancestors": _labels(store, others.unionByName(after["edges"]), known["ext_edges"])}, buckets, since)
+    edges = others.unionByName(after["edges"])
+    store.write(after | {"ancestors": lambda: _labels(store, edges, known["ext_edges"])}, buckets, since)
     index.unpersist()
 
 
 def _labels(store, edges, ext_edges):
     """The table of ancestors for these edges and layers: the stored one, changed where they differ from the stored edges."""
     both = lambda own, layers: graph.hierarchy_steps(own.select("from_fqn", "kind", "to_fqn").unionAll(layers.select("from_fqn", "kind", "to_fqn")), True)
-    return labels.changed(store.read("ancestors"), both(store.read("edges"), store.read("ext_edges")), both(edges, ext_edges))[0]
+    after = checkpointed(both(edges, ext_edges))
+    if not store.pointers():
+        return labels.ancestors(after)
+    return labels.changed(store.read("ancestors"), both(store.read("edges"), store.read("ext_edges")), after)[0]
 
 
 def import_layers(store, root, folder):

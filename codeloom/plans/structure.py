@@ -114,7 +114,7 @@ def g15(spark, d):
     """Every call with the declaration it means: suppliers, nations and regions declare supply() by turns, so some calls go up one step, some two, some nowhere."""
     edges = load(spark, d, "g_edges")
     calls = edges.where("kind = 'calls'").select("from_fqn", "to_fqn", "file", "line", "source", F.regexp_extract("to_fqn", r"^(.*)\.([^.]*)$", 1).alias("owner"), F.regexp_extract("to_fqn", r"\.([^.]*)$", 1).alias("member"), F.lit(member_separator("a.b()")).alias("separator"))
-    found = labels.resolved_calls(calls, labels.ancestors(graph.hierarchy_steps(edges, True), calls.select(F.col("owner").alias("node"))), _declared(spark, d))
+    found = labels.resolved_calls(calls, labels.ancestors(graph.hierarchy_steps(edges, True)), _declared(spark, d))
     return found.select("from_fqn", "to_fqn", "file", "line", "source", "target")
 
 

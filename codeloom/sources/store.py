@@ -83,6 +83,7 @@ class Store:
     def write(self, tables, buckets=None, since=None):
         """A new snapshot from tables by name; those left out stay as they are. If buckets are named, the rows given are those of these buckets, and the others stay.
 
+        A table may be given as a function that makes it, which then runs beside the writing of the others.
         since is the number of the pointer that the rows were made from, the last one if left out; if another has been set by then, nothing changes and Superseded is raised.
         """
         last = (self.pointers() or [0])[-1] if since is None else since
@@ -92,6 +93,7 @@ class Store:
         def put(table):
             """Write one table; the folders of its buckets."""
             df, owned, at = tables[table], "file_id" in TABLES[table], f"{name}/{table}"
+            df = df() if callable(df) else df
             df = df.select(*COLUMNS[table]).withColumn("bucket", bucket_of(F.col("file_id")) if owned else F.lit(0))
             if owned:
                 df = df.repartition("bucket")  # without a number, so small buckets are gathered in few tasks

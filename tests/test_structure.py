@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from codeloom.functions.paths import package_paths
 from codeloom.operators import incremental, labels, methods
 
@@ -32,24 +34,39 @@ def random_steps(r, n, m):
     return {(f"c{r.randrange(n)}", f"c{r.randrange(n)}", r.choice(["extends", "implements", "uses_trait"])) for _ in range(m)}
 
 
-def test_labels_and_their_upkeep(spark):
-    r = random.Random(6)
-    frame = lambda steps: spark.createDataFrame(sorted(steps), "src string, dst string, kind string")
-    for n, m, drop, add in ((12, 14, 3, 3), (30, 30, 5, 2), (8, 20, 4, 4), (10, 9, 9, 0)):
-        steps = random_steps(r, n, m)
-        found = labels.ancestors(frame(steps))
-        assert set(map(tuple, found.collect())) == plain_ancestors(steps)
-        later = (steps - set(r.sample(sorted(steps), min(drop, len(steps))))) | random_steps(r, n + 2, add)
-        after, dirty = labels.changed(found, frame(steps), frame(later) if later else frame(steps).where("false"))
-        assert sorted(map(tuple, after.collect())) == sorted(plain_ancestors(later))
-        touched = {a for a, _, _ in steps ^ later}
-        assert {x[0] for x in dirty.collect()} == touched | {a for a, b, *_ in plain_ancestors(steps) if b in touched}
-    chain = {(f"c{i}", f"c{i + 1}", "extends") for i in range(5)}
-    known = labels.ancestors(frame(chain))
-    assert set(map(tuple, labels.families(known).collect())) == {(f"c{i}", f"c{j}") for i in range(6) for j in range(6)}
-    assert labels.ancestors(frame(chain), spark.createDataFrame([("c3",), ("zz",), ("c3",)], "node string")).count() == 2
-    assert labels.changed(known, frame(chain), frame(chain))[0] is known
-    assert {r["node"] for r in labels.relatives(known, "c0", True, 2).collect()} == {"c1", "c2"} and labels.relatives(known, "c5", False, 3).count() == 3
+def labelled(spark, steps):
+    return spark.createDataFrame(sorted(steps), "src string, dst string, kind string")
+
+
+@pytest.mark.parametrize("n,m,drop,add,reach", [(12, 14, 3, 3, 32), (30, 30, 5, 2, 4), (8, 20, 4, 4, 2)])
+def test_labels_and_their_upkeep(spark, monkeypatch, n, m, drop, add, reach):
+    monkeypatch.setattr(labels, "REACH", reach)
+    r = random.Random(n)
+    near = lambda steps: {x for x in plain_ancestors(steps) if x[2] <= reach}
+    steps = random_steps(r, n, m)
+    found = labels.ancestors(labelled(spark, steps))
+    assert set(map(tuple, found.collect())) == near(steps)
+    assert set(map(tuple, labels.complete(found).collect())) == plain_ancestors(steps)
+    later = (steps - set(r.sample(sorted(steps), drop))) | random_steps(r, n + 2, add)
+    after, dirty = labels.changed(found, labelled(spark, steps), labelled(spark, later))
+    assert sorted(map(tuple, after.collect())) == sorted(near(later))
+    touched = {a for a, _, _ in steps ^ later}
+    assert {x[0] for x in dirty.collect()} == touched | {a for a, b, *_ in near(steps) if b in touched}
+    assert labels.changed(found, labelled(spark, steps), labelled(spark, steps))[0] is found
+
+
+def test_long_chains_are_met_by_hops(spark, monkeypatch):
+    monkeypatch.setattr(labels, "REACH", 4)
+    chain = {(f"c{i}", f"c{i + 1}", "extends") for i in range(10)} | {("c3", "x", "implements"), ("x", "c9", "extends")}
+    known = labels.ancestors(labelled(spark, chain))
+    assert known.where("depth > 4").isEmpty()
+    want = plain_ancestors(chain)
+    for fqn in ("c0", "c5", "c10"):
+        assert {tuple(r) for r in labels.relatives(known, fqn, True).collect()} == {(b, k, d) for a, b, d, _, k in want if a == fqn}
+        assert {tuple(r) for r in labels.relatives(known, fqn, False).collect()} == {(a, k, d) for a, b, d, k, _ in want if b == fqn}
+    assert {r["depth"] for r in labels.relatives(known, "c0", True, 2).collect()} == {1, 2} and labels.relatives(known, "c10", False, 3).count() == 3
+    line = {s for s in chain if "x" not in s}
+    assert labels.families(labels.ancestors(labelled(spark, line))).count() == 121
 
 
 def test_calls_meet_the_nearest_declaration(spark):
