@@ -17,10 +17,11 @@ PROJECTIONS, THRESHOLD = 128, 0.85
 #: First half-width of the windows, for vectors of length 1, and its growth before and after some vector collides nearly often enough.
 WIDTH, FAST, SLOW = 0.05, 1.5, 1.06
 #: The search ends when a vector as near as the k-th best would be a candidate but for so many standard deviations of its collisions.
-DEVIATIONS = 1.3
+DEVIATIONS = 2.4
 #: Rows of a block that are searched for to fit the first width to it.
 PROBES = 8
-BLOCK_ROWS = 1 << 14
+#: Rows of a block at most, on average: how rows are dealt follows from their number alone, and not from how Spark is set.
+BLOCK_ROWS = 1 << 12
 
 
 def reach():
@@ -135,7 +136,7 @@ def nearest(vectors, queries, k=K, block_rows=BLOCK_ROWS):
     tune(spark)
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // block_rows))
+    blocks = max(1, -(-rows.count() // block_rows))
     dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "embedding")
     dealt = dealt.unionByName(asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "embedding"))
     dealt = dealt.repartitionById(blocks, "block").sortWithinPartitions("kind", "vec_id")

@@ -267,3 +267,30 @@ def test_ann_of_odd_vectors(spark):
             best[i] = max(best.get(i, -math.inf), sum(a * b for a, b in zip(q, v, strict=True)))
     want = sorted(best, key=lambda i: (-best[i], i))[:20]
     assert [x["vec_id"] for x in sorted(by[20], key=lambda x: x["rank"])] == want
+
+
+def test_neighbours_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((900, 24)).astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(900)], "vec_id long, embedding array<float>")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (1, 5, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = ann.nearest(rows.repartition(parts), rows.where("vec_id % 20 = 0"), block_rows=256)
+            found.append(sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 45 * 20
+
+
+@pytest.mark.parametrize("dim", [64, 128, 384])
+def test_recall_in_large_blocks(dim):
+    rng = np.random.default_rng(dim)
+    v = rng.standard_normal((4 * ann.BLOCK_ROWS, dim))
+    index, hit, queries = ann.Index(np.arange(len(v)), v), 0, range(0, len(v), len(v) // 40)
+    for i in queries:
+        scores = v @ v[i]
+        scores[i] = -np.inf
+        hit += len(set(np.argpartition(-scores, 20)[:20].tolist()) & set(index.search(v[i], i, 20)[0].tolist()))
+    assert hit >= 0.95 * 20 * len(queries)
