@@ -39,23 +39,24 @@ _EDGE = pa.struct([("from_fqn", pa.string()), ("kind", pa.string()), ("to_fqn",
 _ARROW = pa.schema([("path", pa.string()), ("lang", pa.string()), ("vendor", pa.bool_()), ("has_errors", pa.bool_()), ("symbols", pa.list_(_SYMBOL)), ("imports", pa.list_(_IMPORT)), ("edges", pa.list_(_EDGE))])
 
 
-def extract(files, modules=None):
+def extract(files, modules=None, keep=()):
     """Rows of FILE_INDEX from files(path, content, vendor); vendor files give declarations and hierarchy only.
 
-    No file needs another, so there is no shuffle; modules is a project's handful of roots.
+    No file needs another, so there is no shuffle; modules is a project's handful of roots. Columns of strings that keep names go along.
     """
+    schema = pa.schema([*_ARROW, *((k, pa.string()) for k in keep)])
 
     def run(batches):
         for batch in batches:
             out = []
-            for path, content, vendor in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, content, vendor, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = content.decode("utf-8", "replace") if isinstance(content, bytes) else content or ""
                 found = extract_file(path, text, bool(vendor), modules)
                 if found:
-                    out.append(found | {"vendor": bool(vendor)})
-            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+                    out.append(found | {"vendor": bool(vendor)} | dict(zip(keep, more, strict=True)))
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return files.select("path", "content", "vendor").mapInArrow(run, FILE_INDEX)
+    return files.select("path", "content", "vendor", *keep).mapInArrow(run, FILE_INDEX + "".join(f", `{k}` STRING" for k in keep))
 
 
 def tables(index):

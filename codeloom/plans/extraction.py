@@ -1,7 +1,9 @@
-"""One query for each extraction rule: a small source of our own, and the rows it must give as literal SQL."""
+"""One query for each extraction rule: a source file for every supplier, which names it, and the rows these files must give as SQL over supplier."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..extract.run import extract
@@ -9,22 +11,36 @@ from ..extract.run import extract
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 SYMBOLS, IMPORTS, EDGES = ("kind", "fqn"), ("alias", "fqn", "kind"), ("from_fqn", "kind", "to_fqn", "resolved")
+#: Where a supplier's key goes in a source and in its rows.
+KEY = "§"
 
 
 def _literal(value):
     return str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
 
 
+def _named(source, rows):
+    """The source and its rows with the key behind one of their names: the last one of the rows that the source has with a capital, or else the last that it has."""
+    words = [w for r in rows for v in r if isinstance(v, str) for w in re.findall(r"[A-Za-z]{3,}", v) if re.search(rf"\b{w}\b", source)]
+    word = ([w for w in words if w[0].isupper() and not w.isupper()] or [w for w in words if w not in ("constructor", "default")])[-1]
+    put = lambda v: re.sub(rf"\b{word}\b", f"{word}_{KEY}", v) if isinstance(v, str) else v
+    return put(source), [tuple(map(put, r)) for r in rows]
+
+
 def rule(name, path, source, part, columns, rows, modules=None, kinds=None, vendor=False):
-    """Register a query: columns of the symbols, imports or edges of one source, of some kinds or all."""
+    """Register a query: columns of the symbols, imports or edges of each supplier's source, of some kinds or all."""
+    source, rows = _named(source, rows)
 
-    def run(spark, _):
-        files = spark.createDataFrame([(path, source, vendor)], "path string, content string, vendor boolean")
-        found = extract(files, modules).select(F.explode(part).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in columns])
+    def run(spark, d):
+        keys = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("key"))
+        files = keys.select(F.lit(path).alias("path"), F.replace(F.lit(source), F.lit(KEY), "key").alias("content"), F.lit(vendor).alias("vendor"), "key")
+        found = extract(files, modules, keep=("key",)).select("key", F.explode(part).alias("r")).select(F.col("key").cast("long").alias("supplier"), *[F.col(f"r.{c}").alias(c) for c in columns])
         return found.where(F.col("kind").isin(*kinds)) if kinds else found
 
     QUERIES[name] = run
-    ORACLE_SQL[name] = f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) t({', '.join(columns)})"
+    texts = {c for i, c in enumerate(columns) if isinstance(rows[0][i], str)}
+    filled = ", ".join(f"replace({c}, '{KEY}', CAST(s_suppkey AS VARCHAR)) AS {c}" if c in texts else c for c in columns)
+    ORACLE_SQL[name] = f"SELECT s_suppkey AS supplier, {filled} FROM supplier, (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) t({', '.join(columns)})"
 
 
 # PHP
