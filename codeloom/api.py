@@ -107,7 +107,7 @@ class Graph:
 
     def impact(self, fqn, depth=0, per_level=0):
         own = self.name(fqn)
-        callers, tests, cut = graph.impact(self.edges, own, reset(depth, 3, 5), reset(per_level, 25, 200))
+        callers, tests, cut = graph.impact(self.edges, own, reset(depth, 3, 5), reset(per_level, 25, 200), hold=False)
         found, levels = rows(callers), {}
         for r in found:
             levels.setdefault(r["depth"], []).append({k: r[k] for k in ("fqn", "file", "line")})

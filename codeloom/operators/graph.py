@@ -13,6 +13,8 @@ from .labels import relatives as labelled
 
 EDGE_KEY = ("from_fqn", "kind", "to_fqn", "file", "line")
 ANCESTOR_CAP, DESCENDANT_CAP = 200, 2000
+#: Names of a frontier that go to the edges as a list.
+FEW = 1000
 
 
 def all_edges(edges, files, ext_edges):
@@ -109,23 +111,27 @@ def tests_referencing(edges, fqns, limit=20):
     return found.select("file").distinct().orderBy("file").limit(limit)
 
 
-def impact(edges, fqn, depth=3, per_level=25):
+def impact(edges, fqn, depth=3, per_level=25, hold=True):
     """(callers(depth, fqn, file, line), tests(file), whether a level was cut).
 
     Walks call edges backwards level by level. Callers in test files are listed by file and not walked on. A level keeps
     its first per_level callers by name; the others count as met and aren't walked on either. None keeps all.
+
+    A frontier of at most FEW names is pushed down to the edges as a list, which a store sorted by target answers from the row groups that hold
+    them, and no edge is shuffled but those found; a larger one is joined. hold keeps the calls for the next level, for edges that are dear to make anew.
     """
     spark = edges.sparkSession
-    calls = edges.where(F.col("kind").isin(*CALL_KINDS) & (F.col("from_fqn") != "")).select("from_fqn", "to_fqn", "file", "line").persist()
-    seen = frontier = checkpointed(spark.range(1).select(F.lit(fqn).alias("node")))
+    calls = edges.where(F.col("kind").isin(*CALL_KINDS) & (F.col("from_fqn") != "")).select("from_fqn", "to_fqn", "file", "line")
+    calls = calls.persist() if hold else calls
+    seen, names = spark.createDataFrame([(fqn,)], "node string"), [fqn]
     levels, tests, cut = [], [], False
+    frontier = seen
     for level in range(1, depth + 1):
-        met = calls.join(frontier.select(F.col("node").alias("to_fqn")), "to_fqn", "left_semi").groupBy("from_fqn", "file").agg(F.min("line").alias("line"))
-        met = met.withColumn("test", is_test_impact(F.col("file")))
+        into = calls.where(F.col("to_fqn").isin(*names)) if names is not None else calls.join(frontier.select(F.col("node").alias("to_fqn")), "to_fqn", "left_semi")
         # one written table a level: a node's first place outside tests, and the test files that call into the level
-        at = F.min(F.when(~F.col("test"), F.struct("file", "line"))).alias("at")
-        met = met.groupBy(F.col("from_fqn").alias("node")).agg(at, F.collect_set(F.when(F.col("test"), F.col("file"))).alias("tests"))
-        met = checkpointed(met.join(seen.withColumn("old", F.lit(True)), "node", "left"))
+        found = into.withColumn("test", is_test_impact(F.col("file"))).groupBy(F.col("from_fqn").alias("node"))
+        found = found.agg(F.min(F.when(~F.col("test"), F.struct("file", "line"))).alias("at"), F.collect_set(F.when(F.col("test"), F.col("file"))).alias("tests"))
+        met = checkpointed(found.join(seen.withColumn("old", F.lit(True)), "node", "left"))
         tests.append(met.select(F.explode("tests").alias("file")))
         new = met.where("at IS NOT NULL AND old IS NULL").select("node", "at")
         n = new.count()
@@ -133,9 +139,12 @@ def impact(edges, fqn, depth=3, per_level=25):
             break
         cut |= per_level is not None and n > per_level
         frontier = new if per_level is None else new.orderBy("node").limit(per_level)
+        few = n if per_level is None else min(n, per_level)
+        names = [r["node"] for r in frontier.select("node").collect()] if few <= FEW else None
         seen = seen.unionByName(new.select("node"))
         levels.append(frontier.select(F.lit(level).alias("depth"), F.col("node").alias("fqn"), F.col("at.file").alias("file"), F.col("at.line").alias("line")))
-    calls.unpersist()
+    if hold:
+        calls.unpersist()
     empty = spark.createDataFrame([], "depth int, fqn string, file string, line int")
     out = empty
     for part in levels:
