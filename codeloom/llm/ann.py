@@ -17,8 +17,8 @@ PROJECTIONS, THRESHOLD = 128, 0.85
 #: First half-width of the windows, for vectors of length 1, and its growth before and after some vector collides nearly often enough.
 WIDTH, FAST, SLOW = 0.05, 1.5, 1.06
 #: The search ends when a vector as near as the k-th best would be a candidate but for so many standard deviations of its collisions.
-DEVIATIONS = 2.4
-#: Rows of a block that are searched for to fit the first width to it.
+DEVIATIONS = 2.2
+#: Rows of a block that are searched for to fit the first width to it: most searches then end after one pass over the arrays.
 PROBES = 8
 #: Rows of a block at most, on average: how rows are dealt follows from their number alone, and not from how Spark is set.
 BLOCK_ROWS = 1 << 12
@@ -64,7 +64,7 @@ class Index:
         self.sorted = (np.sort(points, axis=0).T + self.base[:, None]).ravel()
         self.edge, self.reach, self.width = np.arange(PROJECTIONS + 1) * n, reach(), WIDTH
         probes = [self.search(self.vectors[i], self.ids[i], K)[2] for i in range(0, n, max(1, n // PROBES))]
-        self.width = float(np.quantile(probes, 0.25))
+        self.width = float(np.quantile(probes, 0.9))
 
     def search(self, query, own, k):
         """(ids, scores, last width) of the k best verified candidates, best first, ties to the smaller id; own is no candidate.
