@@ -47,6 +47,21 @@ def alias_key(host, path):
     return F.concat(F.regexp_replace(host, r"^(www|m)\.(.*\..*)$", "$2"), F.regexp_replace(path, r"/+$", ""))
 
 
+#: What a reader of tags passes over: comments, scripts and styles, to their end or the page's.
+UNREAD = r"(?is)<!--.*?(-->|\z)|<script\b.*?(</script\s*>|\z)|<style\b.*?(</style\s*>|\z)"
+BASE = r"(?i)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+
+
+def read_tags(html):
+    """A page without what is no tag of it, however it looks."""
+    return F.regexp_replace(html, UNREAD, " ")
+
+
+def base_target(html):
+    """The target of the first base tag that has one, as written; the empty string, which stands for the page itself, if none has."""
+    return F.regexp_replace(F.regexp_extract(html, BASE, 1), "&amp;", "&")
+
+
 def link_targets(html):
     """Targets of canonical links and of redirects by meta refresh, as written."""
     links = F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*>)"), 1)
@@ -77,7 +92,8 @@ def judge(spark, pages, rules=RULES):
     without a rule is blocked if any alias of it is: aliases are the connected components over
     links from each page to its canonical or refresh target, urls that differ only in scheme,
     www./m. prefix, query, fragment or final slash being one node. Otherwise it is allowed.
-    Relative targets are resolved against the page's own url.
+    Relative targets are resolved against the page's base tag, itself taken from the page's own url, or else against that url. Tags in
+    comments, scripts and styles are none.
     A null url, or one without ://, has an empty host and path, fits no rule and is no one's alias.
     Repeated rows are judged each; no pages give no rows; other columns are ignored.
     """
@@ -85,7 +101,12 @@ def judge(spark, pages, rules=RULES):
     p = pages.select("page_id", "url", "html").withColumns({"host": host, "path": path})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     p = p.withColumns({"rule": rule, "own": verdict, "key": F.when(F.col("host") != "", alias_key(F.col("host"), F.col("path")))})
-    links = p.where("key IS NOT NULL").select(F.col("key").alias("a"), "host", "path", F.explode(link_targets(F.col("html"))).alias("target"))
+    tags = p.where("key IS NOT NULL").select("key", "host", "path", read_tags(F.col("html")).alias("tags"))
+    tags = tags.withColumn("base", resolved(base_target(F.col("tags")), F.col("host"), F.col("path")))
+    base_host, base_path = host_of("base")
+    own = base_host == ""  # a base of a scheme without hosts is none
+    tags = tags.withColumns({"bh": F.when(own, F.col("host")).otherwise(base_host), "bp": F.when(own, F.col("path")).otherwise(base_path)})
+    links = tags.select(F.col("key").alias("a"), F.col("bh").alias("host"), F.col("bp").alias("path"), F.explode(link_targets(F.col("tags"))).alias("target"))
     links = links.select("a", resolved(F.col("target"), F.col("host"), F.col("path")).alias("target"))
     host, path = host_of("target")
     links = links.withColumns({"h": host, "p": path}).where("h <> ''")
@@ -117,8 +138,18 @@ WITH RECURSIVE rest AS (
 ), p AS (
   SELECT page_id, html, host, path, {_sql_case(lambda r: r[1] + r[2])} AS rule, {_sql_case(lambda r: r[0])} AS own,
     CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\\.(.*\\..*)$', '\\2') || regexp_replace(path, '/+$', '') END AS k FROM split
+), bare AS (
+  SELECT k, host, path, regexp_replace(html, '{UNREAD}', ' ', 'g') AS tags FROM p WHERE k IS NOT NULL
+), based AS (
+  SELECT *, t AS base, regexp_extract(t, '^[^?#]*') AS own, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(t, strpos(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3) END AS rest
+  FROM (SELECT *, replace(regexp_extract(tags, '{BASE.replace("'", "''")}', 1), '&amp;', '&') AS t FROM bare)
+), placed AS (
+  SELECT k, tags, CASE WHEN coalesce(regexp_extract(rest, '^([^/?#]*)', 1), '') = '' THEN host ELSE translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') END AS host,
+    CASE WHEN rest IS NOT NULL THEN CASE WHEN regexp_extract(rest, '^([^/?#]*)', 1) = '' THEN path ELSE regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) END
+      WHEN regexp_matches(base, '^[A-Za-z][A-Za-z0-9+.-]*:') OR own = '' THEN path
+      ELSE regexp_replace(CASE WHEN starts_with(own, '/') THEN own ELSE CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || own END, '(/\\.\\.?)$', '\\1/') END AS path FROM based
 ), tags AS (
-  SELECT k, host, path, unnest(regexp_extract_all(html, '(?i)<(link|meta)\\b[^>]*>')) AS tag FROM p WHERE k IS NOT NULL
+  SELECT k, host, path, unnest(regexp_extract_all(tags, '(?i)<(link|meta)\\b[^>]*>')) AS tag FROM placed
 ), written AS (
   SELECT k, host, path, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)\\brel\\s*=\\s*(["''][^"''>]*\\bcanonical\\b|canonical\\b)')
       THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)

@@ -266,6 +266,9 @@ def test_relative_urls(spark):
         (13, "http://k.com/fr/a", refresh.format("/de/x/.."), "allow"), (14, "http://l.com/a", refresh.format("/de/x/.."), "block"), (15, None, link.format("/de/y"), "allow"),
         (16, "http://www.com/z", link.format("http://www.com/y"), "allow"), (17, "http://m.com/z", link.format("/de/q"), "block"), (18, "http://m.n.net/z", "", "block"), (19, "http://n.net/z/", '<LINK rel="alternate canonical" href=/a/b//../../../../w&amp;x>', "block"),
         (20, "http://www.n.net/w&x", link.format("https://a.com/de/x?a=1&amp;b=2"), "block"), (21, "http://o.net/1", "<link rel=canonicals href=http://a.com/de/x>", "allow"), (22, "http://o.net/2", "<link rel='canonical'>", "allow"),
+        (23, "http://p.net/1", '<base href="http://a.com/"><link rel=canonical href="de/1">', "block"), (24, "http://a.com/p/q", '<BASE target=_top href="/x/y/"><base href="/de/">' + link.format("../../de/r"), "block"), (25, "http://p.net/2", "<base href='//a.com/z/'>" + link.format("../de/1"), "block"),
+        (26, "http://a.com/p/r", "<base href=mailto:x>" + link.format("/de/1"), "block"), (27, "http://p.net/3", "<!-- " + link.format("http://a.com/de/x") + "\n-->", "allow"), (28, "http://p.net/4", "<script>x = '" + link.format("http://a.com/de/x") + "'</script >" + link.format("5"), "allow"),
+        (29, "http://p.net/6", "<style>" + link.format("http://a.com/de/x"), "allow"), (30, "http://p.net/7", "<!-- <base href=http://q.net/> -->" + link.format("http://a.com/de/x"), "block"), (31, "http://a.com/p/s", "<base href=http:///x/>" + link.format("/de/2"), "block"), (32, "http://a.com/p/t/", "<base href='..'>" + link.format("de/../../de/k"), "block"),
     ]
     pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
     got = {tuple(r) for r in url_filter.judge(spark, pages).collect()}
