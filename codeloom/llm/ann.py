@@ -21,7 +21,7 @@ DEVIATIONS = 2.2
 #: Rows of a block that are searched for to fit the first width to it: most searches then end after one pass over the arrays.
 PROBES = 8
 #: Rows of a block at most, on average: how rows are dealt follows from their number alone, and not from how Spark is set.
-BLOCK_ROWS = 1 << 12
+BLOCK_ROWS = 1 << 13
 
 
 def reach():

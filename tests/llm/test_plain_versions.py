@@ -287,7 +287,7 @@ def test_neighbours_do_not_depend_on_partitions(spark):
 @pytest.mark.parametrize("dim", [64, 128, 384])
 def test_recall_in_large_blocks(dim):
     rng = np.random.default_rng(dim)
-    v = rng.standard_normal((4 * ann.BLOCK_ROWS, dim))
+    v = rng.standard_normal((2 * ann.BLOCK_ROWS, dim))
     index, hit, queries = ann.Index(np.arange(len(v)), v), 0, range(0, len(v), len(v) // 40)
     for i in queries:
         scores = v @ v[i]
