@@ -38,6 +38,11 @@ def dedupe(edges, order):
     return edges.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def once_a_file(edges):
+    """Edges equal in all but the line once for each file, at the first line."""
+    return edges.groupBy("file", "from_fqn", "kind", "to_fqn", "resolved").agg(F.min("line").alias("line"))
+
+
 def _page(edges, order, limit):
     """Limit, then dedupe: a page can be short."""
     return dedupe(edges.orderBy(*order).limit(limit), order).orderBy(*order).select(*EDGE_COLUMNS)
@@ -82,6 +87,13 @@ def hierarchy(edges, fqn, labels=None):
     return up.unionByName(down).orderBy("direction", "fqn")
 
 
+def outline_relations(symbols, edges):
+    """fqn, relations: every class with the kinds and names of what it extends, implements or uses, sorted, as an outline tells them."""
+    relations = hierarchy_steps(edges, True).groupBy("src").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "kind", "dst"))), ", ").alias("relations"))
+    classes = symbols.where("kind = 'class'").select("fqn").distinct()
+    return classes.join(relations, F.col("fqn") == F.col("src"), "left").select("fqn", F.coalesce("relations", F.lit("")).alias("relations"))
+
+
 def callers(edges, fqn, limit=50, path_prefix="", exclude_tests=False, labels=None):
     """Calls into a callable. For a member also calls recorded on relatives of its class, marked unresolved."""
     split = method_split_of(fqn)

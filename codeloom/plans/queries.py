@@ -481,13 +481,9 @@ def f15(spark, d):
 
 @query("a11_extraction_dedupe", with_views(" SELECT file, from_fqn, kind, to_fqn, resolved, min(line) AS line FROM g_edges WHERE source = 'ast' GROUP BY ALL", "g_edges"))
 def a11(spark, d):
-    edges = load(spark, d, "g_edges").where("source = 'ast'")
-    return edges.groupBy("file", "from_fqn", "kind", "to_fqn", "resolved").agg(F.min("line").alias("line"))
+    return graph.once_a_file(load(spark, d, "g_edges").where("source = 'ast'"))
 
 
 @query("j10_outline_relations", with_views(f" SELECT s.fqn AS fqn, coalesce(string_agg(e.kind || ' ' || e.to_fqn, ', ' ORDER BY e.kind || ' ' || e.to_fqn), '') AS relations FROM g_symbols s LEFT JOIN (SELECT DISTINCT from_fqn, kind, to_fqn FROM g_edges WHERE kind IN {_HIER}) e ON e.from_fqn = s.fqn WHERE s.kind = 'class' GROUP BY s.fqn", "g_symbols", "g_edges"))
 def j10(spark, d):
-    symbols, edges = load(spark, d, "g_symbols", "g_edges")
-    relations = graph.hierarchy_steps(edges, True).groupBy("src").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "kind", "dst"))), ", ").alias("relations"))
-    classes = symbols.where("kind = 'class'").select("fqn").distinct()
-    return classes.join(relations, F.col("fqn") == F.col("src"), "left").select("fqn", F.coalesce("relations", F.lit("")).alias("relations"))
+    return graph.outline_relations(*load(spark, d, "g_symbols", "g_edges"))
