@@ -101,7 +101,8 @@ def judge(spark, pages, rules=RULES):
     p = pages.select("page_id", "url", "html").withColumns({"host": host, "path": path})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     p = p.withColumns({"rule": rule, "own": verdict, "key": F.when(F.col("host") != "", alias_key(F.col("host"), F.col("path")))})
-    tags = p.where("key IS NOT NULL").select("key", "host", "path", read_tags(F.col("html")).alias("tags"))
+    named = F.col("html").rlike("(?i)canonical|refresh")  # no other page has a link
+    tags = p.where(F.col("key").isNotNull() & named).select("key", "host", "path", read_tags(F.col("html")).alias("tags"))
     tags = tags.withColumn("base", resolved(base_target(F.col("tags")), F.col("host"), F.col("path")))
     base_host, base_path = host_of("base")
     own = base_host == ""  # a base of a scheme without hosts is none
