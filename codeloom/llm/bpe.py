@@ -562,7 +562,11 @@ DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def round_trip(docs, keep=("doc_id",), vocabulary=None):
-    """For each row of docs: how many tokens, and digests of the ids and of the text decoded from them in a stream."""
+    """For each row of docs: how many tokens, and digests of the ids and of the text decoded from them in a stream.
+
+    Null counts as empty, which has no tokens; repeated rows are encoded each; an empty table stays empty; only the columns in keep
+    go along, whatever the others' names.
+    """
     tune(docs.sparkSession)
     path, pattern = vocabulary or default_vocabulary()
     schema = ", ".join([f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [DIGEST])
@@ -583,7 +587,11 @@ def round_trip(docs, keep=("doc_id",), vocabulary=None):
 
 
 def tokenized(docs, keep=("doc_id",), vocabulary=None):
-    """docs with n_tokens, tokens array<int> and decoded_sha256: the digest of the text that the ids decode to in a stream."""
+    """docs with n_tokens, tokens array<int> and decoded_sha256: the digest of the text that the ids decode to in a stream.
+
+    Null counts as empty, which has no tokens; repeated rows are encoded each; an empty table stays empty; only the columns in keep
+    go along, whatever the others' names.
+    """
     tune(docs.sparkSession)
     path, pattern = vocabulary or default_vocabulary()
     schema = ", ".join([f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens long, tokens array<int>, decoded_sha256 string"])
