@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..api import Graph
 from ..functions import paths
 from ..functions.scalars import member_separator
 from ..operators import graph, incremental, labels, lookup, methods, trigrams
 from .projection import load
-from .queries import _HIER, SUPPLIER, _code_sql, _contents, _levels, with_views
+from .queries import _HIER, _PLACE, SUPPLIER, SUPPLY, _code_sql, _contents, _levels, deduped, with_views
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -225,3 +226,44 @@ def g13_after(spark, d):
 def a02_after(spark, d):
     edges, gone, fresh = _edited(spark, d)
     return incremental.folded(edges.groupBy("source", "kind").agg(F.count("*").alias("n")), gone, fresh, "source", "kind")
+
+
+# Answers of the questions' interface
+
+
+def _graph(spark, d):
+    """The questions over the given tables: edges as they are, and layers counted from them."""
+    files, symbols, edges = load(spark, d, "g_files", "g_symbols", "g_edges")
+    own = edges.where("source = 'ast'").select(F.col("line").cast("long").alias("file_id"), "from_fqn", "kind", "to_fqn", "resolved", "line")
+    g = Graph({"files": files, "symbols": symbols, "edges": own, "ext_edges": edges.where("source <> 'ast'").select("source", "from_fqn", "kind", "to_fqn", "file", "line")})
+    g.edges = edges
+    return g
+
+
+@query("l10_status", with_views(""" SELECT 'files' AS what, count(*) AS n FROM g_files UNION ALL SELECT 'symbols', count(*) FROM g_symbols UNION ALL SELECT 'language ' || lang, count(*) FROM g_files WHERE NOT vendor GROUP BY lang
+  UNION ALL SELECT 'layer ' || source, count(*) FROM g_edges WHERE source <> 'ast' GROUP BY source""", "g_files", "g_symbols", "g_edges"))
+def l10(spark, d):
+    found = _graph(spark, d).status()
+    rows = [("files", found["files"]), ("symbols", found["symbols"]), *((f"language {k}", n) for k, n in found["languages"].items()), *((f"layer {k}", n) for k, n in found["layers"].items())]
+    return spark.createDataFrame(rows, "what string, n long")
+
+
+_LIMITS = {0: 50, -3: 50, 7: 7, 500: 500, 501: 500}
+
+
+@query("o13_clamped_pages", with_views(" " + " UNION ALL ".join(f"SELECT {asked} AS asked, count(*) AS n FROM ({deduped(f'SELECT * FROM g_edges WHERE to_fqn = {chr(39)}{SUPPLY}{chr(39)} ORDER BY {_PLACE} LIMIT {meant}')})" for asked, meant in _LIMITS.items()), "g_edges"))
+def o13(spark, d):
+    g = _graph(spark, d)
+    return spark.createDataFrame([(asked, len(g.find_references(SUPPLY, asked)["edges"])) for asked in _LIMITS], "asked int, n long")
+
+
+_MAIN = "crm.Customer_7.main()"
+
+
+@query("l09_explore", with_views(f""" SELECT 'caller' AS part, from_fqn AS name FROM ({deduped(f"SELECT from_fqn, kind, to_fqn, file, line, resolved, source FROM g_edges WHERE kind = 'calls' AND to_fqn IN (SELECT x || '.main()' FROM (SELECT 'crm.Customer_7' AS x UNION SELECT to_fqn FROM g_edges WHERE from_fqn = 'crm.Customer_7' AND kind IN {_HIER}))")})
+  UNION ALL SELECT 'callee', to_fqn FROM ({deduped(f"SELECT * FROM g_edges WHERE from_fqn = '{_MAIN}' AND kind IN ('calls', 'instantiates') ORDER BY resolved DESC, line, file, from_fqn, kind, to_fqn, source LIMIT 15")})
+  UNION ALL SELECT 'declaration', fqn FROM g_symbols WHERE fqn = '{_MAIN}' UNION ALL SELECT 'references ' || count(*), '{_MAIN}' FROM g_edges WHERE to_fqn = '{_MAIN}'""", "g_edges", "g_symbols"))
+def l09(spark, d):
+    found = _graph(spark, d).explore(_MAIN, skip_source=True)
+    rows = [("caller", e["from_fqn"]) for e in found["callers"]] + [("callee", e["to_fqn"]) for e in found["callees"]] + [("declaration", h["fqn"]) for h in found["declarations"]]
+    return spark.createDataFrame([*rows, (f"references {found['references']}", _MAIN)], "part string, name string")
