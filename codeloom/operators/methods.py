@@ -59,7 +59,7 @@ def implementations(methods, interface_methods):
     then asked for the other methods. Interfaces without methods match nothing.
     """
     keys = ["name", "signature"]
-    has = methods.select(F.col("owner").alias("from_fqn"), *keys).distinct().persist()
+    has = checkpointed(methods.select(F.col("owner").alias("from_fqn"), *keys).distinct())
     wants = interface_methods.select(F.col("owner").alias("to_fqn"), *keys).distinct()
     common = has.groupBy(*keys).agg(F.count("*").alias("types"))
     rated = wants.join(common, keys, "left").withColumn("types", F.coalesce("types", F.lit(0)))
