@@ -97,3 +97,39 @@ def test_whole_notices(family):
 def test_other_words_name_no_licence():
     for text in ("The library closes at nine; see the license of the driver.", "He made a general public speech under the terms of his contract.", "All seats are reserved."):
         assert licenses.digest(text)[1] == ""
+
+
+#: Forms that the model is not fitted on, nor its temperature: grants of a family's names, and texts that grant nothing.
+HELD_OUT = (
+    "You can get it under the terms of the {} license.", "Terms: {} license", "This repository is covered by the {} licence.", "Code and docs are released under {}.", "You may copy this under the terms of the {} license.",
+    "It is free software licensed under {}.", "The tool is distributed under the terms of the {}.", "Copyright 2020 the authors, {} license.",
+)
+HELD_OUT_NONE = ("This module is not licensed under {} terms.", "We did not release it under the {} license.", "The old code was never under the {} license.", "It is no longer distributed under the {}.")
+
+
+def test_licences_in_held_out_forms():
+    assert not {f.lower().strip(".") for f in HELD_OUT + HELD_OUT_NONE} & {f.lower() for f in licenses.GRANTS + licenses.REFUSALS}
+    found = missed = wrong = 0
+    for family, names in licenses.NAMES.items():
+        for name in names:
+            for form in HELD_OUT:
+                got = set(filter(None, licenses.digest(form.format(name))[1].split(",")))
+                found, missed, wrong = found + (family in got), missed + (family not in got), wrong + len(got - {family})
+            wrong += sum(licenses.digest(form.format(name))[0] for form in HELD_OUT_NONE)
+    assert found / (found + missed) >= 0.97 and found / (found + wrong) >= 0.97, (found, missed, wrong)
+
+
+LICENCE_CASES = {
+    "Released under GPLv3.": "gpl", "MIT licensed": "mit", "License: BSD-2-Clause": "bsd", "Dual licensed under MIT or Apache-2.0.": "apache,mit", "GNU GPL v3 or later": "gpl", "Apache 2.0": "apache",
+    "Creative Commons Attribution-NonCommercial licence": "cc-by-nc", "not licensed under the MIT License": "", "Not under MIT but under the BSD license": "bsd", "We moved from Apache 2.0 to another server.": "", "Den mit.\nMit und": "",
+    "This library ships with a parser that is released under the MIT License and it also has a part, by another author, which is licensed under the Apache License, Version 2.0, as its own file says.": "apache,mit",
+    "Released\nunder GPLv3.": "gpl", "# distributed under the\n# MIT terms.": "mit", "released\nunder the\n\nMIT terms": "", "DISTRIBUTED UNDER THE  MIT TERMS": "mit",
+}
+
+
+def test_licence_cases(spark):
+    docs = spark.createDataFrame(list(enumerate(LICENCE_CASES)), "doc_id long, text string").withColumn("n", F.lit("n")).withColumn("s", F.lit(1)).withColumn("rid", F.lit(0))
+    got = {r["doc_id"]: (r["n_licenses"], r["families"], r["spans"]) for r in licenses.scan(docs).collect()}
+    assert {i: f[1] for i, f in got.items()} == dict(enumerate(LICENCE_CASES.values()))
+    assert got == {i: licenses.digest(t) for i, t in enumerate(LICENCE_CASES)}
+    assert "Python" not in licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
