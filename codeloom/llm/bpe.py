@@ -17,7 +17,9 @@ CACHE_STATES = 1 << 18
 #: Pairs of tokens that are remembered; and what stands for no token.
 CACHE_PAIRS, NONE = 1 << 20, (1 << 31) - 1
 #: Bytes of the pieces that go through the transducer side by side, bytes that such a state may leave undecided, and pieces of text split at once.
-SHORT, PENDING, SPLIT = 64, 20, 1 << 16
+SHORT, PENDING, SPLIT = 64, 20, 1 << 18
+#: Text bytes of which round_trip() encodes the distinct pieces together: the more, the fewer steps of the side by side ones.
+AT_ONCE = 1 << 21
 
 
 def load_ranks(path):
@@ -437,14 +439,12 @@ class Codec:
         self.ready, self.now, self.old = ready, {}, {}
 
     def learn(self, pieces):
-        """Ids of each of some distinct pieces by piece; those not ready-made are encoded together."""
+        """Ids of each of a set of pieces by piece; those not ready-made are encoded together."""
         now, old, ranks = self.now, self.old, self.machine.ranks
         if len(now) > self.ready:
             self.now, self.old = now, old = {}, now
         long, short = {}, {}
-        for p in pieces:
-            if p in now:
-                continue
+        for p in pieces.difference(now):
             ids = old.get(p)
             if ids is not None:
                 now[p] = ids
@@ -468,7 +468,7 @@ class Codec:
         held, size = [], 0
 
         def flush():
-            ready = self.learn({p for _, own in held for p in own})
+            ready = self.learn(set(itertools.chain.from_iterable([own for _, own in held])))
             for i, own in held:
                 out[i].append(" ".join(map(ready.__getitem__, own)))
 
@@ -575,7 +575,7 @@ def round_trip(docs, keep=("doc_id",), vocabulary=None):
     def run(batches):
         own = codec(path, pattern)
         for whole in batches:
-            for batch in pieces(whole, "__text"):
+            for batch in pieces(whole, "__text", AT_ONCE):
                 counts, ids_sha, decoded_sha = [], [], []
                 for ids in own.encode_texts(batch.column(len(keep)).to_pylist()):
                     counts.append(ids.count(" ") + 1 if ids else 0)
