@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import checkpointed
+from .spread import joined
 
 
 def embedded(embeds):
@@ -33,13 +39,15 @@ def method_sets(declared, embeds):
     """owner, name, signature, value, depth: the methods of a pointer to each type, its own and those promoted from what it embeds.
 
     declared is owner, name, signature, pointer (of the receiver); a null signature is a field, which takes its name and is no method.
-    A name counts at its least depth, and not at all where that depth has it twice. value tells whether the type itself has the method too, not
+    A part may be embedded in any share of the types, so they meet what it declares in many parts; all of a type then stays together, counted without another
+    exchange. A name counts at its least depth, and not at all where that depth has it twice. value tells whether the type itself has the method too, not
     only a pointer to it: for a value receiver, or where a pointer is embedded on the way.
     """
     own = declared.groupBy("owner", "name").agg(F.count("*").alias("times"), F.min(F.struct(F.col("signature"), F.col("pointer"))).alias("m"))
-    reach = embedded(embeds)
-    alone = own.join(reach.select(F.col("owner")).distinct(), "owner", "left_anti").select("owner", "name", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("paths"), F.lit(False).alias("indirect"), "times", "m")
-    met = reach.join(own.withColumnRenamed("owner", "part"), "part").select("owner", "name", "depth", "paths", "indirect", "times", "m").unionByName(alone)
+    reach = embedded(embeds).where("depth > 0")
+    itself = own.select("owner", "name", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("paths"), F.lit(False).alias("indirect"), "times", "m")
+    parts = own.withColumnRenamed("owner", "part").join(embeds.select("part").distinct(), "part", "left_semi")
+    met = joined(reach, parts, ["part"], ["owner"]).select(*itself.columns).unionByName(itself).repartition("owner")
     at_depth = met.groupBy("owner", "name", "depth").agg(F.sum(F.col("paths") * F.col("times")).alias("n"), F.min("m").alias("m"), F.max("indirect").alias("indirect"))
     nearest = at_depth.groupBy("owner", "name").agg(F.min(F.struct("depth", "n", "m", "indirect")).alias("s")).where("s.n = 1 AND s.m.signature IS NOT NULL")
     return nearest.select("owner", "name", "s.m.signature", (~F.col("s.m.pointer") | F.col("s.indirect")).alias("value"), "s.depth")
@@ -52,19 +60,87 @@ def interface_sets(declared, embeds):
     return met.unionByName(declared.select("owner", "name", "signature")).distinct()
 
 
+#: Types of a block and interface methods of a chunk: what one task holds at a time.
+TYPES, WANTED = 1 << 15, 1 << 20
+PAIRS = "from_fqn string, to_fqn string"
+
+
+def _codes(fqn, method, base):
+    """Rows of one side as arrays: (names, number of the name, number of the method in base, -1 for one that base hasn't)."""
+    names = fqn.combine_chunks().dictionary_encode()
+    found = pc.fill_null(pc.index_in(method, value_set=base), -1)
+    return names.dictionary, np.asarray(names.indices), np.asarray(found)
+
+
+def _holders(batches):
+    """Pairs of one block of types with one chunk of interfaces: those that have the interface's rarest method here are narrowed by the others, rare ones first."""
+    rows = pa.Table.from_batches(list(batches))
+    types, faces = rows.filter(rows["type"]), rows.filter(pc.invert(rows["type"]))
+    if not types.num_rows or not faces.num_rows:
+        return
+    base = types["method"].combine_chunks().unique()
+    type_names, who, what = _codes(types["fqn"], types["method"], base)
+    face_names, face, wants = _codes(faces["fqn"], faces["method"], base)
+    order = np.argsort(what, kind="stable")
+    at, who = np.searchsorted(what[order], np.arange(len(base) + 1)), who[order]
+    count = np.diff(at)
+    frequent = {}
+
+    def holds(m, some):
+        if count[m] * 64 < len(type_names):
+            return np.isin(some, who[at[m] : at[m + 1]])
+        if m not in frequent:
+            frequent[m] = np.zeros(len(type_names), bool)
+            frequent[m][who[at[m] : at[m + 1]]] = True
+        return frequent[m][some]
+
+    order = np.lexsort((np.where(wants < 0, 0, count[wants]), face))
+    face, wants = face[order], wants[order]
+    starts = np.searchsorted(face, np.arange(len(face_names) + 1))
+    found, n = [], 0
+    for f in range(len(face_names)):
+        own = wants[starts[f] : starts[f + 1]]
+        if own[0] < 0:
+            continue
+        some = who[at[own[0]] : at[own[0] + 1]]
+        for m in own[1:]:
+            if not len(some):
+                break
+            some = some[holds(m, some)]
+        if len(some):
+            found.append((f, some))
+            n += len(some)
+        if n > 1 << 16:
+            yield _pairs(type_names, face_names, found)
+            found, n = [], 0
+    if found:
+        yield _pairs(type_names, face_names, found)
+
+
+def _pairs(type_names, face_names, found):
+    faces = np.repeat([f for f, _ in found], [len(some) for _, some in found])
+    return pa.RecordBatch.from_arrays([type_names.take(pa.array(np.concatenate([some for _, some in found]))), face_names.take(pa.array(faces))], ["from_fqn", "to_fqn"])
+
+
 def implementations(methods, interface_methods):
     """from_fqn, to_fqn of types that have every method of an interface: methods(owner, name, signature), interface_methods alike.
 
-    An interface is led by that method of it which the fewest types have; only types that have this one are looked at, and each of them is
-    then asked for the other methods. Interfaces without methods match nothing.
+    The pairs to be tested are as many as types times interfaces, so none is a row before it has passed: blocks of some TYPES types meet chunks of
+    some WANTED interface methods, each block a row a method for each chunk and each chunk for each block. Interfaces without methods match nothing.
     """
-    keys = ["name", "signature"]
-    has = checkpointed(methods.select(F.col("owner").alias("from_fqn"), *keys).distinct())
-    wants = interface_methods.select(F.col("owner").alias("to_fqn"), *keys).distinct()
-    common = has.groupBy(*keys).agg(F.count("*").alias("types"))
-    rated = wants.join(common, keys, "left").withColumn("types", F.coalesce("types", F.lit(0)))
-    led = rated.groupBy("to_fqn").agg(F.count("*").alias("size"), F.min(F.struct("types", *keys)).alias("lead")).where("lead.types > 0")
-    met = led.select("to_fqn", "size", "lead.name", "lead.signature").join(has, keys).where("from_fqn <> to_fqn").select("from_fqn", "to_fqn", "size")
-    single = met.where("size = 1").select("from_fqn", "to_fqn")
-    asked = met.where("size > 1").join(wants, "to_fqn").join(has, ["from_fqn", *keys])
-    return single.unionByName(asked.groupBy("from_fqn", "to_fqn").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size").select("from_fqn", "to_fqn"))
+    method = F.concat(F.char_length("name").cast("string"), F.lit(":"), "name", "signature")  # told apart by the length, null where the signature is
+    has = methods.select(F.col("owner").alias("fqn"), method.alias("method")).where("fqn IS NOT NULL AND method IS NOT NULL").distinct()
+    wants = interface_methods.where("owner IS NOT NULL").select(F.col("owner").alias("fqn"), method.alias("method")).distinct()
+    has, wants = checkpointed(has), checkpointed(wants)
+    blocks = -(-has.select("fqn").distinct().count() // TYPES) or 1
+    chunks = -(-wants.count() // WANTED) or 1
+    part = lambda n: F.pmod(F.xxhash64("fqn"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = has.select(part(blocks).alias("block"), each(chunks).alias("chunk"), F.lit(True).alias("type"), "fqn", "method")
+    right = wants.select(each(blocks).alias("block"), part(chunks).alias("chunk"), F.lit(False).alias("type"), "fqn", "method")
+
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _holders(batches)
+
+    met = left.unionByName(right).repartition(blocks * chunks, "block", "chunk").groupBy("block", "chunk").applyInArrow(holders, PAIRS)
+    return met.where("from_fqn <> to_fqn")
