@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import checkpointed
+from .spread import joined
+
+#: Reported files whose paths are broadcast; those of more are joined.
+FEW = 100_000
+
 
 def normalize_paths(reported, indexed, root):
     """reported(p) with path: root-relative if indexed; else itself if indexed; else its longest indexed suffix after the first component; else unchanged."""
@@ -18,14 +24,16 @@ def normalize_paths(reported, indexed, root):
     return own.join(found, "p", "left").select("p", F.when(F.col("p") == "", "").otherwise(F.coalesce("found", "p")).alias("path"))
 
 
-def import_edges(raw, indexed, root, source):
+def import_edges(raw, indexed, root, source, reported=None):
     """Rows of an enrichment layer from raw(n, from, kind, to, file, line): n is the input order.
 
-    Edges without both ends go; of equal ones (line aside) the first stays.
+    Edges without both ends go; of equal ones (line aside) the first stays. A file may hold any share of them, so its edges meet its path in many parts.
+    reported(p), if the files that raw names are known (others may be among them), saves a pass over it.
     """
     raw = raw.fillna({"from": "", "kind": "", "to": "", "file": "", "line": 0}).where((F.col("from") != "") | (F.col("to") != ""))
-    paths = normalize_paths(raw.select(F.col("file").alias("p")), indexed, root)
-    named = raw.join(paths, raw["file"] == paths["p"])
+    raw = raw.withColumnRenamed("file", "p")
+    paths = checkpointed(normalize_paths(raw if reported is None else reported.fillna({"p": ""}), indexed, root))
+    named = raw.join(F.broadcast(paths), "p") if paths.count() <= FEW else joined(raw, paths, ["p"], ["from", "to"])
     first = named.groupBy("from", "kind", "to", "path").agg(F.min_by("line", "n").alias("line"))
     return first.select(F.lit(source).alias("source"), F.col("from").alias("from_fqn"), "kind", F.col("to").alias("to_fqn"), F.col("path").alias("file"), F.col("line").cast("int").alias("line"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates, scalars
 from ..operators import enrich, fts, graph, incremental, lookup, methods
-from .fixpoint import closure
+from .fixpoint import checkpointed, closure
 from .projection import CURRENT, EDGES, FILES, PREVIOUS, SYMBOLS, CYCLIC, load
 
 QUERIES: dict = {}
@@ -420,7 +420,8 @@ def s13(spark, d):
 @query("a12_import_dedupe", with_views(""" SELECT 'layer' AS source, from_fqn, kind, to_fqn, file, line FROM (SELECT *, row_number() OVER (PARTITION BY from_fqn, kind, to_fqn, file ORDER BY line, source) AS n FROM g_edges WHERE from_fqn <> '' OR to_fqn <> '') WHERE n = 1""", "g_edges"))
 def a12(spark, d):
     edges = load(spark, d, "g_edges").selectExpr("struct(line, source) AS n", "from_fqn AS `from`", "kind", "to_fqn AS `to`", "file", "line")
-    return enrich.import_edges(edges, edges.select(F.col("file").alias("path")), "/proj", "layer")
+    files = checkpointed(edges.select("file").distinct())
+    return enrich.import_edges(edges, files.select(F.col("file").alias("path")), "/proj", "layer", files.select(F.col("file").alias("p")))
 
 
 @query("k04_replace_source", with_views(" SELECT source, count(*) AS n FROM (SELECT source FROM g_edges WHERE source = 'go-types' UNION ALL SELECT 'phpstan' FROM (SELECT * FROM g_edges WHERE source = 'ast' AND kind = 'extends')) GROUP BY source", "g_edges"))

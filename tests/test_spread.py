@@ -1,8 +1,9 @@
 """Keys that hold most rows are dealt over many parts, and the results stay."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import methods, spread
+from codeloom.operators import enrich, methods, spread
 
 
 def dealt(monkeypatch, *modules):
@@ -20,6 +21,17 @@ def dealt(monkeypatch, *modules):
     return seen
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_import_of_one_large_file(spark, monkeypatch, few):
+    seen = dealt(monkeypatch, enrich)
+    monkeypatch.setattr(enrich, "FEW", few)
+    raw = spark.range(600).selectExpr("id AS n", "'a' || id % 300 AS `from`", "'calls' AS kind", "'b' AS `to`", "CASE WHEN id % 100 = 7 THEN '/x/y.php' ELSE '/proj/big.php' END AS file", "CAST(id AS INT) AS line")
+    indexed = spark.createDataFrame([("big.php",), ("y.php",)], "path string")
+    got = {tuple(r) for r in enrich.import_edges(raw, indexed, "/proj", "s").collect()}
+    assert got == {("s", f"a{i}", "calls", "b", "y.php" if i % 100 == 7 else "big.php", i) for i in range(300)}
+    assert seen == ([] if few else [spread.WAYS])
+
+
 def test_one_part_in_all_types(spark, monkeypatch):
     seen = dealt(monkeypatch, methods)
     embeds = spark.range(500).selectExpr("'T' || id AS owner", "'R' AS part", "false AS pointer")
