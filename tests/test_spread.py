@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.functions import paths
 from codeloom.operators import enrich, methods, spread
 
 
@@ -32,6 +33,13 @@ def test_import_of_one_large_file(spark, monkeypatch, few):
     assert seen == ([] if few else [spread.WAYS])
 
 
+def test_one_root_around_all_files(spark, monkeypatch):
+    seen = dealt(monkeypatch, paths)
+    files = spark.range(500).selectExpr("'a/f' || id || '.go' AS path")
+    got = paths.package_paths(files, spark.createDataFrame([("a", "m")], "root string, module string"))
+    assert {(r["path"], r["package"]) for r in got.collect()} == {(f"a/f{i}.go", "m") for i in range(500)} and seen == [spread.WAYS]
+
+
 def test_one_part_in_all_types(spark, monkeypatch):
     seen = dealt(monkeypatch, methods)
     embeds = spark.range(500).selectExpr("'T' || id AS owner", "'R' AS part", "false AS pointer")
