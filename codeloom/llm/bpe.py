@@ -14,6 +14,8 @@ from .common import PIECE_BYTES, _kept, pieces, table, tune, worker
 #: Pieces kept ready-made (twice as many: those of the last filling stay until the next), and transducer states kept; beyond, the tables are dropped and grow anew.
 CACHE_PIECES = 1 << 16
 CACHE_STATES = 1 << 18
+#: The same where nothing else shares the worker's memory, as in round_trip(): what is met again is then rarely made anew.
+ROOMY = 1 << 18, 1 << 19
 #: Pairs of tokens that are remembered; and what stands for no token.
 CACHE_PAIRS, NONE = 1 << 20, (1 << 31) - 1
 #: Bytes of the pieces that go through the transducer side by side, bytes that such a state may leave undecided, and pieces of text split at once.
@@ -38,8 +40,8 @@ class Transducer:
     lookahead is bounded by how far a longer token can still reach back.
     """
 
-    def __init__(self, ranks):
-        self.ranks = ranks
+    def __init__(self, ranks, kept=CACHE_STATES):
+        self.ranks, self.kept = ranks, kept
         self.names = {rank: token for token, rank in ranks.items()}
         #: 1 for what a longer token begins with, 2 for tokens, 3 for both.
         self.known = dict.fromkeys(ranks, 2)
@@ -161,7 +163,7 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.views) > CACHE_STATES:
+        if len(self.views) > self.kept:
             self.reset()
         out, state, moves = [], 0, self.moves
         for byte in data:
@@ -359,7 +361,7 @@ class Lanes:
 
     def encode(self, pieces):
         """Token ids of each of some pieces of 1 to SHORT bytes."""
-        if self.size > CACHE_STATES:
+        if self.size > self.machine.kept:
             self.reset()
         sizes = np.array([len(p) for p in pieces])
         order = np.argsort(-sizes, kind="stable")
@@ -428,11 +430,11 @@ class Utf8Stream:
 class Codec:
     """Whole texts to ids and back."""
 
-    def __init__(self, path, pattern, ready=CACHE_PIECES):
+    def __init__(self, path, pattern, ready=CACHE_PIECES, kept=CACHE_STATES):
         import regex
 
         self.pattern = regex.compile(pattern)
-        self.machine = Transducer(load_ranks(path))
+        self.machine = Transducer(load_ranks(path), kept)
         self.lanes = Lanes(self.machine)
         self.written = {rank: str(rank) for rank in self.machine.names}
         self.token = {self.written[rank]: token for token, rank in self.machine.ranks.items()}
@@ -510,12 +512,13 @@ _codecs: dict = {}
 _kept.append(_codecs)
 
 
-def codec(path, pattern):
-    """One codec for each worker process and vocabulary."""
-    if (path, pattern) not in _codecs:
+def codec(path, pattern, *sizes):
+    """One codec for each worker process, of one vocabulary and, if not the usual ones, sizes of its tables."""
+    key = path, pattern, *sizes
+    if key not in _codecs:
         _codecs.clear()
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+        _codecs[key] = Codec(*key)
+    return _codecs[key]
 
 
 def default_vocabulary():
@@ -573,7 +576,7 @@ def round_trip(docs, keep=("doc_id",), vocabulary=None):
 
     @worker("bpe")
     def run(batches):
-        own = codec(path, pattern)
+        own = codec(path, pattern, *ROOMY)
         for whole in batches:
             for batch in pieces(whole, "__text", AT_ONCE):
                 counts, ids_sha, decoded_sha = [], [], []

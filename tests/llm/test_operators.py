@@ -321,6 +321,20 @@ def test_utf8_stream():
     assert s.feed(b"\xff\xc3") + s.close() == b"\xff\xc3".decode("utf-8", "replace")
 
 
+def test_bpe_pieces_met_again_are_not_encoded_again(codec, monkeypatch):
+    own, met = bpe.codec(*bpe.default_vocabulary(), *bpe.ROOMY), []
+    encode = own.lanes.encode
+    monkeypatch.setattr(own.lanes, "encode", lambda pieces: met.append(len(pieces)) or encode(pieces))
+    texts = [" ".join(f"q{i:x}" for i in range(at, at + 20_000)).translate(str.maketrans("0123456789", "ghijklmnop")) for at in range(1 << 16, 300_000, 20_000)]
+    first = own.encode_texts(texts[:1])
+    for text in texts[1:]:
+        own.encode_texts([text])
+    held = len(met)
+    assert own.encode_texts(texts[:1]) == first == codec.encode_texts(texts[:1])
+    assert len(met) == held > 5
+    assert own.machine.kept == 2 * bpe.CACHE_STATES
+
+
 def test_bpe_tables(spark):
     docs = frame(spark, [(1, "Hello wörld"), (2, None), (3, ""), (3, "")]).withColumn("ids", F.lit("x"))
     coded = bpe.encode(docs)
