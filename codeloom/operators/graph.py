@@ -13,14 +13,23 @@ from .labels import relatives as labelled
 
 EDGE_KEY = ("from_fqn", "kind", "to_fqn", "file", "line")
 ANCESTOR_CAP, DESCENDANT_CAP = 200, 2000
-#: Names of a frontier that go to the edges as a list.
+#: Names of a frontier, or ids of files, that go to the edges as a list.
 FEW = 1000
 
 
-def all_edges(edges, files, ext_edges):
-    """Edges of source files and of enrichment layers as one; the latter are exact by definition."""
-    own = edges.join(files.select("file_id", F.col("path").alias("file")), "file_id").withColumn("source", F.lit("ast"))
-    return own.select(*EDGE_COLUMNS).unionByName(ext_edges.withColumn("resolved", F.lit(True)).select(*EDGE_COLUMNS))
+def all_edges(edges, files, ext_edges, often=None):
+    """Edges of source files and of enrichment layers as one; the latter are exact by definition.
+
+    often(file_id): ids that may hold a large share of the edges. If they are few, their files are broadcast and only other files' edges are dealt.
+    """
+    files = files.select("file_id", F.col("path").alias("file"))
+    ids = [] if often is None else [r[0] for r in often.select("file_id").where("file_id IS NOT NULL").distinct().limit(FEW + 1).collect()]
+    if ids and len(ids) <= FEW:
+        named = F.col("file_id").isin(ids)
+        own = edges.where(named).join(F.broadcast(files.where(named)), "file_id").unionByName(edges.where(~named).join(files.where(~named), "file_id"))
+    else:
+        own = edges.join(files, "file_id")
+    return own.withColumn("source", F.lit("ast")).select(*EDGE_COLUMNS).unionByName(ext_edges.withColumn("resolved", F.lit(True)).select(*EDGE_COLUMNS))
 
 
 def _ordered(*first):

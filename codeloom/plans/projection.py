@@ -35,9 +35,11 @@ UNION ALL SELECT from_fqn, kind, to_fqn, resolved, file, line, CASE WHEN okey %
 #: EDGES as Spark runs it: rows equal to those of the text above, with lineitem read twice and not three times, and no string shuffled. Calls and their
 #: layers are one pass. Tests of to_fqn reach suppliers and tests of from_fqn orders before the joins. Equal instantiations have the same order
 #: and meet where the join puts that order; only those of an order without customer, which differ by no more than its file, are dealt anew.
-SPARK_EDGES = """
+#: PARTS stands where lines go to their orders; load() may fill in how many parts they take.
+PARTS = "/*parts*/"
+_SPARK_CALLS = f"""
 WITH t AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-a AS (SELECT l_orderkey, l_linenumber, l_returnflag, s_suppkey, n_name FROM lineitem JOIN t ON l_suppkey = s_suppkey),
+a AS (SELECT {PARTS} l_orderkey, l_linenumber, l_returnflag, s_suppkey, n_name FROM lineitem JOIN t ON l_suppkey = s_suppkey),
 c AS (
 SELECT 'crm.Customer_' || CAST(o_custkey AS STRING) || '.order_' || CAST(o_orderkey AS STRING) || '()' AS from_fqn,
   CASE WHEN s_suppkey % 3 = 0 THEN 'geo.' || n_name || '.supply()' ELSE 'sup.Supplier_' || CAST(s_suppkey AS STRING) || '.supply()' END AS to_fqn,
@@ -46,8 +48,9 @@ SELECT 'crm.Customer_' || CAST(o_custkey AS STRING) || '.order_' || CAST(o_order
   CAST(l_linenumber AS INT) AS line,
   CASE WHEN l_returnflag = 'R' THEN array('ast', CASE WHEN l_orderkey % 2 = 0 THEN 'phpstan' ELSE 'go-types' END) ELSE array('ast') END AS sources
 FROM a JOIN orders ON l_orderkey = o_orderkey
-),
-b AS (SELECT l_orderkey, l_partkey, CAST(l_linenumber AS INT) AS line FROM lineitem LEFT SEMI JOIN t ON l_suppkey = s_suppkey),
+)"""
+SPARK_EDGES = f"""{_SPARK_CALLS},
+b AS (SELECT {PARTS} l_orderkey, l_partkey, CAST(l_linenumber AS INT) AS line FROM lineitem LEFT SEMI JOIN t ON l_suppkey = s_suppkey),
 i AS (SELECT DISTINCT l_orderkey, o_orderkey, o_custkey, l_partkey, line FROM b JOIN orders ON l_orderkey = o_orderkey),
 j AS (
 SELECT 'crm.Customer_' || CAST(o_custkey AS STRING) || '.order_' || CAST(o_orderkey AS STRING) || '()' AS from_fqn, 'cat.Part_' || CAST(l_partkey AS STRING) AS to_fqn,
@@ -59,6 +62,9 @@ SELECT from_fqn, 'calls' AS kind, to_fqn, resolved, file, line, source FROM c LA
 UNION ALL SELECT from_fqn, 'instantiates', to_fqn, true, file, line, 'ast' FROM j
 """ + EDGES[EDGES.index("UNION ALL SELECT 'crm.Customer_'") : EDGES.index("UNION ALL SELECT from_fqn, kind, to_fqn, resolved, file, line, CASE")]
 
+#: The edges of layers alone, as Spark runs them: only the lines that are in one go anywhere.
+SPARK_LAYERS = _SPARK_CALLS.replace("JOIN t ON l_suppkey = s_suppkey", "JOIN t ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'") + " SELECT from_fqn, 'calls' AS kind, to_fqn, resolved, file, line, sources[1] AS source FROM c"
+
 SYMBOLS = """
 WITH n AS (SELECT count(*) AS files FROM documents), s AS (
 SELECT 0 AS t, r_regionkey AS k, 'interface' AS kind, r_name AS name, 'geo.' || r_name AS fqn, '' AS container, '' AS doc FROM region
@@ -83,16 +89,26 @@ PREVIOUS = "SELECT file_id, path, size, file_id + CASE WHEN file_id % 10 IN (6,
 CURRENT = "SELECT file_id, path, size, file_id AS mtime_ns, path AS hash FROM g_files WHERE file_id % 10 <> 9"
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
-VIEWS = {"g_files": FILES, "g_edges": SPARK_EDGES, "g_symbols": SYMBOLS, "g_cyclic": CYCLIC}
+VIEWS = {"g_files": FILES, "g_edges": SPARK_EDGES, "g_layers": SPARK_LAYERS, "g_symbols": SYMBOLS, "g_cyclic": CYCLIC}
+
+
+#: Lines that one part meets its orders with, where all edges are asked for.
+LINES = 1 << 18
+
+
+def parts(spark, sf_dir):
+    """In how many parts all lines go to their orders, so that one's memory doesn't grow with the input; None, for Spark to decide, where they are no more than tasks at once."""
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // LINES
+    return n if n > spark.sparkContext.defaultParallelism else None
 
 
-def load(spark, sf_dir, *names):
-    """The named views as DataFrames; only the tables they name are read."""
+def load(spark, sf_dir, *names, parts=None):
+    """The named views as DataFrames; only the tables they name are read. Lines go to their orders in so many parts, if given."""
     import re
 
     out = []
     for name in names:
-        text = VIEWS[name]
+        text = VIEWS[name].replace(PARTS, f"/*+ REPARTITION({parts}, l_orderkey) */" if parts else "")
         used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", text)}
         for t in used:
             text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)

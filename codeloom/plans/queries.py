@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates, scalars
 from ..operators import enrich, fts, graph, incremental, lookup, methods
 from .fixpoint import checkpointed, closure
-from .projection import CURRENT, EDGES, FILES, PREVIOUS, SYMBOLS, CYCLIC, load
+from .projection import CURRENT, EDGES, FILES, PREVIOUS, SYMBOLS, CYCLIC, load, parts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -178,9 +178,10 @@ def a10(spark, d):
 
 @query("u01_all_edges", with_views(f" SELECT {_COLS} FROM (SELECT from_fqn, kind, to_fqn, resolved, path AS file, line, 'ast' AS source FROM g_edges JOIN g_files ON line = file_id WHERE source = 'ast' UNION ALL SELECT from_fqn, kind, to_fqn, true, file, line, source FROM g_edges WHERE source <> 'ast')", "g_edges", "g_files"))
 def u01(spark, d):
-    edges, files = load(spark, d, "g_edges", "g_files")
+    edges, files, layers = load(spark, d, "g_edges", "g_files", "g_layers", parts=parts(spark, d))
     own = edges.where("source = 'ast'").select(F.col("line").cast("long").alias("file_id"), "from_fqn", "kind", "to_fqn", "resolved", "line")
-    return graph.all_edges(own, files, edges.where("source <> 'ast'").drop("resolved"))
+    often = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_linenumber").cast("int").cast("long").alias("file_id"))
+    return graph.all_edges(own, files, layers.drop("resolved"), often)
 
 
 _SPLIT = """translate(array_to_string(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN i > 1 AND (

@@ -1,8 +1,11 @@
 """The edges as Spark makes them against the text that SQL runs, on odd tables."""
 
+import re
+
 import duckdb
 import pytest
 
+from codeloom.plans import projection, queries
 from codeloom.plans.projection import EDGES, load
 
 TABLES = {
@@ -52,3 +55,35 @@ def test_a_target_is_looked_for_before_orders_are_met(spark, odd, capsys):
     joins = [line for line in plan.splitlines() if "SortMergeJoin [l_orderkey" in line]
     tests = [line for line in plan.splitlines() if "Filter" in line and "CASE WHEN" in line and "n_name" in line] + [line for line in plan.splitlines() if "SortMergeJoin" in line and "CASE WHEN" in line]
     assert joins and tests and min(len(line) - len(line.lstrip(" :|+-*()0123456789")) for line in tests) > max(len(line) - len(line.lstrip(" :|+-*()0123456789")) for line in joins)
+
+
+def test_layers_of_odd_tables(spark, odd):
+    folder, con = odd
+    layers = load(spark, folder, "g_layers")
+    want = con.execute(f"SELECT {', '.join(layers.columns)} FROM ({EDGES}) WHERE source <> 'ast'").fetchall()
+    assert sorted(map(repr, map(tuple, layers.collect()))) == sorted(map(repr, want)) and len(want) > 5
+
+
+def test_parts_follow_the_lines(spark, odd, monkeypatch):
+    folder, con = odd
+    assert projection.parts(spark, folder) is None
+    monkeypatch.setattr(projection, "LINES", 1)
+    n = projection.parts(spark, folder)
+    assert n == con.execute("SELECT count(*) FROM lineitem").fetchone()[0] > spark.sparkContext.defaultParallelism
+    edges = load(spark, folder, "g_edges", parts=n)
+    want = con.execute(f"SELECT {', '.join(edges.columns)} FROM ({EDGES})").fetchall()
+    assert sorted(map(repr, map(tuple, edges.collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["u01_all_edges"])
+def test_memory_of_a_task_is_bounded_by_parts(spark, odd, monkeypatch, capsys, name):
+    """Lines meet orders, and equal edges each other, in parts by the number of lines and not by Spark's setting."""
+    monkeypatch.setattr(projection, "LINES", 1)
+    odd[1].execute(f"COPY (SELECT CAST(1 AS BIGINT) AS doc_id, 'x' AS source, 'en' AS lang, CAST(1 AS BIGINT) AS n_chars) TO '{odd[0]}/documents.parquet' (FORMAT parquet)")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    queries.QUERIES[name](spark, odd[0]).explain()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    dealt = re.findall(r"hashpartitioning\(([lo]_orderkey|file|from_fqn)#.*?, (\d+)\)", plan)
+    assert {k for k, _ in dealt} >= {"l_orderkey", "o_orderkey"} | ({"file"} if "a11" in name else {"from_fqn"} if "a10" in name else set())
+    assert {int(n) for _, n in dealt} <= {13, 26}

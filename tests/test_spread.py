@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
-from codeloom.operators import enrich, methods, spread
+from codeloom.operators import enrich, graph, methods, spread
 
 
 def dealt(monkeypatch, *modules):
@@ -60,3 +60,19 @@ def test_interfaces_meet_blocks_of_types(spark, monkeypatch):
     got = methods.implementations(frame(has), frame(faces | {"I92": {("m1", "1(1)")}}))
     assert sorted(map(tuple, got.collect())) == sorted((t, f) for t, ms in has.items() for f, ws in faces.items() if ws and ws <= ms and t != f and not any(s is None for _, s in ws))
     assert got.count() > 30
+
+
+@pytest.mark.parametrize("few", [2, 100])
+def test_files_of_most_edges_are_not_dealt(spark, monkeypatch, capsys, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    edges = spark.range(300).selectExpr("CASE WHEN id % 50 = 0 THEN id WHEN id % 7 = 6 THEN null ELSE id % 3 END AS file_id", "'a' || id AS from_fqn", "'calls' AS kind", "'b' AS to_fqn", "CAST(id AS INT) AS line", "true AS resolved")
+    files = spark.createDataFrame([(0, "p0"), (1, "p1"), (100, "p100"), (100, "q100"), (5, "p5")], "file_id long, path string")
+    often = spark.createDataFrame([(0,), (1,), (1,), (2,), (None,)], "file_id long")
+    ext = edges.where("line < 3").selectExpr("from_fqn", "kind", "to_fqn", "'f' AS file", "line", "'layer' AS source")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    found = graph.all_edges(edges, files, ext, often)
+    found.explain()
+    got = sorted(tuple(r) for r in found.collect())
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted(tuple(r) for r in graph.all_edges(edges, files, ext).collect()) and len(got) > 150
+    assert ("BroadcastHashJoin" in capsys.readouterr().out) == (few == 100)
