@@ -41,15 +41,21 @@ def by_place():
     return _ordered(F.desc("resolved"), "file", "line")
 
 
-def dedupe(edges, order):
-    """Of edges equal in all but resolved and source the first in order."""
+def _dealt(edges, parts, keys):
+    return edges.repartition(parts, *keys) if parts else edges
+
+
+def dedupe(edges, order, parts=None):
+    """Of edges equal in all but resolved and source the first in order; in so many parts, if given."""
+    edges = _dealt(edges, parts, EDGE_KEY)
     w = Window.partitionBy(*EDGE_KEY).orderBy(*order)
     return edges.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def once_a_file(edges):
-    """Edges equal in all but the line once for each file, at the first line."""
-    return edges.groupBy("file", "from_fqn", "kind", "to_fqn", "resolved").agg(F.min("line").alias("line"))
+def once_a_file(edges, parts=None):
+    """Edges equal in all but the line once for each file, at the first line; in so many parts, if given."""
+    keys = ("file", "from_fqn", "kind", "to_fqn", "resolved")
+    return _dealt(edges, parts, keys).groupBy(*keys).agg(F.min("line").alias("line"))
 
 
 def _page(edges, order, limit):

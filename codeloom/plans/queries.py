@@ -173,7 +173,8 @@ def a03(spark, d):
 
 @query("a10_dedupe", with_views(" " + deduped("SELECT * FROM g_edges"), "g_edges"))
 def a10(spark, d):
-    return graph.dedupe(load(spark, d, "g_edges"), graph.by_place()).select(*graph.EDGE_COLUMNS)
+    n = parts(spark, d)
+    return graph.dedupe(load(spark, d, "g_edges", parts=n), graph.by_place(), n and 2 * n).select(*graph.EDGE_COLUMNS)
 
 
 @query("u01_all_edges", with_views(f" SELECT {_COLS} FROM (SELECT from_fqn, kind, to_fqn, resolved, path AS file, line, 'ast' AS source FROM g_edges JOIN g_files ON line = file_id WHERE source = 'ast' UNION ALL SELECT from_fqn, kind, to_fqn, true, file, line, source FROM g_edges WHERE source <> 'ast')", "g_edges", "g_files"))
@@ -483,7 +484,8 @@ def f15(spark, d):
 
 @query("a11_extraction_dedupe", with_views(" SELECT file, from_fqn, kind, to_fqn, resolved, min(line) AS line FROM g_edges WHERE source = 'ast' GROUP BY ALL", "g_edges"))
 def a11(spark, d):
-    return graph.once_a_file(load(spark, d, "g_edges").where("source = 'ast'"))
+    n = parts(spark, d)
+    return graph.once_a_file(load(spark, d, "g_edges", parts=n).where("source = 'ast'"), n and 2 * n)
 
 
 @query("j10_outline_relations", with_views(f" SELECT s.fqn AS fqn, coalesce(string_agg(e.kind || ' ' || e.to_fqn, ', ' ORDER BY e.kind || ' ' || e.to_fqn), '') AS relations FROM g_symbols s LEFT JOIN (SELECT DISTINCT from_fqn, kind, to_fqn FROM g_edges WHERE kind IN {_HIER}) e ON e.from_fqn = s.fqn WHERE s.kind = 'class' GROUP BY s.fqn", "g_symbols", "g_edges"))

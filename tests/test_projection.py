@@ -75,7 +75,7 @@ def test_parts_follow_the_lines(spark, odd, monkeypatch):
     assert sorted(map(repr, map(tuple, edges.collect()))) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["u01_all_edges"])
+@pytest.mark.parametrize("name", ["a10_dedupe", "a11_extraction_dedupe", "u01_all_edges"])
 def test_memory_of_a_task_is_bounded_by_parts(spark, odd, monkeypatch, capsys, name):
     """Lines meet orders, and equal edges each other, in parts by the number of lines and not by Spark's setting."""
     monkeypatch.setattr(projection, "LINES", 1)
