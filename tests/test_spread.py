@@ -1,5 +1,7 @@
 """Keys that hold most rows are dealt over many parts, and the results stay."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,36 @@ def test_interfaces_meet_blocks_of_types(spark, monkeypatch):
     assert got.count() > 30
 
 
+def test_sets_are_dealt_packed(spark, monkeypatch):
+    """What goes to the cells are packs of sets, not a row a method, and pairs are those of plain sets with methods both rare and frequent."""
+    rows, frame = [], type(spark.range(0))
+    for name in ("repartition", "repartitionById"):
+        plain = getattr(frame, name)
+        monkeypatch.setattr(frame, name, lambda self, *a, plain=plain: (rows.append(self.count()), plain(self, *a))[1])
+    monkeypatch.setattr(methods, "TYPES", 200)
+    monkeypatch.setattr(methods, "WANTED", 400)
+    r = random.Random(5)
+    some = lambda n: {int(60 * r.random() ** 3) for _ in range(n)}
+    types = {f"T{i}": some(25) for i in range(600)}
+    faces = {f"I{i}": some(r.randint(1, 3)) for i in range(300)} | {"none": {999}, "T5": some(2)}
+    for i in range(3, 300):  # as interfaces that embed others: many lists begin alike, some are equal
+        faces[f"I{i}"] |= faces[f"I{i // 3}"] if i % 2 else set()
+    sets = lambda many: spark.createDataFrame([(o, f"m{k}", "()") for o, ks in many.items() for k in ks], "owner string, name string, signature string")
+    got = methods.implementations(sets(types), sets(faces)).collect()
+    assert sorted(map(tuple, got)) == sorted((t, f) for t, ks in types.items() for f, ws in faces.items() if ws <= ks and t != f) and len(got) > 5000
+    assert len(rows) == 1 and rows[0] < 150
+
+
+def test_names_of_types_meet_in_parts_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(methods, "REACHED", 50)
+    embeds = spark.range(500).selectExpr("'T' || id AS owner", "'R' AS part", "false AS pointer")
+    declared = spark.createDataFrame([("R", "m", "()", False), ("T3", "m", "(int)", True)], "owner string, name string, signature string, pointer boolean")
+    sets = methods.method_sets(declared, embeds)
+    assert sets.rdd.getNumPartitions() == 10 and sets.count() == 501
+    faces = methods.interface_sets(declared, embeds)
+    assert faces.rdd.getNumPartitions() == 20 and faces.count() == 502
+
+
 @pytest.mark.parametrize("few", [2, 100])
 def test_files_of_most_edges_are_not_dealt(spark, monkeypatch, capsys, few):
     monkeypatch.setattr(graph, "FEW", few)
